@@ -112,7 +112,7 @@ def _(t):
         F.count_if(F.col("status") == "export_ready").alias("export_ready"), F.sum("is_duplicate").alias("duplicates"))
 
 
-@query("cl_shard_key", """SELECT row_id, row_id % 4 AS hash_shard, CASE WHEN category_id IS NULL THEN 'UNMATCHED' ELSE coalesce(list_filter(string_split(category_full_path, '/'), x -> x <> '')[1], 'UNKNOWN') END AS tree_shard FROM cleaned""")
+@query("cl_shard_key", """SELECT row_id, row_id % 4 AS hash_shard, CASE WHEN category_id IS NULL THEN 'UNMATCHED' ELSE coalesce(list_filter(string_split(category_full_path, '/'), lambda x: x <> '')[1], 'UNKNOWN') END AS tree_shard FROM cleaned""")
 def _(t):
     return cleaning.shard_key(cleaned(t)).select("row_id", "hash_shard", "tree_shard")
 

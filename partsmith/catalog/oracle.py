@@ -32,7 +32,7 @@ def field(x: str) -> str:
 
 
 def words(x: str) -> str:
-    return f"list_filter(regexp_split_to_array(coalesce({x}, ''), '[^a-zA-Z0-9一-龥]+'), w -> w <> '')"
+    return f"list_filter(regexp_split_to_array(coalesce({x}, ''), '[^a-zA-Z0-9一-龥]+'), lambda w: w <> '')"
 
 
 def grams(x: str) -> str:
@@ -77,7 +77,10 @@ def with_ctes(sql: str) -> str:
     if not order:
         return sql
     head = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in order)
-    return f"WITH RECURSIVE {head}\n{sql}"
+    body = sql.strip()
+    if body.upper().startswith("WITH "):
+        return f"WITH RECURSIVE {head},\n{re.sub(r'^WITH (RECURSIVE )?', '', body)}"
+    return f"WITH RECURSIVE {head}\n{body}"
 
 
 # ---------------------------------------------------------------- parsing
@@ -229,7 +232,7 @@ FROM (SELECT r.*, k.id AS k_id, k.level AS k_level, k.category_code AS best_code
      OR ({m} = k.cn OR ({either(m, 'k.cn')} AND least(length({m}), length(k.cn)) >= 2)) IS TRUE
      OR (len(list_intersect({words(m)}, {words('k.cn')})) > 0) IS TRUE AS f_name,
    {blank('r.unit')} OR {blank('k.unit')} OR lower({trim('r.unit')}) = lower({trim('k.unit')}) AS f_unit,
-   (len(list_filter(list_concat({words(m)}, {words(norm('r.specification'))}, {words(norm('r.grade'))}), w -> contains({norm('k.description')}, w))) > 0) IS TRUE AS f_desc
+   (len(list_filter(list_concat({words(m)}, {words(norm('r.specification'))}, {words(norm('r.grade'))}), lambda w: contains({norm('k.description')}, w))) > 0) IS TRUE AS f_desc
   FROM {rows} r LEFT JOIN cat k ON k.id = r.{matched}) f"""
 
 
@@ -254,3 +257,19 @@ cte("cleaned", "scored", """
 SELECT *, CASE WHEN category_id IS NULL OR match_source IN ('FUZZY_AMBIGUOUS','UNMATCHED') THEN 'needs_review' WHEN quality_score < 60 THEN 'needs_review'
   WHEN quality_score >= 80 THEN 'export_ready' ELSE 'approved' END AS status FROM scored
 """)
+
+cte("cleaned_log", "cleaned", """
+SELECT *, row_id AS id, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(row_id AS INTEGER)) AS created_at,
+  CASE WHEN status <> 'needs_review' AND is_duplicate = 0 THEN TIMESTAMP '2024-01-02 00:00:00' + to_minutes(CAST(row_id AS INTEGER)) END AS reviewed_at,
+  CASE WHEN status = 'export_ready' AND specification <> '' THEN TIMESTAMP '2024-01-03 00:00:00' + to_minutes(CAST(row_id AS INTEGER)) END AS exported_at,
+  CASE WHEN status = 'export_ready' AND specification <> '' THEN title_id + 100 END AS export_batch_id
+FROM cleaned
+""")
+cte("export_batches", "orders", """
+SELECT o_orderkey AS batch_id, 'batch '||o_orderkey AS batch_name, CASE WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderstatus = 'P' THEN 'processing' ELSE 'failed' END AS status,
+  CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'excel' WHEN '2' THEN 'csv' WHEN '3' THEN 'json' ELSE 'pdf' END AS format,
+  CASE WHEN o_custkey % 2 = 0 THEN 'category' ELSE 'status' END AS batch_type, 'user'||(o_custkey % 20) AS created_by,
+  CAST(o_totalprice AS BIGINT) AS total_records, CASE WHEN o_orderstatus = 'F' THEN CAST(o_totalprice AS BIGINT) ELSE 0 END AS exported_records,
+  CASE WHEN o_orderstatus = 'F' THEN CAST(o_totalprice * 50 AS BIGINT) END AS file_size, o_orderdate AS created_at, o_custkey % 5 + 100 AS run_id
+FROM orders
+""")
