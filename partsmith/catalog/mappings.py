@@ -26,8 +26,8 @@ def failed(t):
 
 cte("file_field", "raw_header items", """
 SELECT title_id, 'temp_data' AS source_type, name AS source, CAST(pos AS INTEGER) AS source_pos FROM raw_header
-UNION ALL SELECT title_id, 'extra_data', key, CAST(row_number() OVER (PARTITION BY title_id ORDER BY f, key) AS INTEGER) FROM
- (SELECT title_id, key, min(row_index * 1000 + pos) AS f FROM items GROUP BY title_id, key) WHERE key <> ''
+UNION ALL SELECT * FROM (SELECT title_id, 'extra_data', key, CAST(row_number() OVER (PARTITION BY title_id ORDER BY f, key) AS INTEGER) FROM
+ (SELECT title_id, key, min(row_index * 1000 + pos) AS f FROM items GROUP BY title_id, key)) WHERE key <> ''
 """)
 _a, _b = field("f.source"), field("h.target")
 cte("mapping", "file_field std_header cleaned", f"""

@@ -1 +1,132 @@
-"""To come."""
+"""Queries over review tasks."""
+
+from __future__ import annotations
+
+import datetime as dt
+import uuid
+
+from pyspark.sql import functions as F
+
+from partsmith.catalog.base import query
+from partsmith.catalog.cleaned import cleaned
+from partsmith.catalog.oracle import cte
+from partsmith.catalog.scalars import NOW, now
+from partsmith.operators import review as R, search as Q
+from partsmith.session import shared_dir
+
+_weight = "CASE priority WHEN 'urgent' THEN 10 WHEN 'high' THEN 5 WHEN 'medium' THEN 3 ELSE 1 END"
+
+cte("event_fold", "review_tasks review_events", """
+WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ts, event_id) AS n FROM review_events WHERE task_id IN (SELECT task_id FROM review_tasks)),
+s AS (SELECT task_id, CAST(0 AS BIGINT) AS n, status, assignee, CAST(NULL AS BIGINT) AS event_id, TRUE AS ok, resolution, completed_at, assigned_at FROM review_tasks WHERE task_id IN (SELECT task_id FROM e)
+ UNION ALL
+ SELECT task_id, n, CASE WHEN ok THEN to_status ELSE status END, CASE WHEN NOT ok THEN assignee WHEN action IN ('assign','reassign') THEN user_id WHEN action = 'reopen' THEN NULL ELSE assignee END, event_id, ok,
+  CASE WHEN ok AND action = 'complete' THEN new_resolution WHEN ok AND action = 'reopen' THEN NULL ELSE resolution END,
+  CASE WHEN ok AND action = 'complete' THEN ts WHEN ok AND action = 'reopen' THEN NULL ELSE completed_at END,
+  CASE WHEN ok AND action IN ('assign','reassign') THEN ts WHEN ok AND action = 'reopen' THEN NULL ELSE assigned_at END
+ FROM (SELECT s.task_id, e.n, s.status, s.assignee, s.resolution, s.completed_at, s.assigned_at, e.event_id, e.action, e.user_id, e.ts, e.resolution AS new_resolution,
+   CASE e.action WHEN 'assign' THEN 'assigned' WHEN 'reassign' THEN 'assigned' WHEN 'start' THEN 'in_progress' WHEN 'complete' THEN 'completed' WHEN 'cancel' THEN 'cancelled' ELSE 'pending' END AS to_status,
+   CASE e.action WHEN 'assign' THEN s.status = 'pending' WHEN 'reassign' THEN s.status IN ('assigned','in_progress') WHEN 'start' THEN s.status = 'assigned' AND s.assignee IS NOT DISTINCT FROM e.user_id
+    WHEN 'complete' THEN s.status = 'in_progress' AND s.assignee IS NOT DISTINCT FROM e.user_id AND trim(e.resolution) <> '' WHEN 'cancel' THEN s.status IN ('pending','assigned') ELSE s.status IN ('completed','cancelled') END AS ok
+   FROM s JOIN e ON e.task_id = s.task_id AND e.n = s.n + 1))
+SELECT * FROM s
+""")
+
+
+def folded(t):
+    if "folded" not in t._made:
+        t._made["folded"] = R.apply_events(t["review_tasks"], t["review_events"])
+    return t._made["folded"]
+
+
+@query("rv_apply_events", """SELECT t.task_id, coalesce(l.status, t.status) AS status, CASE WHEN l.task_id IS NULL THEN t.assignee ELSE l.assignee END AS assignee, CASE WHEN l.task_id IS NULL THEN t.resolution ELSE l.resolution END AS resolution,
+ CASE WHEN l.task_id IS NULL THEN t.completed_at ELSE l.completed_at END AS completed_at, CASE WHEN l.task_id IS NULL THEN t.assigned_at ELSE l.assigned_at END AS assigned_at
+ FROM review_tasks t LEFT JOIN (SELECT * FROM event_fold QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY n DESC) = 1) l USING (task_id)""")
+def _(t):
+    return folded(t)[0].select("task_id", "status", "assignee", "resolution", "completed_at", "assigned_at")
+
+
+@query("rv_rejected_events", "SELECT event_id, task_id, action FROM review_events WHERE event_id NOT IN (SELECT event_id FROM event_fold WHERE event_id IS NOT NULL AND ok)")
+def _(t):
+    return folded(t)[1].where("not accepted").select("event_id", "task_id", "action")
+
+
+@query("rv_create", """SELECT row_id AS entity_id, 'category_match' AS task_type, CASE WHEN match_confidence < 0.7 THEN 'high' WHEN match_confidence < 0.9 THEN 'medium' ELSE 'low' END AS priority, 'pending' AS status,
+ '分类审核 - 数据 #'||row_id||' ('||printf('%.1f', match_confidence * 100)||'% 置信度)' AS title FROM cleaned""")
+def _(t):
+    return R.create(R.category_audits(cleaned(t)))[0].select("entity_id", "task_type", "priority", "status", "title")
+
+
+@query("rv_create_rejected", "SELECT c.row_id AS entity_id, 'title missing' AS problems FROM cleaned c WHERE material_name = ''")
+def _(t):
+    wanted = R.category_audits(cleaned(t)).drop("title").join(
+        cleaned(t).select(F.col("row_id").alias("entity_id"), F.col("material_name").alias("title")), "entity_id")
+    return R.create(wanted)[1].select("entity_id", F.array_join("problems", ";").alias("problems"))
+
+
+@query("rv_mapping_audits", "SELECT std_id * 1000 + title_id AS entity_id, CASE WHEN confidence < 0.7 THEN 'high' WHEN confidence < 0.9 THEN 'medium' ELSE 'low' END AS priority, source FROM mapping")
+def _(t):
+    from partsmith.catalog.mappings import mappings
+
+    m = mappings(t).withColumn("ident", F.col("std_id") * 1000 + F.col("title_id"))
+    return m.select(F.col("ident").alias("entity_id"), R.priority_for(F.col("confidence")).alias("priority"), "source")
+
+
+@query("flt_tasks", "SELECT task_id, title FROM review_tasks WHERE (contains(title, '77') OR contains(description, '77')) AND status IN ('pending','assigned') AND priority IN ('high','urgent') AND created_at >= TIMESTAMP '1996-01-01'")
+def _(t):
+    return R.search_tasks(t["review_tasks"], "77", ("pending", "assigned"), ("HIGH", "urgent"),
+                          created=(dt.datetime(1996, 1, 1), None)).select("task_id", "title")
+
+
+@query("srt_tasks", f"SELECT task_id, priority, due_at FROM review_tasks ORDER BY {_weight} DESC, due_at, created_at DESC, task_id LIMIT 100")
+def _(t):
+    return R.by_urgency(t["review_tasks"]).limit(100).select("task_id", "priority", "due_at")
+
+
+@query("rv_queues", """SELECT 'my_pending' AS queue, task_id FROM review_tasks WHERE assignee = 'user3' AND status IN ('assigned','in_progress') UNION ALL SELECT 'my_completed', task_id FROM review_tasks WHERE assignee = 'user3' AND status = 'completed'
+ UNION ALL SELECT 'unassigned', task_id FROM review_tasks WHERE status = 'pending' UNION ALL SELECT 'in_progress', task_id FROM review_tasks WHERE status = 'in_progress' UNION ALL SELECT 'assigned', task_id FROM review_tasks WHERE assignee = 'user3'""")
+def _(t):
+    out = [R.queue(t["review_tasks"], q, "user3").select(F.lit(q).alias("queue"), "task_id")
+           for q in ("my_pending", "my_completed", "unassigned", "in_progress", "assigned")]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
+
+
+@query("rv_due", f"SELECT task_id, due_at < {NOW} AS overdue, due_at >= {NOW} AS due_soon FROM review_tasks WHERE status IN ('pending','assigned','in_progress') AND due_at <= {NOW} + INTERVAL 48 HOUR")
+def _(t):
+    return R.due(t["review_tasks"], now(), 48).select("task_id", "overdue", "due_soon")
+
+
+@query("rv_reminders", f"""WITH m AS (SELECT * FROM review_tasks WHERE assignee = 'user3' AND status IN ('assigned','in_progress'))
+ SELECT task_id, 'due_soon' AS type, CAST(trunc(epoch(due_at - {NOW}) / 3600) AS BIGINT) AS amount FROM m WHERE due_at >= {NOW} AND due_at < {NOW} + INTERVAL 24 HOUR
+ UNION ALL SELECT task_id, 'high_priority', {_weight} FROM m WHERE priority IN ('high','urgent')
+ UNION ALL SELECT task_id, 'long_pending', CAST(trunc(epoch({NOW} - assigned_at) / 86400) AS BIGINT) FROM m WHERE status = 'assigned' AND assigned_at < {NOW} - INTERVAL 2 DAY""")
+def _(t):
+    return R.reminders(t["review_tasks"], now(), "user3")
+
+
+@query("rv_history", """SELECT task_id, 'create' AS type, created_at AS at, '任务创建' AS detail FROM review_tasks UNION ALL SELECT task_id, 'assign', assigned_at, '分配给 '||assignee FROM review_tasks WHERE assigned_at IS NOT NULL
+ UNION ALL SELECT task_id, 'status_change', coalesce(completed_at, assigned_at, created_at), '状态变更为 '||status FROM review_tasks UNION ALL SELECT task_id, 'complete', completed_at, '任务完成，解决方式: '||resolution FROM review_tasks WHERE completed_at IS NOT NULL""".replace("AS at,", 'AS "at",'))
+def _(t):
+    return R.history(t["review_tasks"])
+
+
+@query("rv_auto_assign", """WITH l AS (SELECT assignee, count(*) FILTER (status IN ('pending','assigned','in_progress')) AS load FROM review_tasks WHERE assignee IS NOT NULL GROUP BY assignee),
+ r AS (SELECT assignee, row_number() OVER (ORDER BY load, assignee) - 1 AS slot, count(*) OVER () AS n FROM l),
+ p AS (SELECT task_id, task_id % 64 AS b, row_number() OVER (PARTITION BY task_id % 64 ORDER BY task_id) - 1 AS i FROM review_tasks WHERE status = 'pending')
+ SELECT p.task_id, r.assignee FROM p JOIN r ON r.slot = (p.i + p.b) % r.n""")
+def _(t):
+    return R.auto_assign(t["review_tasks"])
+
+
+@query("rv_batch_status", "SELECT row_id, CASE WHEN match_source = 'UNMATCHED' THEN 'rejected' ELSE status END AS status, CASE WHEN match_source = 'UNMATCHED' THEN 'user1' END AS reviewer FROM cleaned")
+def _(t):
+    edits = cleaned(t).where("match_source = 'UNMATCHED'").select(
+        "row_id", F.lit("rejected").alias("status"), F.lit("user1").alias("reviewer"), F.lit("no category").alias("comment"))
+    return R.set_status(cleaned(t), edits, "row_id").select("row_id", "status", "reviewer")
+
+
+@query("rv_report", "SELECT task_id, status, priority FROM review_tasks WHERE status = 'in_progress'")
+def _(t):
+    path = f"{shared_dir(t.spark)}/report-{uuid.uuid4().hex}"
+    R.search_tasks(t["review_tasks"], statuses=("in_progress",)).select("task_id", "status", "priority").write.partitionBy("priority").parquet(path)
+    return t.spark.read.parquet(path).select("task_id", "status", "priority")

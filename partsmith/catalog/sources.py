@@ -1 +1,33 @@
-"""To come."""
+"""Queries over imports and column roles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from partsmith.catalog.base import query
+from partsmith.catalog.oracle import trim
+from partsmith.operators import ingest
+from partsmith.session import shared_dir
+from partsmith.sources import files
+
+
+@query("src_import", f"""SELECT CAST(7 AS BIGINT) AS title_id, p_partkey AS row_id, p_partkey + 2 AS row_index, {trim('p_name')} AS col1, {trim('p_brand')} AS col2, {trim('p_type')} AS col3, CAST(p_size AS VARCHAR) AS col4,
+ regexp_replace(CAST(p_retailprice AS VARCHAR), '\\.0$', '') AS col5 FROM part""")
+def _(t):
+    return files.import_frame(t["part"], 7, "p_partkey").rows
+
+
+@query("src_import_csv", "SELECT row_id % 1 AS k, count(*) AS n, count(DISTINCT col2) AS names, count(*) FILTER (col1 = '' OR col1 IS NULL) AS no_code FROM raw_rows GROUP BY 1")
+def _(t):
+    import uuid
+
+    path = f"{shared_dir(t.spark)}/import-{uuid.uuid4().hex}"
+    t["raw_rows"].select("col1", "col2", "col3", "col4", "col5", "col6").write.option("header", True).csv(path)
+    rows = files.read_csv(t.spark, path, 1).rows
+    return rows.groupBy(F.lit(0).cast("long").alias("k")).agg(
+        F.count("*").alias("n"), F.countDistinct("col2").alias("names"), F.count_if(F.col("col1") == "").alias("no_code"))
+
+
+@query("src_detect_roles", "SELECT title_id, '全描述' AS desc_col, '类别名称' AS category_col FROM raw_title")
+def _(t):
+    return ingest.detect_roles(t["raw_header"])

@@ -135,17 +135,21 @@ FROM asked a JOIN codes k ON k.rn = 1 + a.conv_id % k.n
 """)
 
 
-def order_of(names: tuple[str, ...]) -> list[str]:
-    """Views to build for ``names``, each after the ones it reads."""
-    done: list[str] = []
-
-    def visit(name: str) -> None:
-        if name in TABLES or name in done:
-            return
-        for dep in VIEWS[name][0]:
-            visit(dep)
-        done.append(name)
-
-    for n in names:
-        visit(n)
-    return done
+_RESPONSE = """'{{"score": '||{score}||', "matched": '||{matched}||', "bestMatchCode": "'||{code}||'", "reason": "'||{reason}||'"}}'"""
+_R = {k: _RESPONSE.replace("{score}", a).replace("{matched}", b).replace("{code}", c).replace("{reason}", d) for k, (a, b, c, d) in {
+    "plain": ("'92'", "'true'", "coalesce(col1,'')", "'名称一致 '||coalesce(col1,'')"),
+    "fenced": ("'\"55\"'", "'\"false\"'", "' 100101 '", "'应为 100101'"),
+    "escape": ("'70'", "'true'", "''", "'牌号 45'||chr(92)||'C'"),
+    "against": ("'30'", "'true'", "'100102'", "'系统分类正确'"),
+    "range": ("'250'", "'false'", "'ZZ'", "'无'"),
+    "recode": ("'20'", "'false'", "'100101'", "'应为 100101'")}.items()}
+VIEWS["responses"] = (("raw_rows",), f"""
+SELECT row_id, CASE row_id % 7 WHEN 0 THEN 'plain' WHEN 1 THEN 'fenced' WHEN 2 THEN 'escape' WHEN 3 THEN 'text' WHEN 4 THEN 'against' WHEN 5 THEN 'range' ELSE 'recode' END AS kind,
+ CASE row_id % 7 WHEN 0 THEN {_R['plain']} WHEN 1 THEN '```json'||chr(10)||{_R['fenced']}||chr(10)||'```' WHEN 2 THEN {_R['escape']} WHEN 3 THEN '无法判断'
+  WHEN 4 THEN '结论：'||{_R['against']}||' 以上' WHEN 5 THEN {_R['range']} ELSE {_R['recode']} END AS response
+FROM {{raw_rows}}
+""")
+VIEWS["extract_responses"] = (("raw_rows",), """
+SELECT row_id, CASE WHEN col5 IS NULL OR col5 = '' THEN 'no answer' ELSE '```json'||chr(10)||'{{"物资 名称":"'||col4||'","规格型号":"'||col3||'","other":"x","牌号":null,"单位":"'||col6||'"}}'||chr(10)||'```' END AS response
+FROM {raw_rows}
+""")

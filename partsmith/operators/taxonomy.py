@@ -6,9 +6,10 @@ of self-joins; ``max_depth`` lengthens it for deeper trees.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from partsmith.functions import scores as S, text as T
+from partsmith.session import stage
 
 MAX_DEPTH = 4
 
@@ -51,7 +52,11 @@ def subtree(taxonomy: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def rebuild_paths(taxonomy: DataFrame) -> DataFrame:
-    """Level and ``/a/b/c`` path of every node, from the parent links alone."""
+    """Level and ``/a/b/c`` path of every node, from the parent links alone.
+
+    The climb reads the links several times, so edited links are staged first.
+    """
+    taxonomy = stage(taxonomy, "links")
     codes = taxonomy.select(F.col("id").alias("ancestor_id"), "category_code")
     trail = (
         ancestors(taxonomy).join(codes, "ancestor_id").groupBy("id")
@@ -87,9 +92,10 @@ def move(taxonomy: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
                     .when(F.col("new_parent_id").isNotNull() & F.col("active").isNull(), "missing parent")
                     .when(F.col("new_parent_id").isNotNull() & ~F.col("active"), "inactive parent")
                     .when(F.col("inside"), "cycle")))
+    checked = stage(checked, "edits")
     good = checked.where("reason is null").select("id", "new_parent_id")
-    tried = taxonomy.join(good.withColumn("_m", F.lit(True)), "id", "left").withColumn(
-        "parent_id", F.when(F.col("_m"), F.col("new_parent_id")).otherwise(F.col("parent_id")))
+    tried = stage(taxonomy.join(good.withColumn("_m", F.lit(True)), "id", "left").select(
+        "id", F.when(F.col("_m"), F.col("new_parent_id")).otherwise(F.col("parent_id")).alias("parent_id")), "tried")
     rooted = closure(tried).join(
         tried.where("parent_id is null").select(F.col("id").alias("root_id")), "root_id", "left_semi").select("id")
     loose = good.join(rooted, "id", "left_anti").withColumn("reason", F.lit("cycle"))
