@@ -19,12 +19,12 @@ k AS (SELECT conv_id, category_id, 1 AS pass, 0 AS place FROM ask JOIN code_idx
   UNION ALL SELECT conv_id, t.id, 2, 0 FROM ask JOIN taxonomy t ON kw <> '' AND starts_with(t.category_code, kw)
   UNION ALL SELECT conv_id, l.category_id, 3, 0 FROM ask JOIN lib_text l ON l.name_norm = {norm('kw')}
   UNION ALL SELECT conv_id, i.category_id, 4, place FROM (SELECT conv_id, unnest({words(norm('kw'))}) AS token, generate_subscripts({words(norm('kw'))}, 1) AS place FROM ask) z JOIN tok_idx i USING (token)),
-kb AS (SELECT conv_id, category_id, min(pass * 100000 + place) AS o FROM k GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY min(pass * 100000 + place), category_id) <= 15),
+kb AS (SELECT conv_id, category_id, min(pass * 100000 + place) AS o FROM k GROUP BY conv_id, category_id QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY min(pass * 100000 + place), category_id) <= 15),
 f AS (SELECT x.conv_id, d.id AS category_id FROM x JOIN down d ON d.root_id = x.hit UNION SELECT x.conv_id, d.root_id FROM x JOIN down d ON d.id = x.hit
   UNION SELECT x.conv_id, t.id FROM x JOIN taxonomy t ON x.hit IS NULL AND starts_with(t.category_code, x.code) UNION SELECT lv.conv_id, t.id FROM lv JOIN taxonomy t USING (level) UNION SELECT conv_id, category_id FROM kb),
 o AS (SELECT *, contains(question, '有哪些') OR contains(question, '列出') OR contains(question, '列举') AS listing FROM ask WHERE conv_id NOT IN (SELECT conv_id FROM f)),
 w AS (SELECT conv_id, unnest({words('kw')}) AS token, generate_subscripts({words('kw')}, 1) AS place FROM o WHERE NOT listing),
-z AS (SELECT w.conv_id, t.id AS category_id, min(place) AS place FROM w JOIN taxonomy t ON length(token) >= 2 AND (contains(t.category_name, token) OR contains(t.category_code, token)) GROUP BY ALL
+z AS (SELECT w.conv_id, t.id AS category_id, min(place) AS place FROM w JOIN taxonomy t ON length(token) >= 2 AND (contains(t.category_name, token) OR contains(t.category_code, token)) GROUP BY w.conv_id, t.id
   QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY min(place), t.id) <= 40)
 SELECT conv_id, category_id FROM f UNION ALL SELECT o.conv_id, t.id FROM o JOIN taxonomy t ON o.listing AND t.level = 1 UNION ALL SELECT conv_id, category_id FROM z
 """)

@@ -1 +1,90 @@
-"""To come."""
+"""Streaming queries, each run over everything that has arrived and then read as a table."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, functions as F
+
+from partsmith.catalog.base import query
+from partsmith.catalog.cleaned import CORE_SQL
+from partsmith.catalog.externals import stored, tasks
+from partsmith.operators import cleaning
+from partsmith.session import shared_dir
+from partsmith.streaming import callbacks as C, rows as W
+from partsmith.streaming.tables import VersionedTable, run_available
+
+
+def fresh(t, label: str) -> str:
+    return f"{shared_dir(t.spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def arriving(t, name: str, by: str, parts: int = 4, per_trigger: int = 4) -> DataFrame:
+    """A view as files that a stream picks up."""
+    path = fresh(t, f"{name}-in")
+    t[name].repartitionByRange(parts, by).write.parquet(path)
+    return t.spark.readStream.schema(t[name].schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+
+
+def collected(t, stream: DataFrame, mode: str) -> DataFrame:
+    """Results of an aggregating stream: the last version it wrote."""
+    out = fresh(t, "agg")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/v={batch_id}")
+
+    run_available(stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", fresh(t, "ckpt")))
+    read = t.spark.read.parquet(out)
+    return read.where(F.col("v") == read.agg(F.max("v")).scalar()).drop("v")
+
+
+@query("st_callback_ingest", "SELECT task_id, row_index, category_code, category_name, needs_review, row_status FROM ext_row")
+def _(t):
+    root = fresh(t, "ext")
+    rows = VersionedTable(t.spark, f"{root}/rows", stored(t))
+    states = VersionedTable(t.spark, f"{root}/tasks", tasks(t))
+    log_schema = "task_id string, digest string, ts timestamp_ntz, result string"
+    log = VersionedTable(t.spark, f"{root}/log", t.spark.createDataFrame([], log_schema))
+    run_available(C.ingest(arriving(t, "callbacks", "ts"), rows, states, log, f"{root}/ckpt"))
+    return rows.latest().select("task_id", "row_index", "category_code", "category_name", "needs_review", "row_status")
+
+
+@query("st_task_progress", """SELECT json_extract_string(payload, '$.taskId') AS task_id, count(*) AS callbacks, CAST(sum(coalesce(json_array_length(payload, '$.results'), 0)) AS BIGINT) AS result_rows,
+ count(*) FILTER (json_extract_string(payload, '$.status') = 'failed') AS errors, max(CAST(json_extract_string(payload, '$.stats.total') AS BIGINT)) AS total FROM callbacks GROUP BY 1""")
+def _(t):
+    return collected(t, C.progress(arriving(t, "callbacks", "ts", per_trigger=1)), "complete")
+
+
+@query("st_late", """SELECT json_extract_string(payload, '$.taskId') AS task_id, arg_max(json_extract_string(payload, '$.status'), ts) AS status, max(ts) AS last_at FROM callbacks GROUP BY 1""")
+def _(t):
+    return collected(t, C.last_status(arriving(t, "callbacks", "ts", per_trigger=1), "60 days"), "complete")
+
+
+@query("st_clean", f"SELECT {CORE_SQL} FROM cleaned")
+def _(t):
+    out = fresh(t, "cleaned-stream")
+    none = t.spark.createDataFrame([], "title_id bigint, source_row_hash string")
+    seen = VersionedTable(t.spark, fresh(t, "seen"), none)
+    stream = arriving(t, "raw_rows", "row_id")
+    run_available(W.clean(stream, t["raw_header"], t["taxonomy"], t["synonyms"], out, seen, fresh(t, "ckpt")))
+    return t.spark.read.parquet(out).select(*cleaning.CLEANED_COLUMNS)
+
+
+@query("st_review", """SELECT t.task_id, coalesce(l.status, t.status) AS status, CASE WHEN l.task_id IS NULL THEN t.assignee ELSE l.assignee END AS assignee, CASE WHEN l.task_id IS NULL THEN t.resolution ELSE l.resolution END AS resolution
+ FROM review_tasks t LEFT JOIN (SELECT * FROM event_fold QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY n DESC) = 1) l USING (task_id)""")
+def _(t):
+    table = VersionedTable(t.spark, fresh(t, "tasks"), t["review_tasks"])
+    run_available(W.fold_reviews(arriving(t, "review_events", "ts"), table, fresh(t, "ckpt")))
+    return table.latest().select("task_id", "status", "assignee", "resolution")
+
+
+@query("st_watch_timeouts", None)
+def _(t):
+    e = t["events"]
+    kind = F.when(F.col("event_type") == "signup", "submit").otherwise("callback")
+    path, out = fresh(t, "watch-in"), fresh(t, "watch-out")
+    e.select(F.concat(F.lit("T"), F.col("event_id").cast("string")).alias("task_id"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind")).write.parquet(path)
+    stream = t.spark.readStream.schema("task_id string, ts timestamp, kind string").parquet(path)
+    run_available(C.watch_timeouts(stream).writeStream.outputMode("append").format("parquet").option("path", out).option(
+        "checkpointLocation", fresh(t, "ckpt")))
+    return t.spark.read.schema(C.TIMEOUT_OUT).parquet(out)

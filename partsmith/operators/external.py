@@ -26,7 +26,8 @@ def read_payloads(callbacks: DataFrame) -> DataFrame:
 
 def once(payloads: DataFrame) -> DataFrame:
     """The first arrival of every distinct payload (exact repeats are ignored)."""
-    return payloads.groupBy("digest").agg(
+    keyed = payloads.withColumn("digest", S.payload_digest(F.col("payload")))
+    return keyed.groupBy("digest").agg(
         F.min("ts").alias("ts"), F.first("payload").alias("payload")
     ).withColumn("body", F.from_json("payload", PAYLOAD)).withColumn("task_id", F.col("body.taskId"))
 

@@ -34,16 +34,23 @@ def _step(state: Column, e: Column) -> Column:
         F.when(ok, to).otherwise(status).alias("status"), F.when(ok, holder_after).otherwise(holder).alias("assignee"), ok.alias("ok"))
 
 
+def _state(status: Column, assignee: Column) -> Column:
+    """A start state whose fields may become null while folding."""
+    def open_type(c: Column) -> Column:
+        return F.nullif(c.cast("string"), F.lit("\u0002"))
+
+    return F.struct(open_type(status).alias("status"), open_type(assignee).alias("assignee"), F.lit(True).alias("ok"))
+
+
 def _fold(events: Column, status: Column, assignee: Column) -> Column:
-    start = F.struct(status.cast("string").alias("status"), assignee.cast("string").alias("assignee"), F.lit(True).alias("ok"))
-    return F.aggregate(events, start, _step)
+    return F.aggregate(events, _state(status, assignee), _step)
 
 
 def _trace(events: Column, status: Column, assignee: Column) -> Column:
     """The state after every event of a segment, in order."""
     blank = F.struct(F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("assignee"), F.lit(True).alias("ok"))
     start = F.struct(
-        F.struct(status.cast("string").alias("status"), assignee.cast("string").alias("assignee"), F.lit(True).alias("ok")).alias("now"),
+        _state(status, assignee).alias("now"),
         F.slice(F.array(blank), 1, 0).alias("seen"))
 
     def add(acc: Column, e: Column) -> Column:
