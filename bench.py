@@ -39,6 +39,7 @@ def main() -> None:
         if df is not None:
             df.write.format("noop").mode("overwrite").save()
         timings[name] = round(time.time() - start, 3)
+        print(name, timings[name], file=sys.stderr, flush=True)
 
     tax, syn, raw, header = t["taxonomy"], t["synonyms"], t["raw_rows"], t["raw_header"]
     timed("extract_attrs", lambda: ingest.extract_attrs(raw, header))

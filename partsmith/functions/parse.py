@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, functions as F
 
 from partsmith.config import ParseRule
-from partsmith.functions.text import jtrim
+from partsmith.functions.text import jtrim, let
 
 
 def _literal(sep: str) -> str:
@@ -27,12 +27,9 @@ def parse_desc(c: Column, rule: ParseRule = ParseRule()) -> Column:
         item_sep = f"(?<!{_literal(rule.escape)}){item_sep}"
     items = F.split(text, item_sep, -1)
 
-    # Empty pieces at the end do not count as items, those in between do.
-    last = F.size(items) - F.coalesce(
-        F.nullif(F.array_position(F.transform(F.reverse(items), lambda x: x != ""), True), F.lit(0)) - 1,
-        F.size(items),
-    )
-    items = F.slice(items, F.lit(1), last.cast("int"))
+    if not rule.ignore_empty:
+        # Empty pieces at the end never count as items, those in between do here.
+        items = F.split(F.regexp_replace(text, f"(?:{item_sep})+$", ""), item_sep, -1)
     if rule.trim:
         items = F.transform(items, jtrim)
     if rule.ignore_empty:
@@ -54,16 +51,13 @@ def parse_desc(c: Column, rule: ParseRule = ParseRule()) -> Column:
         value = F.when(at > 0, jtrim(F.substring(x, at + len(rule.kv_sep), F.length(x)))).otherwise(jtrim(x))
         return F.struct(key.alias("key"), value.alias("value"))
 
-    pairs = F.transform(items, as_pair)
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    return F.transform(
-        keys,
-        lambda k, i: F.struct(
-            i.cast("int").alias("pos"),
-            k.alias("key"),
-            F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"].alias("value"),
-        ),
-    )
+    def ordered(pairs: Column) -> Column:
+        keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
+        return F.transform(keys, lambda k, i: F.struct(
+            i.cast("int").alias("pos"), k.alias("key"),
+            F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"].alias("value")))
+
+    return let(F.transform(items, as_pair), ordered)
 
 
 def item_value(items: Column, key: str) -> Column:

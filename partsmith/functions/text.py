@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, functions as F
 
 # Characters dropped from names and codes, and the token alphabet.
-_EDGE = r"^[\x00-\x20]+|[\x00-\x20]+$"
+_EDGE = "".join(chr(i) for i in range(0x21))
 _NAME_NOISE = r"[()（）\[\]【】{}/\-\s_]+"
 _CODE_NOISE = r"[\s\-_/]+"
 _NOT_TOKEN = r"[^a-zA-Z0-9一-龥]+"
@@ -15,13 +15,22 @@ _NOT_TOKEN = r"[^a-zA-Z0-9一-龥]+"
 Similarity = Callable[[Column, Column], Column]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it in ``body``.
+
+    An outer expression named inside a lambda is evaluated for every element;
+    a lambda's own argument is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def nonempty(c: Column) -> Column:
     return F.when(c != "", c)
 
 
 def jtrim(c: Column) -> Column:
     """Strip every leading and trailing character up to U+0020."""
-    return F.regexp_replace(c, _EDGE, "")
+    return F.btrim(c, F.lit(_EDGE))
 
 
 def is_blank(c: Column) -> Column:

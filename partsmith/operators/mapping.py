@@ -94,14 +94,14 @@ def resolve_header(cleaned: DataFrame, std_header: DataFrame, default: Column |
 
 
 def _row_values(raw: DataFrame, header: DataFrame, items: str) -> DataFrame:
-    """Per row two maps: header name to cell, attribute key to value."""
-    names = header.groupBy("title_id").agg(F.sort_array(F.collect_list(F.struct("pos", "name"))).alias("_names"))
+    """Per row two maps: header name to cell (first column of a name), attribute key to value."""
+    firsts = header.where("name is not null").groupBy("title_id", "name").agg(F.min("pos").alias("pos"))
+    names = firsts.groupBy("title_id").agg(F.sort_array(F.collect_list(F.struct("pos", "name"))).alias("_names"))
     cells = cells_of(raw)
     pairs = F.transform("_names", lambda h: F.struct(h["name"].alias("k"), F.get(cells, h["pos"] - 1).alias("v")))
-    firsts = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda q: q["k"] == p["k"]))
     attrs = F.map_from_entries(F.transform(items, lambda p: F.struct(p["key"], p["value"])))
     return raw.join(names, "title_id", "left").select(
-        "title_id", "row_id", F.map_from_entries(firsts).alias("cells"), attrs.alias("attrs"))
+        "title_id", "row_id", F.map_from_entries(pairs).alias("cells"), attrs.alias("attrs"))
 
 
 def plan_targets(mappings: DataFrame, std_header: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def value_of(entry: Column, cells: Column, attrs: Column) -> Column:
 
     listed = F.filter(F.transform(F.split(entry["source"], "[,，]"), T.jtrim), lambda n: n != "")
     values = F.filter(F.transform(listed, lambda n: T.jtrim(one(n))), lambda v: v.isNotNull() & (v != ""))
-    return F.when(F.size(values) > 0, F.array_join(values, ","))
+    return F.nullif(F.array_join(values, ","), F.lit(""))
 
 
 def fill_long(cleaned: DataFrame, mappings: DataFrame, parsed: DataFrame, header: DataFrame,
@@ -148,13 +148,12 @@ def fill_all(cleaned: DataFrame, mappings: DataFrame, parsed: DataFrame, header:
     rows = resolve_header(cleaned.select("title_id", "row_id", "category_code"), std_header).where("std_id is not null")
     joined = rows.join(plan_targets(mappings, std_header), ["title_id", "std_id"]).join(
         _row_values(parsed, header, "items"), ["title_id", "row_id"])
-    cells, attrs = F.col("cells"), F.col("attrs")
-
-    def slot(i: int) -> Column:
-        entry = F.get(F.filter("plan", lambda e: e["pos"] == i), F.lit(0))
-        return F.when(entry.isNotNull(), value_of(entry, cells, attrs)).alias(f"col{i}")
-
-    return joined.select("title_id", "row_id", "std_id", *[slot(i) for i in range(1, width + 1)], F.lit("processed").alias("status"))
+    filled = F.transform("plan", lambda e: F.struct(
+        e["pos"].alias("pos"), value_of(e, F.col("cells"), F.col("attrs")).alias("value")))
+    valued = joined.select("title_id", "row_id", "std_id", F.map_from_entries(filled).alias("values"))
+    return valued.select(
+        "title_id", "row_id", "std_id", *[F.try_element_at("values", F.lit(i)).alias(f"col{i}") for i in range(1, width + 1)],
+        F.lit("processed").alias("status"))
 
 
 def fill_counters(cleaned: DataFrame, std_header: DataFrame, std_id: Column) -> DataFrame:
