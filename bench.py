@@ -19,7 +19,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from partsmith.catalog import cleaned as C, externals as X, libraries as L, mappings as M, registry  # noqa: E402,F401
 from partsmith.catalog.tables import Tables  # noqa: E402
-from partsmith.operators import checks, external, ingest, library, mapping, matcher, reports, review, scoring  # noqa: E402
+from partsmith.operators import checks, external, ingest, library, mapping, reports, review, scoring  # noqa: E402
 from partsmith.session import build_session  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -43,7 +43,6 @@ def main() -> None:
 
     tax, syn, raw, header = t["taxonomy"], t["synonyms"], t["raw_rows"], t["raw_header"]
     timed("extract_attrs", lambda: ingest.extract_attrs(raw, header))
-    timed("match", lambda: matcher.match(ingest.match_signals(ingest.parsed_rows(raw, header)), tax, syn))
 
     def clean() -> None:
         C.cleaned(t)
