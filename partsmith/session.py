@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -44,32 +45,61 @@ def build_session(app: str = "partsmith", cores: str = "8", shuffle_partitions:
     return tune(spark)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as the cluster names it.
+_OWN: dict[str, str] = {}
+_STAGED: dict[str, list[str]] = {}
 
-    A machine-local folder is used only in local mode, where driver and
-    executors are the same process.
+
+def shared_dir(spark: SparkSession, folder: str | None = None) -> str:
+    """Folder every executor can reach: ``folder``, else the one the cluster names in ``spark.checkpoint.dir``.
+
+    A machine-local folder serves only in local mode, where driver and
+    executors are the same process (``local-cluster`` is not).
     """
+    if folder is not None:
+        return folder.rstrip("/")
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         known = spark.sparkContext.getCheckpointDir()
         if known is not None:
             named = os.path.dirname(known.rstrip("/"))
     if named is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        named = tempfile.mkdtemp(prefix="partsmith-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors, or hand one over")
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = tempfile.mkdtemp(prefix="partsmith-")
+        named = _OWN[context.applicationId]
+    return named.rstrip("/")
+
+
+def new_path(spark: SparkSession, label: str, folder: str | None = None) -> str:
+    """A path in the shared folder that nothing uses yet; :func:`release` removes what is written there."""
+    path = f"{shared_dir(spark, folder)}/{label}-{uuid.uuid4().hex}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Remove the staged folders of this application from the ``since``-th on, once nothing reads them any more."""
+    paths = _STAGED.get(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths[since:]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    del paths[since:]
+
+
+def staged_so_far(spark: SparkSession) -> int:
+    return len(_STAGED.get(spark.sparkContext.applicationId, []))
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts lineage with data that outlives any executor, and unlike a
     checkpoint the Parquet copy still allows column pruning and pushdown.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label, folder)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
