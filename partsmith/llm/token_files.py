@@ -14,22 +14,22 @@ A token table is a folder with two Parquet tables:
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from partsmith.llm.store import Store
 from partsmith.session import new_path
 
 END_ID = 2
 ROW_GROUP_BYTES = 16 << 20
 PAGE_ROWS = 2000
-CACHE_WORDS = 200_000
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
-#: JSON white space: between two of these no pre-token, no normal form and no special token reaches across
-_GAPS = str.maketrans({"\n": " ", "\t": " ", "\r": " "})
 
 
 @lru_cache(maxsize=2)
@@ -40,47 +40,42 @@ def _tokenizer(path: str):
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library; a piece between white space is encoded once while it stays in the cache.
+    """Packed little-endian ids of texts by the tokenizers library.
 
-    The cache is emptied when it is full, so that memory is bounded.
+    No pre-token, normal form or special token reaches across white space, so
+    a piece between spaces, tabs and line breaks is encoded alone, and once
+    while the bounded store keeps it.
     """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
-        self.cache: dict[str, np.ndarray] = {}
+        self.pieces = Store(self._learn)
 
-    def encode(self, text: str) -> np.ndarray:
-        pieces = text.translate(_GAPS).split(" ")
-        cache = self.cache
-        missing = list({p for p in pieces if p not in cache})
-        if missing:
-            if len(cache) + len(missing) > CACHE_WORDS:
-                cache.clear()
-                missing = list(set(pieces))
-            for piece, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-                cache[piece] = np.asarray(found.ids, "<i4").tobytes()
-        return np.frombuffer(b"".join([cache[p] for p in pieces]), "<i4")
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", found.ids).tobytes() for found in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-
-def _list_array(values: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.zeros(len(values) + 1, np.int32)
-    np.cumsum([len(v) for v in values], out=offsets[1:])
-    flat = np.concatenate(values) if values else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        ids = iter(self.pieces.values([p for ps in cut for p in ps]))
+        return [b"".join(islice(ids, len(ps))) for ps in cut]
 
 
 def _encode_part(path: str, end_id: int):
     def run(batches):
         part, start, encoder = TaskContext.get().partitionId(), 0, Encoder(path)
+        end = array("I", [end_id]).tobytes()
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                piece = batch.slice(at, 256)
-                ids = [np.append(encoder.encode(t or ""), np.int32(end_id)) for t in piece.column("text").to_pylist()]
-                n = np.array([len(x) for x in ids], np.int64)
+            for at in range(0, len(batch), 64):
+                piece = batch.slice(at, 64)
+                ids = encoder.encode([t or "" for t in piece.column("text").to_pylist()])
+                n = np.array([len(x) // 4 + 1 for x in ids], np.int64)
                 begins = start + np.cumsum(n) - n
                 start += int(n.sum())
+                flat = pa.array(np.frombuffer(b"".join([x + end for x in ids]), "<i4"), pa.int32())
+                offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), part, np.int32)), piece.column("doc_id"), pa.array(begins), pa.array(n), _list_array(ids)],
+                    [pa.array(np.full(len(ids), part, np.int32)), piece.column("doc_id"), pa.array(begins), pa.array(n),
+                     pa.ListArray.from_arrays(offsets, flat)],
                     names=["part", "doc_id", "local_start", "n_tokens", "ids"])
 
     return run

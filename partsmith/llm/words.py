@@ -16,6 +16,8 @@ BYTE[65:91] = BYTE[97:123]  # A-Z as a-z
 MULT = np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: for words without marks: every ASCII byte that is no letter or digit separates
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 MAX_BATCH_BYTES = 8 << 20
@@ -55,7 +57,7 @@ def _powers(n: int) -> np.ndarray:
     done = 1
     while done < n:  # doubling: out[done:2*done] = out[:done] * MULT**done
         step = min(done, n - done)
-        out[done:done + step] = out[:step] * (out[done - 1] * MULT)
+        out[done:done + step] = out[:step] * (out[done - 1:done] * MULT)
         done += step
     return out
 
@@ -67,11 +69,11 @@ class Words:
     """Words of a batch: ``hash``, ``start`` and ``end`` (byte offsets in ``raw``), and ``row_at``,
     the index of the first word of each row with the total at the end."""
 
-    def __init__(self, texts: pa.Array, with_hash: bool = True):
+    def __init__(self, texts: pa.Array, separators: np.ndarray = SPACE):
         global _POWERS
         raw, rows = column_bytes(texts)
         self.raw, self.rows = raw, rows
-        inside = ~SPACE[raw]
+        inside = ~separators[raw]
         # a word also ends where its row ends
         begins = inside.copy()
         begins[1:] &= ~inside[:-1]
@@ -84,8 +86,6 @@ class Words:
         self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(ends) + 1
         self.row_at = np.searchsorted(self.start, rows)
-        if not with_hash:
-            return
         if len(self.start) == 0:
             self.hash = np.zeros(0, np.uint64)
             return
