@@ -143,7 +143,7 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str):
         self.vocabulary, self.pattern = vocabulary(path), regex.compile(pattern)
-        self.tokens = Store(self._tokens, 100_000)
+        self.tokens = Store(self._tokens)
         self.pieces = Store(self._pieces)
 
     def _tokens(self, matches: list[str]) -> list[bytes]:
@@ -170,6 +170,12 @@ class Encoder:
         return [b"".join([*islice(head, len(h)), *islice(tail, len(t))]) for h, t in zip(heads, tails)]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str, pattern: str) -> Encoder:
+    """One encoder for all tasks of a Python worker, so that its stores stay warm."""
+    return Encoder(path, pattern)
+
+
 class Decoder:
     def __init__(self, path: str):
         bytes_of = vocabulary(path).bytes_of
@@ -200,7 +206,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
 
     def run(batches):
-        encoder = Encoder(path, pattern)
+        encoder = encoder_of(path, pattern)
         for batch, texts in _batches(batches, "text", 64):
             packed = encoder.encode([t or "" for t in texts.to_pylist()])
             yield pa.RecordBatch.from_arrays(
@@ -227,7 +233,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode every text, decode its ids again, and return the digests of both; the ids never leave their task."""
 
     def run(batches):
-        encoder, decoder = Encoder(path, pattern), Decoder(path)
+        encoder, decoder = encoder_of(path, pattern), Decoder(path)
         for batch, texts in _batches(batches, "text", 64):
             packed = encoder.encode([t or "" for t in texts.to_pylist()])
             back = [decoder.decode(np.frombuffer(p, "<u4").tolist()) for p in packed]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from partsmith.llm import byte_bpe, kd_shards, token_files
+from partsmith.llm import byte_bpe, kd_shards, token_files, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +17,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(toxicity.labelled_rows(docs, _read(spark, sf_dir, "labels")))
+    return toxicity.score(docs.withColumn("held_out", toxicity.held_out()), model).selectExpr(
+        "doc_id", "held_out", "toxic_score score", "toxic_predicted predicted")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_read(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -33,7 +40,7 @@ ORACLES: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_files, op4_byte_bpe, op10_kd_shards)}
+    return {f.__name__: f for f in (op1_toxicity, op3_token_files, op4_byte_bpe, op10_kd_shards)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -60,9 +60,15 @@ class Encoder:
         return [b"".join(islice(ids, len(ps))) for ps in cut]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker, so that its store stays warm."""
+    return Encoder(path)
+
+
 def _encode_part(path: str, end_id: int):
     def run(batches):
-        part, start, encoder = TaskContext.get().partitionId(), 0, Encoder(path)
+        part, start, encoder = TaskContext.get().partitionId(), 0, encoder_of(path)
         end = array("I", [end_id]).tobytes()
         for batch in batches:
             for at in range(0, len(batch), 64):
