@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from partsmith.llm import byte_bpe, kd_shards, token_files, toxicity
+from partsmith.llm import byte_bpe, kd_shards, minhash, token_files, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -32,15 +32,36 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_read(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), 2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.shard(_read(spark, sf_dir, "documents"))
 
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op5_minhash": f"""
+        WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, {_WORDS} AS ws FROM documents),
+        s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN ws
+            ELSE [ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))] END) AS g FROM w),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        both AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        link AS MATERIALIZED (SELECT u, v FROM both JOIN n nu ON nu.doc_id = u JOIN n nv ON nv.doc_id = v
+            WHERE 100 * c >= 80 * (nu.n + nv.n - c)),
+        e AS MATERIALIZED (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
+        reach(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, e.v FROM reach r JOIN e ON r.b = e.u),
+        c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
+        FROM w LEFT JOIN n USING (doc_id) JOIN c ON c.a = w.doc_id""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_token_files, op4_byte_bpe, op10_kd_shards)}
+    return {f.__name__: f for f in (op1_toxicity, op3_token_files, op4_byte_bpe, op5_minhash, op10_kd_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
