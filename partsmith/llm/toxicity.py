@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from partsmith.llm.words import MARKS, Words, mix, pair, slices
 
 BITS = 22
-#: bound of the sample that is fitted: UTF-8 bytes of labelled training texts
-TRAIN_BYTES = 64_000_000
+#: bound of the sample that is fitted: labelled documents
+TRAIN_DOCS = 20_000
 THRESHOLD = 0.3
 _SEEDS = (np.uint64(0x51), np.uint64(0x52), np.uint64(0x53))
 
@@ -93,18 +93,13 @@ def ftrl(examples: list[tuple[int, np.ndarray]], rates: Rates) -> Model:
     return Model(index.astype(np.int32), weight.astype(np.float32), float(bias))
 
 
-def fit(labelled: DataFrame, rates: Rates = Rates(), train_bytes: int = TRAIN_BYTES) -> Model:
-    """Fit on the rows of ``labelled`` (key, text, toxic) with a label, at most about ``train_bytes`` of them by hash of key.
+def fit(labelled: DataFrame, rates: Rates = Rates()) -> Model:
+    """Fit on the rows of ``labelled`` (text, toxic), a sample bounded by :func:`labelled_rows`.
 
     The learner reads its examples one after the other, so the bounded sample
     goes to one task; only the sparse weights come to the driver.
     """
-    total = labelled.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    share = min(1.0, train_bytes / total) if total else 1.0
-    rows = labelled.filter(F.col("toxic").isNotNull())
-    if share < 1:
-        rows = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(share * 1_000_000))
-    coords = rows.select(F.col("toxic").cast("int").alias("toxic"), F.col("text").cast("string").alias("text")).mapInArrow(
+    coords = labelled.select(F.col("toxic").cast("int").alias("toxic"), F.col("text").cast("string").alias("text")).mapInArrow(
         _extract, "toxic int, coords binary")
 
     def learn(batches):
@@ -166,11 +161,15 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, text and toxic of the labelled rows that may be learnt from; a document with any toxic label is toxic.
+def labelled_rows(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """key, text and toxic of the labelled rows to learn from; a document with any toxic label is toxic.
 
-    Null ids, null labels and labels without a document are left out.
+    The first ``train_docs`` labelled documents by hash of their id are taken,
+    none of them held out.  Their labels are few by that bound, so they are
+    sent to the texts and no text is shuffled.  Null ids, null labels and
+    labels without a document are left out.
     """
-    marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("key")).agg(F.max("toxic").alias("toxic"))
-    texts = docs.select(F.col("doc_id").alias("key"), "text", held_out().alias("_held")).filter("not _held").drop("_held")
-    return texts.join(marks, "key")
+    marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy(
+        F.col("doc_id").alias("key")).agg(F.max("toxic").alias("toxic"))
+    sample = marks.orderBy(F.xxhash64("key"), "key").limit(train_docs)
+    return docs.select(F.col("doc_id").alias("key"), "text").join(F.broadcast(sample), "key")
