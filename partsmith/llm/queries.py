@@ -49,8 +49,8 @@ ORACLES: dict[str, str] = {
         s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN ws
             ELSE [ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))] END) AS g FROM w),
         n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-        both AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
-        link AS MATERIALIZED (SELECT u, v FROM both JOIN n nu ON nu.doc_id = u JOIN n nv ON nv.doc_id = v
+        shared AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        link AS MATERIALIZED (SELECT u, v FROM shared JOIN n nu ON nu.doc_id = u JOIN n nv ON nv.doc_id = v
             WHERE 100 * c >= 80 * (nu.n + nv.n - c)),
         e AS MATERIALIZED (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
         reach(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, e.v FROM reach r JOIN e ON r.b = e.u),

@@ -14,6 +14,8 @@ A token table is a folder with two Parquet tables:
 
 from __future__ import annotations
 
+import os
+import re
 from array import array
 from functools import lru_cache
 from itertools import islice
@@ -32,11 +34,8 @@ PAGE_ROWS = 2000
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+#: a word of Latin letters that are in normal form and have one lower-case letter each, and the marks after it
+_WORD = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!#$%&*,.:;?|]*)")
 
 
 class Encoder:
@@ -44,15 +43,48 @@ class Encoder:
 
     No pre-token, normal form or special token reaches across white space, so
     a piece between spaces, tabs and line breaks is encoded alone, and once
-    while the bounded store keeps it.
+    while the bounded store keeps it.  A piece that is a Latin word with marks
+    after it is put together from the ids of both, since letters and other
+    marks are always separate pre-tokens; words are encoded many at a time and
+    told apart by the word end in the vocabulary.
     """
 
     def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.pieces = Store(self._learn)
+        self.words = Store(self._learn_words, 200_000)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_words(self, words: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(words), 500):
+            some = words[at:at + 500]
+            ids = np.array(self._ids([" ".join(some)])[0], "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some):  # a vocabulary without word ends
+                out += [array("I", x).tobytes() for x in self._ids(some)]
+                continue
+            raw, begin = ids.tobytes(), 0
+            for end in (ends * 4).tolist():
+                out.append(raw[begin:end])
+                begin = end
+        return out
 
     def _learn(self, pieces: list[str]) -> list[bytes]:
-        return [array("I", found.ids).tobytes() for found in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        found = [_WORD.fullmatch(p) for p in pieces]
+        words = iter(self.words.values([m[1].lower() for m in found if m]))
+        marks = {m[2] for m in found if m}
+        other = [*marks, *(p for p, m in zip(pieces, found) if not m)]
+        ids = dict(zip(other, (array("I", x).tobytes() for x in self._ids(other))))
+        return [next(words) + ids[m[2]] if m else ids[p] for p, m in zip(pieces, found)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
