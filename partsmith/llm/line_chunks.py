@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from partsmith.llm.keys import doc_key
 from partsmith.llm.words import SPACE, _POWERS, column_bytes, mix, slices
 from partsmith.session import stage
 
@@ -185,8 +186,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     if dict(docs.dtypes)["text"] != "string":
         docs = docs.withColumn("text", F.col("text").cast("string"))
     plain = [f"c{i}" if n != "text" else "text" for i, n in enumerate(names)]  # no clash with columns made here
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**62) + F.pmod(F.xxhash64("text"), F.lit(2**61)))
-    keyed = docs.select(*[F.col(n).alias(p) for n, p in zip(names, plain)], key.alias("doc_key"))
+    keyed = docs.select(*[F.col(n).alias(p) for n, p in zip(names, plain)], doc_key().alias("doc_key"))
 
     chunks = keyed.select("doc_key", "text").filter("text is not null").mapInArrow(_emit, "doc_key long, hash long")
     first = chunks.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_key").alias("first")).filter("n > 1")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from partsmith.llm import byte_bpe, kd_shards, line_chunks, minhash, token_files, toxicity
+from partsmith.llm import byte_bpe, decontamination, kd_shards, line_chunks, minhash, token_files, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -40,6 +40,10 @@ def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.shard(_read(spark, sf_dir, "documents"))
 
@@ -65,7 +69,7 @@ ORACLES: dict[str, str] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_token_files, op4_byte_bpe, op5_minhash, op8_line_chunks, op10_kd_shards)}
+    return {f.__name__: f for f in (op1_toxicity, op3_token_files, op4_byte_bpe, op5_minhash, op8_line_chunks, op9_decontamination, op10_kd_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
