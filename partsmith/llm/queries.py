@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from partsmith.llm import byte_bpe, decontamination, kd_shards, line_chunks, minhash, token_files, toxicity
+from partsmith.llm import byte_bpe, decontamination, kd_shards, line_chunks, minhash, token_files, toxicity, voronoi_knn
+from partsmith.session import stage
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -24,6 +25,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "toxic_score score", "toxic_predicted predicted")
 
 
+def op2_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = voronoi_knn.floored(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    rows = stage(rows, "floored")
+    return voronoi_knn.top_k(rows.filter("vec_id % 20 = 0"), rows, 20)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_read(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -52,6 +59,13 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
 
 ORACLES: dict[str, str] = {
+    "op2_voronoi_knn": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS z FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.z, d.z) AS BIGINT) AS score
+            FROM v q JOIN v d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 20""",
     "op5_minhash": f"""
         WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, {_WORDS} AS ws FROM documents),
         s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN ws
@@ -69,7 +83,7 @@ ORACLES: dict[str, str] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_token_files, op4_byte_bpe, op5_minhash, op8_line_chunks, op9_decontamination, op10_kd_shards)}
+    return {f.__name__: f for f in (op1_toxicity, op2_voronoi_knn, op3_token_files, op4_byte_bpe, op5_minhash, op8_line_chunks, op9_decontamination, op10_kd_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
