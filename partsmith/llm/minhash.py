@@ -30,8 +30,9 @@ from partsmith.llm.words import Words, shingles, slices
 from partsmith.session import stage
 
 BANDS, ROWS = 40, 6
-HASHES = BANDS * ROWS
-BATCH = 40
+#: hashes of a signature, one byte each; the first BANDS * ROWS make the bands
+HASHES = 480
+BATCH = 60
 #: probability at which a pair is given up before its exact test
 MISS = 1e-6
 BLOCK = 500
@@ -40,7 +41,7 @@ PER_CENTER = 200
 _RNG = np.random.default_rng(77)
 _XOR = _RNG.integers(0, 2**32, (HASHES, 1), dtype=np.uint32)
 _ODD = _RNG.integers(0, 2**32, (HASHES, 1), dtype=np.uint32) | np.uint32(1)
-_BAND_SEED = _RNG.integers(1, 2**63, BANDS, dtype=np.uint64)
+_PLACES = np.uint64(1) << np.arange(0, 8 * ROWS, 8, dtype=np.uint64)
 
 NODE_SCHEMA = "row long, doc_id long, text_key long, n_shingles long, print binary, sig binary, bands array<long>"
 
@@ -53,12 +54,17 @@ def _min_hashes(distinct: np.ndarray) -> np.ndarray:
     return out
 
 
-def _band_keys(mins: np.ndarray) -> np.ndarray:
-    key = _BAND_SEED.copy()
-    for r in range(ROWS):
-        key = (key ^ mins.reshape(BANDS, ROWS)[:, r]) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(32)
-    return key.view(np.int64)
+def _signature(distinct: np.ndarray) -> np.ndarray:
+    """One well-mixed byte of each minimum; minima themselves are small numbers, alike in all texts of a length."""
+    mins = _min_hashes(distinct)
+    mins = (mins ^ (mins >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    return ((mins ^ (mins >> np.uint32(12))) * np.uint32(0x297A2D39) >> np.uint32(24)).astype(np.uint8)
+
+
+def _band_keys(sig: np.ndarray) -> np.ndarray:
+    """The bytes of a band and its number, so that equal keys are equal bands."""
+    parts = sig[:BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64) @ _PLACES
+    return (parts | np.arange(BANDS, dtype=np.uint64) << np.uint64(8 * ROWS)).view(np.int64)
 
 
 def _describe(width: int):
@@ -73,10 +79,10 @@ def _describe(width: int):
                     if not len(distinct):
                         prints.append(None), sigs.append(None), bands.append(None)
                         continue
-                    mins = _min_hashes(distinct)
+                    sig = _signature(distinct)
                     prints.append(xxhash.xxh3_128_digest(distinct.tobytes()))
-                    sigs.append((mins >> np.uint32(16)).astype("<u2").tobytes())
-                    bands.append(_band_keys(mins))
+                    sigs.append(sig.tobytes())
+                    bands.append(_band_keys(sig))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("row"), batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()),
                      pa.array(prints, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
@@ -102,7 +108,7 @@ def least_matches(percent: int) -> tuple[int, ...]:
 
 
 def _survive(left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
-    """Which of the pairs of signatures (rows of uint16) stay after all batches."""
+    """Which of the pairs of signatures stay after all batches."""
     alive, equal = np.arange(len(left)), np.zeros(len(left), np.int32)
     for k, least in enumerate(least_matches(percent)):
         part = slice(k * BATCH, (k + 1) * BATCH)
@@ -115,7 +121,7 @@ def _survive(left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, HASHES)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES)
 
 
 def _prune(percent: int):
@@ -129,14 +135,23 @@ def _prune(percent: int):
 
 
 def _compare_blocks(percent: int):
-    """Pairs (u > v) of different roots among the rows of one key; rows come sorted by key, a key's rows are bounded by two blocks."""
+    """Pairs (u > v) of different roots among the rows of one key; rows come sorted by key, a key's rows are bounded by two blocks.
+
+    A pair is compared in the first of the bands that it shares.
+    """
 
-    def pairs(rows):
-        node, root, side, sig = (np.concatenate(x) for x in zip(*rows))
+    def pairs(key, rows):
+        node, root, side, size, sig = (np.concatenate(x) for x in zip(*rows))
+        band = key[0] >> (8 * ROWS)
+        blocks = sig[:, :BANDS * ROWS].reshape(-1, BANDS, ROWS)
         a, b = (np.flatnonzero(side <= 0), np.flatnonzero(side >= 0))
         out = []
         for i in a:  # one row against the block at a time
-            other = b[(root[b] != root[i]) & ((node[b] < node[i]) | (side[i] != 0))]
+            sizes = size[b]
+            can = (root[b] != root[i]) & ((node[b] < node[i]) | (side[i] != 0))
+            other = b[can & (100 * np.minimum(sizes, size[i]) >= percent * np.maximum(sizes, size[i]))]
+            if len(other) and band:
+                other = other[~(blocks[other, :band] == blocks[i, :band]).all(axis=2).any(axis=1)]
             if len(other):
                 hit = other[_survive(np.broadcast_to(sig[i], (len(other), HASHES)), sig[other], percent)]
                 out.append(np.stack([np.maximum(node[i], node[hit]), np.minimum(node[i], node[hit])]))
@@ -149,21 +164,21 @@ def _compare_blocks(percent: int):
                 continue
             key = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
             cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            node, root, side = (batch.column(c).to_numpy() for c in ("node", "root", "side"))
+            node, root, side, size = (batch.column(c).to_numpy() for c in ("node", "root", "side", "n_shingles"))
             sig = _signatures(batch.column("sig"))
             found = []
             for a, b in zip([0, *cuts], [*cuts, len(batch)]):
                 here = tuple(key[:, a])
                 if held and here != held_key:
-                    found.append(pairs(held))
+                    found.append(pairs(held_key, held))
                     held = []
                 held_key = here
-                held.append((node[a:b], root[a:b], side[a:b], sig[a:b]))
+                held.append((node[a:b], root[a:b], side[a:b], size[a:b], sig[a:b]))
             if found:
                 uv = np.concatenate(found, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(uv[0]), pa.array(uv[1])], names=["u", "v"])
         if held:
-            uv = pairs(held)
+            uv = pairs(held_key, held)
             yield pa.RecordBatch.from_arrays([pa.array(uv[0]), pa.array(uv[1])], names=["u", "v"])
 
     return run
@@ -194,6 +209,7 @@ def _verify(width: int, percent: int):
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of the pairs (u, v) whose full sets reach the threshold; ``texts`` has node and text."""
+    pairs = stage(pairs, "minhash-pairs")
     sizes = pairs.groupBy("v").agg(F.ceil(F.count("*") / PER_CENTER).alias("parts"))
     salted = pairs.join(sizes, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("parts")).alias("salt"))
     members = salted.join(texts.withColumnRenamed("node", "u"), "u").select(
@@ -232,7 +248,7 @@ def near_duplicates(docs: DataFrame, width: int, percent: int = 80) -> DataFrame
     buckets = bands.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("n")).filter("n > 1")
     shared = stage(bands.join(buckets, "key"), "minhash-buckets")  # key, node, center, n
     wanted = shared.select("node").distinct()
-    sigs = stage(nodes.select(F.col("row").alias("node"), "sig").join(wanted, "node"), "minhash-signatures")
+    sigs = stage(nodes.select(F.col("row").alias("node"), "sig", "n_shingles").join(wanted, "node"), "minhash-signatures")
     keys = of_row.filter("row = node").join(wanted, "node").select("node", "doc_id", "text_key")
     same_text = F.col("k.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("k.text_key") == F.col("d.text_key"))
     texts = stage(read.alias("d").join(keys.alias("k"), same_text).select("k.node", "d.text").dropDuplicates(["node"]), "minhash-texts")
@@ -254,7 +270,7 @@ def near_duplicates(docs: DataFrame, width: int, percent: int = 80) -> DataFrame
               .select("key", "node", "root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
                       F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), -1).otherwise(1).alias("side")))
     compared = spread.join(sigs, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
-        _compare_blocks(percent), "u long, v long").distinct()
+        _compare_blocks(percent), "u long, v long")
     more = stage(_confirmed(compared, texts, width, percent), "minhash-links")
     roots = components(links.unionAll(more))
 

@@ -20,7 +20,7 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-MAX_BATCH_BYTES = 8 << 20
+MAX_BATCH_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

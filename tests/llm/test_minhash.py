@@ -100,11 +100,11 @@ def test_odd_rows(spark):
 
 
 def test_posterior_bounds():
-    for n, m in zip(range(40, 241, 40), minhash.least_matches(80)):
+    for n, m in zip(range(minhash.BATCH, minhash.HASHES + 1, minhash.BATCH), minhash.least_matches(80)):
         assert 0.3 * n < m < 0.8 * n
     rng = np.random.default_rng(1)
-    base = rng.integers(0, 2**16, (2000, minhash.HASHES)).astype(np.uint16)
-    other = np.where(rng.random(base.shape) < 0.8, base, rng.integers(0, 2**16, base.shape)).astype(np.uint16)
+    base = rng.integers(0, 2**8, (2000, minhash.HASHES)).astype(np.uint8)
+    other = np.where(rng.random(base.shape) < 0.8, base, rng.integers(0, 2**8, base.shape)).astype(np.uint8)
     assert len(minhash._survive(base, other, 80)) == 2000
     assert len(minhash._survive(base, rng.permutation(base), 80)) < 20
 
