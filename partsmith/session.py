@@ -81,12 +81,16 @@ def new_path(spark: SparkSession, label: str, folder: str | None = None) -> str:
 
 def release(spark: SparkSession, since: int = 0) -> None:
     """Remove the staged folders of this application from the ``since``-th on, once nothing reads them any more."""
-    paths = _STAGED.get(spark.sparkContext.applicationId, [])
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths[since:]:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
-    del paths[since:]
+    for path in _STAGED.get(spark.sparkContext.applicationId, [])[since:]:
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove one folder that :func:`new_path` named."""
+    paths = _STAGED[spark.sparkContext.applicationId]
+    paths.remove(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def staged_so_far(spark: SparkSession) -> int:
