@@ -15,13 +15,15 @@ class Store:
 
     def values(self, keys: list) -> list:
         got = list(map(self.young.get, keys))
-        if None in got:
-            wanted = {k for k, g in zip(keys, got) if g is None}
+        missing = [i for i, g in enumerate(got) if g is None]
+        if missing:
+            wanted = {keys[i] for i in missing}
             found = {k: self.old[k] for k in wanted if k in self.old}
             new = [k for k in wanted if k not in found]
             if new:
                 found.update(zip(new, self.learn(new)))
-            got = [found[k] if g is None else g for k, g in zip(keys, got)]
+            for i in missing:
+                got[i] = found[keys[i]]
             if len(self.young) + len(found) > self.most:
                 self.old, self.young = self.young, {}
             self.young.update((k, v) for k, v in found.items() if len(k) <= self.longest)

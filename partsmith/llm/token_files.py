@@ -18,14 +18,15 @@ import os
 import re
 from array import array
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from partsmith.llm.store import Store
+from partsmith.llm.words import column_bytes, slices
 from partsmith.session import new_path
 
 END_ID = 2
@@ -34,19 +35,30 @@ PAGE_ROWS = 2000
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
 
 
-#: a word of Latin letters that are in normal form and have one lower-case letter each, and the marks after it
-_WORD = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!#$%&*,.:;?|]*)")
+BATCH_BYTES = 8 << 20
+#: Latin letters that are in normal form and have one lower-case letter each
+_LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF"
+_WORD = re.compile(f"[{_LETTERS}]+")
+_MARKS = "!#$%&*,.:;?|"
+_GAP = np.zeros(256, bool)
+_GAP[[9, 10, 13]] = True
+
+
+def _gather(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``values`` one after the other, and where each begins (the total at the end)."""
+    at = np.concatenate([[0], np.cumsum(length)])
+    return values[np.repeat(start - at[:-1], length) + np.arange(at[-1])], at
 
 
 class Encoder:
-    """Packed little-endian ids of texts by the tokenizers library.
+    """Ids of texts by the tokenizers library.
 
     No pre-token, normal form or special token reaches across white space, so
-    a piece between spaces, tabs and line breaks is encoded alone, and once
-    while the bounded store keeps it.  A piece that is a Latin word with marks
-    after it is put together from the ids of both, since letters and other
-    marks are always separate pre-tokens; words are encoded many at a time and
-    told apart by the word end in the vocabulary.
+    a piece between spaces, tabs and line breaks is encoded alone, once per
+    batch and, while the bounded store keeps it, once per worker.  A Latin word
+    with marks after it is put together from the ids of both, since letters
+    and other marks are always separate pre-tokens; new words are encoded many
+    at a time and told apart by the word end in the vocabulary.
     """
 
     def __init__(self, path: str):
@@ -57,20 +69,19 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.pieces = Store(self._learn)
-        self.words = Store(self._learn_words, 200_000)
+        self.store = Store(self._learn, 400_000)
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", found.ids).tobytes() for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn_words(self, words: list[str]) -> list[bytes]:
         out = []
         for at in range(0, len(words), 500):
             some = words[at:at + 500]
-            ids = np.array(self._ids([" ".join(some)])[0], "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(some):  # a vocabulary without word ends
-                out += [array("I", x).tobytes() for x in self._ids(some)]
+                out += self._ids(some)
                 continue
             raw, begin = ids.tobytes(), 0
             for end in (ends * 4).tolist():
@@ -78,18 +89,46 @@ class Encoder:
                 begin = end
         return out
 
-    def _learn(self, pieces: list[str]) -> list[bytes]:
-        found = [_WORD.fullmatch(p) for p in pieces]
-        words = iter(self.words.values([m[1].lower() for m in found if m]))
-        marks = {m[2] for m in found if m}
-        other = [*marks, *(p for p, m in zip(pieces, found) if not m)]
-        ids = dict(zip(other, (array("I", x).tobytes() for x in self._ids(other))))
-        return [next(words) + ids[m[2]] if m else ids[p] for p, m in zip(pieces, found)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        ids = iter(self.pieces.values([p for ps in cut for p in ps]))
-        return [b"".join(islice(ids, len(ps))) for ps in cut]
+    def _learn(self, keys: list[str]) -> list[bytes]:
+        plain = [_WORD.fullmatch(k) is not None for k in keys]
+        words = iter(self._learn_words([k for k, p in zip(keys, plain) if p]))
+        other = iter(self._ids([k for k, p in zip(keys, plain) if not p]))
+        return [next(words if p else other) for p in plain]
+
+    def _known(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each key the start and number of its ids among the ids of all distinct keys."""
+        coded = keys.dictionary_encode()
+        packed = self.store.values(coded.dictionary.to_pylist())
+        length = np.array([len(p) // 4 for p in packed], np.int64)
+        start, code = np.cumsum(length) - length, coded.indices.to_numpy()
+        return np.frombuffer(b"".join(packed), "<u4"), start[code], length[code]
+
+    def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces one after the other, and where each begins."""
+        stems = pc.ascii_rtrim(pieces, _MARKS)
+        word = pc.match_substring_regex(stems, f"^[{_LETTERS}]+$")
+        keys = pc.if_else(word, pc.utf8_lower(stems), pieces)
+        sizes, cut = (pc.binary_length(x).to_numpy() for x in (pieces, stems))
+        raw, ends = column_bytes(pieces)
+        marks, at = _gather(raw, ends[:-1] + cut, np.where(word.to_numpy(zero_copy_only=False), sizes - cut, 0))
+        marks = pa.Array.from_buffers(pa.large_string(), len(pieces), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(marks.tobytes())])
+        ids, start, length = self._known(keys)
+        more, start2, length2 = self._known(marks.cast(pa.string()))
+        both = np.stack([start, start2 + len(ids)], axis=1).ravel()
+        out, at = _gather(np.concatenate([ids, more]), both, np.stack([length, length2], axis=1).ravel())
+        return out, at[::2]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text begins (the total at the end); nulls have none."""
+        raw, rows = column_bytes(texts)
+        raw = np.where(_GAP[raw], np.uint8(32), raw)
+        spaced = pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(rows.astype(np.int64)), pa.py_buffer(raw.tobytes())])
+        lists = pc.split_pattern(spaced.cast(pa.string()), " ")
+        coded = lists.values.dictionary_encode()
+        ids, at = self._distinct(coded.dictionary)
+        code = coded.indices.to_numpy()
+        out, begins = _gather(ids, at[:-1][code], np.diff(at)[code])
+        return out, begins[lists.offsets.to_numpy()]
 
 
 @lru_cache(maxsize=1)
@@ -101,20 +140,17 @@ def encoder_of(path: str) -> Encoder:
 def _encode_part(path: str, end_id: int):
     def run(batches):
         part, start, encoder = TaskContext.get().partitionId(), 0, encoder_of(path)
-        end = array("I", [end_id]).tobytes()
-        for batch in batches:
-            for at in range(0, len(batch), 64):
-                piece = batch.slice(at, 64)
-                ids = encoder.encode([t or "" for t in piece.column("text").to_pylist()])
-                n = np.array([len(x) // 4 + 1 for x in ids], np.int64)
-                begins = start + np.cumsum(n) - n
-                start += int(n.sum())
-                flat = pa.array(np.frombuffer(b"".join([x + end for x in ids]), "<i4"), pa.int32())
-                offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+        for whole in batches:
+            for batch in slices(whole, most=BATCH_BYTES):
+                ids, at = encoder.encode(batch.column("text"))
+                n = np.diff(at) + 1
+                flat = np.insert(ids, at[1:], end_id).astype(np.int32)
+                offsets = np.concatenate([[0], np.cumsum(n)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), part, np.int32)), piece.column("doc_id"), pa.array(begins), pa.array(n),
-                     pa.ListArray.from_arrays(offsets, flat)],
+                    [pa.array(np.full(len(n), part, np.int32)), batch.column("doc_id"), pa.array(start + offsets[:-1]), pa.array(n),
+                     pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))],
                     names=["part", "doc_id", "local_start", "n_tokens", "ids"])
+                start += int(offsets[-1])
 
     return run
 

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -11,6 +12,7 @@ from odd import no_docs, odd_docs, odd_rows
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 PLAIN = Tokenizer.from_file(PATH)
+ENCODER = token_files.Encoder(PATH)
 
 
 def want_of(texts):
@@ -48,6 +50,8 @@ def test_selective_reads(spark):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \n\t\r\x1c\x85 'sSΣıİé́<|>endoftext"))))
+@given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \n\t\r\x1c\x85 'sSΣıİé́ÀßÿÖ.,!?;<|>endoftext"))))
 def test_pieces_between_white_space(text):
-    assert np.frombuffer(token_files.Encoder(PATH).encode([text])[0], "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+    ids, at = ENCODER.encode(pa.array([None, text, "", text]))
+    assert at.tolist() == [0, 0, len(ids) // 2, len(ids) // 2, len(ids)]
+    assert ids[:len(ids) // 2].tolist() == ids[len(ids) // 2:].tolist() == PLAIN.encode(text, add_special_tokens=False).ids
