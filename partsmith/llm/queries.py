@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from partsmith.llm import byte_bpe, decontamination, kd_shards, line_chunks, minhash, secrets_crf, token_files, toxicity, voronoi_knn
+from partsmith.llm import byte_bpe, decontamination, kd_shards, line_chunks, minhash, pitman_yor, secrets_crf, token_files, toxicity, voronoi_knn
 from partsmith.session import stage
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -48,6 +48,11 @@ def op6_secrets_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_crf.report(secrets_crf.find(docs, secrets_crf.train(docs)))
 
 
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pitman_yor.score(docs, pitman_yor.fit(docs))
+
+
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -88,7 +93,7 @@ ORACLES: dict[str, str] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_voronoi_knn, op3_token_files, op4_byte_bpe, op5_minhash, op6_secrets_crf, op8_line_chunks, op9_decontamination, op10_kd_shards)}
+    return {f.__name__: f for f in (op1_toxicity, op2_voronoi_knn, op3_token_files, op4_byte_bpe, op5_minhash, op6_secrets_crf, op7_pitman_yor, op8_line_chunks, op9_decontamination, op10_kd_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
