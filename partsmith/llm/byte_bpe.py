@@ -200,21 +200,24 @@ def _lists(packed: list[bytes]) -> pa.ListArray:
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens and ids of every row, null and empty texts with none; other columns are left out.
+    """doc_id, n_tokens, ids and restored of every row, null and empty texts with no ids; other columns are left out.
 
-    Special tokens' strings are ordinary text.  Repeated rows stay repeated.
+    restored says that decoding the ids gives back the text's bytes.  Special
+    tokens' strings are ordinary text.  Repeated rows stay repeated.
     """
 
     def run(batches):
-        encoder = encoder_of(path, pattern)
+        encoder, decoder = encoder_of(path, pattern), Decoder(path)
         for batch, texts in _batches(batches, "text", 64):
-            packed = encoder.encode([t or "" for t in texts.to_pylist()])
+            texts = [t or "" for t in texts.to_pylist()]
+            packed = encoder.encode(texts)
+            back = [decoder.decode(np.frombuffer(p, "<u4").tolist()) == t.encode() for p, t in zip(packed, texts)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(p) // 4 for p in packed], pa.int64()), _lists(packed)],
-                names=["doc_id", "n_tokens", "ids"])
+                [batch.column("doc_id"), pa.array([len(p) // 4 for p in packed], pa.int64()), _lists(packed), pa.array(back, pa.bool_())],
+                names=["doc_id", "n_tokens", "ids", "restored"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(
-        run, "doc_id long, n_tokens long, ids array<int>")
+        run, "doc_id long, n_tokens long, ids array<int>, restored boolean")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from partsmith.llm.keys import doc_key
-from partsmith.llm.words import SPACE, _POWERS, column_bytes, mix, slices
+from partsmith.llm.words import SPACE, column_bytes, mix, slices
 from partsmith.session import stage
 
 WINDOW = 2
@@ -30,14 +30,17 @@ _BYTE = _RNG.integers(1, 2**64, 256, dtype=np.uint64)
 _MARK = np.zeros(256, bool)
 _MARK[[ord(c) for c in ".,;:!?"]] = True
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+_FACTORS = mix(np.arange(1, 4097, dtype=np.uint64) * _STEP) | np.uint64(1)
 
 
 def _run_hash(values: np.ndarray, starts: np.ndarray, total: int) -> np.ndarray:
     """Hash of each run of 64-bit values; order counts."""
     lengths = np.diff(np.append(starts, total))
     place = np.arange(total, dtype=np.int64) - np.repeat(starts, lengths)
-    at = place % len(_POWERS)
-    scaled = values * _POWERS[at] if total and place.max() < len(_POWERS) else mix(values + place.astype(np.uint64) * _STEP)
+    scaled = values * _FACTORS[place % len(_FACTORS)]
+    far = np.flatnonzero(place >= len(_FACTORS))
+    if len(far):  # the factors come again, each time multiplied by another odd number
+        scaled[far] *= mix((place[far] // len(_FACTORS)).astype(np.uint64)) | np.uint64(1)
     return mix(np.add.reduceat(scaled, starts) + lengths.astype(np.uint64))
 
 
@@ -78,6 +81,7 @@ class Chunks:
         inside = ~SPACE[raw]
         word = inside.copy()
         word[1:] &= ~inside[:-1]
+        word[firsts] = inside[firsts]
         words = np.add.reduceat(word.astype(np.int32), self.start)
         self.whole = (np.diff(np.append(opens, len(lines))) >= MIN_LINES) & (words >= MIN_WORDS)
         self.row_at = np.searchsorted(self.start, rows)

@@ -76,6 +76,14 @@ def test_boundaries_do_not_move():
     assert sum(b not in moved for b, _ in chunks_of(text)) <= 2
 
 
+def test_hashes_do_not_depend_on_the_batch():
+    texts = ["ab", "one two three four, five six seven eight. x", "one two three, four five six. " * 3, "y" * 9000 + " z, " + "word " * 3000 + ", end.", "short, line. " * 9]
+    together = line_chunks.Chunks(pa.array(texts))
+    alone = [line_chunks.Chunks(pa.array([t])) for t in texts]
+    assert together.hash.tolist() == [h for c in alone for h in c.hash.tolist()]
+    assert together.whole.tolist() == [h for c in alone for h in c.whole.tolist()]
+
+
 def test_equal_hashes_of_unequal_chunks(spark, monkeypatch):
     """Every chunk gets the same hash; only truly equal bytes may go.  Runs on the driver's side of each step."""
     text, pieces = "abXXcdYYef", [{"at": 2, "hash": 1, "piece": b"11"}, {"at": 6, "hash": 2, "piece": b"22"}, {"at": -1, "hash": 2, "piece": b"zz"}]
