@@ -1,9 +1,9 @@
 """Near-duplicates: banded MinHash candidates, pruned by sequential Bayesian tests, verified on the full shingle sets.
 
 1. One scan writes, per row, the size and a 128-bit fingerprint of its shingle
-   set, its MinHash signature and its band keys.  Equal sets are one node.
-2. Nodes that share a band key are candidates.  A first round compares each
-   with the smallest node of its bucket only.
+   set and its band keys.  Equal sets are one node.
+2. Nodes that share a band key are candidates; only they get a long signature.
+   A first round compares each with the smallest node of its bucket only.
 3. Signatures are compared batch by batch; a pair goes as soon as the posterior
    probability of reaching the threshold is below ``MISS``.  Survivors are
    verified on their full sets.
@@ -31,10 +31,10 @@ from partsmith.session import stage
 
 BANDS, ROWS = 40, 6
 #: hashes of a signature, one byte each; the first BANDS * ROWS make the bands
-HASHES = 480
-BATCH = 60
+HASHES = 1024
+BATCH = 128
 #: probability at which a pair is given up before its exact test
-MISS = 1e-6
+MISS = 1e-5
 BLOCK = 500
 PER_CENTER = 200
 
@@ -43,20 +43,20 @@ _XOR = _RNG.integers(0, 2**32, (HASHES, 1), dtype=np.uint32)
 _ODD = _RNG.integers(0, 2**32, (HASHES, 1), dtype=np.uint32) | np.uint32(1)
 _PLACES = np.uint64(1) << np.arange(0, 8 * ROWS, 8, dtype=np.uint64)
 
-NODE_SCHEMA = "row long, doc_id long, text_key long, n_shingles long, print binary, sig binary, bands array<long>"
+NODE_SCHEMA = "row long, doc_id long, text_key long, n_shingles long, print binary, bands array<long>"
 
 
-def _min_hashes(distinct: np.ndarray) -> np.ndarray:
+def _min_hashes(distinct: np.ndarray, n: int) -> np.ndarray:
     low = (distinct >> np.uint64(32)).astype(np.uint32)
-    out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(low), 2048):
-        np.minimum(out, ((low[at:at + 2048] ^ _XOR) * _ODD).min(axis=1), out=out)
+    out = np.full(n, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(low), 1024):
+        np.minimum(out, ((low[at:at + 1024] ^ _XOR[:n]) * _ODD[:n]).min(axis=1), out=out)
     return out
 
 
-def _signature(distinct: np.ndarray) -> np.ndarray:
-    """One well-mixed byte of each minimum; minima themselves are small numbers, alike in all texts of a length."""
-    mins = _min_hashes(distinct)
+def _signature(distinct: np.ndarray, n: int = HASHES) -> np.ndarray:
+    """One well-mixed byte of each of the first ``n`` minima; minima themselves are small numbers, alike in all texts of a length."""
+    mins = _min_hashes(distinct, n)
     mins = (mins ^ (mins >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
     return ((mins ^ (mins >> np.uint32(12))) * np.uint32(0x297A2D39) >> np.uint32(24)).astype(np.uint8)
 
@@ -72,21 +72,32 @@ def _describe(width: int):
         for whole in batches:
             for batch in slices(whole):
                 w = Words(batch.column("text"))
-                sizes, prints, sigs, bands = [], [], [], []
+                sizes, prints, bands = [], [], []
                 for a, b in zip(w.row_at[:-1], w.row_at[1:]):
                     distinct = np.unique(shingles(w.hash[a:b], width))
                     sizes.append(len(distinct))
                     if not len(distinct):
-                        prints.append(None), sigs.append(None), bands.append(None)
+                        prints.append(None), bands.append(None)
                         continue
-                    sig = _signature(distinct)
                     prints.append(xxhash.xxh3_128_digest(distinct.tobytes()))
-                    sigs.append(sig.tobytes())
-                    bands.append(_band_keys(sig))
+                    bands.append(_band_keys(_signature(distinct, BANDS * ROWS)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("row"), batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()),
-                     pa.array(prints, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["row", "doc_id", "text_key", "n_shingles", "print", "sig", "bands"])
+                     pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    names=["row", "doc_id", "text_key", "n_shingles", "print", "bands"])
+
+    return run
+
+
+def _sign(width: int):
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole):
+                w = Words(batch.column("text"))
+                distinct = [np.unique(shingles(w.hash[a:b], width)) for a, b in zip(w.row_at[:-1], w.row_at[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("node"), pa.array([_signature(d).tobytes() for d in distinct], pa.binary()),
+                     pa.array([len(d) for d in distinct], pa.int64())], names=["node", "sig", "n_shingles"])
 
     return run
 
@@ -211,7 +222,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     """Those of the pairs (u, v) whose full sets reach the threshold; ``texts`` has node and text."""
     pairs = stage(pairs, "minhash-pairs")
     sizes = pairs.groupBy("v").agg(F.ceil(F.count("*") / PER_CENTER).alias("parts"))
-    salted = pairs.join(sizes, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("parts")).alias("salt"))
+    salted = stage(pairs.join(sizes, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("parts")).alias("salt")), "minhash-salted")
     members = salted.join(texts.withColumnRenamed("node", "u"), "u").select(
         F.col("v").alias("center"), "salt", F.col("u").alias("member"), "text")
     centers = salted.select(F.col("v").alias("node"), "salt").distinct().join(texts, "node").select(
@@ -248,10 +259,10 @@ def near_duplicates(docs: DataFrame, width: int, percent: int = 80) -> DataFrame
     buckets = bands.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("n")).filter("n > 1")
     shared = stage(bands.join(buckets, "key"), "minhash-buckets")  # key, node, center, n
     wanted = shared.select("node").distinct()
-    sigs = stage(nodes.select(F.col("row").alias("node"), "sig", "n_shingles").join(wanted, "node"), "minhash-signatures")
     keys = of_row.filter("row = node").join(wanted, "node").select("node", "doc_id", "text_key")
     same_text = F.col("k.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("k.text_key") == F.col("d.text_key"))
     texts = stage(read.alias("d").join(keys.alias("k"), same_text).select("k.node", "d.text").dropDuplicates(["node"]), "minhash-texts")
+    sigs = stage(texts.mapInArrow(_sign(width), "node long, sig binary, n_shingles long"), "minhash-signatures")
 
     # first round: each node with the smallest of its buckets
     stars = shared.filter("node <> center").select(F.col("node").alias("u"), F.col("center").alias("v")).distinct()
