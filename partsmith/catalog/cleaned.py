@@ -38,7 +38,7 @@ def _(t):
 
 
 _keys = """WITH f AS (SELECT title_id, key, min(row_index * 1000 + pos) AS first_at FROM items WHERE title_id IS NOT NULL GROUP BY ALL)
-SELECT title_id, key, CAST(row_number() OVER (PARTITION BY title_id ORDER BY first_at, key) AS INTEGER) AS pos FROM f QUALIFY row_number() OVER (PARTITION BY title_id ORDER BY first_at, key) <= 20"""
+SELECT title_id, key, CAST(row_number() OVER (PARTITION BY title_id ORDER BY first_at, key) AS INTEGER) AS pos FROM f"""
 
 
 @query("win_first_seen_keys", _keys)
@@ -53,7 +53,7 @@ _slots = ", ".join(
 @query("cl_extract_attrs", f"""SELECT r.title_id, r.row_id, {_slots}
 FROM raw_rows r LEFT JOIN ({_keys}) k ON k.title_id = r.title_id LEFT JOIN items i ON i.row_id = r.row_id AND i.key = k.key GROUP BY r.title_id, r.row_id""")
 def _(t):
-    return ingest.extract_attrs(t["raw_rows"], t["raw_header"])
+    return ingest.extract_attrs(t["raw_rows"], t["raw_header"], width=20)  # the sink's columns
 
 
 @query("cl_parse_test", """SELECT r.row_id, coalesce(string_agg(key||'='||value, '|' ORDER BY pos), '') AS parsed, CAST(count(key) AS INTEGER) AS n_items, TRUE AS success,

@@ -114,7 +114,7 @@ def cells(t):
 def _(t):
     held = t["raw_title"].where("status = 'processing'").select(
         F.concat(F.lit("F"), F.col("title_id").cast("string")).alias("task_id"), F.lit(4).cast("long").alias("row_index"))
-    return X.submit_rows(cells(t), held)
+    return X.submit_rows(cells(t), held, 10)
 
 
 def decisions(t):

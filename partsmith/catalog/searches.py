@@ -89,14 +89,14 @@ def _(t):
     return log(t).where(F.contains("material_name", F.lit("ring")) & (F.col("material_code") != "")).select("id", "material_code", "material_name")
 
 
-@query("flt_unmatched", "SELECT id, title_id, match_source FROM cleaned_log WHERE match_source = 'UNMATCHED' ORDER BY id LIMIT 500")
+@query("flt_unmatched", "SELECT id, title_id, match_source FROM cleaned_log WHERE match_source = 'UNMATCHED'")
 def _(t):
-    return log(t).where("match_source = 'UNMATCHED'").orderBy("id").limit(500).select("id", "title_id", "match_source")
+    return log(t).where("match_source = 'UNMATCHED'").select("id", "title_id", "match_source")
 
 
-@query("flt_duplicates", "SELECT id, title_id, source_row_hash FROM cleaned_log WHERE is_duplicate = 1 ORDER BY id LIMIT 1000")
+@query("flt_duplicates", "SELECT id, title_id, source_row_hash FROM cleaned_log WHERE is_duplicate = 1")
 def _(t):
-    return log(t).where("is_duplicate = 1").orderBy("id").limit(1000).select("id", "title_id", "source_row_hash")
+    return log(t).where("is_duplicate = 1").select("id", "title_id", "source_row_hash")
 
 
 def low_samples(t: Tables):
@@ -105,11 +105,10 @@ def low_samples(t: Tables):
         F.col("id").alias("entity_id"), F.lit("LOW_CONFIDENCE").alias("sample_type"), F.col("quality_score").alias("score"))
 
 
-@query("flt_low_conf", "SELECT id AS entity_id, quality_score AS score FROM cleaned_log WHERE match_source IN ('UNMATCHED','FUZZY_AMBIGUOUS') AND title_id = 3 ORDER BY id LIMIT 500")
+@query("flt_low_conf", "SELECT id AS entity_id, quality_score AS score FROM cleaned_log WHERE match_source IN ('UNMATCHED','FUZZY_AMBIGUOUS') AND title_id = 3")
 def _(t):
     rows = log(t).join(t["raw_rows"].where("title_id = 3").select("row_id"), "row_id", "left_semi")
-    return low_samples(t).join(rows.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").orderBy(
-        "entity_id").limit(500).select("entity_id", "score")
+    return low_samples(t).join(rows.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").select("entity_id", "score")
 
 
 @query("flt_any_keyword", f"""WITH q AS (SELECT id AS query_id, category_name FROM taxonomy WHERE level = 2),

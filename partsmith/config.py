@@ -46,8 +46,6 @@ class Settings:
     similar_recall: int = 200
     similar_top: int = 10
     similar_tokens: int = 6
-    max_import_cols: int = 10
-    max_attr_keys: int = 20
     callback_timeout_minutes: int = 30
 
     # Choices where the described behaviour and the stated intent differ.

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from partsmith.config import DEFAULTS, Settings
 from partsmith.functions import scores as S, text as T
 from partsmith.operators import library as L, scoring
+from partsmith.operators.edits import last_edits
 
 # Messages and weights of free-text classification.
 NO_TEXT = "请输入待分类的物料描述文字"
@@ -78,7 +79,7 @@ def apply_corrections(cleaned: DataFrame, corrections: DataFrame, taxonomy: Data
     it becomes the old name that feeds synonyms back.  A request without row or
     code is skipped, one with an unknown row or code fails.
     """
-    asked = corrections.where("row_id is not null and target_code is not null")
+    asked = last_edits(corrections.where("target_code is not null"), ["row_id"])
     resolved = L.by_code(asked, "target_code", idx, "_target")
     target = taxonomy.select(
         F.col("id").alias("_target"), F.col("category_code").alias("_c"), F.col("category_name").alias("_n"),
@@ -106,12 +107,23 @@ def apply_corrections(cleaned: DataFrame, corrections: DataFrame, taxonomy: Data
 
 
 def feedback_synonyms(fixed: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """New ``(category_id, synonym_name, description)``: the old name now leads to the target."""
+    """New ``(id, category_id, synonym_name, description)``: the old name now leads to the target.
+
+    Ids follow the highest one known, since of several synonyms of a name the
+    one of lowest id counts.  Numbers are dealt out per hash bucket with gaps
+    between buckets, so no single task numbers them all.
+    """
     name = T.jtrim(F.col("old_name"))
     wanted = fixed.where(~T.is_blank(F.col("old_name")) & (name != F.col("category_name"))).groupBy(
         "category_id", name.alias("synonym_name")).agg(
         F.min(F.concat(F.lit("分类修正自动回流("), F.coalesce("old_code", F.lit("")), F.lit("->"), "category_code", F.lit(")"))).alias("description"))
-    return wanted.join(synonyms.select("category_id", "synonym_name"), ["category_id", "synonym_name"], "left_anti")
+    fresh = wanted.join(synonyms.select("category_id", "synonym_name"), ["category_id", "synonym_name"], "left_anti")
+    buckets = 256
+    fresh = fresh.withColumn("_b", F.pmod(F.xxhash64("category_id", "synonym_name"), F.lit(buckets)))
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("category_id", "synonym_name"))
+    top = synonyms.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    return fresh.withColumn("id", (top + (place - 1) * buckets + F.col("_b") + 1).cast("long")).select(
+        "id", "category_id", "synonym_name", "description")
 
 
 def correction_samples(fixed: DataFrame) -> DataFrame:

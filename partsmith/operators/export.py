@@ -39,9 +39,13 @@ def select_rows(cleaned: DataFrame, spec: ExportSpec) -> DataFrame:
 
 
 def export_frame(cleaned: DataFrame, taxonomy: DataFrame, spec: ExportSpec) -> DataFrame:
-    """Selected rows under display names, range-partitioned so files follow id order."""
-    chosen = select_rows(cleaned, spec).repartitionByRange("id").sortWithinPartitions("id")
-    return Q.project_export(chosen, taxonomy, spec.columns or {f: f for f in FIELDS})
+    """Selected rows under display names, range-partitioned so files follow id order.
+
+    Names are joined before the rows are put in order, since a join may deal
+    them out anew.
+    """
+    chosen = Q.with_category_name(select_rows(cleaned, spec), taxonomy).repartitionByRange("id").sortWithinPartitions("id")
+    return Q.labelled(chosen, spec.columns or {f: f for f in FIELDS})
 
 
 def write_export(frame: DataFrame, path: str, fmt: str = "csv") -> None:

@@ -14,7 +14,6 @@ PAYLOAD = ("struct<taskId:string,status:string,error:string,"
 FINAL = ("completed", "failed", "cancelled")
 DELETABLE = ("completed", "failed", "cancelled", "callback_timeout", "pending")
 DECIDED = ("accepted", "corrected", "rejected")
-SYNC_ROWS = 10
 
 
 def read_payloads(callbacks: DataFrame) -> DataFrame:
@@ -87,7 +86,7 @@ def timed_out(tasks: DataFrame, now: Column, minutes: int = 30) -> DataFrame:
     return tasks.withColumn("status", F.when(overdue, "callback_timeout").otherwise(F.col("status")))
 
 
-def submit_rows(cells: DataFrame, existing: DataFrame, order: str = "row_index") -> DataFrame:
+def submit_rows(cells: DataFrame, existing: DataFrame, sync_rows: int, order: str = "row_index") -> DataFrame:
     """Snapshot rows of a task as ordered JSON with a continuous index.
 
     ``cells(task_id, row_id, row_index, snapshot)``; numbering continues after
@@ -108,7 +107,7 @@ def submit_rows(cells: DataFrame, existing: DataFrame, order: str = "row_index")
         .join(offsets, ["task_id", "_b"]).join(held, "task_id", "left").join(totals, "task_id")
         .select("task_id", "row_id", (F.col("_r") + F.col("_off") + F.coalesce("_held", F.lit(0))).cast("long").alias("row_index"),
                 "snapshot", F.lit("pending").alias("row_status"),
-                F.when(F.col("_total") <= SYNC_ROWS, "sync").otherwise("async").alias("mode")))
+                F.when(F.col("_total") <= sync_rows, "sync").otherwise("async").alias("mode")))
 
 
 def decide(rows: DataFrame, decisions: DataFrame) -> DataFrame:

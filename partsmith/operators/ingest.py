@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from partsmith.config import (ATTR_GRADE, ATTR_NAME, ATTR_SHORT_NAME, ATTR_SPEC, ATTR_STANDARD, ATTR_UNIT,
-                              CATEGORY_HEADERS, DEFAULTS, DESC_HEADERS, HEADER_MATERIAL_CODE, ParseRule)
+                              CATEGORY_HEADERS, DESC_HEADERS, HEADER_MATERIAL_CODE, ParseRule)
 from partsmith.functions import text as T
 from partsmith.functions.parse import item_value, item_values, parse_desc
 
 
-def header_names(names: list[str | None], max_cols: int = DEFAULTS.max_import_cols) -> list[str]:
-    """Trimmed header names; a blank one becomes ``colN``."""
+def header_names(names: list[str | None], max_cols: int | None = None) -> list[str]:
+    """Trimmed header names; a blank one becomes ``colN``.  ``max_cols`` keeps the first ones only, if asked for."""
     return [(n or "").strip() or f"col{i}" for i, n in enumerate(names[:max_cols], 1)]
 
 
-def import_cells(df: DataFrame, order: list[str], max_cols: int = DEFAULTS.max_import_cols) -> DataFrame:
-    """Cells as text, first ``max_cols`` columns, without rows whose cells are all blank.
+def import_cells(df: DataFrame, order: list[str], max_cols: int | None = None) -> DataFrame:
+    """Cells as text (of the first ``max_cols`` columns, if asked for), without rows whose cells are all blank.
 
     ``order`` are key columns that are kept and give a row its place.
     """
@@ -122,28 +122,34 @@ def attr_items(raw: DataFrame, header: DataFrame, rule: ParseRule = ParseRule())
         "title_id", "row_id", "row_index", F.inline("items"))
 
 
-def first_seen_keys(items: DataFrame, cap: int = DEFAULTS.max_attr_keys) -> DataFrame:
-    """``(title_id, key, pos)``: keys of a file in order of first appearance, at most ``cap``.
+def first_seen_keys(items: DataFrame, cap: int | None = None) -> DataFrame:
+    """``(title_id, key, pos)``: keys of a file in order of first appearance, all or the first ``cap``.
 
     The first place of each key is a map-side aggregate, so the ranking sees
     one row per key of a file and not the rows of the file.
     """
     first = items.groupBy("title_id", "key").agg(F.min(F.struct("row_index", "pos")).alias("at"))
     w = Window.partitionBy("title_id").orderBy("at", "key")
-    return first.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= cap).select("title_id", "key", "pos")
+    ranked = first.withColumn("pos", F.row_number().over(w)).select("title_id", "key", "pos")
+    return ranked if cap is None else ranked.where(F.col("pos") <= cap)
 
 
 def extract_attrs(raw: DataFrame, header: DataFrame, rule: ParseRule = ParseRule(),
-                  cap: int = DEFAULTS.max_attr_keys) -> DataFrame:
+                  width: int | None = None) -> DataFrame:
     """Wide ``(title_id, row_id, attr1..attrN)`` with an empty text for an absent key.
 
+    N is the largest number of keys of a file, unless a sink asks for ``width``
+    columns; the long form (:func:`attr_items`) is never cut.
+
     Key order is per file (one short list, joined by file); the values are read
     from the row's own items, so rows are never exploded and regrouped.
     """
     parsed = parsed_rows(raw, header, rule).select("title_id", "row_id", "row_index", "full_description", "items")
     keys = first_seen_keys(
         parsed.where(~T.is_blank(F.col("full_description"))).select(
-            "title_id", "row_id", "row_index", F.inline("items")), cap)
+            "title_id", "row_id", "row_index", F.inline("items")))
+    if width is None:
+        width = keys.agg(F.max("pos")).first()[0] or 0
     listed = keys.groupBy("title_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "key"))).alias("keys"))
 
     def slot(i: int) -> Column:
@@ -153,7 +159,7 @@ def extract_attrs(raw: DataFrame, header: DataFrame, rule: ParseRule = ParseRule
         return F.when(key.isNotNull(), value).alias(f"attr{i}")
 
     return parsed.join(listed, "title_id", "left").select(
-        "title_id", "row_id", *[slot(i) for i in range(1, cap + 1)])
+        "title_id", "row_id", *[slot(i) for i in range(1, width + 1)])
 
 
 def test_rule(samples: DataFrame, text: str, rule: ParseRule = ParseRule()) -> DataFrame:

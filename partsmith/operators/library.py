@@ -68,8 +68,8 @@ def first_k(df: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
 
 # ---------------------------------------------------------------- recall
 
-def _text_hits(norms: DataFrame, idx: Indexes, codes: DataFrame, k: int, tokenise_first: bool) -> DataFrame:
-    """Best ``k`` categories per distinct text as ``(norm, category_id, factor)``.
+def _text_hits(tokens: DataFrame, names: DataFrame, idx: Indexes, codes: DataFrame, k: int) -> DataFrame:
+    """Best ``k`` categories per distinct text as ``(text_key, category_id, factor)``.
 
     Keeping ``k`` per token, and then per text, cannot lose a final answer: all
     categories that stand before one in such a list score at least as high and
@@ -78,16 +78,15 @@ def _text_hits(norms: DataFrame, idx: Indexes, codes: DataFrame, k: int, tokenis
     posting = first_k(
         idx.token.join(codes, "category_id"), "token",
         [F.col("code").asc_nulls_last(), F.col("category_id")], k).drop("code")
-    words = T.tokens(F.lower("text")) if tokenise_first else T.tokens(F.col("norm"))
-    by_token = norms.select("norm", F.explode(F.array_distinct(words)).alias("token")).join(posting, "token").select(
-        "norm", "category_id", F.lit(TOKEN_FACTOR).alias("factor"))
-    by_name = norms.select("norm").join(
-        idx.name, F.col("norm") == F.col("name_norm")).select("norm", "category_id", F.lit(1.0).alias("factor"))
-    merged = by_token.unionByName(by_name).groupBy("norm", "category_id").agg(F.max("factor").alias("factor"))
+    by_token = tokens.join(posting, "token").select("text_key", "category_id", F.lit(TOKEN_FACTOR).alias("factor"))
+    by_name = names.join(
+        idx.name.select(F.md5("name_norm").alias("name_key"), "category_id"), "name_key").select(
+        "text_key", "category_id", F.lit(1.0).alias("factor"))
+    merged = by_token.unionByName(by_name).groupBy("text_key", "category_id").agg(F.max("factor").alias("factor"))
     return first_k(
-        merged.join(codes, "category_id"), "norm",
+        merged.join(codes, "category_id"), "text_key",
         [F.col("factor").desc(), F.col("code").asc_nulls_last(), F.col("category_id")], k
-    ).select("norm", "category_id", "factor")
+    ).select("text_key", "category_id", "factor")
 
 
 def recall(rows: DataFrame, taxonomy: DataFrame, idx: Indexes, k: int = 10,
@@ -109,11 +108,14 @@ def recall(rows: DataFrame, taxonomy: DataFrame, idx: Indexes, k: int = 10,
                  F.lit(w).alias("weight"))
         for c, w in text_weights.items() if c in have])
 
-    texts = rows.select("row_id", F.inline(text_keys)).where("norm is not null").groupBy(
-        "row_id", "norm", "text").agg(F.max("weight").alias("weight"))
-    norms = texts.select("norm", "text").distinct()
-    hits = texts.select("row_id", "norm", "weight").join(
-        _text_hits(norms, idx, codes, k, tokenise_first), "norm").select(
+    # a text is known by its digest from here on, so that long texts are never shuffled
+    key = F.md5(F.concat("norm", F.lit("\u0000"), F.coalesce("text", F.lit("")))) if tokenise_first else F.md5("norm")
+    texts = rows.select("row_id", F.inline(text_keys)).where("norm is not null").withColumn("text_key", key)
+    weights = texts.groupBy("row_id", "text_key").agg(F.max("weight").alias("weight"))
+    words = T.tokens(F.lower("text")) if tokenise_first else T.tokens(F.col("norm"))
+    tokens = texts.select("text_key", F.explode(F.array_distinct(words)).alias("token")).distinct()
+    names = texts.select("text_key", F.md5("norm").alias("name_key")).distinct()
+    hits = weights.join(_text_hits(tokens, names, idx, codes, k), "text_key").select(
         "row_id", "category_id", (F.col("weight") * F.col("factor")).alias("relevance"))
     if any(c in have for c in code_weights):
         by_code_hits = rows.select("row_id", F.inline(code_keys)).where("code_norm is not null").join(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from partsmith.functions import text as T
+from partsmith.operators.edits import last_edits
 from partsmith.operators.ingest import cells_of
 from partsmith.operators.search import row_text
 
@@ -77,12 +78,14 @@ def merge_manual(mappings: DataFrame, edits: DataFrame) -> tuple[DataFrame, Data
 
 def update_targets(mappings: DataFrame, edits: DataFrame, keys: list[str], now: Column) -> DataFrame:
     """Set the target of given mappings by hand: approved, with a review time."""
+    edits = last_edits(edits.select(*keys, *[c for c in ("target", "seq") if c in edits.columns]), keys)
     joined = mappings.join(edits.withColumnRenamed("target", "_t").withColumn("_e", F.lit(True)), keys, "left")
     return joined.withColumns({
         "target": F.when(F.col("_e"), F.col("_t")).otherwise(F.col("target")),
         "mapping_type": F.when(F.col("_e"), "manual").otherwise(F.col("mapping_type")),
         "status": F.when(F.col("_e"), "approved").otherwise(F.col("status")),
-        "reviewed_at": F.when(F.col("_e"), now),
+        "reviewed_at": F.when(F.col("_e"), now).otherwise(
+            F.col("reviewed_at") if "reviewed_at" in mappings.columns else F.lit(None)),
     }).drop("_t", "_e")
 
 
@@ -143,8 +146,13 @@ def fill_long(cleaned: DataFrame, mappings: DataFrame, parsed: DataFrame, header
 
 
 def fill_all(cleaned: DataFrame, mappings: DataFrame, parsed: DataFrame, header: DataFrame, std_header: DataFrame,
-             width: int = 6) -> DataFrame:
-    """Wide results ``(title_id, row_id, std_id, col1..colN, status)`` over all headers at once."""
+             width: int | None = None) -> DataFrame:
+    """Wide results ``(title_id, row_id, std_id, col1..colN, status)`` over all headers at once.
+
+    N is the last position of any header, unless a sink asks for ``width`` columns.
+    """
+    if width is None:
+        width = std_header.agg(F.max("pos")).first()[0] or 0
     rows = resolve_header(cleaned.select("title_id", "row_id", "category_code"), std_header).where("std_id is not null")
     joined = rows.join(plan_targets(mappings, std_header), ["title_id", "std_id"]).join(
         _row_values(parsed, header, "items"), ["title_id", "row_id"])
@@ -191,6 +199,7 @@ def clear_columns(results: DataFrame, cleared: DataFrame, std_header: DataFrame)
 
 def edit_results(results: DataFrame, edits: DataFrame) -> DataFrame:
     """Apply ``edits(row_id, std_id, pos, value)``: the row becomes modified."""
+    edits = last_edits(edits, ["row_id", "std_id", "pos"])
     by_row = edits.groupBy("row_id", "std_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("_e"))
     cols = [c for c in results.columns if c.startswith("col") and c[3:].isdigit()]
 

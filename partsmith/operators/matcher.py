@@ -53,23 +53,31 @@ def prefixes(c: Column) -> Column:
 
 # ---------------------------------------------------------------- taxonomy side
 
-def descendants(taxonomy: DataFrame, max_hops: int = 3) -> DataFrame:
+def descendants(taxonomy: DataFrame) -> DataFrame:
     """``(ancestor_id, l3_id, hops, via_id)``: level-3 nodes below every level-1/2 node.
 
-    Climbs from the level-3 nodes; a level-1/2 node that owns none through its
-    links falls back to the level-3 codes that start with its own code.
+    Climbs from the level-3 nodes until no parent is left; links that run in a
+    circle end where they meet a node again.  A level-1/2 node that owns none
+    through its links falls back to the level-3 codes that start with its own
+    code.
     """
     nodes = taxonomy.select("id", "parent_id", "level", "category_code")
     upper = nodes.where("level <> 3").select(
         F.col("id").alias("ancestor_id"), F.col("parent_id").alias("next_id"))
     step = nodes.where("level = 3").select(
         F.col("id").alias("l3_id"), F.col("parent_id").alias("via_id"), F.col("parent_id").alias("at_id"))
-    linked = None
-    for hop in range(1, max_hops + 1):
+    linked, hop = None, 1
+    while True:
         reached = step.join(upper, step["at_id"] == upper["ancestor_id"]).select(
             "ancestor_id", "l3_id", F.lit(hop).alias("hops"), "via_id", "next_id")
+        if linked is not None:
+            reached = reached.join(linked.select("ancestor_id", "l3_id"), ["ancestor_id", "l3_id"], "left_anti")
+        reached = stage(reached, "climb")
+        if linked is not None and reached.isEmpty():
+            break
         linked = reached if linked is None else linked.unionByName(reached)
-        step = reached.select("l3_id", "via_id", F.col("next_id").alias("at_id"))
+        step = reached.where("next_id is not null").select("l3_id", "via_id", F.col("next_id").alias("at_id"))
+        hop += 1
     linked = linked.drop("next_id")
     childless = upper.join(linked, "ancestor_id", "left_anti").join(
         nodes.select(F.col("id").alias("ancestor_id"), "category_code"), "ancestor_id")

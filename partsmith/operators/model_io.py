@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from partsmith.functions import jsontext as J, text as T
 from partsmith.operators import library as L
-from partsmith.operators.ingest import first_seen_keys
 from partsmith.operators.mapping import best_targets, resolve_header
 
 # Notes and reasons attached to requests and verdicts.
@@ -142,12 +141,9 @@ def parse_extract(responses: DataFrame, cleaned: DataFrame, std_header: DataFram
         F.min_by("value", "source").alias("value"))
 
 
-def collect_extracted(extracted: DataFrame, responses: DataFrame, titles: DataFrame, cap: int = 20) -> tuple[DataFrame, DataFrame]:
-    """``(attrs(title_id, row_id, key, value), counters(title_id, success, error))``, at most ``cap`` keys per file."""
-    placed = extracted.join(titles, "row_id").select(
-        "title_id", "row_id", F.col("row_id").alias("row_index"), F.lit(0).alias("pos"), F.col("target").alias("key"), "value")
-    keys = first_seen_keys(placed, cap).select("title_id", "key")
-    attrs = placed.join(keys, ["title_id", "key"], "left_semi").select("title_id", "row_id", "key", "value")
+def collect_extracted(extracted: DataFrame, responses: DataFrame, titles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(attrs(title_id, row_id, key, value), counters(title_id, success, error))``."""
+    attrs = extracted.join(titles, "row_id").select("title_id", "row_id", F.col("target").alias("key"), "value")
     ok = extracted.select("row_id").distinct().withColumn("_ok", F.lit(True))
     counters = responses.select("row_id").join(titles, "row_id").join(ok, "row_id", "left").groupBy("title_id").agg(
         F.count_if(F.col("_ok").isNotNull()).alias("success"), F.count_if(F.col("_ok").isNull()).alias("error"))

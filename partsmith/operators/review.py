@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from partsmith.functions import scores as S, text as T
 from partsmith.operators import search as Q
+from partsmith.operators.edits import last_edits
 
 # Task states and the bounds of the derived priority.
 STATES = ("pending", "assigned", "in_progress", "completed", "cancelled")
@@ -253,7 +254,15 @@ def auto_assign(tasks: DataFrame, buckets: int = 64) -> DataFrame:
 
 
 def set_status(df: DataFrame, edits: DataFrame, key: str) -> DataFrame:
-    """Apply ``edits(key, status, reviewer, comment)`` to matching rows."""
-    new = edits.select(key, F.col("status").alias("_s"), F.col("reviewer").alias("_r"), F.col("comment").alias("_c"))
+    """Apply ``edits(key, status, reviewer, comment)`` to matching rows.
+
+    The last edit of a key holds; what an edit leaves null, and all of a row
+    without an edit, stays as it was.
+    """
+    new = last_edits(edits, [key]).select(key, F.col("status").alias("_s"), F.col("reviewer").alias("_r"), F.col("comment").alias("_c"))
+
+    def kept(new_value: str, column: str) -> Column:
+        return F.coalesce(F.col(new_value), F.col(column)) if column in df.columns else F.col(new_value)
+
     return df.join(new, key, "left").withColumns({
-        "status": F.coalesce("_s", "status"), "reviewer": F.col("_r"), "comment": F.col("_c")}).drop("_s", "_r", "_c")
+        "status": kept("_s", "status"), "reviewer": kept("_r", "reviewer"), "comment": kept("_c", "comment")}).drop("_s", "_r", "_c")

@@ -18,7 +18,6 @@ SORT_FIELDS = {
 }
 DEFAULT_SORT = "created_at"
 DEFAULT_PAGE_SIZE = 20
-MAX_PAGE_SIZE = 1000
 
 
 @dataclass(frozen=True)
@@ -150,7 +149,6 @@ def page(df: DataFrame, sort: str | None, tie: str, order: str | None = "desc",
     """One page in a stable order (``tie`` settles equal sort values)."""
     number = number if number and number >= 1 else 1
     size = size if size and size >= 1 else DEFAULT_PAGE_SIZE
-    size = min(size, MAX_PAGE_SIZE)
     key = F.col(sort_column(sort))
     down = (order or "desc").lower() == "desc"
     ordered = df.orderBy(key.desc_nulls_last() if down else key.asc_nulls_first(), F.col(tie))
@@ -159,19 +157,22 @@ def page(df: DataFrame, sort: str | None, tie: str, order: str | None = "desc",
 
 def project_export(df: DataFrame, taxonomy: DataFrame, labels: dict[str, str]) -> DataFrame:
     """Chosen fields under their display names; unknown fields come out as null."""
-    named = with_category_name(df, taxonomy)
+    return labelled(with_category_name(df, taxonomy), labels)
+
+
+def labelled(named: DataFrame, labels: dict[str, str]) -> DataFrame:
     return named.select(*[
         (F.col(f) if f in named.columns else F.lit(None).cast("string")).alias(label) for f, label in labels.items()])
 
 
 def row_map(raw: DataFrame, header: DataFrame) -> DataFrame:
-    """``(title_id, row_id, cells)``: header name to value for non-blank headers."""
-    names = header.groupBy("title_id").agg(
+    """``(title_id, row_id, cells)``: header name to value for non-blank headers; of columns of one name the last counts."""
+    last = header.where(~T.is_blank(F.col("name"))).groupBy("title_id", "name").agg(F.max("pos").alias("pos"))
+    names = last.groupBy("title_id").agg(
         F.sort_array(F.collect_list(F.struct("pos", "name"))).alias("names"))
     pairs = F.transform("names", lambda h: F.struct(
         h["name"].alias("name"), F.coalesce(F.get(cells_of(raw), h["pos"] - 1), F.lit("")).alias("value")))
-    kept = F.filter(pairs, lambda p: ~T.is_blank(p["name"]))
-    return raw.join(names, "title_id", "left").select("title_id", "row_id", F.map_from_entries(kept).alias("cells"))
+    return raw.join(names, "title_id", "left").select("title_id", "row_id", F.map_from_entries(pairs).alias("cells"))
 
 
 def row_text(raw: DataFrame) -> Column:

@@ -1,7 +1,8 @@
 """Taxonomy maintenance as set operations over the parent links.
 
-A taxonomy has three levels, so descendants and paths are a fixed, short chain
-of self-joins; ``max_depth`` lengthens it for deeper trees.
+Descendants and paths are found level by level until no new node turns up, so
+trees may be of any depth; links that form a cycle end where they meet a node
+again.
 """
 
 from __future__ import annotations
@@ -9,20 +10,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from partsmith.functions import scores as S, text as T
+from partsmith.operators.edits import last_edits
 from partsmith.session import stage
 
-MAX_DEPTH = 4
 
+def closure(taxonomy: DataFrame) -> DataFrame:
+    """``(root_id, id, depth)``: every node with itself and everything below it.
 
-def closure(taxonomy: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """``(root_id, id, depth)``: every node with itself and everything below it."""
-    links = taxonomy.where("parent_id is not null").select(F.col("id").alias("child"), F.col("parent_id").alias("id"))
-    level = taxonomy.select(F.col("id").alias("root_id"), "id", F.lit(0).alias("depth"))
-    out = level
-    for depth in range(1, max_depth):
-        level = level.join(links, "id").select("root_id", F.col("child").alias("id"), F.lit(depth).alias("depth"))
+    Each level is written to the shared folder; the loop ends with the deepest.
+    """
+    links = stage(taxonomy.where("parent_id is not null").select(F.col("id").alias("child"), F.col("parent_id").alias("id")), "links")
+    out = taxonomy.select(F.col("id").alias("root_id"), "id", F.lit(0).alias("depth"))
+    level, depth = links.select(F.col("id").alias("root_id"), F.col("child").alias("id")), 1
+    while True:
+        level = level.join(out.select("root_id", "id"), ["root_id", "id"], "left_anti").withColumn("depth", F.lit(depth))
+        level = stage(level, "closure")
+        if level.isEmpty():
+            return out
         out = out.unionByName(level)
-    return out
+        level = level.join(links, "id").select("root_id", F.col("child").alias("id"))
+        depth += 1
 
 
 def tree(taxonomy: DataFrame, roots: DataFrame) -> DataFrame:
@@ -31,9 +38,9 @@ def tree(taxonomy: DataFrame, roots: DataFrame) -> DataFrame:
         taxonomy.select("id", "sort_order", "category_code"), "id")
 
 
-def ancestors(taxonomy: DataFrame) -> DataFrame:
-    """``(id, ancestor_id, depth)`` from the root (depth 0) down to the node itself."""
-    up = closure(taxonomy).select("id", F.col("root_id").alias("ancestor_id"), F.col("depth").alias("up"))
+def ancestors(taxonomy: DataFrame, below: DataFrame | None = None) -> DataFrame:
+    """``(id, ancestor_id, depth)`` from the root (depth 0) down to the node itself; ``below`` is the closure, if at hand."""
+    up = (closure(taxonomy) if below is None else below).select("id", F.col("root_id").alias("ancestor_id"), F.col("depth").alias("up"))
     height = up.groupBy("id").agg(F.max("up").alias("height"))
     return up.join(height, "id").select("id", "ancestor_id", (F.col("height") - F.col("up")).alias("depth"))
 
@@ -42,12 +49,13 @@ def subtree(taxonomy: DataFrame, roots: DataFrame) -> DataFrame:
     """``(root_id, node_id, pos)`` in preorder, siblings by sort order, then code."""
     step = F.struct(F.coalesce("sort_order", F.lit(0)).alias("s"), F.coalesce("category_code", F.lit("")).alias("c"))
     steps = taxonomy.select(F.col("id").alias("ancestor_id"), step.alias("step"))
+    below = closure(taxonomy)
     trail = (
-        ancestors(taxonomy).join(steps, "ancestor_id").groupBy("id")
+        ancestors(taxonomy, below).join(steps, "ancestor_id").groupBy("id")
         .agg(F.sort_array(F.collect_list(F.struct("depth", "step"))).alias("trail")))
     w = Window.partitionBy("root_id").orderBy("trail")
     return (
-        closure(taxonomy).join(roots, "root_id", "left_semi").join(trail, "id")
+        below.join(roots, "root_id", "left_semi").join(trail, "id")
         .select("root_id", F.col("id").alias("node_id"), F.row_number().over(w).alias("pos")))
 
 
@@ -80,6 +88,7 @@ def move(taxonomy: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     together would close a cycle cut their nodes off from every root; those
     are rejected too.
     """
+    edits = last_edits(edits, ["id"])
     active = F.col("is_active") if "is_active" in taxonomy.columns else F.lit(True)
     nodes = taxonomy.select(F.col("id").alias("node"), active.alias("active"))
     inside = closure(taxonomy).select(F.col("root_id").alias("id"), F.col("id").alias("new_parent_id"), F.lit(True).alias("inside"))
@@ -113,6 +122,7 @@ def upsert(taxonomy: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]
     with the next sort order.  A code that another node owns, or that two edits
     claim (the lower id keeps it), is rejected; code changes reach all paths.
     """
+    edits = last_edits(edits, ["id"])
     known = taxonomy.select("id", F.col("category_code").alias("old_code"), F.lit(True).alias("exists"))
     owners = taxonomy.select("category_code", F.col("id").alias("owner_id"))
     parents = taxonomy.select(F.col("id").alias("parent_id"), F.lit(True).alias("has_parent"))
@@ -145,7 +155,7 @@ def upsert(taxonomy: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]
 def next_codes(taxonomy: DataFrame) -> DataFrame:
     """``(parent_id, next_code)`` for every node as parent and for the top (null parent)."""
     roots = taxonomy.where("parent_id is null").agg(
-        F.coalesce(F.max(F.try_to_number("category_code", F.lit("999999"))).cast("int"), F.lit(0)).alias("top"))
+        F.coalesce(F.max(F.expr("try_cast(category_code AS long)")), F.lit(0)).alias("top"))
     top = roots.select(F.lit(None).cast("long").alias("parent_id"), F.format_string("%02d", F.col("top") + 1).alias("next_code"))
     suffix = F.expr("try_cast(right(category_code, 2) AS int)")
     used = taxonomy.where("parent_id is not null").groupBy("parent_id").agg(F.max(suffix).alias("top"))
@@ -175,9 +185,9 @@ def delete_check(stats: DataFrame) -> DataFrame:
 def place_at(taxonomy: DataFrame, edits: DataFrame) -> DataFrame:
     """Move each ``edits(id, position)`` to its place among siblings and renumber them.
 
-    At most one edit per set of siblings: positions refer to the old order.
+    At most one node per set of siblings: positions refer to the old order.
     """
-    edited = taxonomy.join(edits, "id", "left")
+    edited = taxonomy.join(last_edits(edits, ["id"]), "id", "left")
     w = Window.partitionBy("parent_id").orderBy(
         F.col("position").isNotNull(), F.coalesce("sort_order", F.lit(0)), "category_code")
     # Others keep the slots 0, 1, 2, ...; the moved node goes in front of the slot it asks for.
@@ -194,9 +204,31 @@ def validate_codes(codes: DataFrame, taxonomy: DataFrame) -> DataFrame:
         "code", (~T.is_blank(F.col("code")) & F.col("used").isNull()).alias("ok"))
 
 
+def resolve_pairs(pairs: DataFrame) -> DataFrame:
+    """``(source_id, target_id)`` with every chain followed to its end.
+
+    The last edit of a source holds.  Each round doubles the steps that a pair
+    reaches, so a chain of n pairs takes log2(n) rounds; a pair that has not
+    come to an end by then runs in a circle or into one.
+    """
+    to = stage(last_edits(pairs.select(*[c for c in pairs.columns if c in ("source_id", "target_id", "seq")]), ["source_id"])
+               .where("target_id is not null and source_id <> target_id"), "pairs")
+    rounds = max(1, to.count()).bit_length()
+    for _ in range(rounds):
+        onward = to.select(F.col("source_id").alias("target_id"), F.col("target_id").alias("_next"))
+        if to.join(onward, "target_id", "left_semi").isEmpty():
+            return to
+        to = stage(to.join(onward, "target_id", "left").select("source_id", F.coalesce("_next", "target_id").alias("target_id")), "pairs")
+    return to.join(to.select(F.col("source_id").alias("target_id")), "target_id", "left_anti")
+
+
 def merge(taxonomy: DataFrame, cleaned: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Fold ``pairs(source_id, target_id)``: children and rows go to the target, the source is dropped."""
-    to = pairs.select(F.col("source_id"), F.col("target_id"))
+    """Fold ``pairs(source_id, target_id)``: children and rows go to the target, the source is dropped.
+
+    Chains of pairs lead to their last target; pairs that run in a circle are
+    left out, and so are pairs whose last target does not exist.
+    """
+    to = resolve_pairs(pairs).join(taxonomy.select(F.col("id").alias("target_id")), "target_id", "left_semi")
     kept = taxonomy.join(to.select(F.col("source_id").alias("id")), "id", "left_anti")
     relinked = kept.join(to, kept["parent_id"] == to["source_id"], "left").withColumn(
         "parent_id", F.coalesce("target_id", "parent_id")).drop("source_id", "target_id")
@@ -221,9 +253,11 @@ def field_violations(attrs: DataFrame, rules: DataFrame, required: DataFrame) ->
     """``(row_id, target, value, kind)``: values that break a rule, and required blanks.
 
     ``attrs(row_id, category_code, target, value)``; ``required(category_code, target)``.
+    A rule may carry ``allowed``, a JSON array of the values it permits.
     """
     ruled = attrs.join(rules, ["category_code", "target"])
-    ok = S.field_valid(F.col("value"), F.col("is_required"), F.col("min_length"), F.col("max_length"), F.col("pattern"))
+    ok = S.field_valid(F.col("value"), F.col("is_required"), F.col("min_length"), F.col("max_length"), F.col("pattern"),
+                       F.col("allowed") if "allowed" in rules.columns else None)
     broken = ruled.where(~ok).select("row_id", "target", "value", F.lit("rule").alias("kind"))
     blank = attrs.join(required, ["category_code", "target"], "left_semi").where(T.is_blank(F.col("value"))).select(
         "row_id", "target", "value", F.lit("required").alias("kind"))

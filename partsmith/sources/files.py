@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from partsmith.config import DEFAULTS
 from partsmith.operators import ingest
 
 
@@ -17,39 +17,62 @@ class Imported:
     counts: DataFrame  # title_id, total_rows
 
 
-def import_frame(df: DataFrame, title_id: int, place: str, max_cols: int = DEFAULTS.max_import_cols) -> Imported:
-    """A table whose columns are the header; ``place`` is a column that orders its rows.
+#: places within a file; the number of a file stands above them, so that row ids differ across files
+PLACES = 1 << 40
 
-    The row index counts from 2 (the header is row 1) and follows ``place``,
-    which must be a unique number: it is carried, not recounted, so the import
-    needs no global sort.
+
+def row_id_of(title_id: int, place: Column) -> Column:
+    return F.lit(title_id * PLACES) + place.cast("long")
+
+
+def import_frame(df: DataFrame, title_id: int, place: str, max_cols: int | None = None,
+                 names: list[str | None] | None = None) -> Imported:
+    """A table whose columns are the header (or ``names``); ``place`` is a column that orders its rows.
+
+    ``place`` must be a unique number from 0 on: it is carried, not recounted,
+    so the import needs no global sort.  The row index counts from 2 (the
+    header is row 1); the row id is unique across files.
     """
     spark = df.sparkSession
-    names = ingest.header_names([c for c in df.columns if c != place], max_cols)
+    columns = [c for c in df.columns if c != place]
+    names = ingest.header_names(columns if names is None else names, max_cols)
     header = spark.createDataFrame(
         [(title_id, i, n) for i, n in enumerate(names, 1)], "title_id bigint, pos int, name string")
-    cells = ingest.import_cells(df, [place], max_cols)
+    plain = df.toDF(*[c if c == place else f"_{i}" for i, c in enumerate(df.columns)])  # header names may repeat
+    cells = ingest.import_cells(plain, [place], max_cols)
     rows = cells.select(
-        F.lit(title_id).cast("long").alias("title_id"), F.col(place).cast("long").alias("row_id"),
+        F.lit(title_id).cast("long").alias("title_id"), row_id_of(title_id, F.col(place)).alias("row_id"),
         (F.col(place) + 2).cast("long").alias("row_index"), *[f"col{i}" for i in range(1, len(names) + 1)])
     return Imported(header, rows, rows.groupBy("title_id").agg(F.count("*").alias("total_rows")))
 
 
-def read_csv(spark: SparkSession, path: str, title_id: int, max_cols: int = DEFAULTS.max_import_cols) -> Imported:
-    """A CSV file with a header row; Spark splits it, rows get their place by file offset order.
+def read_csv(spark: SparkSession, path: str, title_id: int, max_cols: int | None = None) -> Imported:
+    """One CSV file whose first record is the header.
 
-    ``monotonically_increasing_id`` follows file order within one file, which is
-    all the row index promises.
+    Records may hold quoted line breaks, so a file is read by one task (many
+    files are read side by side); the places of its records then follow each
+    other, and the row index is that of the sheet.
     """
-    df = spark.read.option("header", True).option("inferSchema", False).option("multiLine", False).csv(path)
-    return import_frame(df.withColumn("_place", F.monotonically_increasing_id()), title_id, "_place", max_cols)
+    df = spark.read.option("header", False).option("inferSchema", False).option("multiLine", True).option("escape", '"').csv(path)
+    placed = df.withColumn("_at", F.monotonically_increasing_id())
+    top = placed.orderBy("_at").limit(1).collect()
+    if not top:
+        raise ValueError(f"{path} has no header")
+    names = [top[0][c] for c in df.columns]
+    body = placed.where(F.col("_at") > top[0]["_at"]).withColumn("_place", F.col("_at") - top[0]["_at"] - 1).drop("_at")
+    return import_frame(body, title_id, "_place", max_cols, names)
 
 
-def read_parquet(spark: SparkSession, path: str, title_id: int, place: str,
-                 max_cols: int = DEFAULTS.max_import_cols) -> Imported:
+def read_parquet(spark: SparkSession, path: str, title_id: int, place: str, max_cols: int | None = None) -> Imported:
     return import_frame(spark.read.parquet(path), title_id, place, max_cols)
 
 
+def together(files: list[Imported]) -> Imported:
+    """Several files as one import; a file with fewer columns has null cells."""
+    return Imported(*[reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [getattr(f, part) for f in files])
+                      for part in ("header", "rows", "counts")])
+
+
 def replace_partitions(df: DataFrame, path: str, key: str = "title_id") -> None:
     """Overwrite only the partitions present in ``df``: a re-run replaces its own files."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
