@@ -354,17 +354,34 @@ def code_scores(sigs: DataFrame, taxonomy: DataFrame) -> DataFrame:
     return exact.unionByName(prefix)
 
 
-def rank_scores(candidates: DataFrame, sigs: DataFrame, name_boost: DataFrame, code_boost: DataFrame) -> DataFrame:
-    """Add ``rank_score`` (text candidates in the upper band) and ``confidence``."""
-    keyed = candidates.join(sigs.select("sig_id", "name_norm", "code_norm"), "sig_id")
-    nb = name_boost.withColumnRenamed("boost", "nb")
-    cb = code_boost.withColumnRenamed("boost", "cb")
-    boost = F.greatest("nb", "cb")
+def _band() -> Column:
     by_text = ~F.col("source").isin("CODE_EXACT", "CODE_PREFIX")
-    band = F.col("score") + F.when(by_text, NAME_BAND).otherwise(0.0)
+    return F.col("score") + F.when(by_text, NAME_BAND).otherwise(0.0)
+
+
+def within_reach(candidates: DataFrame) -> DataFrame:
+    """Candidates that the largest boost could still lift to the top of their signature; no winner is lost."""
+    best = F.max("_band").over(Window.partitionBy("sig_id"))
+    return candidates.withColumn("_band", _band()).withColumn("_best", best).where(
+        F.col("_band") >= F.col("_best") - BOOST_FACTOR - 1e-9).drop("_band", "_best")
+
+
+def rank_scores(candidates: DataFrame, sigs: DataFrame, name_anc: DataFrame, code_anc: DataFrame, closure: DataFrame) -> DataFrame:
+    """Add ``rank_score`` (text candidates in the upper band) and ``confidence``.
+
+    The boost of a candidate is looked up through its own few ancestors, so
+    the work follows the candidates and not the nodes below a generic name.
+    """
+    above = candidates.join(sigs.select("sig_id", "name_norm", "code_norm"), "sig_id").join(
+        closure.select("ancestor_id", F.col("l3_id").alias("category_id")), "category_id")
+    boosts = (
+        above.join(name_anc.withColumnRenamed("score", "ns"), ["name_norm", "ancestor_id"], "left")
+        .join(code_anc.withColumnRenamed("score", "cs"), ["code_norm", "ancestor_id"], "left")
+        .groupBy("sig_id", "category_id")
+        .agg((F.max(F.greatest("ns", "cs")) * BOOST_FACTOR).alias("boost")))
+    boost, band = F.col("boost"), _band()
     return (
-        keyed.join(nb, ["name_norm", "category_id"], "left")
-        .join(cb, ["code_norm", "category_id"], "left")
+        candidates.join(boosts, ["sig_id", "category_id"], "left")
         .select(
             "sig_id", "category_id", "source", "score",
             F.when(boost.isNotNull(), band + boost).otherwise(band).alias("rank_score"),
@@ -455,8 +472,9 @@ def match_parts(signals: DataFrame, taxonomy: DataFrame, synonyms: DataFrame,
     open_sigs = sigs.join(synonym.select("name_norm"), "name_norm", "left_anti")
     text = text_scores(open_sigs, pairs, taxonomy)
     code = code_scores(open_sigs.join(text.select("sig_id").distinct(), "sig_id", "left_anti"), taxonomy)
-    ranked = rank_scores(text.unionByName(code), sigs, name_boost, code_boost)
-    best = pick_best(ranked, sigs, taxonomy)
+    candidates = text.unionByName(code)
+    ranked = rank_scores(candidates, sigs, name_anc, code_anc, closure)
+    best = pick_best(rank_scores(within_reach(candidates), sigs, name_anc, code_anc, closure), sigs, taxonomy)
 
     by_synonym = sigs.join(synonym, "name_norm").select(
         "sig_id", "category_id", F.lit("SYNONYM").alias("source"), F.lit(SYNONYM_CONFIDENCE).alias("confidence"))
