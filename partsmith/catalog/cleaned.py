@@ -7,11 +7,11 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from partsmith.catalog.base import query
-from partsmith.catalog.oracle import blank, rule_sql, trim
+from partsmith.catalog.oracle import blank, cte, rule_sql, trim
 from partsmith.catalog.tables import Tables
 from partsmith.config import DEFAULTS
 from partsmith.functions import parse as P, scores as S
-from partsmith.operators import cleaning, ingest, library, scoring
+from partsmith.operators import cleaning, ingest, library, rules, scoring
 from partsmith.plans.clean_file import CleanRun, clean_batch, clean_one
 
 CORE_SQL = ", ".join(cleaning.CLEANED_COLUMNS)
@@ -191,3 +191,31 @@ def _(t):
     c = cleaned(t)
     earlier = c.where("is_duplicate = 1").select(F.col("row_id").alias("entity_id"), F.lit("LOW_CONFIDENCE").alias("sample_type"))
     return scoring.low_confidence(c, earlier, F.lit(95.0), F.col("match_source").isin("UNMATCHED", "FUZZY_AMBIGUOUS"))
+
+
+cte("rule_table", "region", """SELECT r_regionkey AS rule_id, r_name AS rule_name, CASE r_regionkey WHEN 0 THEN NULL WHEN 1 THEN ':' WHEN 2 THEN '=' WHEN 3 THEN '->' ELSE '|' END AS kv_sep,
+ CASE r_regionkey WHEN 0 THEN NULL WHEN 1 THEN ';' WHEN 2 THEN ',' WHEN 3 THEN '*' ELSE '//' END AS item_sep, CAST(NULL AS VARCHAR) AS escape, CAST(NULL AS BOOLEAN) AS trim,
+ CAST(NULL AS BOOLEAN) AS ignore_empty, r_regionkey <> 2 AS is_active, TIMESTAMP '2024-01-01 00:00:00' AS created_at FROM region""")
+
+
+def rule_table(t):
+    return t["region"].selectExpr(
+        "cast(r_regionkey as long) AS rule_id", "r_name AS rule_name", "CASE r_regionkey WHEN 0 THEN NULL WHEN 1 THEN ':' WHEN 2 THEN '=' WHEN 3 THEN '->' ELSE '|' END AS kv_sep",
+        "CASE r_regionkey WHEN 0 THEN NULL WHEN 1 THEN ';' WHEN 2 THEN ',' WHEN 3 THEN '*' ELSE '//' END AS item_sep", "cast(NULL as string) AS escape",
+        "cast(NULL as boolean) AS trim", "cast(NULL as boolean) AS ignore_empty", "r_regionkey <> 2 AS is_active", "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS created_at")
+
+
+@query("cl_rules_active", "SELECT CAST(rule_id AS BIGINT) AS rule_id, rule_name, coalesce(kv_sep, ' ') AS kv_sep, coalesce(item_sep, ';') AS item_sep FROM rule_table WHERE is_active")
+def _(t):
+    return rules.active_rules(rule_table(t)).select("rule_id", "rule_name", "kv_sep", "item_sep")
+
+
+@query("udf_rules", """WITH r AS (SELECT p_partkey, p_brand, p_size, coalesce(k.kv_sep, ' ') AS kv, coalesce(k.item_sep, ';') AS item FROM part LEFT JOIN rule_table k ON k.rule_id = p_partkey % 6 AND k.is_active)
+ SELECT p_partkey AS row_id, 0 AS pos, 'brand' AS key, p_brand AS value FROM r UNION ALL SELECT p_partkey, 1, 'size', CAST(p_size AS VARCHAR) FROM r UNION ALL SELECT p_partkey, 2, '', 'loose' FROM r""")
+def _(t):
+    filled = rules.with_defaults(rule_table(t).where("is_active")).select("rule_id", "kv_sep", "item_sep")
+    texts = t["part"].selectExpr("p_partkey AS row_id", "p_partkey % 6 AS rule_id", "p_brand", "p_size").join(filled, "rule_id", "left").selectExpr(
+        "row_id", "rule_id", "coalesce(kv_sep, ' ') AS k", "coalesce(item_sep, ';') AS i", "p_brand", "p_size").selectExpr(
+        "row_id", "rule_id", "concat('brand', k, p_brand, i, ' size ', k, p_size, i, i, 'loose') AS text")
+    texts = texts.withColumn("text", F.regexp_replace("text", "size  ", "size "))
+    return rules.parse_rows(texts, rule_table(t), "text").select("row_id", F.inline("items"))

@@ -130,3 +130,35 @@ def _(t):
     path = f"{shared_dir(t.spark)}/report-{uuid.uuid4().hex}"
     R.search_tasks(t["review_tasks"], statuses=("in_progress",)).select("task_id", "status", "priority").write.partitionBy("priority").parquet(path)
     return t.spark.read.parquet(path).select("task_id", "status", "priority")
+
+
+cte("approvals", "events", """SELECT CAST(CASE WHEN event_id % 50 = 0 THEN -1 ELSE user_id END AS BIGINT) AS task_id, CASE WHEN event_id % 11 = 0 THEN ' ' ELSE 'u'||CAST(event_id % 7 AS VARCHAR) END AS user_id,
+ CASE event_id % 5 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' WHEN 2 THEN 'hold' WHEN 3 THEN 'other' ELSE '' END AS result,
+ CASE WHEN event_id % 3 = 0 THEN 'c'||CAST(event_id AS VARCHAR) END AS comments, ts AS done_at, event_id AS seq FROM events""")
+
+
+def approvals(t):
+    return t["events"].selectExpr(
+        "cast(CASE WHEN event_id % 50 = 0 THEN -1 ELSE user_id END AS BIGINT) AS task_id",
+        "CASE WHEN event_id % 11 = 0 THEN ' ' ELSE concat('u', event_id % 7) END AS user_id",
+        "CASE event_id % 5 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' WHEN 2 THEN 'hold' WHEN 3 THEN 'other' ELSE '' END AS result",
+        "CASE WHEN event_id % 3 = 0 THEN concat('c', event_id) END AS comments", "ts AS at", "event_id AS seq")
+
+
+@query("rv_approve", """WITH g AS (SELECT * FROM approvals WHERE trim(user_id) <> '' AND result <> '' AND task_id IN (SELECT task_id FROM review_tasks)),
+ m AS (SELECT task_id, arg_max(CASE result WHEN 'approve' THEN 'completed' ELSE 'pending' END, (done_at, seq)) FILTER (result IN ('approve', 'reject', 'hold')) AS s,
+   arg_max(CASE result WHEN 'approve' THEN 'approved' ELSE 'rejected' END, (done_at, seq)) FILTER (result IN ('approve', 'reject')) AS resolution,
+   arg_max(user_id, (done_at, seq)) FILTER (result = 'approve') AS completed_by, count(*) FILTER (comments IS NOT NULL) AS n_notes,
+   arg_max(comments, (done_at, seq)) FILTER (comments IS NOT NULL) AS last_note FROM g GROUP BY task_id)
+ SELECT t.task_id, coalesce(m.s, t.status) AS status, m.resolution, m.completed_by, coalesce(m.n_notes, 0) AS n_notes, m.last_note FROM review_tasks t LEFT JOIN m USING (task_id)""")
+def _(t):
+    done = R.apply_approvals(t["review_tasks"].drop("resolution", "completed_by", "description"), approvals(t))[0]
+    notes = F.split(F.col("description"), "\n\n")
+    return done.select("task_id", "status", "resolution", "completed_by", F.coalesce(F.size(notes), F.lit(0)).cast("long").alias("n_notes"),
+                       F.regexp_extract(F.element_at(notes, -1), "]: (.*)$", 1).alias("last_note"))
+
+
+@query("rv_approve_refused", """SELECT task_id, done_at, CASE WHEN trim(user_id) = '' THEN 'blank user' WHEN result = '' THEN 'blank result' ELSE 'missing task' END AS reason
+ FROM approvals WHERE trim(user_id) = '' OR result = '' OR task_id NOT IN (SELECT task_id FROM review_tasks)""")
+def _(t):
+    return R.apply_approvals(t["review_tasks"], approvals(t))[1].withColumnRenamed("at", "done_at")

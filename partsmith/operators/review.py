@@ -253,6 +253,57 @@ def auto_assign(tasks: DataFrame, buckets: int = 64) -> DataFrame:
         ranked.select("slot", "assignee"), "slot").select("task_id", "assignee")
 
 
+# What an approval does to a task, and how its comment is written down.
+APPROVALS = {"approve": ("completed", "approved"), "reject": ("pending", "rejected"), "hold": ("pending", None)}
+APPROVAL_NOTE = "审批意见"
+
+
+def apply_approvals(tasks: DataFrame, approvals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(tasks, refused(task_id, at, reason))`` after ``approvals(task_id, user_id, result, comments, at, seq)`` in order.
+
+    An approval completes the task, a rejection or a hold returns it; a hold
+    keeps the resolution, and who completed a task stays written down.  Every
+    comment is added to the description.  Only the last of each kind matters,
+    so the state is one aggregate per task; comments of a task are few.
+    """
+    known = tasks.select("task_id", F.lit(True).alias("_known"))
+    checked = approvals.join(known, "task_id", "left").withColumn(
+        "reason", F.when(T.is_blank(F.col("user_id")), "blank user").when(T.is_blank(F.col("result")), "blank result")
+        .when(F.col("_known").isNull(), "missing task"))
+    good = checked.where("reason is null")
+    place = F.struct("at", "seq")
+
+    def last(value: Column, when: Column) -> Column:
+        return F.max_by(F.when(when, value), F.when(when, place))
+
+    def effect(k: int) -> Column:
+        out = F.lit(None).cast("string")
+        for name, done in APPROVALS.items():
+            out = F.when(F.col("result") == name, F.lit(done[k])).otherwise(out)
+        return out
+
+    moved, settled, approved = F.col("result").isin(*APPROVALS), F.col("result").isin("approve", "reject"), F.col("result") == "approve"
+    said = ~T.is_blank(F.col("comments"))
+    note = F.concat(F.lit(f"{APPROVAL_NOTE} ["), F.col("at").cast("string"), F.lit("] ["), "user_id", F.lit("]: "), "comments")
+    after = good.groupBy("task_id").agg(
+        last(effect(0), moved).alias("_status"), last(effect(1), settled).alias("_resolution"),
+        last(F.col("user_id"), approved).alias("_by"), F.max(F.when(approved, F.col("at"))).alias("_done"),
+        F.sort_array(F.collect_list(F.when(said, F.struct("at", "seq", note.alias("note"))))).alias("_notes"), F.max("at").alias("_at"))
+    notes = F.transform("_notes", lambda n: n["note"])
+
+    def old(c: str, kind: str) -> Column:
+        return F.col(c) if c in tasks.columns else F.lit(None).cast(kind)
+
+    written = F.concat_ws("\n\n", F.array_compact(F.concat(F.array(old("description", "string")), F.coalesce(notes, F.array().cast("array<string>")))))
+    out = tasks.join(after, "task_id", "left").withColumns({
+        "status": F.coalesce("_status", "status"), "resolution": F.coalesce(F.col("_resolution"), old("resolution", "string")),
+        "completed_by": F.coalesce(F.col("_by"), old("completed_by", "string")), "completed_at": F.coalesce(F.col("_done"), old("completed_at", "timestamp_ntz")),
+        "description": F.when(F.size("_notes") > 0, written).otherwise(old("description", "string")),
+        "updated_at": F.coalesce(F.col("_at"), old("updated_at", "timestamp_ntz"))}).drop(
+        "_status", "_resolution", "_by", "_done", "_notes", "_at")
+    return out, checked.where("reason is not null").select("task_id", "at", "reason")
+
+
 def set_status(df: DataFrame, edits: DataFrame, key: str) -> DataFrame:
     """Apply ``edits(key, status, reviewer, comment)`` to matching rows.
 
