@@ -78,13 +78,28 @@ def _(t):
     return table.latest().select("task_id", "status", "assignee", "resolution")
 
 
-@query("st_watch_timeouts", None)
+# Each event is submitted at its time; two of three are answered five minutes later (some twice), one of seven five minutes before.
+@query("st_watch_timeouts", """WITH e AS (SELECT event_id, ts, event_id % 3 <> 0 OR event_id % 7 = 0 AS heard FROM events),
+ w AS (SELECT max(ts + CASE WHEN event_id % 3 <> 0 THEN INTERVAL 5 MINUTE ELSE INTERVAL 0 MINUTE END) - INTERVAL 10 MINUTE AS mark FROM events)
+ SELECT 'T'||CAST(event_id AS VARCHAR) AS task_id, CASE WHEN heard THEN 'callback_received' ELSE 'callback_timeout' END AS status
+ FROM e, w WHERE heard OR epoch_ms(ts) + 1800000 < epoch_ms(mark)""")
 def _(t):
-    e = t["events"]
-    kind = F.when(F.col("event_type") == "signup", "submit").otherwise("callback")
+    at = F.col("ts").cast("timestamp")
+    event = F.concat(F.lit("T"), F.col("event_id").cast("string")).alias("task_id")
+    later, before = at + F.expr("INTERVAL 5 MINUTES"), at - F.expr("INTERVAL 5 MINUTES")
+    submit = t["events"].select(event, at.alias("ts"), F.lit("submit").alias("kind"))
+    answer = t["events"].where("event_id % 3 <> 0").select(event, later.alias("ts"), F.lit("callback").alias("kind"))
+    again = t["events"].where("event_id % 3 = 2").select(event, later.alias("ts"), F.lit("callback").alias("kind"))
+    early = t["events"].where("event_id % 7 = 0").select(event, before.alias("ts"), F.lit("callback").alias("kind"))
     path, out = fresh(t, "watch-in"), fresh(t, "watch-out")
-    e.select(F.concat(F.lit("T"), F.col("event_id").cast("string")).alias("task_id"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind")).write.parquet(path)
-    stream = t.spark.readStream.schema("task_id string, ts timestamp, kind string").parquet(path)
+    rows = submit.unionByName(answer).unionByName(again).unionByName(early)
+    cuts = [r["q"] for r in [rows.agg(F.percentile(F.unix_micros("ts"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).first()]][0]
+    bounds = [None, *cuts, None]
+    for low, high in zip(bounds[:-1], bounds[1:]):  # four files, in the order of their times
+        part = rows if low is None else rows.where(F.unix_micros("ts") >= low)
+        part = part if high is None else part.where(F.unix_micros("ts") < high)
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = t.spark.readStream.schema("task_id string, ts timestamp, kind string").option("maxFilesPerTrigger", 1).parquet(path)
     run_available(C.watch_timeouts(stream).writeStream.outputMode("append").format("parquet").option("path", out).option(
         "checkpointLocation", fresh(t, "ckpt")))
     return t.spark.read.schema(C.TIMEOUT_OUT).parquet(out)

@@ -52,35 +52,43 @@ def last_status(stream: DataFrame, late: str = "2 days") -> DataFrame:
 TIMEOUT_OUT = "task_id string, status string"
 
 
+HEARD = -1
+
+
 def watch_timeouts(stream: DataFrame, minutes: int = 30, late: str = "10 minutes") -> DataFrame:
     """``(task_id, status)``: a submitted task that hears nothing for ``minutes`` times out.
 
     ``stream(task_id, ts, kind)`` mixes ``submit`` and ``callback`` events; the
-    timer runs on event time and is cancelled by a callback.
+    timer runs on event time and is cancelled by a callback.  The first
+    callback of a task is reported once; that it came is remembered for
+    ``minutes`` after it, so a submit that arrives in a later batch starts no
+    timer.  State goes with the timer.
     """
     wait_ms = minutes * 60 * 1000
 
     def watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         task: Any = key[0]
+        held = state.get[0] if state.exists else None
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame({"task_id": [task], "status": ["callback_timeout"]})
+            if held != HEARD:
+                yield pd.DataFrame({"task_id": [task], "status": ["callback_timeout"]})
             return
-        submitted = state.get[0] if state.exists else None
-        heard = False
+        submits, calls = [], []
         for frame in frames:
-            heard = heard or bool((frame["kind"] == "callback").any())
-            first = frame.loc[frame["kind"] == "submit", "ts"]
-            if len(first):
-                at = int(first.min().timestamp() * 1000)
-                submitted = at if submitted is None else min(submitted, at)
-        if heard:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"task_id": [task], "status": ["callback_received"]})
-        elif submitted is not None:
+            ms = (frame["ts"].astype("int64") // 10 ** (6 if frame["ts"].dt.unit == "ns" else 3)).tolist()
+            for at, kind in zip(ms, frame["kind"]):
+                (calls if kind == "callback" else submits).append(at)
+        soonest = state.getCurrentWatermarkMs() + 1
+        if calls or held == HEARD:
+            state.update((HEARD,))
+            state.setTimeoutTimestamp(max(max(calls + submits, default=soonest) + wait_ms, soonest))
+            if held != HEARD:
+                yield pd.DataFrame({"task_id": [task], "status": ["callback_received"]})
+        elif submits or held is not None:
+            submitted = min(submits + ([held] if held is not None else []))
             state.update((submitted,))
-            state.setTimeoutTimestamp(max(submitted + wait_ms, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(submitted + wait_ms, soonest))
 
     return stream.withWatermark("ts", late).groupBy("task_id").applyInPandasWithState(
         watch, TIMEOUT_OUT, "submitted_ms long", "append", GroupStateTimeout.EventTimeTimeout)
