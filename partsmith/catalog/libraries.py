@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from partsmith.catalog.base import query
 from partsmith.catalog.cleaned import cleaned
@@ -181,10 +181,23 @@ def _(t):
     return C.classify_text(texts, t["taxonomy"], indexes(t)).select("text_id", "code", "name", "relevance", "n_candidates")
 
 
-@query("ck_classify_documents", None)
+# Long texts; every third holds nothing but the name of a category, every sixth its code's name in brackets.
+cte("free_docs", "documents taxonomy", f"""WITH k AS (SELECT category_name, row_number() OVER (ORDER BY id) - 1 AS rn FROM taxonomy)
+ SELECT doc_id AS row_id, CASE WHEN doc_id % 6 = 0 THEN '['||upper(category_name)||']' WHEN doc_id % 3 = 0 THEN category_name ELSE text END AS full_description,
+ full_description AS material_name, full_description AS specification FROM documents JOIN k ON k.rn = doc_id % 200 WHERE NOT {blank('text')}""")
+cte("doc_hits", "free_docs lib_text tok_idx code_idx taxonomy",
+    recall_sql("free_docs", [("full_description", 0.95), ("material_name", 0.85), ("specification", 0.6)], []))
+
+
+@query("ck_classify_documents", """SELECT r.row_id AS text_id, h.category_code AS code, t.category_name AS name, h.relevance, coalesce(n.n, 0) AS n_candidates
+ FROM free_docs r LEFT JOIN doc_hits h ON h.row_id = r.row_id AND h.rank = 1 LEFT JOIN taxonomy t ON t.id = h.category_id LEFT JOIN (SELECT row_id, count(*) AS n FROM doc_hits GROUP BY row_id) n ON n.row_id = r.row_id""")
 def _(t):
-    texts = t["documents"].select(F.col("doc_id").alias("text_id"), "text")
-    return C.classify_text(texts, t["taxonomy"], indexes(t)).select("text_id", "code", "name", "relevance", "n_candidates", "message")
+    names = t["taxonomy"].select("category_name", (F.row_number().over(Window.orderBy("id")) - 1).alias("rn"))
+    texts = t["documents"].join(names, F.col("doc_id") % 200 == F.col("rn")).select(
+        F.col("doc_id").alias("text_id"),
+        F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("["), F.upper("category_name"), F.lit("]")))
+        .when(F.col("doc_id") % 3 == 0, F.col("category_name")).otherwise(F.col("text")).alias("text"))
+    return C.classify_text(texts, t["taxonomy"], indexes(t)).select("text_id", "code", "name", "relevance", "n_candidates")
 
 
 # ---------------------------------------------------------------- corrections
