@@ -96,38 +96,41 @@ def resolve_header(cleaned: DataFrame, std_header: DataFrame, default: Column |
     return out if default is None else out.withColumn("std_id", F.coalesce("std_id", default))
 
 
-def _row_values(raw: DataFrame, header: DataFrame, items: str) -> DataFrame:
-    """Per row two maps: header name to cell (first column of a name), attribute key to value."""
-    firsts = header.where("name is not null").groupBy("title_id", "name").agg(F.min("pos").alias("pos"))
-    names = firsts.groupBy("title_id").agg(F.sort_array(F.collect_list(F.struct("pos", "name"))).alias("_names"))
-    cells = cells_of(raw)
-    pairs = F.transform("_names", lambda h: F.struct(h["name"].alias("k"), F.get(cells, h["pos"] - 1).alias("v")))
+def _row_values(raw: DataFrame, items: str) -> DataFrame:
+    """Per row its cells by position and its attributes by key."""
     attrs = F.map_from_entries(F.transform(items, lambda p: F.struct(p["key"], p["value"])))
-    return raw.join(names, "title_id", "left").select(
-        "title_id", "row_id", F.map_from_entries(pairs).alias("cells"), attrs.alias("attrs"))
+    return raw.select("title_id", "row_id", cells_of(raw).alias("cells"), attrs.alias("attrs"))
 
 
-def plan_targets(mappings: DataFrame, std_header: DataFrame) -> DataFrame:
-    """``(title_id, std_id, plan)``: per target in order, its source type and source list.
+def plan_targets(mappings: DataFrame, std_header: DataFrame, header: DataFrame) -> DataFrame:
+    """``(title_id, std_id, plan)``: per target in order, its source type and its sources.
 
-    The first mapping of a target wins.  One entry per target of a header.
+    The first mapping of a target wins.  Source names are cut apart and led to
+    the position of the first column of that name here, once per file and
+    header, so that rows only read arrays.  One entry per target of a header.
     """
     order = F.struct(
         (F.col("mapping_type") != "manual").alias("o"), F.when(F.col("source_type") == RAW, 0).otherwise(1).alias("t"),
         F.coalesce("source_pos", F.lit(0)).alias("p"), "source_type", "source")
-    best = mappings.where("target is not null").groupBy("title_id", "std_id", "target").agg(F.min(order).alias("m"))
-    return best.join(std_header.select("std_id", "target", "pos"), ["std_id", "target"]).groupBy("title_id", "std_id").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "target", "m.source_type", "m.source"))).alias("plan"))
+    best = mappings.where("target is not null").groupBy("title_id", "std_id", "target").agg(F.min(order).alias("m")).select(
+        "title_id", "std_id", "target", "m.source_type", "m.source")
+    firsts = header.where("name is not null").groupBy("title_id", "name").agg(F.min("pos").alias("cell"))
+    cut = best.select("title_id", "std_id", "target", F.posexplode(F.split("source", "[,，]")).alias("i", "name"))
+    sources = cut.withColumn("name", T.jtrim(F.col("name"))).where("name <> ''").join(firsts, ["title_id", "name"], "left").groupBy(
+        "title_id", "std_id", "target").agg(F.sort_array(F.collect_list(F.struct("i", "name", "cell"))).alias("sources"))
+    entries = best.join(sources, ["title_id", "std_id", "target"], "left").join(
+        std_header.select("std_id", "target", "pos"), ["std_id", "target"])
+    return entries.groupBy("title_id", "std_id").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "target", "source_type", "sources"))).alias("plan"))
 
 
 def value_of(entry: Column, cells: Column, attrs: Column) -> Column:
     """Sources of one target: declared type first, then raw, then extracted; blanks dropped."""
-    def one(name: Column) -> Column:
-        raw_v, attr_v = F.try_element_at(cells, name), F.try_element_at(attrs, name)
+    def one(source: Column) -> Column:
+        raw_v, attr_v = F.get(cells, source["cell"] - 1), F.try_element_at(attrs, source["name"])
         return F.when(entry["source_type"] == EXTRA, F.coalesce(attr_v, raw_v)).otherwise(F.coalesce(raw_v, attr_v))
 
-    listed = F.filter(F.transform(F.split(entry["source"], "[,，]"), T.jtrim), lambda n: n != "")
-    values = F.filter(F.transform(listed, lambda n: T.jtrim(one(n))), lambda v: v.isNotNull() & (v != ""))
+    values = F.filter(F.transform(entry["sources"], lambda n: T.jtrim(one(n))), lambda v: v.isNotNull() & (v != ""))
     return F.nullif(F.array_join(values, ","), F.lit(""))
 
 
@@ -135,12 +138,12 @@ def fill_long(cleaned: DataFrame, mappings: DataFrame, parsed: DataFrame, header
               std_header: DataFrame) -> DataFrame:
     """``(title_id, row_id, std_id, pos, target, value)`` for every row with a header.
 
-    Row values travel as two maps next to the row, the plan as a short array
-    joined per (file, header): one row-sized join, no explode by source.
+    Row values travel as an array and a map next to the row, the plan as a
+    short array joined per (file, header): one row-sized join, no explode by source.
     """
     rows = resolve_header(cleaned.select("title_id", "row_id", "category_code"), std_header).where("std_id is not null")
-    joined = rows.join(plan_targets(mappings, std_header), ["title_id", "std_id"]).join(
-        _row_values(parsed, header, "items"), ["title_id", "row_id"])
+    joined = rows.join(plan_targets(mappings, std_header, header), ["title_id", "std_id"]).join(
+        _row_values(parsed, "items"), ["title_id", "row_id"])
     return joined.select("title_id", "row_id", "std_id", F.explode("plan").alias("e"), "cells", "attrs").select(
         "title_id", "row_id", "std_id", "e.pos", "e.target", value_of(F.col("e"), F.col("cells"), F.col("attrs")).alias("value"))
 
@@ -154,14 +157,16 @@ def fill_all(cleaned: DataFrame, mappings: DataFrame, parsed: DataFrame, header:
     if width is None:
         width = std_header.agg(F.max("pos")).first()[0] or 0
     rows = resolve_header(cleaned.select("title_id", "row_id", "category_code"), std_header).where("std_id is not null")
-    joined = rows.join(plan_targets(mappings, std_header), ["title_id", "std_id"]).join(
-        _row_values(parsed, header, "items"), ["title_id", "row_id"])
+    joined = rows.join(plan_targets(mappings, std_header, header), ["title_id", "std_id"]).join(
+        _row_values(parsed, "items"), ["title_id", "row_id"])
     filled = F.transform("plan", lambda e: F.struct(
         e["pos"].alias("pos"), value_of(e, F.col("cells"), F.col("attrs")).alias("value")))
-    valued = joined.select("title_id", "row_id", "std_id", F.map_from_entries(filled).alias("values"))
-    return valued.select(
-        "title_id", "row_id", "std_id", *[F.try_element_at("values", F.lit(i)).alias(f"col{i}") for i in range(1, width + 1)],
-        F.lit("processed").alias("status"))
+    valued = joined.select("title_id", "row_id", "std_id", filled.alias("values"))
+
+    def slot(i: int) -> Column:
+        return F.get(F.transform(F.filter("values", lambda v: v["pos"] == i), lambda v: v["value"]), F.lit(0)).alias(f"col{i}")
+
+    return valued.select("title_id", "row_id", "std_id", *[slot(i) for i in range(1, width + 1)], F.lit("processed").alias("status"))
 
 
 def fill_counters(cleaned: DataFrame, std_header: DataFrame, std_id: Column) -> DataFrame:
