@@ -146,20 +146,21 @@ def _prune(percent: int):
 
 
 def _compare_blocks(percent: int):
-    """Pairs (u > v) of different roots among the rows of one key; rows come sorted by key, a key's rows are bounded by two blocks.
+    """Pairs (u > v) of different roots: the visitors of a block (rows outside the bucket's main component) against its residents.
 
-    A pair is compared in the first of the bands that it shares.
+    Rows come sorted by key and blocks, at most a block of each kind.  A pair
+    is compared in the first of the bands that it shares.
     """
 
     def pairs(key, rows):
-        node, root, side, size, sig = (np.concatenate(x) for x in zip(*rows))
+        node, root, side, other_root, size, sig = (np.concatenate(x) for x in zip(*rows))
         band = key[0] >> (8 * ROWS)
         blocks = sig[:, :BANDS * ROWS].reshape(-1, BANDS, ROWS)
-        a, b = (np.flatnonzero(side <= 0), np.flatnonzero(side >= 0))
+        a, b = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
         out = []
         for i in a:  # one row against the block at a time
             sizes = size[b]
-            can = (root[b] != root[i]) & ((node[b] < node[i]) | (side[i] != 0))
+            can = (root[b] != root[i]) & (~other_root[b] | (node[b] < node[i]))
             other = b[can & (100 * np.minimum(sizes, size[i]) >= percent * np.maximum(sizes, size[i]))]
             if len(other) and band:
                 other = other[~(blocks[other, :band] == blocks[i, :band]).all(axis=2).any(axis=1)]
@@ -176,6 +177,7 @@ def _compare_blocks(percent: int):
             key = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
             cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
             node, root, side, size = (batch.column(c).to_numpy() for c in ("node", "root", "side", "n_shingles"))
+            outside = batch.column("other").to_numpy(zero_copy_only=False)
             sig = _signatures(batch.column("sig"))
             found = []
             for a, b in zip([0, *cuts], [*cuts, len(batch)]):
@@ -184,7 +186,7 @@ def _compare_blocks(percent: int):
                     found.append(pairs(held_key, held))
                     held = []
                 held_key = here
-                held.append((node[a:b], root[a:b], side[a:b], size[a:b], sig[a:b]))
+                held.append((node[a:b], root[a:b], side[a:b], outside[a:b], size[a:b], sig[a:b]))
             if found:
                 uv = np.concatenate(found, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(uv[0]), pa.array(uv[1])], names=["u", "v"])
@@ -270,16 +272,25 @@ def near_duplicates(docs: DataFrame, width: int, percent: int = 80) -> DataFrame
         sigs.select(F.col("node").alias("v"), F.col("sig").alias("sig_v")), "v")
     links = stage(_confirmed(with_sigs.mapInArrow(_prune(percent), "u long, v long"), texts, width, percent), "minhash-stars")
 
-    # second round: whatever shares a bucket and is not in one component yet
+    # second round: whatever shares a bucket and is not in one component yet.  The main component of a bucket, that of
+    # its smallest node, needs no comparison with itself: its nodes stay in one block each, only the others visit all blocks
     roots = components(links)
-    placed = shared.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    mine = F.pmod(F.xxhash64("node"), blocks)
-    spread = (placed.join(mixed, "key").withColumn("mine", mine)
-              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-              .select("key", "node", "root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-                      F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), -1).otherwise(1).alias("side")))
+    placed = shared.join(roots, "node", "left").select("key", "node", "center", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("key").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.when(F.col("node") == F.col("center"), F.col("root"))).alias("main"))
+    apart = placed.join(mixed.filter("low <> high").select("key", "main"), "key").select(
+        "key", "node", "root", (F.col("root") != F.col("main")).alias("other"))
+    apart = stage(apart, "minhash-mixed")
+    sizes = apart.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.ceil(F.count_if("other") / BLOCK).alias("visits"))
+    dealt = apart.join(sizes, "key")
+
+    def all_of(n: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    columns = ["key", "node", "root", "other"]
+    residents = dealt.select(*columns, F.pmod(F.xxhash64("node"), "blocks").alias("i"), all_of("visits").alias("j"), F.lit(0).alias("side"))
+    visitors = dealt.filter("other").select(*columns, F.pmod(F.xxhash64("node"), "visits").alias("j"), all_of("blocks").alias("i"), F.lit(1).alias("side"))
+    spread = residents.unionByName(visitors)
     compared = spread.join(sigs, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
         _compare_blocks(percent), "u long, v long")
     more = stage(_confirmed(compared, texts, width, percent), "minhash-links")
