@@ -117,7 +117,7 @@ def _(t):
  SELECT query_id, row_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY row_id DESC) AS INTEGER) AS place FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY row_id DESC) <= 200""")
 def _(t):
     asked = t["taxonomy"].where("level = 2").select(F.col("id").alias("query_id"), T.tokens(F.col("category_name")).alias("words"))
-    return Q.any_keyword(log(t), asked, 200)
+    return Q.any_keyword(log(t), asked, 200, 6)
 
 
 @query("prj_display", """SELECT id AS "编号", material_name AS "物料名称", category_name AS "分类名称", status AS "状态", CAST(NULL AS VARCHAR) AS "备注" FROM cleaned_log""")

@@ -19,10 +19,17 @@ def fresh(t, label: str) -> str:
     return f"{shared_dir(t.spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def arriving(t, name: str, by: str, parts: int = 4, per_trigger: int = 4) -> DataFrame:
-    """A view as files that a stream picks up."""
+def arriving(t, name: str, by: str, parts: int = 4, per_trigger: int = 1) -> DataFrame:
+    """A view as files that a stream picks up one after the other, in the order of ``by``."""
     path = fresh(t, f"{name}-in")
-    t[name].repartitionByRange(parts, by).write.parquet(path)
+    timed = dict(t[name].dtypes)[by].startswith("timestamp")
+    at = F.col(by).cast("timestamp").cast("double") if timed else F.col(by).cast("double")
+    cuts = t[name].agg(F.percentile(at, F.array(*[F.lit(i / parts) for i in range(1, parts)])).alias("q")).first()["q"]
+    bounds = [None, *cuts, None]
+    for low, high in zip(bounds[:-1], bounds[1:]):
+        part = t[name] if low is None else t[name].where(at >= low)
+        part = part if high is None else part.where(at < high)
+        part.coalesce(1).write.mode("append").parquet(path)
     return t.spark.readStream.schema(t[name].schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
@@ -49,10 +56,13 @@ def _(t):
     return rows.latest().select("task_id", "row_index", "category_code", "category_name", "needs_review", "row_status")
 
 
-@query("st_task_progress", """SELECT json_extract_string(payload, '$.taskId') AS task_id, count(*) AS callbacks, CAST(sum(coalesce(json_array_length(payload, '$.results'), 0)) AS BIGINT) AS result_rows,
- count(*) FILTER (json_extract_string(payload, '$.status') = 'failed') AS errors, max(CAST(json_extract_string(payload, '$.stats.total') AS BIGINT)) AS total FROM callbacks GROUP BY 1""")
+@query("st_task_progress", """WITH d AS (SELECT DISTINCT payload FROM callbacks) SELECT json_extract_string(payload, '$.taskId') AS task_id, count(*) AS callbacks, CAST(sum(coalesce(json_array_length(payload, '$.results'), 0)) AS BIGINT) AS result_rows,
+ count(*) FILTER (json_extract_string(payload, '$.status') = 'failed') AS errors, max(CAST(json_extract_string(payload, '$.stats.total') AS BIGINT)) AS total FROM d GROUP BY 1""")
 def _(t):
-    return collected(t, C.progress(arriving(t, "callbacks", "ts", per_trigger=1)), "complete")
+    out = fresh(t, "arrived")
+    stream = C.arrivals(arriving(t, "callbacks", "ts", per_trigger=1), "60 days")
+    run_available(stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", fresh(t, "ckpt")))
+    return C.progress(t.spark.read.schema(stream.schema).parquet(out))
 
 
 @query("st_late", """SELECT json_extract_string(payload, '$.taskId') AS task_id, arg_max(json_extract_string(payload, '$.status'), ts) AS status, max(ts) AS last_at FROM callbacks GROUP BY 1""")
@@ -65,7 +75,7 @@ def _(t):
     out = fresh(t, "cleaned-stream")
     none = t.spark.createDataFrame([], "title_id bigint, source_row_hash string")
     seen = VersionedTable(t.spark, fresh(t, "seen"), none)
-    stream = arriving(t, "raw_rows", "row_id")
+    stream = arriving(t, "raw_rows", "row_id", parts=3)
     run_available(W.clean(stream, t["raw_header"], t["taxonomy"], t["synonyms"], out, seen, fresh(t, "ckpt")))
     return t.spark.read.parquet(out).select(*cleaning.CLEANED_COLUMNS)
 

@@ -50,6 +50,8 @@ def dashboard(titles: DataFrame, raw: DataFrame, cleaned: DataFrame, results: Da
     owner = raw.select("row_id", "title_id")
 
     def per_title(df: DataFrame, key: str, name: str) -> DataFrame:
+        if "title_id" in df.columns:
+            return df.groupBy("title_id").agg(F.count("*").alias(name))
         return df.select(F.col(key).alias("row_id")).join(owner, "row_id").groupBy("title_id").agg(F.count("*").alias(name))
 
     joined = (

@@ -117,22 +117,27 @@ def apply_filters(df: DataFrame, filters: dict) -> DataFrame:
     return df.where(all_of(conditions))
 
 
-def any_keyword(cleaned: DataFrame, queries: DataFrame, limit: int = 200, max_tokens: int = 6) -> DataFrame:
-    """Newest rows that hold any of a query's tokens: ``(query_id, row_id, place)``.
-
-    ``queries(query_id, words)``.  Distinct tokens are matched against rows
-    through their bigrams, so no row meets a token it shares nothing with; a
-    row beyond the newest ``limit`` of a token cannot be among the newest
-    ``limit`` of a query holding that token.
+def any_keyword(cleaned: DataFrame, queries: DataFrame, limit: int, max_tokens: int | None = None) -> DataFrame:
+    """The ``limit`` newest rows that hold any of a query's tokens: ``(query_id, row_id, place)``.
+
+    ``queries(query_id, words)``; ``max_tokens`` takes the first words only, if
+    asked for.  Rows and tokens meet through the token's rarest bigram among
+    the rows; only row ids travel with the bigrams, the text is fetched for the
+    test.  A row beyond the newest ``limit`` of a token cannot be among the
+    newest ``limit`` of a query holding that token.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(F.slice("words", 1, max_tokens))).alias("token"))
+    words = F.col("words") if max_tokens is None else F.slice("words", 1, max_tokens)
+    asked = queries.select("query_id", F.explode(F.array_distinct(words)).alias("token"))
     hay = F.concat_ws("\n", "material_name", "specification", "full_description", "grade")
     rows = cleaned.select("row_id", hay.alias("hay"))
-    tokens = asked.select("token").distinct()
-    keyed_tokens = tokens.select("token", F.get(T.bigrams(F.col("token")), F.lit(0)).alias("gram"))
-    grams = F.array_union(T.bigrams(F.col("hay")), T.chars(F.col("hay")))
-    keyed_rows = rows.select("row_id", "hay", F.explode(grams).alias("gram"))
-    hits = keyed_rows.join(keyed_tokens, "gram").where(F.contains("hay", F.col("token"))).select("token", "row_id")
+    grams = asked.select("token").distinct().select("token", F.explode(F.array_distinct(T.bigrams(F.col("token")))).alias("gram"))
+    held = rows.select("row_id", F.explode(F.array_union(T.bigrams(F.col("hay")), T.chars(F.col("hay")))).alias("gram")).join(
+        grams.select("gram").distinct(), "gram", "left_semi")
+    often = held.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = grams.join(often, "gram", "left").groupBy("token").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).select("token", "g.gram")
+    hits = held.join(rarest, "gram").select("token", "row_id").distinct().join(rows, "row_id").where(
+        F.contains("hay", F.col("token"))).select("token", "row_id")
     newest = Window.partitionBy("token").orderBy(F.col("row_id").desc())
     hits = hits.withColumn("n", F.row_number().over(newest)).where(F.col("n") <= limit).drop("n")
     found = asked.join(hits, "token").select("query_id", "row_id").distinct()

@@ -34,16 +34,30 @@ def ingest(stream: DataFrame, rows: VersionedTable, tasks: VersionedTable, log:
     return each_batch(stream, merge, checkpoint)
 
 
-def progress(stream: DataFrame) -> DataFrame:
-    """Running counts per task: callbacks, result rows, failures (update or complete mode)."""
-    body = X.read_payloads(stream)
-    return body.groupBy("task_id").agg(
-        F.count("*").alias("callbacks"), F.sum(F.coalesce(F.size("body.results"), F.lit(0))).alias("result_rows"),
-        F.count_if(F.col("body.status") == "failed").alias("errors"), F.max("body.stats.total").alias("total"))
+def arrivals(stream: DataFrame, late: str = "2 days") -> DataFrame:
+    """One row per distinct payload: ``(task_id, digest, ts, result_rows, failed, total)``, for an append sink.
+
+    A repeat within ``late`` of the first arrival is dropped; what has to be
+    remembered for that goes with the watermark.
+    """
+    timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return X.read_payloads(timed).dropDuplicatesWithinWatermark(["digest"]).select(
+        "task_id", "digest", "ts", F.coalesce(F.size("body.results"), F.lit(0)).alias("result_rows"),
+        F.coalesce(F.col("body.status") == "failed", F.lit(False)).alias("failed"), F.col("body.stats.total").alias("total"))
+
+
+def progress(arrived: DataFrame) -> DataFrame:
+    """Counts per task of what :func:`arrivals` has written: callbacks, result rows, failures."""
+    return arrived.groupBy("task_id").agg(
+        F.count("*").alias("callbacks"), F.sum("result_rows").alias("result_rows"),
+        F.count_if("failed").alias("errors"), F.max("total").alias("total"))
 
 
 def last_status(stream: DataFrame, late: str = "2 days") -> DataFrame:
-    """Newest status per task; anything up to ``late`` behind still counts, older input is dropped."""
+    """Newest status per task (complete or update mode); ``late`` is how far behind input may come.
+
+    One row per task stays in the state: tasks have no end of their own.
+    """
     timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return X.read_payloads(timed).groupBy("task_id").agg(
         F.max_by(F.col("body.status"), F.struct("ts", "digest")).alias("status"), F.max("ts").alias("last_at"))
