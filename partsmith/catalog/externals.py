@@ -8,6 +8,7 @@ from partsmith.catalog.base import query
 from partsmith.catalog.oracle import cte
 from partsmith.operators import external as X, search as Q
 
+from partsmith.session import new_path
 ROW_SCHEMA = ("task_id string, row_index int, category_code string, category_name string, confidence double, "
               "attrs map<string,string>, missing array<string>, needs_review boolean, row_status string")
 
@@ -94,14 +95,21 @@ def _(t):
 def ext_header(t):
     """A standard header for the categories the events name."""
     kinds = t["events"].select(F.col("event_type").alias("category_code")).distinct()
-    return kinds.select("category_code", F.posexplode(F.array(F.lit("牌号"), F.lit("物资名称"))).alias("pos", "target"))
+    return kinds.select("category_code", F.posexplode(F.array(F.lit("牌号"), F.lit("产地"), F.lit("物资名称"))).alias("pos", "target"))
 
 
-@query("snk_rows_by_category", """WITH u AS (SELECT DISTINCT r.category_code, k.key FROM ext_row r CROSS JOIN (SELECT unnest(['规格','牌号','物资名称','单位']) AS key) k WHERE CASE k.key WHEN '单位' THEN NOT arrived WHEN '物资名称' THEN arrived ELSE TRUE END),
- o AS (SELECT category_code, key, CAST(row_number() OVER (PARTITION BY category_code ORDER BY CASE WHEN category_code = 'old' THEN NULL WHEN key = '牌号' THEN 0 WHEN key = '物资名称' THEN 1 END NULLS LAST, key) AS INTEGER) AS pos FROM u)
- SELECT r.category_code, r.task_id, r.row_index, o.pos, o.key, CASE WHEN o.key = '规格' THEN CASE WHEN arrived THEN r.category_code ELSE '旧' END ELSE '' END AS value FROM ext_row r JOIN o USING (category_code)""")
+@query("snk_rows_by_category", """WITH u AS (SELECT DISTINCT r.task_id, r.category_name, k.key FROM ext_row r CROSS JOIN (SELECT unnest(['规格','牌号','物资名称','单位']) AS key) k WHERE CASE k.key WHEN '单位' THEN NOT arrived WHEN '物资名称' THEN arrived ELSE TRUE END
+  UNION SELECT DISTINCT r.task_id, r.category_name, k.key FROM ext_row r CROSS JOIN (SELECT unnest(['牌号','物资名称','产地']) AS key) k WHERE r.category_code <> 'old')
+ SELECT r.category_name AS category, r.task_id, r.row_index, u.key, CASE WHEN u.key = '规格' THEN CASE WHEN arrived THEN r.category_code ELSE '旧' END ELSE '' END AS value FROM ext_row r JOIN u USING (task_id, category_name)""")
 def _(t):
-    return X.rows_by_category(ext_rows(t), ext_header(t))
+    path = new_path(t.spark, "by-category")
+    X.write_by_category(X.rows_by_category(ext_rows(t).drop("snapshot"), ext_header(t)), path)
+    return t.spark.read.parquet(path).select("category", "task_id", "row_index", "key", "value")
+
+
+@query("flt_ext_tasks", "SELECT task_id, 'processing' AS status FROM ext_task ORDER BY submitted_at DESC, task_id LIMIT 5 OFFSET 5")
+def _(t):
+    return X.list_tasks(tasks(t), 2, 5, "processing", "submittedAt").select("task_id", "status")
 
 
 def cells(t):

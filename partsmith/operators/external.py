@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from partsmith.functions import scores as S
+from partsmith.functions import scores as S, text as T
 
 # Payload schema, states and limits.
 PAYLOAD = ("struct<taskId:string,status:string,error:string,"
@@ -182,17 +182,75 @@ def attr_union(rows: DataFrame) -> DataFrame:
         "category_code", "key", F.col("at.task_id").alias("first_task"), F.col("at.row_index").alias("first_index"))
 
 
-def rows_by_category(rows: DataFrame, std_header: DataFrame, raw: DataFrame | None = None) -> DataFrame:
-    """Long export ``(category_code, task_id, row_index, pos, key, value)``.
+# The group of rows without a category, and what stands before raw column names.
+NO_CATEGORY, RAW_PREFIX = "未分类", "原始-"
+
 
-    Keys of a category in standard-header order, other keys after them by name;
-    a key the row lacks is blank.
+def rows_by_category(rows: DataFrame, std_header: DataFrame, raw: DataFrame | None = None) -> DataFrame:
+    """Long export ``(task_id, category, row_index, pos, key, value)``, one sheet per task and category.
+
+    A category is its name, else its code, else 未分类.  First come the raw
+    columns that its rows have, as 原始-name in file order, from
+    ``raw(task_id, row_index, pos, name, value)`` or, for a row without any,
+    from its ``snapshot``; then all columns of its standard header (that of the
+    code of its first row), then other attributes as first seen.  What a row
+    lacks is blank.
     """
-    union = attr_union(rows).select("category_code", "key")
-    place = std_header.select("category_code", F.col("target").alias("key"), "pos")
-    ordered = union.join(place, ["category_code", "key"], "left")
-    w = Window.partitionBy("category_code").orderBy(F.col("pos").asc_nulls_last(), "key")
-    numbered = ordered.withColumn("pos", F.row_number().over(w))
-    return rows.select("category_code", "task_id", "row_index", "attrs").join(numbered, "category_code").select(
-        "category_code", "task_id", "row_index", "pos", "key",
-        F.coalesce(F.try_element_at("attrs", F.col("key")), F.lit("")).alias("value"))
+    none = F.array().cast("array<string>")
+    keyed = rows.withColumn("category", F.when(~T.is_blank(F.col("category_name")), F.col("category_name")).when(
+        ~T.is_blank(F.col("category_code")), F.col("category_code")).otherwise(F.lit(NO_CATEGORY)))
+    sheet = ["task_id", "category"]
+
+    keys = F.array_union(F.coalesce(F.map_keys("attrs"), none), F.coalesce("missing", none))
+    seen = keyed.select(*sheet, "row_index", F.posexplode(keys).alias("i", "key")).groupBy(*sheet, "key").agg(
+        F.min(F.struct("row_index", "i")).alias("first"))
+    code = keyed.groupBy(*sheet).agg(F.min_by("category_code", "row_index").alias("category_code"))
+    standard = code.join(std_header.select("category_code", F.col("target").alias("key"), F.col("pos").alias("std")), "category_code").where(
+        "key is not null").groupBy(*sheet, "key").agg(F.min("std").alias("std"))
+    columns = standard.join(seen, [*sheet, "key"], "full").select(
+        *sheet, "key", F.lit(1).alias("part"), F.struct(F.col("std").isNull().alias("extra"), "std", "first").alias("at"))
+    cells = keyed.select(*sheet, "row_index", F.lit(1).alias("part"), F.explode("attrs").alias("key", "value"))
+
+    if "snapshot" in rows.columns:
+        stored = keyed.select("task_id", "row_index", F.posexplode(F.from_json("snapshot", "map<string,string>")).alias("pos", "name", "value"))
+        if raw is not None:
+            own = raw.select("task_id", "row_index").distinct()
+            raw = raw.select("task_id", "row_index", "pos", "name", "value").unionByName(stored.join(own, ["task_id", "row_index"], "left_anti"))
+        else:
+            raw = stored
+    if raw is not None:
+        place = raw.groupBy("task_id", "name").agg(F.min("pos").alias("pos"))
+        named = keyed.select(*sheet, "row_index").join(raw.select("task_id", "row_index", "name", "value"), ["task_id", "row_index"])
+        raw_columns = named.select(*sheet, "name").distinct().join(place, ["task_id", "name"]).select(
+            *sheet, F.concat(F.lit(RAW_PREFIX), "name").alias("key"), F.lit(0).alias("part"),
+            F.struct(F.lit(False).alias("extra"), F.col("pos").cast("int").alias("std"),
+                     F.struct(F.lit(0).cast("long").alias("row_index"), F.lit(0).alias("i")).alias("first")).alias("at"))
+        columns = columns.select(*sheet, "key", "part", F.struct("at.extra", F.col("at.std").cast("int").alias("std"), F.struct(
+            F.col("at.first.row_index").cast("long").alias("row_index"), "at.first.i").alias("first")).alias("at")).unionByName(raw_columns)
+        cells = cells.unionByName(named.select(
+            *sheet, "row_index", F.lit(0).alias("part"), F.concat(F.lit(RAW_PREFIX), "name").alias("key"), "value"))
+
+    w = Window.partitionBy(*sheet).orderBy("part", "at.extra", "at.std", "at.first.row_index", "at.first.i", "key")
+    numbered = columns.withColumn("pos", F.row_number().over(w)).drop("at")
+    return keyed.select(*sheet, "row_index").join(numbered, sheet).join(
+        cells, [*sheet, "row_index", "part", "key"], "left").select(
+        "task_id", "category", "row_index", "pos", "key", F.coalesce("value", F.lit("")).alias("value"))
+
+
+def write_by_category(sheets: DataFrame, path: str) -> None:
+    """One folder per task and category, rows in order."""
+    sheets.repartition("task_id", "category").sortWithinPartitions("task_id", "category", "row_index", "pos").write.partitionBy(
+        "task_id", "category").parquet(path)
+
+
+# Sort fields of the task list.
+TASK_SORT = {"fileName": "file_name", "submittedAt": "submitted_at", "completedAt": "completed_at", "status": "status",
+             "estimatedAccuracy": "estimated_accuracy"}
+
+
+def list_tasks(tasks: DataFrame, number: int, size: int, status: str | None = None, sort: str | None = None, order: str | None = None) -> DataFrame:
+    """One page of external tasks, of one status if asked for; unknown sort fields mean the creation time, descending unless ``asc``."""
+    out = tasks.where(F.col("status") == status) if status and status.strip() else tasks
+    key = F.col(TASK_SORT.get(sort or "", "created_at"))
+    ordered = out.orderBy(key.asc_nulls_first() if (order or "").lower() == "asc" else key.desc_nulls_last(), "task_id")
+    return ordered.offset((max(number, 1) - 1) * size).limit(size)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from partsmith.operators import checks, cleaning, edits, export, ingest, library, mapping, matcher, review, search, taxonomy as X
+from partsmith.operators import checks, cleaning, edits, export, external, ingest, library, mapping, matcher, review, search, taxonomy as X
 from partsmith.session import new_path
 from partsmith.sources import files
 
@@ -138,3 +138,18 @@ def test_allowed_values(spark):
     rules = spark.createDataFrame([("10", "T", False, 1, 9, None, '["red"]')], "category_code string, target string, is_required boolean, min_length int, max_length int, pattern string, allowed string")
     none = spark.createDataFrame([], "category_code string, target string")
     assert [r.row_id for r in X.field_violations(attrs, rules, none).collect()] == [2]
+
+
+def test_sheets_of_a_category(spark):
+    rows = spark.createDataFrame([
+        ("T", 0, "A", "10", {"k2": "x", "z": "1"}, ["m"], '{"c1":"r0","c2":"s0"}'), ("T", 1, "A", "10", {"a": "2"}, None, '{"c1":"r1"}'),
+        ("T", 2, None, "20", {}, None, None), ("T", 3, " ", None, {"q": "9"}, None, '{"c9":"r3"}')],
+        "task_id string, row_index int, category_name string, category_code string, attrs map<string,string>, missing array<string>, snapshot string")
+    std = spark.createDataFrame([("10", 0, "k1"), ("10", 1, "k2")], "category_code string, pos int, target string")
+    raw = spark.createDataFrame([("T", 0, 1, "c2", "S"), ("T", 0, 2, "c3", "U")], "task_id string, row_index int, pos int, name string, value string")
+    out = external.rows_by_category(rows, std, raw).collect()
+    sheet = lambda c: [(r.pos, r.key, r.row_index, r.value) for r in sorted(out, key=lambda r: (r.pos, r.row_index)) if r.category == c]
+    assert [k for _, k, i, _ in sheet("A") if i == 0] == ["原始-c1", "原始-c2", "原始-c3", "k1", "k2", "z", "m", "a"]
+    assert [v for _, _, i, v in sheet("A") if i == 0] == ["", "S", "U", "", "x", "1", "", ""]
+    assert [v for _, _, i, v in sheet("A") if i == 1] == ["r1", "", "", "", "", "", "", "2"]
+    assert sheet("20") == [] and [(k, v) for _, k, _, v in sheet("未分类")] == [("原始-c9", "r3"), ("q", "9")]
