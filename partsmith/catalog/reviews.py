@@ -162,3 +162,22 @@ def _(t):
  FROM approvals WHERE trim(user_id) = '' OR result = '' OR task_id NOT IN (SELECT task_id FROM review_tasks)""")
 def _(t):
     return R.apply_approvals(t["review_tasks"], approvals(t))[1].withColumnRenamed("at", "done_at")
+
+
+@query("rv_select", "SELECT task_id FROM review_tasks WHERE task_type = (SELECT min(task_type) FROM review_tasks) AND priority = 'high' AND status = 'completed'")
+def _(t):
+    kind = t["review_tasks"].agg(F.min("task_type")).first()[0]
+    return R.select_tasks(t["review_tasks"], task_type=kind, priority="high", status="completed").select("task_id")
+
+
+@query("rv_quality", """WITH i AS (SELECT row_id, 1 AS place, 'no name' AS what, material_name = '' AS hit FROM cleaned UNION ALL SELECT row_id, 2, 'no grade', grade = '' FROM cleaned)
+ SELECT row_id AS entity_id, 'data_validation' AS task_type, 'medium' AS priority, '数据质量检查 - cleaned #'||row_id||' ('||count(*)||' 个问题)' AS title,
+  '数据质量检查任务'||chr(10)||chr(10)||'实体类型: cleaned'||chr(10)||'实体ID: '||row_id||chr(10)||chr(10)||'发现问题:'||chr(10)||string_agg(n||'. '||what||chr(10)||'   严重程度: low'||chr(10), '' ORDER BY place) AS description
+ FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY place) AS n FROM i WHERE hit) GROUP BY row_id""")
+def _(t):
+    c = cleaned(t)
+    issue = lambda place, what, hit: c.where(hit).select(
+        F.lit("cleaned").alias("entity_type"), F.col("row_id").alias("entity_id"), F.lit(None).cast("string").alias("priority"),
+        F.lit(place).alias("place"), F.lit(what).alias("description"), F.lit("low").alias("severity"), F.lit(None).cast("string").alias("field"))
+    both = issue(1, "no name", "material_name = ''").unionByName(issue(2, "no grade", "grade = ''"))
+    return R.quality_tasks(both).select("entity_id", "task_type", "priority", "title", "description")

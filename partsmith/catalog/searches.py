@@ -70,45 +70,50 @@ def _(t):
 
 @query("flt_path_prefix", "SELECT id, category_full_path FROM cleaned_log WHERE starts_with(category_full_path, '/12/12')")
 def _(t):
-    return log(t).where(F.startswith("category_full_path", F.lit("/12/12"))).orderBy("id").select("id", "category_full_path")
+    return Q.by_path_prefix(log(t), "/12/12").select("id", "category_full_path")
 
 
 @query("flt_code", "SELECT c.id, c.category_code FROM cleaned_log c WHERE category_code IN (SELECT max(category_code) FROM taxonomy WHERE level = 3 GROUP BY parent_id)")
 def _(t):
     wanted = t["taxonomy"].where("level = 3").groupBy("parent_id").agg(F.max("category_code").alias("category_code"))
-    return log(t).join(wanted, "category_code", "left_semi").select("id", "category_code")
+    return Q.by_codes(log(t), wanted).select("id", "category_code")
 
 
 @query("flt_status", "SELECT id, status FROM cleaned_log WHERE status = 'needs_review'")
 def _(t):
-    return log(t).where("status = 'needs_review'").orderBy("id").select("id", "status")
+    return Q.by_status(log(t), "needs_review").select("id", "status")
 
 
 @query("flt_material", "SELECT id, material_code, material_name FROM cleaned_log WHERE contains(material_name, 'ring') AND material_code <> ''")
 def _(t):
-    return log(t).where(F.contains("material_name", F.lit("ring")) & (F.col("material_code") != "")).select("id", "material_code", "material_name")
+    return Q.by_material(log(t), "ring", with_code=True).select("id", "material_code", "material_name")
 
 
 @query("flt_unmatched", "SELECT id, title_id, match_source FROM cleaned_log WHERE match_source = 'UNMATCHED'")
 def _(t):
-    return log(t).where("match_source = 'UNMATCHED'").select("id", "title_id", "match_source")
+    return Q.unmatched(log(t)).select("id", "title_id", "match_source")
 
 
 @query("flt_duplicates", "SELECT id, title_id, source_row_hash FROM cleaned_log WHERE is_duplicate = 1")
 def _(t):
-    return log(t).where("is_duplicate = 1").select("id", "title_id", "source_row_hash")
+    return Q.duplicates(log(t)).select("id", "title_id", "source_row_hash")
 
 
 def low_samples(t: Tables):
     """Samples of rows whose match is ambiguous or missing."""
-    return log(t).where(F.col("match_source").isin("UNMATCHED", "FUZZY_AMBIGUOUS")).select(
-        F.col("id").alias("entity_id"), F.lit("LOW_CONFIDENCE").alias("sample_type"), F.col("quality_score").alias("score"))
+    return Q.low_confidence(log(t))
 
 
 @query("flt_low_conf", "SELECT id AS entity_id, quality_score AS score FROM cleaned_log WHERE match_source IN ('UNMATCHED','FUZZY_AMBIGUOUS') AND title_id = 3")
 def _(t):
-    rows = log(t).join(t["raw_rows"].where("title_id = 3").select("row_id"), "row_id", "left_semi")
-    return low_samples(t).join(rows.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").select("entity_id", "score")
+    return Q.low_confidence(log(t), 3).select("entity_id", "score")
+
+
+@query("flt_of_file", """SELECT 'unmatched' AS kind, id FROM cleaned_log WHERE match_source = 'UNMATCHED' AND title_id = 2
+ UNION ALL SELECT 'duplicate', id FROM cleaned_log WHERE is_duplicate = 1 AND title_id = 2""")
+def _(t):
+    return Q.unmatched(log(t), 2).select(F.lit("unmatched").alias("kind"), "id").unionByName(
+        Q.duplicates(log(t), 2).select(F.lit("duplicate").alias("kind"), "id"))
 
 
 @query("flt_any_keyword", f"""WITH q AS (SELECT id AS query_id, category_name FROM taxonomy WHERE level = 2),
@@ -215,12 +220,23 @@ def _(t):
 
 @query("src_by_title", "SELECT row_id, row_index FROM raw_rows WHERE title_id = 2 ORDER BY row_index LIMIT 50 OFFSET 50")
 def _(t):
-    return t["raw_rows"].where("title_id = 2").select("row_id", "row_index").orderBy("row_index").offset(50).limit(50)
+    return Q.rows_of_title(t["raw_rows"], 2, 50, 50).select("row_id", "row_index")
+
+
+@query("src_rows", """SELECT 'at' AS kind, row_id, row_index FROM raw_rows WHERE title_id = 2 AND row_index = (SELECT min(row_index) FROM raw_rows WHERE title_id = 2)
+ UNION ALL SELECT 'id', row_id, row_index FROM raw_rows WHERE row_id = 42 UNION ALL SELECT 'pending', row_id, row_index FROM raw_rows WHERE title_id <> 1""")
+def _(t):
+    raw = t["raw_rows"]
+    first = raw.where("title_id = 2").agg(F.min("row_index")).first()[0]
+    done = raw.where("title_id = 1").select("row_id")
+    parts = {"at": Q.row_at(raw, 2, first), "id": Q.row_by_id(raw, 42), "pending": Q.pending_rows(raw, done)}
+    out = [df.select(F.lit(k).alias("kind"), "row_id", "row_index") for k, df in parts.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query("src_max_index", "SELECT title_id, max(row_index) AS max_index FROM raw_rows GROUP BY title_id")
 def _(t):
-    return t["raw_rows"].groupBy("title_id").agg(F.max("row_index").alias("max_index"))
+    return Q.last_index(t["raw_rows"])
 
 
 @query("src_files", "SELECT title_id, file_name, created_at FROM raw_title WHERE contains(file_name, 'file') AND status = 'completed' AND created_at BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-02-01' ORDER BY created_at DESC LIMIT 10")

@@ -197,6 +197,35 @@ def queue(tasks: DataFrame, name: str, user: str | None = None) -> DataFrame:
     return tasks.where(conditions[name])
 
 
+def select_tasks(tasks: DataFrame, task_type: str | None = None, entity_type: str | None = None, entity_id: int | None = None,
+                 priority: str | None = None, status: str | None = None) -> DataFrame:
+    """Tasks by type, entity, priority or status; what is not asked for does not filter."""
+    asked = {"task_type": task_type, "entity_type": entity_type, "entity_id": entity_id, "priority": priority, "status": status}
+    return tasks.where(Q.all_of([F.col(c) == v for c, v in asked.items() if v is not None]))
+
+
+def quality_tasks(issues: DataFrame) -> DataFrame:
+    """A data check task per entity of ``issues(entity_type, entity_id, priority, place, description, severity, field)``.
+
+    Issues of an entity are few and listed by ``place``; an entity with a null
+    description has none.
+    """
+    line = F.concat(
+        F.lit(". "), F.col("description"), F.lit("\n"),
+        F.coalesce(F.concat(F.lit("   严重程度: "), F.col("severity"), F.lit("\n")), F.lit("")),
+        F.coalesce(F.concat(F.lit("   字段: "), F.col("field"), F.lit("\n")), F.lit("")))
+    found = issues.groupBy("entity_type", "entity_id").agg(
+        F.max("priority").alias("priority"), F.sort_array(F.collect_list(F.when(F.col("description").isNotNull(), F.struct("place", line.alias("line"))))).alias("found"))
+    n, ident = F.size("found"), F.col("entity_id").cast("string")
+    listed = F.array_join(F.transform("found", lambda f, i: F.concat((i + 1).cast("string"), f["line"])), "")
+    return found.select(
+        "entity_type", "entity_id", F.lit("data_validation").alias("task_type"), F.coalesce("priority", F.lit("medium")).alias("priority"),
+        F.lit("pending").alias("status"),
+        F.concat(F.lit("数据质量检查 - "), "entity_type", F.lit(" #"), ident, F.when(n > 0, F.concat(F.lit(" ("), n.cast("string"), F.lit(" 个问题)"))).otherwise("")).alias("title"),
+        F.concat(F.lit("数据质量检查任务\n\n实体类型: "), "entity_type", F.lit("\n实体ID: "), ident, F.lit("\n\n"),
+                 F.when(n > 0, F.concat(F.lit("发现问题:\n"), listed)).otherwise("")).alias("description"))
+
+
 def due(tasks: DataFrame, now: Column, hours: int = 24) -> DataFrame:
     """Add ``overdue``, ``due_soon`` and ``expiring`` to open tasks."""
     edge = now + F.expr(f"INTERVAL {hours} HOURS")

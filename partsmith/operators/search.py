@@ -192,3 +192,88 @@ def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in df.columns if c not in keys]), order).alias("_r")).select(*keys, "_r.*")
+
+
+# ---------------------------------------------------------------- cleaned rows by one condition
+
+NO_MATCH = ("UNMATCHED", "FUZZY_AMBIGUOUS")
+
+
+def _of_file(df: DataFrame, title_id: int | None) -> DataFrame:
+    return df if title_id is None else df.where(F.col("title_id") == title_id)
+
+
+def by_path_prefix(cleaned: DataFrame, prefix: str) -> DataFrame:
+    return cleaned.where(F.startswith("category_full_path", F.lit(prefix)))
+
+
+def by_codes(cleaned: DataFrame, codes: DataFrame) -> DataFrame:
+    """Rows whose code is among ``codes(category_code)``."""
+    return cleaned.join(codes.select("category_code").distinct(), "category_code", "left_semi")
+
+
+def by_status(cleaned: DataFrame, *statuses: str) -> DataFrame:
+    return cleaned.where(F.col("status").isin(*statuses))
+
+
+def by_material(cleaned: DataFrame, name_part: str | None = None, code: str | None = None, with_code: bool = False) -> DataFrame:
+    out = cleaned if name_part is None else cleaned.where(F.contains("material_name", F.lit(name_part)))
+    out = out if code is None else out.where(F.col("material_code") == code)
+    return out.where(F.col("material_code") != "") if with_code else out
+
+
+def unmatched(cleaned: DataFrame, title_id: int | None = None) -> DataFrame:
+    return _of_file(cleaned, title_id).where("match_source = 'UNMATCHED'")
+
+
+def duplicates(cleaned: DataFrame, title_id: int | None = None) -> DataFrame:
+    return _of_file(cleaned, title_id).where("is_duplicate = 1")
+
+
+def low_confidence(cleaned: DataFrame, title_id: int | None = None) -> DataFrame:
+    """``(entity_id, sample_type, score)`` of rows whose match is ambiguous or missing."""
+    return _of_file(cleaned, title_id).where(F.col("match_source").isin(*NO_MATCH)).select(
+        F.col("id").alias("entity_id"), F.lit("LOW_CONFIDENCE").alias("sample_type"), F.col("quality_score").alias("score"))
+
+
+# ---------------------------------------------------------------- raw rows and files
+
+def rows_of_title(raw: DataFrame, title_id: int, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """Rows of a file in sheet order, all or one page of them.
+
+    A page is a range of places, found by counting the rows of each block of
+    the sheet first, so that no task sorts what stands before it.
+    """
+    rows = raw.where(F.col("title_id") == title_id)
+    if limit is None and not offset:
+        return rows.orderBy("row_index")
+    block = F.floor(F.col("row_index") / 10000)
+    sizes = rows.groupBy(block.alias("_b")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    wanted = starts.where(F.col("_before") + F.col("_n") > offset)
+    if limit is not None:
+        wanted = wanted.where(F.col("_before") < offset + limit)
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("row_index")) - 1
+    near = rows.withColumn("_b", block).join(wanted, "_b").withColumn("_place", place).where(F.col("_place") >= offset)
+    if limit is not None:
+        near = near.where(F.col("_place") < offset + limit)
+    return near.orderBy("row_index").drop("_b", "_n", "_before", "_place")
+
+
+def row_at(raw: DataFrame, title_id: int, row_index: int) -> DataFrame:
+    return raw.where((F.col("title_id") == title_id) & (F.col("row_index") == row_index))
+
+
+def row_by_id(raw: DataFrame, row_id: int) -> DataFrame:
+    return raw.where(F.col("row_id") == row_id)
+
+
+def pending_rows(raw: DataFrame, cleaned: DataFrame, limit: int | None = None) -> DataFrame:
+    """Rows that no run has cleaned yet, by file and place; the first ``limit``, if asked for."""
+    left = raw.join(cleaned.select("row_id"), "row_id", "left_anti")
+    return left if limit is None else left.orderBy("title_id", "row_index").limit(limit)
+
+
+def last_index(raw: DataFrame) -> DataFrame:
+    return raw.groupBy("title_id").agg(F.max("row_index").alias("max_index"))
