@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from dataclasses import replace
 
 from pyspark.sql import Window, functions as F
 
 from partsmith.catalog.base import query
 from partsmith.catalog.cleaned import cleaned
-from partsmith.catalog.oracle import blank, code, cte, norm, rule_sql, words
+from partsmith.catalog.views import TABLES, VIEWS
+from partsmith.catalog.oracle import CTES, blank, code, cte, norm, rule_sql, words
 from partsmith.functions import text as T
 from partsmith.operators import checks as C, library as L
 
@@ -250,3 +253,40 @@ def _(t):
 def _(t):
     return C.correction_samples(fix(t).fixed).select(
         "sample_type", "entity_id", "source_category_name", "source_category_code", "target_category_id", "target_category_code", "score")
+
+
+# ---------------------------------------------------------------- names whose words are shared
+
+def _comma_names(*roots: str) -> dict[str, str]:
+    """Copies of the SQL building blocks over a taxonomy whose names have commas, so that words stay apart and are shared."""
+    cte("taxonomy_c", "taxonomy", "SELECT * REPLACE (replace(category_name, ' ', ',') AS category_name) FROM taxonomy")
+    names = {"taxonomy": "taxonomy_c"}
+
+    def visit(name: str) -> None:
+        if name in names or name in TABLES or name in VIEWS:
+            return
+        deps, sql = CTES[name]
+        for d in deps:
+            visit(d)
+        names[name] = f"{name}_c"
+        for old in deps:
+            sql = re.sub(rf"\b{old}\b", names.get(old, old), sql)
+        cte(names[name], " ".join(names.get(d, d) for d in deps), sql)
+
+    for r in roots:
+        visit(r)
+    return names
+
+
+_names = _comma_names("lib_text", "tok_idx", "code_idx")
+cte("rows_c", "raw_rows", "SELECT row_id, replace(col2, ' ', ',') AS material_name FROM raw_rows WHERE col2 IS NOT NULL")
+_shared_recall = recall_sql("rows_c", [("material_name", 0.85)], [])
+for _old, _new in _names.items():
+    _shared_recall = re.sub(rf"\b{_old}\b", _new, _shared_recall)
+
+
+@query("lib_recall_shared", _shared_recall)
+def _(t):
+    names = t["taxonomy"].withColumn("category_name", F.translate("category_name", " ", ","))
+    rows = t["raw_rows"].where("col2 is not null").select("row_id", F.translate("col2", " ", ",").alias("material_name"))
+    return L.recall(rows, names, L.build_indexes(names, t["synonyms"]))
