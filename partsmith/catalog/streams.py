@@ -48,10 +48,10 @@ def collected(t, stream: DataFrame, mode: str) -> DataFrame:
 @query("st_callback_ingest", "SELECT task_id, row_index, category_code, category_name, needs_review, row_status FROM ext_row")
 def _(t):
     root = fresh(t, "ext")
-    rows = VersionedTable(t.spark, f"{root}/rows", stored(t))
-    states = VersionedTable(t.spark, f"{root}/tasks", tasks(t))
+    rows = VersionedTable(t.spark, f"{root}/rows", stored(t), ["task_id"])
+    states = VersionedTable(t.spark, f"{root}/tasks", tasks(t), ["task_id"])
     log_schema = "task_id string, digest string, ts timestamp_ntz, result string"
-    log = VersionedTable(t.spark, f"{root}/log", t.spark.createDataFrame([], log_schema))
+    log = VersionedTable(t.spark, f"{root}/log", t.spark.createDataFrame([], log_schema), ["digest"], append=True)
     run_available(C.ingest(arriving(t, "callbacks", "ts"), rows, states, log, f"{root}/ckpt"))
     return rows.latest().select("task_id", "row_index", "category_code", "category_name", "needs_review", "row_status")
 
@@ -74,7 +74,7 @@ def _(t):
 def _(t):
     out = fresh(t, "cleaned-stream")
     none = t.spark.createDataFrame([], "title_id bigint, source_row_hash string")
-    seen = VersionedTable(t.spark, fresh(t, "seen"), none)
+    seen = VersionedTable(t.spark, fresh(t, "seen"), none, ["title_id", "source_row_hash"], append=True)
     stream = arriving(t, "raw_rows", "row_id", parts=3)
     run_available(W.clean(stream, t["raw_header"], t["taxonomy"], t["synonyms"], out, seen, fresh(t, "ckpt")))
     return t.spark.read.parquet(out).select(*cleaning.CLEANED_COLUMNS)
@@ -83,7 +83,7 @@ def _(t):
 @query("st_review", """SELECT t.task_id, coalesce(l.status, t.status) AS status, CASE WHEN l.task_id IS NULL THEN t.assignee ELSE l.assignee END AS assignee, CASE WHEN l.task_id IS NULL THEN t.resolution ELSE l.resolution END AS resolution
  FROM review_tasks t LEFT JOIN (SELECT * FROM event_fold QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY n DESC) = 1) l USING (task_id)""")
 def _(t):
-    table = VersionedTable(t.spark, fresh(t, "tasks"), t["review_tasks"])
+    table = VersionedTable(t.spark, fresh(t, "tasks"), t["review_tasks"], ["task_id"])
     run_available(W.fold_reviews(arriving(t, "review_events", "ts"), table, fresh(t, "ckpt")))
     return table.latest().select("task_id", "status", "assignee", "resolution")
 

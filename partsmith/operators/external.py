@@ -67,8 +67,10 @@ def task_states(tasks: DataFrame, payloads: DataFrame) -> DataFrame:
     last = payloads.groupBy("task_id").agg(
         F.max_by(F.struct(said.alias("status"), F.col("body.error").alias("error")), F.struct("ts", "digest")).alias("_l"),
         F.max("ts").alias("callback_at"))
-    return tasks.drop("callback_at").join(last, "task_id", "left").withColumn(
-        "status", F.coalesce("_l.status", "status")).drop("_l")
+    last = last.withColumnRenamed("callback_at", "_at")
+    before = F.col("callback_at") if "callback_at" in tasks.columns else F.lit(None).cast("timestamp_ntz")
+    return tasks.join(last, "task_id", "left").withColumns({
+        "status": F.coalesce("_l.status", "status"), "callback_at": F.coalesce(F.col("_at"), before)}).drop("_l", "_at")
 
 
 def callback_log(payloads: DataFrame, tasks: DataFrame) -> DataFrame:

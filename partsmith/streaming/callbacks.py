@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from partsmith.operators import external as X
+from partsmith.session import release, stage, staged_so_far
 from partsmith.streaming.tables import VersionedTable, each_batch
 
 
@@ -19,17 +20,24 @@ def ingest(stream: DataFrame, rows: VersionedTable, tasks: VersionedTable, log:
 
     A payload counts once ever: repeats inside the batch collapse on the digest,
     earlier ones are known from the log.  A late callback still applies.
+    ``rows`` and ``tasks`` are keyed by task, ``log`` by digest and appended to;
+    only the buckets of the batch's tasks and digests are read and written.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
-        known = tasks.before(batch_id)
-        seen = log.before(batch_id)
-        fresh = X.once(batch).join(seen.select("digest"), "digest", "left_anti").join(
-            known.select("task_id"), "task_id", "left_semi").persist()
-        rows.write(X.upsert_rows(rows.before(batch_id), X.result_items(fresh)), batch_id)
-        tasks.write(X.task_states(known, fresh).withColumn(
-            "callback_at", F.col("callback_at")).select(*[f.name for f in tasks.schema]), batch_id)
-        log.write(seen.unionByName(X.callback_log(fresh, known).select(*[f.name for f in log.schema])), batch_id)
-        fresh.unpersist()
+        mark = staged_so_far(batch.sparkSession)
+        arrived = stage(X.once(batch).select("digest", "ts", "payload"), "arrived")
+        told = arrived.withColumn("task_id", F.from_json("payload", X.PAYLOAD)["taskId"])
+        places = tasks.touched(told)
+        known = tasks.before(batch_id, places)
+        seen = log.before(batch_id, log.touched(arrived))
+        fresh = X.read_payloads(arrived.join(seen.select("digest"), "digest", "left_anti")).join(
+            known.select("task_id"), "task_id", "left_semi")
+        rows.write(X.upsert_rows(rows.before(batch_id, rows.touched(told)), X.result_items(fresh)), batch_id)
+        tasks.write(X.task_states(known, fresh).select(*[f.name for f in tasks.schema]), batch_id)
+        log.write(X.callback_log(fresh, known).select(*[f.name for f in log.schema]), batch_id)
+        for table in (rows, tasks):
+            table.expire(batch_id)
+        release(batch.sparkSession, mark)
 
     return each_batch(stream, merge, checkpoint)
 

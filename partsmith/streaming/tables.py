@@ -1,46 +1,80 @@
-"""A small versioned table in the shared folder for ``foreachBatch`` merges."""
+"""Small tables in the shared folder for ``foreachBatch`` merges."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
+BUCKET = "_bucket"
+
 
 class VersionedTable:
-    """Each micro-batch writes ``root/v=<batch>``; the newest version is the table.
+    """A table dealt over ``buckets`` by hash of ``key``; a micro-batch writes only the buckets that it touches.
 
-    The version is the batch id, so a batch that is run again after a failure
-    overwrites its own version and reads the one before it: merges stay exactly
-    once whatever happens to executors or the driver.
+    ``root/v=<batch>/_bucket=<b>`` holds a bucket as the batch left it, and the
+    newest version of each bucket is the table (all versions together, if it is
+    only ever appended to).  A batch that is run again after a failure
+    overwrites its own version and reads the ones before, so merges stay
+    exactly once whatever happens to executors or the driver.  Rows are never
+    removed by a merge.
     """
 
-    def __init__(self, spark: SparkSession, root: str, initial: DataFrame):
+    def __init__(self, spark: SparkSession, root: str, initial: DataFrame, key: list[str], buckets: int = 16, append: bool = False):
         self.spark, self.root, self.schema = spark, root, initial.schema
-        initial.write.mode("overwrite").parquet(f"{root}/v=-1")
+        self.key, self.buckets, self.append = key, buckets, append
+        self.write(initial, -1)
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
 
-    def _versions(self) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+    def touched(self, rows: DataFrame) -> list[int]:
+        """Buckets of the keys in ``rows``, at most ``buckets`` numbers."""
+        return [r[0] for r in rows.select(self._bucket().alias(BUCKET)).distinct().collect()]
+
+    def _names(self, folder: str, prefix: str) -> list[int]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         names = [s.getPath().getName() for s in fs.listStatus(path)]
-        done = []
-        for name in names:
-            marker = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/_SUCCESS")
-            if name.startswith("v=") and fs.exists(marker):
-                done.append(int(name[2:]))
-        return sorted(done)
+        return sorted(int(n[len(prefix):]) for n in names if n.startswith(prefix))
+
+    def _done(self, version: int) -> bool:
+        marker = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/v={version}/_SUCCESS")
+        return marker.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(marker)
 
-    def before(self, batch_id: int) -> DataFrame:
-        version = max(v for v in self._versions() if v < batch_id)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v={version}")
+    def _folders(self, batch_id: int | None, buckets: list[int] | None) -> tuple[list[str], list[str]]:
+        """Folders that make up the table before a batch, and those that they replace."""
+        live, replaced, seen = [], [], set()
+        for v in reversed(self._names(self.root, "v=")):
+            if (batch_id is not None and v >= batch_id) or not self._done(v):
+                continue
+            for b in self._names(f"{self.root}/v={v}", f"{BUCKET}="):
+                if buckets is not None and b not in buckets:
+                    continue
+                (live if self.append or b not in seen else replaced).append(f"{self.root}/v={v}/{BUCKET}={b}")
+                seen.add(b)
+        return live, replaced
 
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/v={batch_id}")
+    def _read(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
+
+    def before(self, batch_id: int, buckets: list[int] | None = None) -> DataFrame:
+        return self._read(self._folders(batch_id, buckets)[0])
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        """Whole buckets as they are after the batch, or, for an appended table, the new rows."""
+        rows.withColumn(BUCKET, self._bucket()).repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.root}/v={batch_id}")
 
     def latest(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v={self._versions()[-1]}")
+        return self._read(self._folders(None, None)[0])
+
+    def expire(self, batch_id: int) -> None:
+        """Remove what was replaced before ``batch_id``; a batch that may run again still finds its input."""
+        for folder in self._folders(batch_id, None)[1]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def run_available(writer: DataStreamWriter) -> None:
