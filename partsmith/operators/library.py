@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from partsmith.functions import text as T
 from partsmith.operators.matcher import code_prefixes
+from partsmith.session import stage
 
 # Field weights of recall and points of the rule check.
 CODE_WEIGHTS = {"category_code": 1.0, "material_code": 0.8}
@@ -80,7 +81,7 @@ def _text_hits(tokens: DataFrame, names: DataFrame, idx: Indexes, codes: DataFra
         [F.col("code").asc_nulls_last(), F.col("category_id")], k).drop("code")
     by_token = tokens.join(posting, "token").select("text_key", "category_id", F.lit(TOKEN_FACTOR).alias("factor"))
     by_name = names.join(
-        idx.name.select(F.md5("name_norm").alias("name_key"), "category_id"), "name_key").select(
+        idx.name.select(F.unhex(F.md5("name_norm")).alias("name_key"), "category_id"), "name_key").select(
         "text_key", "category_id", F.lit(1.0).alias("factor"))
     merged = by_token.unionByName(by_name).groupBy("text_key", "category_id").agg(F.max("factor").alias("factor"))
     return first_k(
@@ -108,13 +109,16 @@ def recall(rows: DataFrame, taxonomy: DataFrame, idx: Indexes, k: int = 10,
                  F.lit(w).alias("weight"))
         for c, w in text_weights.items() if c in have])
 
-    # a text is known by its digest from here on, so that long texts are never shuffled
+    # a text is known by its digest from here on, so that long texts are never shuffled; normal forms and tokens are
+    # made once and staged, because three columns of them are read apart
     key = F.md5(F.concat("norm", F.lit("\u0000"), F.coalesce("text", F.lit("")))) if tokenise_first else F.md5("norm")
-    texts = rows.select("row_id", F.inline(text_keys)).where("norm is not null").withColumn("text_key", key)
-    weights = texts.groupBy("row_id", "text_key").agg(F.max("weight").alias("weight"))
     words = T.tokens(F.lower("text")) if tokenise_first else T.tokens(F.col("norm"))
-    tokens = texts.select("text_key", F.explode(F.array_distinct(words)).alias("token")).distinct()
-    names = texts.select("text_key", F.md5("norm").alias("name_key")).distinct()
+    texts = stage(rows.select("row_id", F.inline(text_keys)).where("norm is not null").select(
+        "row_id", F.unhex(key).alias("text_key"), F.unhex(F.md5("norm")).alias("name_key"), "weight",
+        F.array_distinct(words).alias("tokens")), "recall-texts")
+    weights = texts.select("row_id", "text_key", "weight")
+    tokens = texts.select("text_key", F.explode("tokens").alias("token")).distinct()
+    names = texts.select("text_key", "name_key").distinct()
     hits = weights.join(_text_hits(tokens, names, idx, codes, k), "text_key").select(
         "row_id", "category_id", (F.col("weight") * F.col("factor")).alias("relevance"))
     if any(c in have for c in code_weights):
