@@ -1,13 +1,18 @@
 """Line de-duplication by content-defined chunks.
 
-A text is cut into lines: after each line break, and after a punctuation mark
-and space, because paragraphs of prose stand on one line and passages are
-pasted into them.  A rolling hash over the hashes of the last ``WINDOW`` lines
-chooses the ends of chunks, so an insertion moves no chunk boundary but those
-beside it.  A chunk of at least ``MIN_LINES`` lines and ``MIN_WORDS`` words that
-occurs more than once in the table stays only where it comes first (smallest
-doc_id, then earliest in the text), after its bytes were compared with those
-of the first place.
+A text is cut into words, and words of more than ``LONG`` bytes (keys, scripts
+without spaces) into pieces at characters that a hash of the bytes before
+chooses.  A rolling hash over the last ``WINDOW`` words gives each place a rank;
+places where a line begins (after a line break, or a punctuation mark and space,
+because pasted passages share lines with prose) rank before all others.  A chunk
+begins where the rank is the least among ``REACH`` places on both sides, so
+chunks of many words cannot be missed for want of marks, an insertion moves no
+boundary but those beside it, and a passage of about 50 words holds a whole
+chunk nearly always.  Stretches without such a place (one word over and over)
+are cut by number.  A chunk of at least ``MIN_LINES`` lines and ``MIN_WORDS``
+words, or of ``ENOUGH_WORDS`` words on any number of lines, that occurs more than
+once in the table stays only where it comes first (smallest doc_id, then earliest
+in the text), after its bytes were compared with those of the first place.
 """
 
 from __future__ import annotations
@@ -21,9 +26,13 @@ from partsmith.llm.words import SPACE, column_bytes, mix, slices
 from partsmith.session import stage
 
 WINDOW = 2
-#: one line in so many ends a chunk
-DIVISOR = 3
-MIN_LINES, MIN_WORDS = 2, 8
+MIN_LINES, MIN_WORDS, ENOUGH_WORDS = 2, 8, 9
+#: a chunk begins at the least of so many places before and after
+REACH = ENOUGH_WORDS - 1
+#: stretches of more than so many words are cut after each STEP_WORDS
+MOST_WORDS, STEP_WORDS = 32, 16
+#: bytes from which a word is cut, and bytes of it that count as a word
+LONG, PER_WORD = 32, 6
 PER_PLACE = 500
 _RNG = np.random.default_rng(4242)
 _BYTE = _RNG.integers(1, 2**64, 256, dtype=np.uint64)
@@ -44,6 +53,24 @@ def _run_hash(values: np.ndarray, starts: np.ndarray, total: int) -> np.ndarray:
     return mix(np.add.reduceat(scaled, starts) + lengths.astype(np.uint64))
 
 
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """Least of the ``width`` values from each place on."""
+    out, done = values.copy(), 1
+    while done < width:
+        step = min(done, width - done)
+        out[:-step] = np.minimum(out[:-step], out[step:])
+        done += step
+    return out
+
+
+def _inner(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places inside long words where a piece begins: one character in two of three bytes and more, one in eight of others."""
+    at = np.repeat(starts, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    at = at[(at - np.repeat(starts, lengths) >= 4) & (raw[at] & 0xC0 != 0x80) & ~SPACE[raw[at]]]
+    seen = sum(_BYTE[raw[at - k]] * np.uint64(2 * k + 1) for k in range(4))
+    return at[mix(seen) % np.where(raw[at] >= 0xE0, 2, 8).astype(np.uint64) == 0]
+
+
 class Chunks:
     """Chunks of a batch: ``start`` and ``end`` (byte offsets in ``raw``), ``hash``, ``whole`` (long enough to be removed) and
     ``row_at`` (index of the first chunk of each row, the total at the end)."""
@@ -57,35 +84,68 @@ class Chunks:
             self.hash, self.whole = np.zeros(0, np.uint64), np.zeros(0, bool)
             self.row_at = np.zeros(len(rows), np.int64)
             return
-        begins = np.zeros(n, bool)
-        begins[1:] = raw[:-1] == 10
-        begins[2:] |= (raw[1:-1] == 32) & _MARK[raw[:-2]]
         firsts = rows[:-1][rows[:-1] < rows[1:]]
-        begins[firsts] = True
-        lines = np.flatnonzero(begins)
-        line_hash = _run_hash(_BYTE[raw], lines, n)
-        last = np.zeros(len(lines), bool)  # line before the end of its row
-        last[np.searchsorted(lines, firsts)[1:] - 1] = True
-        last[-1] = True
-        first = np.roll(last, 1)
-        rolled = line_hash.copy()
-        earlier = line_hash
-        for k in range(1, WINDOW):
-            earlier = np.where(first, np.uint64(0), np.roll(earlier, 1))
-            rolled += earlier * np.uint64(2 * k + 1) * _STEP
-        closes = last | (mix(rolled) % np.uint64(DIVISOR) == 0)
-        opens = np.flatnonzero(np.roll(closes, 1))
-        self.start = lines[opens]
-        self.end = np.append(self.start[1:], n)
-        self.hash = _run_hash(line_hash, opens, len(lines))
         inside = ~SPACE[raw]
         word = inside.copy()
         word[1:] &= ~inside[:-1]
         word[firsts] = inside[firsts]
+        begins = word.copy()
+        begins[firsts] = True
+        units = np.flatnonzero(begins)
+        lengths = np.diff(np.append(units, n))
+        long = np.flatnonzero(lengths > LONG)
+        if len(long):
+            begins[_inner(raw, units[long], lengths[long])] = True
+            within = np.zeros(n, bool)
+            within[np.repeat(units[long], lengths[long]) + np.arange(lengths[long].sum())
+                   - np.repeat(np.cumsum(lengths[long]) - lengths[long], lengths[long])] = True
+            within &= inside
+            units = np.flatnonzero(begins)
+        total = len(units)
+        unit_hash = _run_hash(_BYTE[raw], units, n)
+        first = np.zeros(total, bool)  # unit at the beginning of its row
+        first[np.searchsorted(units, firsts)] = True
+        breaks = np.zeros(n, bool)
+        breaks[1:] = raw[:-1] == 10
+        breaks[2:] |= (raw[1:-1] == 32) & _MARK[raw[:-2]]
+        line = np.zeros(total + 1, bool)
+        line[np.searchsorted(units, np.flatnonzero(breaks))] = True
+        line[:-1] |= first
+        opens = self._opens(unit_hash, first, line[:-1])
+        self.start = units[opens]
+        self.end = np.append(self.start[1:], n)
+        self.hash = _run_hash(unit_hash, opens, total)
         words = np.add.reduceat(word.astype(np.int32), self.start)
-        self.whole = (np.diff(np.append(opens, len(lines))) >= MIN_LINES) & (words >= MIN_WORDS)
+        if len(long):
+            words = np.maximum(words, np.add.reduceat(within.astype(np.int32), self.start) // PER_WORD)
+        lines = np.add.reduceat(line[:-1].astype(np.int32), opens) + ~line[opens]
+        self.whole = (words >= ENOUGH_WORDS) | (words >= MIN_WORDS) & (lines >= MIN_LINES)
         self.row_at = np.searchsorted(self.start, rows)
 
+    @staticmethod
+    def _opens(unit_hash: np.ndarray, first: np.ndarray, line: np.ndarray) -> np.ndarray:
+        """Index of the first unit of each chunk; ``first`` and ``line``: units at the beginning of a row and of a line."""
+        total = len(unit_hash)
+        rolled, earlier = np.zeros(total, np.uint64), unit_hash
+        for k in range(1, WINDOW + 1):  # of the units before, as far as the row has them
+            earlier = np.where(first, np.uint64(0), np.roll(earlier, 1))
+            rolled += earlier * np.uint64(2 * k + 1) * _STEP
+        top = np.uint64(1 << 63)
+        rank = mix(rolled) >> np.uint64(1) | top
+        rank[line] &= ~top
+        rank[first] = np.uint64(2**64 - 1)
+        place = np.arange(total) + np.cumsum(first) * REACH  # rows stand apart
+        padded = np.full(int(place[-1]) + REACH + 1, 2**64 - 1, np.uint64)
+        padded[place] = rank
+        least = _least(padded, REACH)
+        opens = np.flatnonzero(first | (rank < least[place - REACH]) & (rank <= least[place + 1]))
+        gaps = np.diff(np.append(opens, total))
+        more = np.where(gaps > MOST_WORDS, (gaps - MIN_WORDS) // STEP_WORDS, 0)
+        if more.any():
+            number = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
+            opens = np.sort(np.append(opens, np.repeat(opens, more) + number * STEP_WORDS))
+        return opens
+
 
 def _emit(batches):
     for whole in batches:
