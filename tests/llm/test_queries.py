@@ -17,6 +17,9 @@ COLUMNS = {
     "op8_line_chunks": "doc_id bigint, text string, n_removed bigint, removed_bytes bigint",
     "op9_decontamination": "doc_id bigint, item_id bigint, score double, first_word bigint, last_word bigint",
     "op10_kd_shards": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op11_html_templates": "page_id bigint, url string, text string, n_chars bigint",
+    "op12_va_clusters": "vec_id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string",
+    "op13_anchor_tree": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
 }
 
 
@@ -28,8 +31,8 @@ def test_columns_and_rows(spark, name):
         c, kind = column.split()
         assert types[c] == kind, (c, types[c])
     n = found.count()
-    docs = spark.read.parquet(f"{SF}/documents.parquet").count()
-    if name not in ("op2_voronoi_knn", "op9_decontamination"):
-        assert n == docs
+    table = {"op11_html_templates": "pages", "op12_va_clusters": "embeddings"}.get(name, "documents")
+    if name not in ("op2_voronoi_knn", "op9_decontamination", "op13_anchor_tree"):
+        assert n == spark.read.parquet(f"{SF}/{table}.parquet").count()
     else:
         assert n > 0
