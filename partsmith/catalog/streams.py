@@ -12,7 +12,7 @@ from partsmith.catalog.externals import stored, tasks
 from partsmith.operators import cleaning
 from partsmith.session import shared_dir
 from partsmith.streaming import callbacks as C, rows as W
-from partsmith.streaming.tables import VersionedTable, run_available
+from partsmith.streaming.tables import KeyedTable, run_available
 
 
 def fresh(t, label: str) -> str:
@@ -33,25 +33,13 @@ def arriving(t, name: str, by: str, parts: int = 4, per_trigger: int = 1) -> Dat
     return t.spark.readStream.schema(t[name].schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def collected(t, stream: DataFrame, mode: str) -> DataFrame:
-    """Results of an aggregating stream: the last version it wrote."""
-    out = fresh(t, "agg")
-
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/v={batch_id}")
-
-    run_available(stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", fresh(t, "ckpt")))
-    read = t.spark.read.parquet(out)
-    return read.where(F.col("v") == read.agg(F.max("v")).scalar()).drop("v")
-
-
 @query("st_callback_ingest", "SELECT task_id, row_index, category_code, category_name, needs_review, row_status FROM ext_row")
 def _(t):
     root = fresh(t, "ext")
-    rows = VersionedTable(t.spark, f"{root}/rows", stored(t), ["task_id"])
-    states = VersionedTable(t.spark, f"{root}/tasks", tasks(t), ["task_id"])
+    rows = KeyedTable(t.spark, f"{root}/rows", stored(t), ["task_id", "row_index"])
+    states = KeyedTable(t.spark, f"{root}/tasks", tasks(t), ["task_id"])
     log_schema = "task_id string, digest string, ts timestamp_ntz, result string"
-    log = VersionedTable(t.spark, f"{root}/log", t.spark.createDataFrame([], log_schema), ["digest"], append=True)
+    log = KeyedTable(t.spark, f"{root}/log", t.spark.createDataFrame([], log_schema), ["digest"], append=True)
     run_available(C.ingest(arriving(t, "callbacks", "ts"), rows, states, log, f"{root}/ckpt"))
     return rows.latest().select("task_id", "row_index", "category_code", "category_name", "needs_review", "row_status")
 
@@ -67,14 +55,16 @@ def _(t):
 
 @query("st_late", """SELECT json_extract_string(payload, '$.taskId') AS task_id, arg_max(json_extract_string(payload, '$.status'), ts) AS status, max(ts) AS last_at FROM callbacks GROUP BY 1""")
 def _(t):
-    return collected(t, C.last_status(arriving(t, "callbacks", "ts", per_trigger=1), "60 days"), "complete")
+    table = KeyedTable(t.spark, fresh(t, "statuses"), t.spark.createDataFrame([], C.STATUS), ["task_id"])
+    run_available(C.last_status(arriving(t, "callbacks", "ts"), table, fresh(t, "ckpt")))
+    return table.latest().select("task_id", "status", F.col("last_at").cast("timestamp_ntz").alias("last_at"))
 
 
 @query("st_clean", f"SELECT {CORE_SQL} FROM cleaned")
 def _(t):
     out = fresh(t, "cleaned-stream")
     none = t.spark.createDataFrame([], "title_id bigint, source_row_hash string")
-    seen = VersionedTable(t.spark, fresh(t, "seen"), none, ["title_id", "source_row_hash"], append=True)
+    seen = KeyedTable(t.spark, fresh(t, "seen"), none, ["title_id", "source_row_hash"], append=True)
     stream = arriving(t, "raw_rows", "row_id", parts=3)
     run_available(W.clean(stream, t["raw_header"], t["taxonomy"], t["synonyms"], out, seen, fresh(t, "ckpt")))
     return t.spark.read.parquet(out).select(*cleaning.CLEANED_COLUMNS)
@@ -83,7 +73,7 @@ def _(t):
 @query("st_review", """SELECT t.task_id, coalesce(l.status, t.status) AS status, CASE WHEN l.task_id IS NULL THEN t.assignee ELSE l.assignee END AS assignee, CASE WHEN l.task_id IS NULL THEN t.resolution ELSE l.resolution END AS resolution
  FROM review_tasks t LEFT JOIN (SELECT * FROM event_fold QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY n DESC) = 1) l USING (task_id)""")
 def _(t):
-    table = VersionedTable(t.spark, fresh(t, "tasks"), t["review_tasks"], ["task_id"])
+    table = KeyedTable(t.spark, fresh(t, "tasks"), t["review_tasks"], ["task_id"])
     run_available(W.fold_reviews(arriving(t, "review_events", "ts"), table, fresh(t, "ckpt")))
     return table.latest().select("task_id", "status", "assignee", "resolution")
 

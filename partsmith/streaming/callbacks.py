@@ -12,31 +12,30 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from partsmith.operators import external as X
 from partsmith.session import release, stage, staged_so_far
-from partsmith.streaming.tables import VersionedTable, each_batch
+from partsmith.streaming.tables import KeyedTable, each_batch
 
 
-def ingest(stream: DataFrame, rows: VersionedTable, tasks: VersionedTable, log: VersionedTable, checkpoint: str) -> DataStreamWriter:
+def ingest(stream: DataFrame, rows: KeyedTable, tasks: KeyedTable, log: KeyedTable, checkpoint: str) -> DataStreamWriter:
     """Merge callbacks into rows, tasks and log, batch by batch.
 
     A payload counts once ever: repeats inside the batch collapse on the digest,
     earlier ones are known from the log.  A late callback still applies.
-    ``rows`` and ``tasks`` are keyed by task, ``log`` by digest and appended to;
-    only the buckets of the batch's tasks and digests are read and written.
+    ``rows`` is keyed by task and index, ``tasks`` by task, ``log`` by digest
+    and appended to; only what the batch names is read, only what it changes
+    is written.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         mark = staged_so_far(batch.sparkSession)
         arrived = stage(X.once(batch).select("digest", "ts", "payload"), "arrived")
-        told = arrived.withColumn("task_id", F.from_json("payload", X.PAYLOAD)["taskId"])
-        places = tasks.touched(told)
-        known = tasks.before(batch_id, places)
-        seen = log.before(batch_id, log.touched(arrived))
+        told = X.read_payloads(arrived).select("task_id").where("task_id is not null")
+        known = tasks.before(batch_id, told)
+        seen = log.before(batch_id, arrived)
         fresh = X.read_payloads(arrived.join(seen.select("digest"), "digest", "left_anti")).join(
             known.select("task_id"), "task_id", "left_semi")
-        rows.write(X.upsert_rows(rows.before(batch_id, rows.touched(told)), X.result_items(fresh)), batch_id)
-        tasks.write(X.task_states(known, fresh).select(*[f.name for f in tasks.schema]), batch_id)
-        log.write(X.callback_log(fresh, known).select(*[f.name for f in log.schema]), batch_id)
-        for table in (rows, tasks):
-            table.expire(batch_id)
+        items = X.result_items(fresh)
+        rows.write(X.upsert_rows(rows.before(batch_id, items), items), batch_id)
+        tasks.write(X.task_states(known, fresh), batch_id)
+        log.write(X.callback_log(fresh, known), batch_id)
         release(batch.sparkSession, mark)
 
     return each_batch(stream, merge, checkpoint)
@@ -61,14 +60,33 @@ def progress(arrived: DataFrame) -> DataFrame:
         F.count_if("failed").alias("errors"), F.max("total").alias("total"))
 
 
-def last_status(stream: DataFrame, late: str = "2 days") -> DataFrame:
-    """Newest status per task (complete or update mode); ``late`` is how far behind input may come.
+STATUS = "task_id string, status string, last_at timestamp, digest string"
 
-    One row per task stays in the state: tasks have no end of their own.
+
+def last_status(stream: DataFrame, table: KeyedTable, checkpoint: str) -> DataStreamWriter:
+    """Newest status per task, in a table keyed by task with the columns of :data:`STATUS`.
+
+    A batch is reduced to one row per task and settled against the stored row
+    of that task, so callbacks count however late they come, repeats change
+    nothing, and the stream itself keeps no state, whatever the number of
+    tasks: a task that falls silent costs only its row.
     """
-    timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return X.read_payloads(timed).groupBy("task_id").agg(
-        F.max_by(F.col("body.status"), F.struct("ts", "digest")).alias("status"), F.max("ts").alias("last_at"))
+    order = F.struct("last_at", "digest")
+
+    def newest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("task_id").agg(F.max_by(F.struct("status", "last_at", "digest"), order).alias("n")).select("task_id", "n.*")
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        mark = staged_so_far(batch.sparkSession)
+        told = X.read_payloads(batch).where("task_id is not null").select(
+            "task_id", F.col("body.status").alias("status"), F.col("ts").cast("timestamp").alias("last_at"), "digest")
+        arrived = stage(newest(told), "statuses")
+        held = table.before(batch_id, arrived)
+        same = held.select("task_id", "digest")
+        table.write(newest(held.unionByName(arrived)).join(same, ["task_id", "digest"], "left_anti"), batch_id)
+        release(batch.sparkSession, mark)
+
+    return each_batch(stream, merge, checkpoint)
 
 
 TIMEOUT_OUT = "task_id string, status string"

@@ -10,11 +10,11 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 from partsmith.config import DEFAULTS, Settings
 from partsmith.operators import cleaning, review, scoring
 from partsmith.session import release, stage, staged_so_far
-from partsmith.streaming.tables import VersionedTable, each_batch
+from partsmith.streaming.tables import KeyedTable, each_batch
 
 
 def clean(stream: DataFrame, header: DataFrame, taxonomy: DataFrame, synonyms: DataFrame, out: str,
-          seen: VersionedTable, checkpoint: str, cfg: Settings = DEFAULTS) -> DataStreamWriter:
+          seen: KeyedTable, checkpoint: str, cfg: Settings = DEFAULTS) -> DataStreamWriter:
     """Clean newly arrived rows against the static taxonomy and append them to ``out``.
 
     Thresholds are fixed, since adaptive ones need the whole run.  ``seen``
@@ -27,7 +27,7 @@ def clean(stream: DataFrame, header: DataFrame, taxonomy: DataFrame, synonyms: D
         mark = staged_so_far(batch.sparkSession)
         scored = stage(cleaning.clean_rows(batch, header, taxonomy, synonyms, cfg), "scored")
         keys = ["title_id", "source_row_hash"]
-        known = seen.before(batch_id, seen.touched(scored))
+        known = seen.before(batch_id, scored)
         flagged = scored.join(known.withColumn("_seen", F.lit(True)), keys, "left").withColumn(
             "is_duplicate", F.when(F.col("_seen"), 1).otherwise(F.col("is_duplicate"))).drop("_seen")
         done = scoring.with_status(flagged, None, "title_id", cfg).select(*cleaning.CLEANED_COLUMNS)
@@ -39,10 +39,12 @@ def clean(stream: DataFrame, header: DataFrame, taxonomy: DataFrame, synonyms: D
     return each_batch(stream, step, checkpoint)
 
 
-def fold_reviews(stream: DataFrame, tasks: VersionedTable, checkpoint: str) -> DataStreamWriter:
-    """Apply arriving review events to the task table, keyed by task; only the buckets of the batch's tasks are written."""
+def fold_reviews(stream: DataFrame, tasks: KeyedTable, checkpoint: str) -> DataStreamWriter:
+    """Apply arriving review events to the task table, keyed by task; only the batch's tasks are read and written."""
     def step(batch: DataFrame, batch_id: int) -> None:
-        tasks.write(review.apply_events(tasks.before(batch_id, tasks.touched(batch)), batch)[0], batch_id)
-        tasks.expire(batch_id)
+        mark = staged_so_far(batch.sparkSession)
+        events = stage(batch, "review_batch")
+        tasks.write(review.apply_events(tasks.before(batch_id, events), events)[0], batch_id)
+        release(batch.sparkSession, mark)
 
     return each_batch(stream, step, checkpoint)

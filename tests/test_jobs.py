@@ -86,7 +86,7 @@ def test_stream_merges_twice_the_same(spark, tmp_path):
     """Two micro-batches, a repeated payload and a human decision."""
     from partsmith.catalog.externals import ROW_SCHEMA
     from partsmith.streaming import callbacks as C
-    from partsmith.streaming.tables import VersionedTable, run_available
+    from partsmith.streaming.tables import KeyedTable, run_available
 
     def payload(code, index):
         return ('{"taskId":"T1","status":"processing","results":[{"index":%d,"categoryCode":"%s"}]}' % (index, code))
@@ -94,11 +94,11 @@ def test_stream_merges_twice_the_same(spark, tmp_path):
     folder = str(tmp_path / "in")
     schema = "ts timestamp_ntz, payload string"
     at = dt.datetime(2024, 1, 1)
-    rows = VersionedTable(spark, str(tmp_path / "rows"), spark.createDataFrame(
-        [("T1", 1, "old", None, None, None, None, False, "accepted")], ROW_SCHEMA), ["task_id"])
-    tasks = VersionedTable(spark, str(tmp_path / "tasks"), spark.createDataFrame(
+    rows = KeyedTable(spark, str(tmp_path / "rows"), spark.createDataFrame(
+        [("T1", 1, "old", None, None, None, None, False, "accepted")], ROW_SCHEMA), ["task_id", "row_index"])
+    tasks = KeyedTable(spark, str(tmp_path / "tasks"), spark.createDataFrame(
         [("T1", "processing", at, None, 0)], "task_id string, status string, submitted_at timestamp_ntz, callback_at timestamp_ntz, retry_count int"), ["task_id"])
-    log = VersionedTable(spark, str(tmp_path / "log"), spark.createDataFrame([], "task_id string, digest string, ts timestamp_ntz, result string"), ["digest"], append=True)
+    log = KeyedTable(spark, str(tmp_path / "log"), spark.createDataFrame([], "task_id string, digest string, ts timestamp_ntz, result string"), ["digest"], append=True)
     for minute, body in ((0, payload("a", 1)), (1, payload("a", 1)), (2, payload("b", 2))):
         spark.createDataFrame([(at + dt.timedelta(minutes=minute), body)], schema).write.mode("append").parquet(folder)
         run_available(C.ingest(spark.readStream.schema(schema).parquet(folder), rows, tasks, log, str(tmp_path / "ckpt")))
