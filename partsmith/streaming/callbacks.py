@@ -82,8 +82,8 @@ def last_status(stream: DataFrame, table: KeyedTable, checkpoint: str) -> DataSt
             "task_id", F.col("body.status").alias("status"), F.col("ts").cast("timestamp").alias("last_at"), "digest")
         arrived = stage(newest(told), "statuses")
         held = table.before(batch_id, arrived)
-        same = held.select("task_id", "digest")
-        table.write(newest(held.unionByName(arrived)).join(same, ["task_id", "digest"], "left_anti"), batch_id)
+        same = held.select("task_id", "last_at", "digest")
+        table.write(newest(held.unionByName(arrived)).join(same, ["task_id", "last_at", "digest"], "left_anti"), batch_id)
         release(batch.sparkSession, mark)
 
     return each_batch(stream, merge, checkpoint)
