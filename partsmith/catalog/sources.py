@@ -18,13 +18,14 @@ def _(t):
 
 
 def sheets(t):
-    """Two CSV files of parts and suppliers, with a quoted line break, a blank and a repeated header."""
+    """Two sheets, of parts and of suppliers, of four CSV files each, with a quoted line break, a blank and a repeated header."""
     out = []
     for title, table, cells in (
             (1, "part", ["cast(p_partkey as string)", "p_name", "concat(p_brand, '\n\"', p_type, '\", x')", "''", "p_name"]),
             (2, "supplier", ["cast(s_suppkey as string)", "s_name", "''", "cast(s_nationkey as string)", "s_name"])):
         path = new_path(t.spark, "sheet")
-        t[table].orderBy(F.expr(cells[0]).cast("long")).selectExpr(*[f"{c} as c{i}" for i, c in enumerate(cells)]).coalesce(1).selectExpr(
+        key = F.expr(cells[0]).cast("long")
+        t[table].repartitionByRange(4, key).sortWithinPartitions(key).selectExpr(*[f"{c} as c{i}" for i, c in enumerate(cells)]).selectExpr(
             "c0 as `编码`", "c1 as `名称`", "c2 as `全描述`", "c3 as ` `", "c4 as `名称 `").write.option("header", True).option(
             "escape", '"').option("ignoreTrailingWhiteSpace", False).option("ignoreLeadingWhiteSpace", False).csv(path)
         out.append(files.read_csv(t.spark, path, title))

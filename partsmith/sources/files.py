@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from partsmith.operators import ingest
+from partsmith.session import stage
+from partsmith.sources import csv_ranges
 
 
 @dataclass
@@ -46,21 +50,26 @@ def import_frame(df: DataFrame, title_id: int, place: str, max_cols: int | None
     return Imported(header, rows, rows.groupBy("title_id").agg(F.count("*").alias("total_rows")))
 
 
-def read_csv(spark: SparkSession, path: str, title_id: int, max_cols: int | None = None) -> Imported:
-    """One CSV file whose first record is the header.
+def read_csv(spark: SparkSession, path: str, title_id: int, max_cols: int | None = None, sep: str = ",") -> Imported:
+    """A sheet of one CSV file, or of several in the order of their names; the first record of each is the header.
 
-    Records may hold quoted line breaks, so a file is read by one task (many
-    files are read side by side); the places of its records then follow each
-    other, and the row index is that of the sheet.
+    Records may hold quoted line breaks.  Files are read in byte ranges side by
+    side (:mod:`partsmith.sources.csv_ranges`), and the row index is that of
+    the whole sheet.
     """
-    df = spark.read.option("header", False).option("inferSchema", False).option("multiLine", True).option("escape", '"').csv(path)
-    placed = df.withColumn("_at", F.monotonically_increasing_id())
-    top = placed.orderBy("_at").limit(1).collect()
+    found = csv_ranges.records(spark, path, sep)
+    files = stage(found.groupBy("file").agg(F.count("*").alias("n")), "csv_files")
+    top = found.where("record = 0").orderBy("file").limit(1).collect()
     if not top:
         raise ValueError(f"{path} has no header")
-    names = [top[0][c] for c in df.columns]
-    body = placed.where(F.col("_at") > top[0]["_at"]).withColumn("_place", F.col("_at") - top[0]["_at"] - 1).drop("_at")
-    return import_frame(body, title_id, "_place", max_cols, names)
+    names = next(csv.reader(io.StringIO(top[0]["text"].lstrip("\ufeff"), newline=""), delimiter=sep))
+    # a row per file: what stands before it in the sheet
+    ahead = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    base = files.select("file", F.coalesce(F.sum(F.col("n") - 1).over(ahead), F.lit(0)).alias("base"))
+    cells = F.from_csv("text", ", ".join(f"c{i} string" for i in range(len(names))), {"sep": sep, "escape": '"'})
+    body = found.where("record > 0").join(base, "file").select(
+        (F.col("base") + F.col("record") - 1).alias("_place"), cells.alias("cells")).select("cells.*", "_place")
+    return import_frame(body, title_id, "_place", max_cols, [n or None for n in names])
 
 
 def read_parquet(spark: SparkSession, path: str, title_id: int, place: str, max_cols: int | None = None) -> Imported:
