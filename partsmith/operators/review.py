@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from partsmith.functions import scores as S, text as T
 from partsmith.operators import search as Q
 from partsmith.operators.edits import last_edits
+from partsmith.session import stage
 
 # Task states and the bounds of the derived priority.
 STATES = ("pending", "assigned", "in_progress", "completed", "cancelled")
@@ -61,52 +62,125 @@ def _trace(events: Column, status: Column, assignee: Column) -> Column:
     return F.aggregate(events, start, add)["seen"]
 
 
-def apply_events(tasks: DataFrame, events: DataFrame, segment_seconds: int = 86400) -> tuple[DataFrame, DataFrame]:
-    """Fold ordered actions into task states: ``(tasks, judged events with accepted)``.
+#: events of a segment, and segments or groups of them that are joined at once
+SEGMENT_EVENTS, FAN = 256, 64
+_EVENT = ["ts", "event_id", "action", "user_id", "resolution"]
+
+
+def _segments(events: DataFrame, size: int) -> DataFrame:
+    """``(task_id, seg, ev)``: up to ``size`` events of a task that follow each other; ``seg`` grows with time within a task.
 
-    A task's history is cut into time segments, so no single list holds all
-    events of one busy task.  Each segment is folded once for every state it
-    could start from (five statuses, each user it names, anyone else); a short
-    chain over these results gives the true start of every segment, and a last
-    pass judges its events from there.
+    Events are sorted over ranges of (task, time), so the history of one busy
+    task, or of one busy day of it, lies in as many ranges as it needs.  A
+    segment is a run of places in a range; a row per range numbers them through.
     """
-    seg = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000 / segment_seconds)
-    packed = F.struct("ts", "event_id", "action", "user_id", "resolution")
-    pieces = events.withColumn("seg", seg).groupBy("task_id", "seg").agg(F.sort_array(F.collect_list(packed)).alias("ev"))
+    order = ["task_id", *_EVENT]
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    sorted_ = events.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stage(sorted_.withColumn("_range", F.spark_partition_id()).withColumn("_run", F.floor(within / size)), "review_events")
+    runs = placed.groupBy("_range").agg((F.max("_run") + 1).alias("n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    first = runs.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
+    return placed.join(first, "_range").groupBy("task_id", (F.col("_first") + F.col("_run")).alias("seg")).agg(
+        F.sort_array(F.collect_list(F.struct(*_EVENT))).alias("ev"))
+
+
+def _users(names: Column) -> Column:
+    return F.array_union(F.array_compact(F.array_distinct(names)), F.array(F.lit(ANYONE_ELSE)))
 
-    users = F.array_union(F.array_compact(F.array_distinct(F.transform("ev", lambda e: e["user_id"]))), F.array(F.lit(ANYONE_ELSE)))
-    starts = F.flatten(F.transform(F.array(*[F.lit(s) for s in STATES]), lambda s: F.transform(
+
+def _starts(users: Column) -> Column:
+    """Every state a segment could begin in: each status, held by each user it names or by anyone else."""
+    return F.flatten(F.transform(F.array(*[F.lit(s) for s in STATES]), lambda s: F.transform(
         users, lambda u: F.struct(s.alias("status"), u.alias("assignee")))))
-    ends = F.transform(starts, lambda st: F.struct(st.alias("start"), _fold(F.col("ev"), st["status"], st["assignee"]).alias("end")))
-    summary = pieces.select("task_id", "seg", F.map_from_entries(ends).alias("ends"))
 
-    chain = summary.groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct("seg", F.map_entries("ends").alias("ends")))).alias("chain"))
-    base = tasks.select("task_id", F.col("status").alias("s0"), F.col("assignee").alias("a0"))
 
-    def through(now: Column, ends: Column) -> Column:
-        def at(a: Column) -> Column:
-            hit = F.filter(ends, lambda e: (e["key"]["status"] == now["status"]) & (e["key"]["assignee"] == a))
-            return F.get(hit, F.lit(0))["value"]
+def _through(now: Column, ends: Column) -> Column:
+    """The state after a segment with the transition map ``ends`` that begins in ``now``."""
+    def at(a: Column) -> Column:
+        hit = F.filter(ends, lambda e: (e["start"]["status"] == now["status"]) & (e["start"]["assignee"] == a))
+        return F.get(hit, F.lit(0))["end"]
+
+    end = F.coalesce(at(now["assignee"]), at(F.lit(ANYONE_ELSE)))
+    holder = F.when(end["assignee"] == ANYONE_ELSE, now["assignee"]).otherwise(end["assignee"])
+    return F.struct(end["status"].alias("status"), holder.alias("assignee"))
+
+
+def _folded(pieces: DataFrame) -> DataFrame:
+    """The transition map of each segment: its end for every state it could begin in."""
+    starts = _starts(_users(F.transform("ev", lambda e: e["user_id"])))
 
-        known, other = at(now["assignee"]), at(F.lit(ANYONE_ELSE))
-        end = F.coalesce(known, other)
-        holder = F.when(end["assignee"] == ANYONE_ELSE, now["assignee"]).otherwise(end["assignee"])
-        return F.struct(end["status"].alias("status"), holder.alias("assignee"))
+    def end(st: Column) -> Column:
+        state = _fold(F.col("ev"), st["status"], st["assignee"])
+        return F.struct(state["status"].alias("status"), state["assignee"].alias("assignee"))
 
-    state0 = F.struct(F.col("s0").alias("status"), F.col("a0").alias("assignee"))
-    empty = F.slice(F.array(F.struct(
-        F.lit(0).cast("long").alias("seg"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("assignee"))), 1, 0)
+    return pieces.select("task_id", F.col("seg").alias("node"), F.transform(starts, lambda st: F.struct(st.alias("start"), end(st).alias("end"))).alias("ends"))
 
-    def walk(acc: Column, piece: Column) -> Column:
-        entry = F.struct(piece["seg"].alias("seg"), acc["now"]["status"].alias("status"), acc["now"]["assignee"].alias("assignee"))
-        return F.struct(through(acc["now"], piece["ends"]).alias("now"), F.concat(acc["starts"], F.array(entry)).alias("starts"))
 
-    walked = base.join(chain, "task_id").select("task_id", F.aggregate(
-        "chain", F.struct(state0.alias("now"), empty.alias("starts")), walk).alias("w"))
-    begin = walked.select("task_id", F.inline("w.starts")).withColumnsRenamed({"status": "s", "assignee": "a"})
-    final = walked.select("task_id", F.col("w.now.status").alias("_status"), F.col("w.now.assignee").alias("_assignee"))
+def _composed(chains: DataFrame) -> DataFrame:
+    """The transition map of each group of segments, theirs one after the other."""
+    named = F.flatten(F.transform("chain", lambda c: F.transform(c["ends"], lambda e: e["start"]["assignee"])))
 
-    traced = pieces.join(begin, ["task_id", "seg"]).withColumn("states", _trace(F.col("ev"), F.col("s"), F.col("a")))
+    def end(st: Column) -> Column:
+        begin = F.struct(F.nullif(st["status"], F.lit("\u0002")).alias("status"), F.nullif(st["assignee"], F.lit("\u0002")).alias("assignee"))
+        return F.aggregate("chain", begin, lambda now, c: _through(now, c["ends"]))
+
+    starts = _starts(_users(F.filter(named, lambda u: u != ANYONE_ELSE)))
+    return chains.select("task_id", F.col("parent").alias("node"), F.transform(starts, lambda st: F.struct(st.alias("start"), end(st).alias("end"))).alias("ends"))
+
+
+def _begin_states(pieces: DataFrame, tasks: DataFrame, fan: int) -> DataFrame:
+    """``(task_id, seg, s, a)``: the state in which each segment begins.
+
+    Maps of up to ``fan`` segments in a row are composed, round by round until
+    one is left per task; then states are handed down the same tree.  No list
+    is longer than ``fan``; the rounds are the logarithm of the segments.
+    """
+    base = tasks.select("task_id", F.col("status").alias("s"), F.col("assignee").alias("a"))
+    count = pieces.groupBy("task_id").agg(F.count("*").alias("n"), F.min("seg").alias("seg"))
+    begin = count.where("n = 1").join(base, "task_id").select("task_id", "seg", "s", "a")
+    long = count.where("n > 1").select("task_id")
+    if long.isEmpty():
+        return begin
+    level = _folded(pieces.join(long, "task_id", "left_semi"))
+    chains: list[DataFrame] = []
+    while True:
+        chain = level.groupBy("task_id", F.expr(f"node div {fan}").alias("parent")).agg(F.sort_array(F.collect_list(F.struct("node", "ends"))).alias("chain"))
+        chains.append(stage(chain, "review_chains"))
+        if chains[-1].groupBy("task_id").count().where("count > 1").isEmpty():
+            break
+        level = _composed(chains[-1])
+
+    empty = F.slice(F.array(F.struct(F.lit(0).cast("long").alias("node"), F.lit(None).cast("string").alias("s"), F.lit(None).cast("string").alias("a"))), 1, 0)
+
+    def walk(acc: Column, c: Column) -> Column:
+        entry = F.struct(c["node"].alias("node"), acc["now"]["status"].alias("s"), acc["now"]["assignee"].alias("a"))
+        return F.struct(_through(acc["now"], c["ends"]).alias("now"), F.concat(acc["begun"], F.array(entry)).alias("begun"))
+
+    known = chains[-1].join(base, "task_id")
+    while chains:
+        start = F.struct(F.struct(F.col("s").alias("status"), F.col("a").alias("assignee")).alias("now"), empty.alias("begun"))
+        below = known.select("task_id", F.inline(F.aggregate("chain", start, walk)["begun"]))
+        chains.pop()
+        if chains:
+            known = chains[-1].join(below.withColumnRenamed("node", "parent"), ["task_id", "parent"])
+    return begin.unionByName(below.withColumnRenamed("node", "seg"))
+
+
+def apply_events(tasks: DataFrame, events: DataFrame, segment_events: int = SEGMENT_EVENTS, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
+    """Fold ordered actions into task states: ``(tasks, judged events with accepted)``.
+
+    A task's history is cut into segments of ``segment_events`` events.  Each
+    is folded once for every state it could start from (five statuses, each
+    user it names, anyone else); these maps are composed in a tree, which gives
+    the true start of every segment, and a last pass judges its events from
+    there.  A task of one segment is folded from its own state alone.
+    """
+    pieces = stage(_segments(events, segment_events), "review_segments")
+    begin = _begin_states(pieces, tasks, fan)
+    traced = stage(pieces.join(begin, ["task_id", "seg"]).withColumn("states", _trace(F.col("ev"), F.col("s"), F.col("a"))), "review_states")
+    final = traced.groupBy("task_id").agg(F.max_by(F.struct(F.element_at("states", -1).alias("now")), "seg").alias("_end")).select(
+        "task_id", F.col("_end.now.status").alias("_status"), F.col("_end.now.assignee").alias("_assignee"))
     judged = traced.select("task_id", F.inline(F.arrays_zip("ev", "states"))).select(
         "task_id", "ev.ts", "ev.event_id", "ev.action", "ev.user_id", "ev.resolution", F.col("states.ok").alias("accepted"))
     orphan = events.join(tasks.select("task_id"), "task_id", "left_anti").select(

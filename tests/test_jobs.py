@@ -49,8 +49,8 @@ def test_review_fold_does_not_depend_on_segments(spark):
             accepted.add(i)
             new = {"assign": "assigned", "reassign": "assigned", "start": "in_progress", "complete": "completed", "cancel": "cancelled", "reopen": "pending"}[action]
             state[task] = [new, user if action in ("assign", "reassign") else None if action == "reopen" else who]
-    for seconds in (600, 86400, 10**9):
-        out, judged = review.apply_events(tasks, ev, seconds)
+    for size, fan in ((1, 2), (7, 4), (64, 64), (10**6, 64)):
+        out, judged = review.apply_events(tasks, ev, size, fan)
         assert {r["task_id"]: [r["status"], r["assignee"]] for r in out.collect()} == state
         assert {r["event_id"] for r in judged.where("accepted").collect()} == accepted
         assert judged.count() == len(events)
@@ -66,6 +66,41 @@ def test_moves_that_close_a_cycle_together(spark):
     assert {r["id"]: r["full_path"] for r in out.collect()}[3] == "/10/1001"
 
 
+def test_a_busy_day_of_one_task_is_cut(spark, monkeypatch):
+    """All events of one task in one second: no list is longer than a segment, and the state is that of a plain loop."""
+    n, longest = 3000, {}
+    actions = ["assign", "start", "complete", "reopen", "reassign"]
+    ev = spark.range(n).select(
+        F.col("id").alias("event_id"), F.expr("timestamp_ntz'2024-01-01 00:00:00'").alias("ts"), F.lit(1).cast("long").alias("task_id"),
+        F.element_at(F.array(*map(F.lit, actions)), (F.xxhash64("id") % 5 + 5).cast("int") % 5 + 1).alias("action"),
+        F.concat(F.lit("u"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2))).cast("string")).alias("user_id"), F.lit("ok").alias("resolution"))
+    tasks = spark.createDataFrame([(1, "pending", None, None, None, None)],
+                                  "task_id long, status string, assignee string, resolution string, completed_at timestamp_ntz, assigned_at timestamp_ntz")
+    keep = review.stage
+
+    def stage(df, label):
+        out = keep(df, label)
+        column = {"review_segments": "ev", "review_chains": "chain"}.get(label)
+        if column:
+            longest[label] = max(longest.get(label, 0), out.agg(F.max(F.size(column))).first()[0])
+        return out
+
+    monkeypatch.setattr(review, "stage", stage)
+    got = review.apply_events(tasks, ev, 16, 8)
+    st, who, accepted = "pending", None, set()
+    for e in ev.orderBy("event_id").collect():
+        ok = {"assign": st == "pending", "reassign": st in ("assigned", "in_progress"), "start": st == "assigned" and who == e.user_id,
+              "complete": st == "in_progress" and who == e.user_id, "reopen": st == "completed"}[e.action]
+        if ok:
+            accepted.add(e.event_id)
+            who = e.user_id if e.action in ("assign", "reassign") else None if e.action == "reopen" else who
+            st = {"assign": "assigned", "reassign": "assigned", "start": "in_progress", "complete": "completed", "reopen": "pending"}[e.action]
+    row = got[0].first()
+    assert (row.status, row.assignee) == (st, who) and len(accepted) > 500
+    assert {r.event_id for r in got[1].where("accepted").collect()} == accepted
+    assert longest["review_segments"] <= 16 and longest["review_chains"] <= 8
+
+
 def test_csv_import(spark, tmp_path):
     (tmp_path / "a.csv").write_text("编码 , ,数量\n1, x ,2.0\n,,\n3,y,5\n", encoding="utf-8")
     got = files.read_csv(spark, str(tmp_path / "a.csv"), 9)
