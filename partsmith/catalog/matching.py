@@ -75,6 +75,12 @@ def _(t):
     return per_row(t, parts(t).ranked)
 
 
+# The candidates that the matcher opens: all that share the top rank of their row, and no others.
+@query("mt_top", "SELECT row_id, category_id, source, score, rank_score, confidence FROM ranked QUALIFY rank() OVER (PARTITION BY row_id ORDER BY rank_score DESC) = 1")
+def _(t):
+    return per_row(t, parts(t).top)
+
+
 @query("mt_tiebreak", "SELECT row_id, category_id, source, rank_score FROM best")
 def _(t):
     return per_row(t, parts(t).best).select("row_id", "category_id", "source", "rank_score")

@@ -10,6 +10,9 @@ the work is arranged differently, without losing a pair:
 * rows are reduced to distinct *signatures* (name, code, material name and only
   those description values that hit some category), matched once, and joined
   back by signature;
+* candidates are scored per posting list (a name, a code, a prefix) and ranked
+  by the best boost any category of the list can get; only the lists of highest
+  rank are opened (see :func:`top_candidates`);
 * code candidates are looked up only for signatures without a text candidate,
   since any text candidate outranks every code candidate.
 """
@@ -302,8 +305,8 @@ def boost_of(scores: DataFrame, key: str, closure: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- level-3 scores
 
-def text_scores(sigs: DataFrame, pairs: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """``(sig_id, category_id, score, source)``: best text evidence per category.
+def name_scores(sigs: DataFrame, pairs: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """``(sig_id, cat_norm, score, source)``: best text evidence per name of level 3, however many categories hold it.
 
     The name counts first, then description values, then the material name; a
     later signal takes over only with a strictly higher score.
@@ -321,12 +324,13 @@ def text_scores(sigs: DataFrame, pairs: DataFrame, taxonomy: DataFrame) -> DataF
     rel, sim, kind = F.col("rel"), F.col("sim"), F.col("kind")
     name_score = F.when(rel == EQ, 1.0).when(rel == IN, 0.85).when(sim >= NAME_SIM_MIN, scaled(sim))
     value_score = F.when(rel == EQ, 0.9).when(rel == IN, 0.8).otherwise(scaled(sim))
+    names = _named(taxonomy).where("level = 3").select("cat_norm").distinct()
     scored = (
-        signals.join(level_pairs(pairs, taxonomy, (3,)), "norm")
+        signals.join(pairs.join(names, "cat_norm", "left_semi"), "norm")
         .withColumn("score", F.when(kind == 0, name_score).otherwise(value_score))
         .where("score is not null")
     )
-    per_kind = scored.groupBy("sig_id", F.col("node_id").alias("category_id")).agg(
+    per_kind = scored.groupBy("sig_id", "cat_norm").agg(
         F.coalesce(F.max(F.when(kind == 0, F.col("score"))), F.lit(0.0)).alias("s0"),
         F.coalesce(F.max(F.when(kind == 1, F.col("score"))), F.lit(0.0)).alias("s1"),
         F.coalesce(F.max(F.when(kind == 2, F.col("score"))), F.lit(0.0)).alias("s2"),
@@ -337,7 +341,13 @@ def text_scores(sigs: DataFrame, pairs: DataFrame, taxonomy: DataFrame) -> DataF
         F.when(F.col("s2") > F.greatest("s0", "s1"), "MATERIAL_NAME")
         .when(F.col("s1") > F.col("s0"), "EXTRA_NAME").otherwise(by_name)
     )
-    return per_kind.select("sig_id", "category_id", F.greatest("s0", "s1", "s2").alias("score"), source.alias("source"))
+    return per_kind.select("sig_id", "cat_norm", F.greatest("s0", "s1", "s2").alias("score"), source.alias("source"))
+
+
+def text_scores(sigs: DataFrame, pairs: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """``(sig_id, category_id, score, source)``: best text evidence per category."""
+    nodes = _named(taxonomy).where("level = 3").select("cat_norm", F.col("id").alias("category_id"))
+    return name_scores(sigs, pairs, taxonomy).join(nodes, "cat_norm").select("sig_id", "category_id", "score", "source")
 
 
 def code_scores(sigs: DataFrame, taxonomy: DataFrame) -> DataFrame:
@@ -359,11 +369,75 @@ def _band() -> Column:
     return F.col("score") + F.when(by_text, NAME_BAND).otherwise(0.0)
 
 
-def within_reach(candidates: DataFrame) -> DataFrame:
-    """Candidates that the largest boost could still lift to the top of their signature; no winner is lost."""
+def postings(taxonomy: DataFrame) -> DataFrame:
+    """``(kind, entry, category_id)``: level-3 categories by name, by code and by every prefix of their code."""
+    leaves = _named(taxonomy).where("level = 3")
+    by_name = leaves.where("cat_norm is not null").select(F.lit("name").alias("kind"), F.col("cat_norm").alias("entry"), F.col("id").alias("category_id"))
+    by_code = leaves.where("category_code is not null").select(F.lit("code").alias("kind"), F.col("category_code").alias("entry"), F.col("id").alias("category_id"))
+    by_prefix = code_prefixes(leaves).select(F.lit("prefix").alias("kind"), F.col("prefix").alias("entry"), F.col("node_id").alias("category_id"))
+    return by_name.unionByName(by_code).unionByName(by_prefix)
+
+
+def entry_scores(sigs: DataFrame, pairs: DataFrame, taxonomy: DataFrame, lists: DataFrame) -> DataFrame:
+    """``(sig_id, kind, entry, score, source)``: one row per posting list that a signature reaches, not per category in it.
+
+    A signature with a text candidate asks for no code; one whose code exists
+    asks for no prefix, since the largest boost cannot lift a prefix above it.
+    """
+    text = stage(name_scores(sigs, pairs, taxonomy), "name-scores").select("sig_id", F.lit("name").alias("kind"), F.col("cat_norm").alias("entry"), "score", "source")
+    rest = sigs.join(text.select("sig_id").distinct(), "sig_id", "left_anti")
+    entries = lists.select("kind", "entry").distinct()
+    exact = rest.where("code_raw is not null").select("sig_id", F.lit("code").alias("kind"), F.col("code_raw").alias("entry")).join(
+        entries, ["kind", "entry"], "left_semi").select("sig_id", "kind", "entry", F.lit(1.0).alias("score"), F.lit("CODE_EXACT").alias("source"))
+    prefix = rest.where("code_norm is not null").join(exact.select("sig_id"), "sig_id", "left_anti").select(
+        "sig_id", F.lit("prefix").alias("kind"), F.col("code_norm").alias("entry")).join(entries, ["kind", "entry"], "left_semi").select(
+        "sig_id", "kind", "entry", F.lit(0.6).alias("score"), F.lit("CODE_PREFIX").alias("source"))
+    return text.unionByName(exact).unionByName(prefix)
+
+
+def within_reach(entries: DataFrame) -> DataFrame:
+    """Entries that the largest boost could still lift to the top of their signature; no winner is lost."""
     best = F.max("_band").over(Window.partitionBy("sig_id"))
-    return candidates.withColumn("_band", _band()).withColumn("_best", best).where(
-        F.col("_band") >= F.col("_best") - BOOST_FACTOR - 1e-9).drop("_band", "_best")
+    return entries.withColumn("_band", _band()).withColumn("_best", best).where(
+        F.col("_band") >= F.col("_best") - BOOST_FACTOR - 1e-9).drop("_best")
+
+
+def top_candidates(entries: DataFrame, sigs: DataFrame, name_anc: DataFrame, code_anc: DataFrame, closure: DataFrame, lists: DataFrame) -> DataFrame:
+    """The candidates of highest rank of every signature, all of them: ``(sig_id, category_id, source, score, rank_score, confidence)``.
+
+    A rank join over posting lists.  A list's rank is its score plus the best
+    boost that any of its categories gets, known from the distinct ancestors
+    of the list.  Only the lists of highest rank are opened, and of these only
+    the categories below the ancestors that give that boost, so a name held by
+    ever so many categories yields no more pairs than tie.
+    """
+    above = lists.join(closure.select("ancestor_id", F.col("l3_id").alias("category_id")), "category_id").select("kind", "entry", "ancestor_id", "category_id").distinct()
+    heads = above.select("kind", "entry", "ancestor_id").distinct()
+    keyed = stage(within_reach(entries).join(sigs.select("sig_id", "name_norm", "code_norm"), "sig_id"), "match-entries")
+
+    def lift(key: str, scores: DataFrame) -> DataFrame:
+        """The ancestors of each list that boost texts or codes of ``key``."""
+        wanted = keyed.where(F.col(key).isNotNull()).select(key, "kind", "entry").distinct()
+        return wanted.join(heads, ["kind", "entry"]).join(scores, [key, "ancestor_id"])
+
+    by_name, by_code = stage(lift("name_norm", name_anc), "name-lift"), stage(lift("code_norm", code_anc), "code-lift")
+    ns = by_name.groupBy("name_norm", "kind", "entry").agg(F.max("score").alias("ns"))
+    cs = by_code.groupBy("code_norm", "kind", "entry").agg(F.max("score").alias("cs"))
+    lifted = keyed.join(ns, ["name_norm", "kind", "entry"], "left").join(cs, ["code_norm", "kind", "entry"], "left").withColumn("top", F.greatest("ns", "cs"))
+    boost, band = F.col("top") * BOOST_FACTOR, F.col("_band")
+    ranked = lifted.withColumns({
+        "rank_score": F.when(boost.isNotNull(), band + boost).otherwise(band),
+        "confidence": F.when(boost.isNotNull(), F.least(F.lit(1.0), F.col("score") + boost)).otherwise(F.col("score"))})
+    w = Window.partitionBy("sig_id").orderBy(F.col("rank_score").desc())
+    first = stage(ranked.withColumn("r", F.rank().over(w)).where("r = 1").drop("r", "_band"), "match-top")
+
+    out = ["sig_id", "category_id", "source", "score", "rank_score", "confidence"]
+    level = first.where("top is null").join(lists, ["kind", "entry"]).select(*out)
+    ours = first.where("top is not null").select("sig_id", "kind", "entry", "name_norm", "code_norm", "top", *out[2:])
+    ways = ours.join(by_name.withColumnRenamed("score", "top"), ["name_norm", "kind", "entry", "top"]).select("sig_id", "kind", "entry", "ancestor_id", *out[2:]).unionByName(
+        ours.join(by_code.withColumnRenamed("score", "top"), ["code_norm", "kind", "entry", "top"]).select("sig_id", "kind", "entry", "ancestor_id", *out[2:]))
+    lifted_nodes = ways.distinct().join(above, ["kind", "entry", "ancestor_id"]).select(*out).distinct()
+    return level.unionByName(lifted_nodes)
 
 
 def rank_scores(candidates: DataFrame, sigs: DataFrame, name_anc: DataFrame, code_anc: DataFrame, closure: DataFrame) -> DataFrame:
@@ -449,6 +523,7 @@ class MatchParts:
     text: DataFrame
     code: DataFrame
     ranked: DataFrame
+    top: DataFrame
     best: DataFrame
     outcome: DataFrame
 
@@ -470,11 +545,15 @@ def match_parts(signals: DataFrame, taxonomy: DataFrame, synonyms: DataFrame,
     code_boost = boost_of(code_anc, "code_norm", closure)
 
     open_sigs = sigs.join(synonym.select("name_norm"), "name_norm", "left_anti")
+    lists = stage(postings(taxonomy), "postings")
+    entries = entry_scores(open_sigs, pairs, taxonomy, lists)
+    top = top_candidates(entries, sigs, name_anc, code_anc, closure, lists)
+    best = pick_best(top, sigs, taxonomy)
+
+    # every candidate with its score, for those who ask for more than the winner; the run above does not read them
     text = text_scores(open_sigs, pairs, taxonomy)
     code = code_scores(open_sigs.join(text.select("sig_id").distinct(), "sig_id", "left_anti"), taxonomy)
-    candidates = text.unionByName(code)
-    ranked = rank_scores(candidates, sigs, name_anc, code_anc, closure)
-    best = pick_best(rank_scores(within_reach(candidates), sigs, name_anc, code_anc, closure), sigs, taxonomy)
+    ranked = rank_scores(text.unionByName(code), sigs, name_anc, code_anc, closure)
 
     by_synonym = sigs.join(synonym, "name_norm").select(
         "sig_id", "category_id", F.lit("SYNONYM").alias("source"), F.lit(SYNONYM_CONFIDENCE).alias("confidence"))
@@ -486,7 +565,7 @@ def match_parts(signals: DataFrame, taxonomy: DataFrame, synonyms: DataFrame,
         F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
     )
     return MatchParts(rows, sigs, pairs, closure, synonym, name_anc, code_anc,
-                      name_boost, code_boost, text, code, ranked, best, outcome)
+                      name_boost, code_boost, text, code, ranked, top, best, outcome)
 
 
 def match(signals: DataFrame, taxonomy: DataFrame, synonyms: DataFrame) -> DataFrame:

@@ -73,6 +73,25 @@ def test_blocked_equals_nested_loops(spark, seed):
     assert got == [(a, b, round(c, 12)) for a, b, c in want]
 
 
+def test_a_common_name_yields_only_what_can_tie(spark):
+    """One name held by 2,000 categories, of which the row's code chooses one group; a prefix that 2,000 codes share."""
+    cats = [node(10, "金属", None, 1)] + [node(1000 + g, f"组{g}", 10, 2) for g in range(200)]
+    cats += [node(100000 + 100 * g + i, "螺栓" if i % 2 else f"零件{g}x{i}", 1000 + g, 3) for g in range(200) for i in range(20)]
+    rows = [row("螺栓", "1007"), row("螺栓", "100703"), row(None, "1007", [], "螺栓"), row("无关名称", "10"), row("无关名称", "1150"), row("无关名称", "100704"), row("螺栓")]
+    signals = spark.createDataFrame([(i, r["name"], r["code"], r["extras"], r["material"]) for i, r in enumerate(rows)], SIGNALS)
+    parts = M.match_parts(signals, taxonomy(spark, cats), spark.createDataFrame([], SYN))
+    opened = dict(parts.rows.join(parts.top, "sig_id").groupBy("row_id").count().collect())
+    ranked = parts.rows.join(parts.ranked, "sig_id").select("row_id", "rank_score").collect()
+    ties = {}
+    for r in ranked:
+        best, n = ties.get(r.row_id, (0, 0))
+        ties[r.row_id] = (r.rank_score, 1) if r.rank_score > best else (best, n + (r.rank_score == best))
+    assert opened == {i: n for i, (_, n) in ties.items()}
+    assert opened[0] == opened[2] == 10 and opened[4] == 20 and opened[6] == 2000
+    got = run(spark, cats, rows)
+    assert got == [(a, b, round(c, 12)) for a, b, c in (brute_match(r, cats) for r in rows)]
+
+
 def test_recall_and_rule_check(spark):
     cats = [{"id": 1, "code": "B07", "name": "不锈钢板", "parent": None, "level": 3, "unit": "千克", "desc": "各种不锈钢板"}]
     tax, syn = taxonomy(spark, cats), spark.createDataFrame([], SYN)
