@@ -80,10 +80,12 @@ def _(t):
         "spec_id", "valid", F.array_join("errors", ";").alias("errors"), F.array_join("warnings", ";").alias("warnings"))
 
 
-@query("snk_result_by_header", """SELECT r.std_id, r.row_id, h.pos AS place, '原始-'||h.name AS name, c.value FROM result r JOIN raw_header h USING (title_id) JOIN cell c ON c.row_id = r.row_id AND c.name = h.name
- UNION ALL SELECT r.std_id, r.row_id, h.pos + 100, h.target, CASE h.pos WHEN 1 THEN col1 WHEN 2 THEN col2 WHEN 3 THEN col3 WHEN 4 THEN col4 WHEN 5 THEN col5 ELSE col6 END FROM result r JOIN std_header h USING (std_id)""")
+@query("snk_result_by_header", """SELECT r.std_id, r.row_id, 0 AS part, h.pos AS place, '原始-'||h.name AS name, c.value FROM result r JOIN raw_header h USING (title_id) JOIN cell c ON c.row_id = r.row_id AND c.name = h.name
+ UNION ALL SELECT r.std_id, r.row_id, 1, h.pos, h.target, CASE h.pos WHEN 1 THEN col1 WHEN 2 THEN col2 WHEN 3 THEN col3 WHEN 4 THEN col4 WHEN 5 THEN col5 ELSE col6 END FROM result r JOIN std_header h USING (std_id)""")
 def _(t):
-    return E.results_by_header(results(t), t["raw_rows"], t["raw_header"], t["std_header"])
+    path = f"{shared_dir(t.spark)}/by-header-{uuid.uuid4().hex}"
+    E.write_by_header(E.results_by_header(results(t), t["raw_rows"], t["raw_header"], t["std_header"]), path)
+    return t.spark.read.parquet(path).select(F.col("std_id").cast("long").alias("std_id"), "row_id", "part", "place", "name", "value")
 
 
 @query("snk_taxonomy", "SELECT id, category_code, category_name, full_path FROM taxonomy")
@@ -95,8 +97,9 @@ def _(t):
 
 @query("snk_mark_exported", "SELECT id, CASE WHEN status IN ('export_ready','approved') AND export_batch_id IS NULL THEN 999 ELSE export_batch_id END AS export_batch_id FROM cleaned_log")
 def _(t):
-    taken = E.exportable(log(t)).select("id", F.lit(999).cast("long").alias("batch_id"), F.col("created_at").alias("at"))
-    return E.mark_exported(log(t), taken).select("id", "export_batch_id")
+    taken = E.exportable(log(t)).select("id", F.lit(999).cast("long").alias("batch_id"), (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("at"))
+    earlier = taken.select("id", F.lit(1000).cast("long").alias("batch_id"), (F.col("at") - F.expr("INTERVAL 1 DAY")).alias("at"))
+    return E.mark_exported(log(t), taken.unionByName(earlier)).select("id", "export_batch_id")
 
 
 @query("snk_exportable", "SELECT id, status FROM cleaned_log WHERE status IN ('export_ready','approved') AND export_batch_id IS NULL")

@@ -126,28 +126,35 @@ def _(t):
 
 
 def decisions(t):
+    """Two decisions on every row of two categories, in the order of ``seq``, and whole tasks."""
     rows = ext_rows(t)
     none = F.lit(None).cast("string")
-    one = rows.where("category_code = 'view'").select("task_id", "row_index", F.lit("correct").alias("action"), F.lit("fixed").alias("code"), none.alias("name"), none.alias("comment"))
-    two = rows.where("category_code = 'error'").select("task_id", "row_index", F.lit("reject").alias("action"), none.alias("code"), none.alias("name"), F.lit("no").alias("comment"))
-    whole = tasks(t).where("task_id in ('T1', 'T2')").select("task_id", F.lit(None).cast("int").alias("row_index"), F.lit("accept").alias("action"), none.alias("code"), none.alias("name"), none.alias("comment"))
-    return one.unionByName(two).unionByName(whole)
 
+    def decide(kind, seq, action, code):
+        return rows.where(F.col("category_code") == kind).select(
+            "task_id", "row_index", F.lit(action).alias("action"), F.lit(code).cast("string").alias("code"), none.alias("name"), none.alias("comment"), F.lit(seq).alias("seq"))
 
-@query("ex_adopt", """SELECT task_id, row_index, CASE category_code WHEN 'view' THEN 'fixed' ELSE category_code END AS category_code, category_name,
+    whole = tasks(t).where("task_id in ('T1', 'T2')").select("task_id", F.lit(None).cast("int").alias("row_index"), F.lit("accept").alias("action"),
+                                                             none.alias("code"), none.alias("name"), none.alias("comment"), F.lit(0).alias("seq"))
+    return decide("view", 1, "reject", None).unionByName(decide("view", 2, "correct", "fixed")).unionByName(
+        decide("error", 2, "reject", None)).unionByName(decide("error", 1, "correct", "tried")).unionByName(whole)
+
+
+@query("ex_adopt", """SELECT task_id, row_index, CASE category_code WHEN 'view' THEN 'fixed' WHEN 'error' THEN 'tried' ELSE category_code END AS category_code, category_name,
  CASE WHEN category_code = 'view' THEN 'corrected' WHEN category_code = 'error' THEN 'rejected' WHEN task_id IN ('T1','T2') AND row_status IN ('completed','pending') THEN 'accepted' ELSE row_status END AS row_status FROM ext_row""")
 def _(t):
     return X.decide(ext_rows(t), decisions(t)).select("task_id", "row_index", "category_code", "category_name", "row_status")
 
 
 @query("ex_fill_missing", """SELECT task_id, row_index, CASE WHEN arrived THEN '' ELSE '牌号,单位' END AS missing, CASE WHEN arrived THEN FALSE ELSE needs_review END AS needs_review,
- CASE WHEN arrived THEN 'filled' END AS name_value FROM ext_row""")
+ CASE WHEN arrived THEN 'filled' END AS name_value, CASE WHEN arrived THEN 'first' END AS origin_value FROM ext_row""")
 def _(t):
-    given = F.create_map(F.lit("物资名称"), F.lit("filled"))
-    filled = ext_rows(t).where(F.array_contains("missing", "物资名称")).select("task_id", "row_index", given.alias("given"))
-    return X.fill_missing(ext_rows(t), filled).select(
+    open_rows = ext_rows(t).where(F.array_contains("missing", "物资名称")).select("task_id", "row_index")
+    first = open_rows.select("*", F.create_map(F.lit("物资名称"), F.lit("draft"), F.lit("产地"), F.lit("first")).alias("given"), F.lit(1).alias("seq"))
+    second = open_rows.select("*", F.create_map(F.lit("物资名称"), F.lit("filled"), F.lit("牌号"), F.lit(None).cast("string")).alias("given"), F.lit(2).alias("seq"))
+    return X.fill_missing(ext_rows(t), second.unionByName(first)).select(
         "task_id", "row_index", F.coalesce(F.array_join("missing", ","), F.lit("")).alias("missing"), "needs_review",
-        F.try_element_at("attrs", F.lit("物资名称")).alias("name_value"))
+        F.try_element_at("attrs", F.lit("物资名称")).alias("name_value"), F.try_element_at("attrs", F.lit("产地")).alias("origin_value"))
 
 
 @query("ex_retry", """WITH l AS (SELECT task_id, status FROM ext_once QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY ts DESC, digest DESC) = 1), f AS (SELECT task_id FROM ext_task JOIN l USING (task_id) WHERE status = 'failed')

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from partsmith.catalog.base import query
 from partsmith.catalog.cleaned import cleaned, parsed
@@ -74,13 +76,15 @@ def _(t):
 
 
 def manual(t):
-    """Take the grade from two sources, drop the unit, and map the code by hand."""
+    """Take the grade from two sources, map the unit and then drop it, and map the code by hand, twice."""
     keys = mappings(t).select("title_id", "std_id").distinct()
 
-    def edit(target, source, kind):
-        return keys.select("title_id", "std_id", F.lit(target).alias("target"), F.lit(source).alias("source"), F.lit(kind).alias("source_type"))
+    def edit(seq, target, source, kind):
+        return keys.select("title_id", "std_id", F.lit(target).alias("target"), F.lit(source).alias("source"), F.lit(kind).alias("source_type"), F.lit(seq).alias("seq"))
 
-    return edit("牌号", " 牌号，品牌,牌号,", "extra_data").unionByName(edit("计量单位", " ", "")).unionByName(edit("物料代码", "物料代码", ""))
+    edits = [edit(1, "牌号", " 牌号，品牌,牌号,", "extra_data"), edit(2, "计量单位", " ", ""), edit(1, "计量单位", "牌号", "extra_data"),
+             edit(4, "物料代码", "物料代码", ""), edit(3, "物料代码", "品牌", "temp_data"), edit(2, "物料代码", "规格", "")]
+    return reduce(DataFrame.unionByName, edits)
 
 
 cte("edited_mapping", "mapping", """

@@ -78,9 +78,9 @@ def _(t):
                           created=(dt.datetime(1996, 1, 1), None)).select("task_id", "title")
 
 
-@query("srt_tasks", f"SELECT task_id, priority, due_at FROM review_tasks ORDER BY {_weight} DESC, due_at, created_at DESC, task_id LIMIT 100")
+@query("srt_tasks", f"SELECT row_number() OVER (ORDER BY {_weight} DESC, due_at NULLS FIRST, created_at DESC, task_id) - 1 AS place, task_id, priority, due_at FROM review_tasks")
 def _(t):
-    return R.by_urgency(t["review_tasks"]).limit(100).select("task_id", "priority", "due_at")
+    return R.place_by_urgency(t["review_tasks"]).select("place", "task_id", "priority", "due_at")
 
 
 @query("rv_queues", """SELECT 'my_pending' AS queue, task_id FROM review_tasks WHERE assignee = 'user3' AND status IN ('assigned','in_progress') UNION ALL SELECT 'my_completed', task_id FROM review_tasks WHERE assignee = 'user3' AND status = 'completed'
@@ -111,9 +111,12 @@ def _(t):
 
 
 @query("rv_auto_assign", """WITH l AS (SELECT assignee, count(*) FILTER (status IN ('pending','assigned','in_progress')) AS load FROM review_tasks WHERE assignee IS NOT NULL GROUP BY assignee),
- r AS (SELECT assignee, row_number() OVER (ORDER BY load, assignee) - 1 AS slot, count(*) OVER () AS n FROM l),
- p AS (SELECT task_id, task_id % 64 AS b, row_number() OVER (PARTITION BY task_id % 64 ORDER BY task_id) - 1 AS i FROM review_tasks WHERE status = 'pending')
- SELECT p.task_id, r.assignee FROM p JOIN r ON r.slot = (p.i + p.b) % r.n""")
+ p AS (SELECT task_id, row_number() OVER (ORDER BY task_id) - 1 AS n FROM review_tasks WHERE status = 'pending'), c AS (SELECT count(*) AS total FROM p),
+ r AS (SELECT assignee, load, row_number() OVER (ORDER BY load, assignee) AS k, sum(load) OVER (ORDER BY load, assignee) AS s FROM l),
+ u AS (SELECT assignee, load, k, count(*) OVER () AS kk, sum(load) OVER () + total AS held FROM r, c WHERE k * load - s <= total),
+ q AS (SELECT assignee, k, held // kk - load + CASE WHEN k <= held % kk THEN 1 ELSE 0 END AS quota FROM u),
+ b AS (SELECT assignee, sum(quota) OVER (ORDER BY k) - quota AS low, sum(quota) OVER (ORDER BY k) AS high FROM q)
+ SELECT p.task_id, b.assignee FROM p JOIN b ON p.n >= b.low AND p.n < b.high""")
 def _(t):
     return R.auto_assign(t["review_tasks"])
 

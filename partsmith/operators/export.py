@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from partsmith.functions import scores as S, text as T
 from partsmith.operators import search as Q
+from partsmith.operators.edits import ORDER
 from partsmith.operators.ingest import cells_of
 
 # Known kinds, formats and fields of an export.
@@ -122,24 +123,31 @@ def validate_specs(specs: DataFrame, taxonomy: DataFrame, available: tuple[str,
 def results_by_header(results: DataFrame, raw: DataFrame, header: DataFrame, std_header: DataFrame) -> DataFrame:
     """Long export per header: raw columns as ``原始-name`` first, then the targets, in order.
 
-    ``(std_id, row_id, place, name, value)``; write it partitioned by ``std_id``.
+    ``(std_id, row_id, part, place, name, value)``: part 0 holds the raw
+    columns, part 1 the targets, each with its own places, whatever their number.
     """
     names = header.groupBy("title_id").agg(F.sort_array(F.collect_list(F.struct("pos", "name"))).alias("names"))
     cells = cells_of(raw)
     original = raw.join(names, "title_id").select("row_id", F.transform("names", lambda h: F.struct(
-        h["pos"].alias("place"), F.concat(F.lit("原始-"), h["name"]).alias("name"), F.get(cells, h["pos"] - 1).alias("value"))).alias("orig"))
+        F.lit(0).alias("part"), h["pos"].alias("place"), F.concat(F.lit("原始-"), h["name"]).alias("name"), F.get(cells, h["pos"] - 1).alias("value"))).alias("orig"))
     targets = std_header.groupBy("std_id").agg(F.sort_array(F.collect_list(F.struct("pos", "target"))).alias("targets"))
     cols = F.array(*[c for c in results.columns if c.startswith("col") and c[3:].isdigit()])
     filled = results.join(targets, "std_id").select("std_id", "row_id", F.transform("targets", lambda h: F.struct(
-        (h["pos"] + 100).alias("place"), h["target"].alias("name"), F.get(cols, h["pos"] - 1).alias("value"))).alias("done"))
+        F.lit(1).alias("part"), h["pos"].alias("place"), h["target"].alias("name"), F.get(cols, h["pos"] - 1).alias("value"))).alias("done"))
     return filled.join(original, "row_id").select("std_id", "row_id", F.inline(F.concat("orig", "done")))
 
 
+def write_by_header(cells: DataFrame, path: str) -> None:
+    """One folder per standard header, its files by name and their rows in order; a large header is cut between rows into several files."""
+    cells.repartitionByRange("std_id", "row_id").sortWithinPartitions("std_id", "row_id", "part", "place").write.partitionBy("std_id").parquet(path)
+
+
 def mark_exported(cleaned: DataFrame, exported: DataFrame) -> DataFrame:
-    """Stamp batch and time of ``exported(id, batch_id, at)`` on cleaned rows."""
-    new = exported.select("id", F.col("batch_id").alias("_b"), F.col("at").alias("_at"))
+    """Stamp batch and time of ``exported(id, batch_id, at)`` on cleaned rows; of several stamps of a row the latest, by ``seq`` if given."""
+    order = F.struct(*([ORDER] if ORDER in exported.columns else []), "at", "batch_id")
+    new = exported.groupBy("id").agg(F.max_by(F.struct("batch_id", "at"), order).alias("_new"))
     return cleaned.join(new, "id", "left").withColumns({
-        "export_batch_id": F.coalesce("_b", "export_batch_id"), "exported_at": F.coalesce("_at", "exported_at")}).drop("_b", "_at")
+        "export_batch_id": F.coalesce("_new.batch_id", "export_batch_id"), "exported_at": F.coalesce("_new.at", "exported_at")}).drop("_new")
 
 
 def exportable(cleaned: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from partsmith.functions import scores as S, text as T
+from partsmith.operators.edits import ORDER
 
 # Payload schema, states and limits.
 PAYLOAD = ("struct<taskId:string,status:string,error:string,"
@@ -112,37 +113,55 @@ def submit_rows(cells: DataFrame, existing: DataFrame, sync_rows: int, order: st
                 F.when(F.col("_total") <= sync_rows, "sync").otherwise("async").alias("mode")))
 
 
+def _sequence(edits: DataFrame, *fields: str) -> Column:
+    """What orders the edits of a row: their ``seq``, and where that is missing or equal their values."""
+    return F.struct(*([ORDER] if ORDER in edits.columns else []), *fields)
+
+
 def decide(rows: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Apply ``decisions(task_id, row_index, action, code, name, comment)``.
+    """Apply ``decisions(task_id, row_index, action, code, name, comment)`` one after the other, by ``seq`` if given.
 
     Actions are accept, reject and correct; a null ``row_index`` accepts every
-    completed or pending row of the task.
+    completed or pending row of the task.  The last decision on a row gives its
+    status, the last correction that names a code (a name) gives that.
     """
     whole = decisions.where("row_index is null and action = 'accept'").select("task_id", F.lit(True).alias("_all")).distinct()
-    single = decisions.where("row_index is not null").select(
-        "task_id", "row_index", "action", F.col("code").alias("_code"), F.col("name").alias("_name"))
+    order = _sequence(decisions, "action", "code", "name")
+    corrects = F.col("action") == "correct"
+    single = decisions.where("row_index is not null and action in ('accept', 'reject', 'correct')").groupBy("task_id", "row_index").agg(
+        F.max_by("action", order).alias("action"),
+        F.max_by("code", F.when(corrects & F.col("code").isNotNull(), order)).alias("_code"),
+        F.max_by("name", F.when(corrects & F.col("name").isNotNull(), order)).alias("_name"))
     joined = rows.join(single, ["task_id", "row_index"], "left").join(whole, "task_id", "left")
     bulk = F.col("_all") & F.col("row_status").isin("completed", "pending")
     status = (
         F.when(F.col("action") == "accept", "accepted").when(F.col("action") == "reject", "rejected")
         .when(F.col("action") == "correct", "corrected").when(bulk, "accepted").otherwise(F.col("row_status")))
-    fixed = F.col("action") == "correct"
     return joined.withColumns({
-        "row_status": status,
-        "category_code": F.when(fixed, F.coalesce("_code", "category_code")).otherwise(F.col("category_code")),
-        "category_name": F.when(fixed, F.coalesce("_name", "category_name")).otherwise(F.col("category_name")),
+        "row_status": status, "category_code": F.coalesce("_code", "category_code"), "category_name": F.coalesce("_name", "category_name"),
     }).select(*rows.columns)
 
 
+def folded_fills(filled: DataFrame) -> DataFrame:
+    """One ``given`` map per row: of several fills of a key the last one counts, by ``seq`` if given.
+
+    Folded key by key, so the fills of a row are never gathered; blank for a
+    null value.
+    """
+    order = _sequence(filled, "value")
+    entries = filled.select("task_id", "row_index", *[c for c in filled.columns if c == ORDER], F.explode("given").alias("key", "value"))
+    last = entries.groupBy("task_id", "row_index", "key").agg(F.max_by(F.coalesce("value", F.lit("")), order).alias("value"))
+    return last.groupBy("task_id", "row_index").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("given"))
+
+
 def fill_missing(rows: DataFrame, filled: DataFrame) -> DataFrame:
-    """Merge ``filled(task_id, row_index, given map)``; nothing missing any more clears the review flag."""
-    joined = rows.join(filled, ["task_id", "row_index"], "left")
-    given = F.transform_values("given", lambda k, v: F.coalesce(v, F.lit("")))
+    """Merge ``filled(task_id, row_index, given map)``, several per row in order; nothing missing any more clears the review flag."""
+    joined = rows.join(folded_fills(filled), ["task_id", "row_index"], "left")
     none = F.create_map().cast("map<string,string>")
     old = F.transform_values(F.coalesce("attrs", none), lambda k, v: F.coalesce(v, F.lit("")))
-    merged = F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key("given", k)), given)
+    merged = F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key("given", k)), F.col("given"))
     left = F.array_except(F.coalesce("missing", F.array().cast("array<string>")), F.map_keys("given"))
-    asked = F.col("given").isNotNull() & (F.size("given") > 0)
+    asked = F.col("given").isNotNull()
     return joined.withColumns({
         "attrs": F.when(asked, merged).otherwise(F.col("attrs")),
         "missing": F.when(asked, F.when(F.size(left) > 0, left)).otherwise(F.col("missing")),
@@ -240,8 +259,12 @@ def rows_by_category(rows: DataFrame, std_header: DataFrame, raw: DataFrame | No
 
 
 def write_by_category(sheets: DataFrame, path: str) -> None:
-    """One folder per task and category, rows in order."""
-    sheets.repartition("task_id", "category").sortWithinPartitions("task_id", "category", "row_index", "pos").write.partitionBy(
+    """One folder per task and category, its files by name and their rows in order.
+
+    Cells are cut in ranges of about equal size between rows: a large sheet
+    becomes several files, small ones are written by one task.
+    """
+    sheets.repartitionByRange("task_id", "category", "row_index").sortWithinPartitions("task_id", "category", "row_index", "pos").write.partitionBy(
         "task_id", "category").parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from partsmith.functions import text as T
-from partsmith.operators.edits import last_edits
+from partsmith.operators.edits import ORDER, last_edits
 from partsmith.operators.ingest import cells_of
 from partsmith.operators.search import row_text
 
@@ -59,17 +59,20 @@ def auto_map(header: DataFrame, attr_keys: DataFrame, cleaned: DataFrame, std_he
 def merge_manual(mappings: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Apply ``edits(title_id, std_id, target, source, source_type)``.
 
-    A blank source removes every mapping of its target; any other edit replaces
-    the mapping of the same target and source type.  Returns the mappings and
-    the cleared ``(title_id, std_id, target)``.
+    Edits are applied one after the other, by ``seq`` if given.  A blank source
+    removes every mapping of its target; any other edit replaces the mapping of
+    the same target and source type.  Returns the mappings and the cleared
+    ``(title_id, std_id, target)``.
     """
     keys = ["title_id", "std_id", "target"]
+    order = F.struct(*([ORDER] if ORDER in edits.columns else []), F.coalesce("source", F.lit("")))
     typed = edits.where(~T.is_blank(F.col("target"))).withColumn(
-        "source_type", F.when(T.is_blank(F.col("source_type")), RAW).otherwise(F.col("source_type")))
-    cleared = typed.where(T.is_blank(F.col("source"))).select(*keys).distinct()
-    fresh = typed.where(~T.is_blank(F.col("source"))).withColumn("source", T.split_multi(F.col("source"))).where("source <> ''")
-    kept = mappings.join(cleared, keys, "left_anti").join(
-        fresh.select(*keys, "source_type").distinct(), [*keys, "source_type"], "left_anti")
+        "source_type", F.when(T.is_blank(F.col("source_type")), RAW).otherwise(F.col("source_type"))).withColumn("_order", order)
+    cleared = typed.where(T.is_blank(F.col("source"))).groupBy(*keys).agg(F.max("_order").alias("_cleared"))
+    fresh = typed.where(~T.is_blank(F.col("source"))).withColumn("source", T.split_multi(F.col("source"))).where("source <> ''").join(
+        cleared, keys, "left").where("_cleared is null or _order > _cleared").groupBy(*keys, "source_type").agg(F.max_by("source", "_order").alias("source"))
+    cleared = cleared.select(*keys)
+    kept = mappings.join(cleared, keys, "left_anti").join(fresh.select(*keys, "source_type"), [*keys, "source_type"], "left_anti")
     manual = fresh.select(
         "title_id", "std_id", "source_type", "source", F.lit(None).cast("int").alias("source_pos"), "target",
         F.lit("manual").alias("mapping_type"), F.lit(1.0).alias("confidence"), F.lit("approved").alias("status"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from partsmith.functions import scores as S, text as T
 from partsmith.operators import search as Q
 from partsmith.operators.edits import last_edits
+from partsmith.operators.order import numbered
 from partsmith.session import stage
 
 # Task states and the bounds of the derived priority.
@@ -70,19 +71,11 @@ _EVENT = ["ts", "event_id", "action", "user_id", "resolution"]
 def _segments(events: DataFrame, size: int) -> DataFrame:
     """``(task_id, seg, ev)``: up to ``size`` events of a task that follow each other; ``seg`` grows with time within a task.
 
-    Events are sorted over ranges of (task, time), so the history of one busy
-    task, or of one busy day of it, lies in as many ranges as it needs.  A
-    segment is a run of places in a range; a row per range numbers them through.
+    Events are numbered in the order of (task, time), so the history of one
+    busy task, or of one busy day of it, is spread like any other.
     """
-    order = ["task_id", *_EVENT]
-    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    sorted_ = events.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = stage(sorted_.withColumn("_range", F.spark_partition_id()).withColumn("_run", F.floor(within / size)), "review_events")
-    runs = placed.groupBy("_range").agg((F.max("_run") + 1).alias("n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    first = runs.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
-    return placed.join(first, "_range").groupBy("task_id", (F.col("_first") + F.col("_run")).alias("seg")).agg(
-        F.sort_array(F.collect_list(F.struct(*_EVENT))).alias("ev"))
+    placed = numbered(events.select("task_id", *_EVENT), ["task_id", *_EVENT])
+    return placed.groupBy("task_id", F.expr(f"place div {size}").alias("seg")).agg(F.sort_array(F.collect_list(F.struct(*_EVENT))).alias("ev"))
 
 
 def _users(names: Column) -> Column:
@@ -257,9 +250,18 @@ def search_tasks(tasks: DataFrame, keyword: str | None = None, statuses: tuple =
     return tasks.where(Q.all_of(cond))
 
 
+def _urgency() -> list[Column]:
+    return [S.priority_weight(F.col("priority")).desc(), F.col("due_at").asc(), F.col("created_at").desc(), F.col("task_id").asc()]
+
+
 def by_urgency(tasks: DataFrame) -> DataFrame:
     """Highest priority first, then earliest due, then newest."""
-    return tasks.orderBy(S.priority_weight(F.col("priority")).desc(), F.col("due_at").asc(), F.col("created_at").desc(), "task_id")
+    return tasks.orderBy(*_urgency())
+
+
+def place_by_urgency(tasks: DataFrame) -> DataFrame:
+    """All tasks with their ``place`` (from 0) in the order of :func:`by_urgency`."""
+    return numbered(tasks, _urgency())
 
 
 def queue(tasks: DataFrame, name: str, user: str | None = None) -> DataFrame:
@@ -338,22 +340,27 @@ def history(tasks: DataFrame) -> DataFrame:
         "updated_at", F.coalesce("completed_at", "assigned_at", "created_at")).select("task_id", F.inline(F.array_compact(rows)))
 
 
-def auto_assign(tasks: DataFrame, buckets: int = 64) -> DataFrame:
-    """Spread pending tasks over the reviewers, least loaded first.
+def auto_assign(tasks: DataFrame, block: int = 1024) -> DataFrame:
+    """``(task_id, assignee)``: each pending task goes to the reviewer who has least by then.
 
-    Reviewers are ranked by open tasks; task ``i`` of a bucket goes to reviewer
-    ``(i + bucket) mod n``.  Bucketing by task id lets the numbering run in
-    parallel and keeps every share within one task per bucket.
+    The reviewers with least open tasks are filled up to one level, as water
+    would: prefix sums over the staff list tell how many share the tasks and
+    what each gets.  Tasks, numbered in ranges, are dealt in runs of those
+    numbers.  Afterwards two loads differ by more than one only where the
+    higher got nothing.  Without reviewers nobody is assigned.
     """
-    load = tasks.where("assignee is not null").groupBy("assignee").agg(
-        F.count_if(F.col("status").isin(*OPEN)).alias("load"))
+    pending = numbered(tasks.where("status = 'pending'").select("task_id"), ["task_id"], "n")
+    total = pending.agg(F.count("*")).scalar()
+    load = tasks.where("assignee is not null").groupBy("assignee").agg(F.count_if(F.col("status").isin(*OPEN)).alias("load"))
     # One row per reviewer: a staff list, not data that grows with the tasks.
-    ranked = load.withColumn("slot", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("load", "assignee")) - 1)
-    n = load.agg(F.count("*")).scalar()
-    pending = tasks.where("status = 'pending'").select("task_id").withColumn("b", F.pmod("task_id", F.lit(buckets)))
-    place = F.row_number().over(Window.partitionBy("b").orderBy("task_id")) - 1
-    return pending.withColumn("slot", F.pmod(place + F.col("b"), n).cast("int")).join(
-        ranked.select("slot", "assignee"), "slot").select("task_id", "assignee")
+    staff, everyone = Window.partitionBy(F.lit(0)).orderBy("load", "assignee"), Window.partitionBy(F.lit(0))
+    so_far = staff.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sharing = load.withColumns({"k": F.row_number().over(staff), "sum": F.sum("load").over(so_far)}).where(F.col("k") * F.col("load") - F.col("sum") <= total)
+    water = sharing.withColumns({"all": F.count("*").over(everyone), "held": F.sum("load").over(everyone) + total})
+    share = water.withColumn("quota", F.expr("held div `all`") - F.col("load") + F.when(F.col("k") <= F.col("held") % F.col("all"), 1).otherwise(0))
+    runs = share.withColumn("to", F.sum("quota").over(so_far)).withColumn("from", F.col("to") - F.col("quota")).where("quota > 0")
+    blocks = runs.withColumn("block", F.explode(F.sequence(F.expr(f"`from` div {block}"), F.expr(f"(`to` - 1) div {block}"))))
+    return pending.withColumn("block", F.expr(f"n div {block}")).join(blocks, "block").where("n >= `from` and n < `to`").select("task_id", "assignee")
 
 
 # What an approval does to a task, and how its comment is written down.
