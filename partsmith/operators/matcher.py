@@ -25,6 +25,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from partsmith.functions import text as T
+from partsmith.operators.similarity import Strategy
 from partsmith.session import stage
 
 # Scores, thresholds and sources of the matcher.
@@ -124,11 +125,13 @@ def _prefix_len(n: Column) -> Column:
     return n - F.ceil(n * VALUE_SIM_MIN - 1e-9) + 1
 
 
-def name_pairs(norms: DataFrame, taxonomy: DataFrame, similarity: T.Similarity | None = None) -> DataFrame:
+def name_pairs(norms: DataFrame, taxonomy: DataFrame, similarity: Strategy | None = None) -> DataFrame:
     """``(norm, cat_norm, rel, sim)`` for distinct texts against distinct category names.
 
-    Complete for equality, containment and bigram Jaccard of at least
-    ``VALUE_SIM_MIN``, and built from equi-joins only:
+    Complete for equality, containment and a similarity of at least
+    ``VALUE_SIM_MIN``, and built from equi-joins only.  The similarity is that
+    of bigrams (Jaccard), or the ``similarity`` asked for, which brings its own
+    search for pairs:
 
     * a name inside a text: the text holds the name's rarest bigram;
     * similar texts: within their ``n - ceil(t*n) + 1`` rarest bigrams they
@@ -136,8 +139,6 @@ def name_pairs(norms: DataFrame, taxonomy: DataFrame, similarity: T.Similarity |
     * a text inside a name: all its bigrams are known, and the name holds the
       rarest of them;
     * one-character texts and names go through a character join.
-
-    Another ``similarity`` is evaluated on the pairs these rules bring together.
     """
     names = _named(taxonomy).where("cat_norm is not null").select("cat_norm").distinct()
     name_grams = names.select("cat_norm", F.explode(T.bigrams(F.col("cat_norm"))).alias("gram"))
@@ -158,8 +159,11 @@ def name_pairs(norms: DataFrame, taxonomy: DataFrame, similarity: T.Similarity |
     comparable = F.least("text_n", "name_n") >= VALUE_SIM_MIN * F.greatest("text_n", "name_n") - 1e-9
     near = (F.col("text_place") < _prefix_len(F.col("text_n"))) & comparable
     holds_name = (F.col("name_place") == 0) & F.contains(a, b)
-    by_gram = text_index.join(name_index, "gram").where(holds_name | near).select(
+    by_gram = text_index.join(name_index, "gram").where(holds_name if similarity else holds_name | near).select(
         "norm", "cat_norm", "text_n", "name_n")
+    if similarity:
+        found = similarity.candidates(norms, "norm", names, "cat_norm", VALUE_SIM_MIN)
+        by_gram = by_gram.unionByName(found.select("norm", "cat_norm", F.lit(1).alias("text_n"), F.lit(1).alias("name_n")))
 
     inside = ranked_texts.where(F.element_at("ranked", 1)["freq"] > 0).select(
         "norm", F.element_at("ranked", 1)["gram"].alias("gram"))
@@ -175,7 +179,7 @@ def name_pairs(norms: DataFrame, taxonomy: DataFrame, similarity: T.Similarity |
     pairs = by_gram.unionByName(by_rarest.unionByName(by_char), allowMissingColumns=True).groupBy(
         "norm", "cat_norm").agg(F.max("text_n").alias("text_n"), F.max("name_n").alias("name_n"))
     shared = F.size(F.array_intersect(T.bigrams(a), T.bigrams(b)))
-    sim = similarity(a, b) if similarity else shared.cast("double") / (F.col("text_n") + F.col("name_n") - shared)
+    sim = similarity.score(a, b) if similarity else shared.cast("double") / (F.col("text_n") + F.col("name_n") - shared)
     related = F.when(a == b, EQ).when(T.contains_either(a, b), IN).when(F.col("text_n") > 0, SIM)
     return (
         pairs.withColumn("rel", related)
@@ -465,15 +469,15 @@ def rank_scores(candidates: DataFrame, sigs: DataFrame, name_anc: DataFrame, cod
     )
 
 
-def tie_similarity(name_norm: Column, mat_raw: Column, cat_norm: Column) -> Column:
+def tie_similarity(name_norm: Column, mat_raw: Column, cat_norm: Column, score: T.Similarity = T.jaccard) -> Column:
     def one(t: Column) -> Column:
-        sim = F.when(cat_norm == t, 1.0).when(T.contains_either(cat_norm, t), 0.85).otherwise(T.jaccard(t, cat_norm))
+        sim = F.when(cat_norm == t, 1.0).when(T.contains_either(cat_norm, t), 0.85).otherwise(score(t, cat_norm))
         return F.when(T.is_blank(t) | cat_norm.isNull(), 0.0).otherwise(sim)
 
     return F.greatest(one(name_norm), one(mat_raw))
 
 
-def pick_best(ranked: DataFrame, sigs: DataFrame, taxonomy: DataFrame) -> DataFrame:
+def pick_best(ranked: DataFrame, sigs: DataFrame, taxonomy: DataFrame, score: T.Similarity = T.jaccard) -> DataFrame:
     """One row per signature: the top rank, ties settled, and how many tied.
 
     ``rank() = 1`` is pushed below the shuffle by Spark, so only the leading
@@ -484,7 +488,7 @@ def pick_best(ranked: DataFrame, sigs: DataFrame, taxonomy: DataFrame) -> DataFr
     cats = _named(taxonomy).where("level = 3").select(F.col("id").alias("category_id"), "category_code", "cat_norm")
     keyed = top.join(cats, "category_id").join(
         sigs.select("sig_id", "name_norm", "code_norm", "mat_raw"), "sig_id")
-    closeness = tie_similarity(F.col("name_norm"), F.col("mat_raw"), F.col("cat_norm"))
+    closeness = tie_similarity(F.col("name_norm"), F.col("mat_raw"), F.col("cat_norm"), score)
     same_code = F.coalesce(F.col("code_norm") == F.col("category_code"), F.lit(False))
     order = F.struct(
         (-closeness).alias("far"), (~same_code).alias("other_code"), F.col("category_code").alias("code"),
@@ -529,7 +533,7 @@ class MatchParts:
 
 
 def match_parts(signals: DataFrame, taxonomy: DataFrame, synonyms: DataFrame,
-                similarity: T.Similarity | None = None) -> MatchParts:
+                similarity: Strategy | None = None) -> MatchParts:
     prepared = prepare(signals)
     pairs = stage(name_pairs(distinct_norms(prepared), taxonomy, similarity), "pairs")
     rows = stage(with_signature(prepared, pairs), "signals")
@@ -548,7 +552,7 @@ def match_parts(signals: DataFrame, taxonomy: DataFrame, synonyms: DataFrame,
     lists = stage(postings(taxonomy), "postings")
     entries = entry_scores(open_sigs, pairs, taxonomy, lists)
     top = top_candidates(entries, sigs, name_anc, code_anc, closure, lists)
-    best = pick_best(top, sigs, taxonomy)
+    best = pick_best(top, sigs, taxonomy, similarity.score if similarity else T.jaccard)
 
     # every candidate with its score, for those who ask for more than the winner; the run above does not read them
     text = text_scores(open_sigs, pairs, taxonomy)
@@ -568,6 +572,6 @@ def match_parts(signals: DataFrame, taxonomy: DataFrame, synonyms: DataFrame,
                       name_boost, code_boost, text, code, ranked, top, best, outcome)
 
 
-def match(signals: DataFrame, taxonomy: DataFrame, synonyms: DataFrame) -> DataFrame:
+def match(signals: DataFrame, taxonomy: DataFrame, synonyms: DataFrame, similarity: Strategy | None = None) -> DataFrame:
     """``(row_id, category_id, source, confidence)``, exactly one row per input row."""
-    return match_parts(signals, taxonomy, synonyms).outcome
+    return match_parts(signals, taxonomy, synonyms, similarity).outcome

@@ -34,7 +34,28 @@ def sim(a, b):
     return len(x & y) / len(x | y)
 
 
-def match(row, cats):
+def edit_sim(a, b):
+    a, b = a.strip().lower(), b.strip().lower()
+    if not a or not b:
+        return 0.0
+    before = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(now[-1] + 1, before[j] + 1, before[j - 1] + (x != y)))
+        before = now
+    return 1.0 - before[-1] / max(len(a), len(b))
+
+
+def cosine_sim(a, b):
+    a, b = a.strip().lower(), b.strip().lower()
+    if not a or not b:
+        return 0.0
+    x, y = grams(a), grams(b)
+    return 1.0 if a == b else len(x & y) / (len(x) * len(y)) ** 0.5
+
+
+def match(row, cats, sim=sim):
     """``row``: name, code, extras, material; ``cats``: id, code, name, parent, level.  No synonyms."""
     name, code_n = norm(row["name"]), norm_code(row["code"])
     below = {}

@@ -3,8 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from brute import match as brute_match
-from partsmith.operators import library as L, matcher as M
+from brute import cosine_sim, edit_sim, match as brute_match, sim as gram_sim
+from partsmith.operators import library as L, matcher as M, similarity as S
 
 TAX = "id long, category_code string, category_name string, parent_id long, level int, full_path string, unit string, description string, old_code_1 string, old_name_1 string"
 SYN = "id long, category_id long, synonym_name string, synonym_norm string"
@@ -16,10 +16,10 @@ def taxonomy(spark, cats):
     return spark.createDataFrame(rows, TAX)
 
 
-def run(spark, cats, rows, synonyms=()):
+def run(spark, cats, rows, synonyms=(), similarity=None):
     signals = spark.createDataFrame([(i, r["name"], r["code"], r["extras"], r["material"]) for i, r in enumerate(rows)], SIGNALS)
     syn = spark.createDataFrame(list(synonyms), SYN)
-    got = {r["row_id"]: (r["category_id"], r["source"], round(r["confidence"], 12)) for r in M.match(signals, taxonomy(spark, cats), syn).collect()}
+    got = {r["row_id"]: (r["category_id"], r["source"], round(r["confidence"], 12)) for r in M.match(signals, taxonomy(spark, cats), syn, similarity).collect()}
     assert len(got) == len(rows)
     return [got[i] for i in range(len(rows))]
 
@@ -51,8 +51,31 @@ def test_synonym_wins_and_descends(spark):
     assert got == [(100101, "SYNONYM", 0.95), (110101, "SYNONYM", 0.95), (100101, "NAME_EXACT", 1.0)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_blocked_equals_nested_loops(spark, seed):
+STRATEGIES = {"grams": (None, gram_sim), "edits": (S.EDITS, edit_sim), "cosine": (S.COSINE, cosine_sim)}
+
+
+@pytest.mark.parametrize("name", ["grams", "edits", "cosine"])
+def test_a_search_finds_all_similar_pairs(spark, name):
+    strategy, sim = {**STRATEGIES, "grams": (S.GRAMS, gram_sim)}[name]
+    rnd = random.Random(4)
+
+    def words(n):
+        return sorted({"".join(rnd.choice("abcd钢棒") for _ in range(rnd.randint(1, 12))) for _ in range(n)})
+
+    left, right = words(150), words(150)
+    right += [w[:3] + "x" + w[4:] for w in left[:40] if len(w) > 4]
+    pairs = strategy.candidates(spark.createDataFrame([(w,) for w in left], "norm string"), "norm",
+                                spark.createDataFrame([(w,) for w in set(right)], "cat_norm string"), "cat_norm", 0.55)
+    scored = pairs.withColumn("s", strategy.score(F.col("norm"), F.col("cat_norm"))).collect()
+    want = {(a, b): sim(a, b) for a in left for b in set(right) if sim(a, b) >= 0.55}
+    got = {(r.norm, r.cat_norm): r.s for r in scored if r.s >= 0.55}
+    assert got.keys() == want.keys() and len(want) > 30
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+    assert len(scored) < 0.9 * len(left) * len(set(right))  # and not all pairs
+
+
+@pytest.mark.parametrize("seed, kind", [(1, "grams"), (2, "grams"), (1, "edits"), (2, "cosine")])
+def test_blocked_equals_nested_loops(spark, seed, kind):
     rnd = random.Random(seed)
     letters = "abc钢"
 
@@ -68,8 +91,9 @@ def test_blocked_equals_nested_loops(spark, seed):
         name = rnd.choice([word(), base, base + word(1, 2), f"[{base.upper()}]", None, " "])
         rows.append(row(name, rnd.choice([None, "", "10", "1000", rnd.choice(cats)["code"], "10-01", "zz"]),
                         [word() for _ in range(rnd.randint(0, 3))], rnd.choice(["", word(), base, "  " + base])))
-    got = run(spark, cats, rows)
-    want = [brute_match(r, cats) for r in rows]
+    strategy, sim = STRATEGIES[kind]
+    got = run(spark, cats, rows, (), strategy)
+    want = [brute_match(r, cats, sim) for r in rows]
     assert got == [(a, b, round(c, 12)) for a, b, c in want]
 
 
