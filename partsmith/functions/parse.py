@@ -51,11 +51,24 @@ def parse_desc(c: Column, rule: ParseRule = ParseRule()) -> Column:
         value = F.when(at > 0, jtrim(F.substring(x, at + len(rule.kv_sep), F.length(x)))).otherwise(jtrim(x))
         return F.struct(key.alias("key"), value.alias("value"))
 
+    def numbered(pairs: Column) -> Column:
+        return F.transform(pairs, lambda p, i: F.struct(i.cast("int").alias("pos"), p["key"].alias("key"), p["value"].alias("value")))
+
+    def last_wins(pairs: Column) -> Column:
+        """Sorted by key and place, so each key is one run: its first place, its last value."""
+        by_key = F.sort_array(F.transform(pairs, lambda p, i: F.struct(p["key"].alias("key"), i.alias("at"), p["value"].alias("value"))))
+
+        def runs(s: Column) -> Column:
+            firsts = F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["key"] != x["key"]))
+            lasts = F.filter(s, lambda x, i: (i == F.size(s) - 1) | (F.get(s, i + 1)["key"] != x["key"]))
+            found = F.zip_with(firsts, lasts, lambda f, x: F.struct(f["at"].alias("at"), f["key"].alias("key"), x["value"].alias("value")))
+            return numbered(F.sort_array(found))
+
+        return let(by_key, runs)
+
     def ordered(pairs: Column) -> Column:
         keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-        return F.transform(keys, lambda k, i: F.struct(
-            i.cast("int").alias("pos"), k.alias("key"),
-            F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"].alias("value")))
+        return F.when(F.size(keys) == F.size(pairs), numbered(pairs)).otherwise(last_wins(pairs))
 
     return let(F.transform(items, as_pair), ordered)
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from partsmith.config import DEFAULTS, Settings
 from partsmith.functions import scores as S
 from partsmith.operators import ingest, library, matcher, scoring
+from partsmith.session import stage
 
 CORE = ("material_code", "material_name", "specification", "technical_standard", "grade", "unit")
 
@@ -38,11 +39,17 @@ def fingerprint(cfg: Settings = DEFAULTS) -> Column:
 
 def clean_rows(raw: DataFrame, header: DataFrame, taxonomy: DataFrame, synonyms: DataFrame,
                cfg: Settings = DEFAULTS, matching: matcher.CategoryMatcher = matcher.match) -> DataFrame:
-    """Parse, match, fill, fingerprint, flag, score.  Everything but the status."""
-    parsed = ingest.parsed_rows(raw, header, cfg.rule)
-    outcome = matching(ingest.match_signals(parsed), taxonomy, synonyms).select(
+    """Parse, match, fill, fingerprint, flag, score.  Everything but the status.
+
+    A row is parsed once: its core fields and what the matcher reads of it are
+    staged together.
+    """
+    signals = ingest.signal_columns()
+    read = stage(ingest.core_fields(ingest.parsed_rows(raw, header, cfg.rule)).select(
+        "title_id", "row_id", "row_index", "full_description", *CORE, *[c.alias(name) for name, c in signals.items() if name not in CORE]), "read-rows")
+    outcome = matching(read.select("row_id", *signals), taxonomy, synonyms).select(
         "row_id", "category_id", F.col("source").alias("match_source"), F.col("confidence").alias("match_confidence"))
-    fields = ingest.core_fields(parsed).select("title_id", "row_id", "row_index", "full_description", *CORE)
+    fields = read.select("title_id", "row_id", "row_index", "full_description", *CORE)
     filled = fill_category(fields.join(outcome, "row_id"), taxonomy)
     flagged = scoring.flag_duplicates(filled.withColumn("source_row_hash", fingerprint(cfg)))
     idx = library.build_indexes(taxonomy, synonyms)

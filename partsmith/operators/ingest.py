@@ -8,6 +8,7 @@ from partsmith.config import (ATTR_GRADE, ATTR_NAME, ATTR_SHORT_NAME, ATTR_SPEC,
                               CATEGORY_HEADERS, DESC_HEADERS, HEADER_MATERIAL_CODE, ParseRule)
 from partsmith.functions import text as T
 from partsmith.functions.parse import item_value, item_values, parse_desc
+from partsmith.session import stage
 
 
 def header_names(names: list[str | None], max_cols: int | None = None) -> list[str]:
@@ -92,12 +93,15 @@ def material_name_of(items: Column) -> Column:
     return F.coalesce(item_value(items, ATTR_NAME), item_value(items, ATTR_SHORT_NAME), F.lit(""))
 
 
+def signal_columns() -> dict[str, Column]:
+    """What the matcher reads of a parsed row."""
+    name = F.when(T.is_blank(F.col("declared_category")), F.col("col2")).otherwise(F.col("declared_category"))
+    return {"category_name": name, "category_code": F.col("col1"), "extras": item_values(F.col("items")), "material_name": material_name_of(F.col("items"))}
+
+
 def match_signals(parsed: DataFrame) -> DataFrame:
     """``(row_id, category_name, category_code, extras, material_name)`` for the matcher."""
-    name = F.when(T.is_blank(F.col("declared_category")), F.col("col2")).otherwise(F.col("declared_category"))
-    return parsed.select(
-        "row_id", name.alias("category_name"), F.col("col1").alias("category_code"),
-        item_values(F.col("items")).alias("extras"), material_name_of(F.col("items")).alias("material_name"))
+    return parsed.select("row_id", *[c.alias(name) for name, c in signal_columns().items()])
 
 
 def core_fields(parsed: DataFrame) -> DataFrame:
@@ -141,25 +145,27 @@ def extract_attrs(raw: DataFrame, header: DataFrame, rule: ParseRule = ParseRule
     N is the largest number of keys of a file, unless a sink asks for ``width``
     columns; the long form (:func:`attr_items`) is never cut.
 
-    Key order is per file (one short list, joined by file); the values are read
-    from the row's own items, so rows are never exploded and regrouped.
+    Rows are parsed once and staged.  Key order is per file (one short list,
+    joined by file); every item of a row looks up its slot, and the columns
+    pick the items by slot, so rows are never exploded and regrouped.
     """
-    parsed = parsed_rows(raw, header, rule).select("title_id", "row_id", "row_index", "full_description", "items")
-    keys = first_seen_keys(
+    parsed = stage(parsed_rows(raw, header, rule).select("title_id", "row_id", "row_index", "full_description", "items"), "parsed-items")
+    keys = stage(first_seen_keys(
         parsed.where(~T.is_blank(F.col("full_description"))).select(
-            "title_id", "row_id", "row_index", F.inline("items")))
+            "title_id", "row_id", "row_index", F.inline("items"))), "first-seen-keys")
     if width is None:
         width = keys.agg(F.max("pos")).first()[0] or 0
-    listed = keys.groupBy("title_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "key"))).alias("keys"))
+    listed = keys.groupBy("title_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "key"))), lambda k: k["key"]).alias("keys"))
+    slotted = parsed.join(listed, "title_id", "left").select(
+        "title_id", "row_id", F.size("keys").alias("n"), item_values(F.col("items")).alias("values"),
+        F.transform("items", lambda p: F.array_position(F.col("keys"), p["key"])).alias("slots"))
 
-    def slot(i: int) -> Column:
-        key = F.try_element_at(F.col("keys"), F.lit(i))
-        hit = F.filter("items", lambda p: p["key"] == key)
-        value = F.coalesce(F.get(F.transform(hit, lambda p: p["value"]), F.lit(0)), F.lit(""))
-        return F.when(key.isNotNull(), value).alias(f"attr{i}")
+    def column(i: int) -> Column:
+        at = F.array_position("slots", F.lit(i).cast("long"))
+        value = F.when(at > 0, F.get("values", (at - 1).cast("int"))).otherwise(F.lit(""))
+        return F.when(F.col("n") >= i, value).alias(f"attr{i}")
 
-    return parsed.join(listed, "title_id", "left").select(
-        "title_id", "row_id", *[slot(i) for i in range(1, width + 1)])
+    return slotted.select("title_id", "row_id", *[column(i) for i in range(1, width + 1)])
 
 
 def test_rule(samples: DataFrame, text: str, rule: ParseRule = ParseRule()) -> DataFrame:

@@ -162,14 +162,15 @@ def fill_all(cleaned: DataFrame, mappings: DataFrame, parsed: DataFrame, header:
     rows = resolve_header(cleaned.select("title_id", "row_id", "category_code"), std_header).where("std_id is not null")
     joined = rows.join(plan_targets(mappings, std_header, header), ["title_id", "std_id"]).join(
         _row_values(parsed, "items"), ["title_id", "row_id"])
-    filled = F.transform("plan", lambda e: F.struct(
-        e["pos"].alias("pos"), value_of(e, F.col("cells"), F.col("attrs")).alias("value")))
-    valued = joined.select("title_id", "row_id", "std_id", filled.alias("values"))
+    valued = joined.select(
+        "title_id", "row_id", "std_id", F.transform("plan", lambda e: e["pos"]).alias("places"),
+        F.transform("plan", lambda e: value_of(e, F.col("cells"), F.col("attrs"))).alias("values"))
 
-    def slot(i: int) -> Column:
-        return F.get(F.transform(F.filter("values", lambda v: v["pos"] == i), lambda v: v["value"]), F.lit(0)).alias(f"col{i}")
+    def column(i: int) -> Column:
+        at = F.array_position("places", F.lit(i))
+        return F.when(at > 0, F.get("values", (at - 1).cast("int"))).alias(f"col{i}")
 
-    return valued.select("title_id", "row_id", "std_id", *[slot(i) for i in range(1, width + 1)], F.lit("processed").alias("status"))
+    return valued.select("title_id", "row_id", "std_id", *[column(i) for i in range(1, width + 1)], F.lit("processed").alias("status"))
 
 
 def fill_counters(cleaned: DataFrame, std_header: DataFrame, std_id: Column) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from partsmith.config import ParseRule
@@ -73,3 +75,16 @@ def test_thresholds(spark):
     ten = spark.createDataFrame([(1, float(s)) for s in (20, 20, 50, 60, 75, 85, 90, 90, 100, 100)], "title_id long, score double")
     assert tuple(thresholds(ten, "title_id", cfg).first())[1:] == (57.0, 90.0)
     assert tuple(thresholds(ten.where("score > 20 or score < 0").limit(8), "title_id", cfg).first())[1:] == (60.0, 80.0)
+
+
+def test_repeated_keys_keep_first_place_and_last_value(spark):
+    from partsmith.functions.parse import parse_desc
+
+    rng = random.Random(1)
+    rows = [(i, ";".join(f"{rng.choice('abcde')} {j}" if rng.random() < 0.8 else f"v{j}" for j in range(rng.choice([0, 1, 3, 9, 60])))) for i in range(300)]
+    for r in spark.createDataFrame(rows, "i int, t string").select("t", parse_desc(F.col("t")).alias("items")).collect():
+        want = {}
+        for item in filter(None, r.t.split(";")):
+            key, value = item.split(" ", 1) if " " in item else ("", item)
+            want[key] = value
+        assert [(p.pos, p.key, p.value) for p in r["items"]] == [(i, k, v) for i, (k, v) in enumerate(want.items())]
