@@ -21,10 +21,10 @@ def test_parse_default_rule(spark):
 
 def test_parse_escape(spark):
     rule = ParseRule(item_sep=";", kv_sep=":", escape="\\")
-    assert items(spark, "a:b\;c:d", rule) == [("a", "b\\"), ("c", "d")]
+    assert items(spark, "a:b\\;c:d", rule) == [("a", "b\\"), ("c", "d")]
     assert items(spark, "a\\:x:y", rule) == [("a", "x:y")]
     strict = ParseRule(item_sep=";", kv_sep=":", escape="\\", strict_escape=True)
-    assert items(spark, "a:b\;c;d:e", strict) == [("a", "b;c"), ("d", "e")]
+    assert items(spark, "a:b\\;c;d:e", strict) == [("a", "b;c"), ("d", "e")]
 
 
 def test_parse_keeps_inner_empty_items(spark):
