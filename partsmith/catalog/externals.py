@@ -81,7 +81,7 @@ def _(t):
 
 @query("flt_ext_rows", "SELECT task_id, row_index, category_code FROM ext_row WHERE task_id = 'T5' AND needs_review ORDER BY row_index LIMIT 20")
 def _(t):
-    found = ext_rows(t).where("task_id = 'T5' and needs_review").orderBy("row_index").limit(20)
+    found = X.page_of_rows(ext_rows(t), "T5", 1, 20, doubtful=True)
     return found.select("task_id", "row_index", "category_code")
 
 

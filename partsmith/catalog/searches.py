@@ -192,6 +192,11 @@ def _(t):
     return Q.page(log(t), "materialCode", "id", "desc", 3, 50).select("id", "material_code")
 
 
+@query("srt_deep_page", "SELECT id, material_code FROM cleaned_log ORDER BY material_code DESC NULLS LAST, id LIMIT 50 OFFSET 1000")
+def _(t):
+    return Q.page(log(t), "materialCode", "id", "desc", 21, 50, near=200).select("id", "material_code")
+
+
 @query("srt_tree", "SELECT id, CAST(row_number() OVER (ORDER BY level, category_code) AS INTEGER) AS pos FROM taxonomy")
 def _(t):
     from pyspark.sql import Window

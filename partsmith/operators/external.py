@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from partsmith.functions import scores as S, text as T
 from partsmith.operators.edits import ORDER
+from partsmith.operators.order import page_of
 
 # Payload schema, states and limits.
 PAYLOAD = ("struct<taskId:string,status:string,error:string,"
@@ -276,6 +277,12 @@ TASK_SORT = {"fileName": "file_name", "submittedAt": "submitted_at", "completedA
 def list_tasks(tasks: DataFrame, number: int, size: int, status: str | None = None, sort: str | None = None, order: str | None = None) -> DataFrame:
     """One page of external tasks, of one status if asked for; unknown sort fields mean the creation time, descending unless ``asc``."""
     out = tasks.where(F.col("status") == status) if status and status.strip() else tasks
-    key = F.col(TASK_SORT.get(sort or "", "created_at"))
-    ordered = out.orderBy(key.asc_nulls_first() if (order or "").lower() == "asc" else key.desc_nulls_last(), "task_id")
-    return ordered.offset((max(number, 1) - 1) * size).limit(size)
+    key = TASK_SORT.get(sort or "", "created_at")
+    return page_of(out, [(key, (order or "").lower() != "asc"), ("task_id", False)], (max(number, 1) - 1) * size, size)
+
+
+def page_of_rows(rows: DataFrame, task_id: str, number: int, size: int, doubtful: bool = False) -> DataFrame:
+    """One page of a task's rows by place, of those under review only if asked for."""
+    out = rows.where(F.col("task_id") == task_id)
+    out = out.where("needs_review") if doubtful else out
+    return page_of(out, [("row_index", False)], (max(number, 1) - 1) * size, size)

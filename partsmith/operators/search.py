@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from partsmith.functions import text as T
 from partsmith.functions.scores import EXPORTABLE
 from partsmith.operators.ingest import cells_of
+from partsmith.operators.order import page_of
 
 # Sort names a caller may use, and paging defaults.
 SORT_FIELDS = {
@@ -150,14 +151,15 @@ def sort_column(name: str | None) -> str:
 
 
 def page(df: DataFrame, sort: str | None, tie: str, order: str | None = "desc", number: int | None = 1,
-         size: int | None = DEFAULT_PAGE_SIZE, query_all: bool = False) -> DataFrame:
-    """One page in a stable order (``tie`` settles equal sort values)."""
+         size: int | None = DEFAULT_PAGE_SIZE, query_all: bool = False, near: int | None = None) -> DataFrame:
+    """One page in a stable order (``tie`` settles equal sort values); deep pages are found by counting ranges."""
     number = number if number and number >= 1 else 1
     size = size if size and size >= 1 else DEFAULT_PAGE_SIZE
-    key = F.col(sort_column(sort))
+    key = sort_column(sort)
     down = (order or "desc").lower() == "desc"
-    ordered = df.orderBy(key.desc_nulls_last() if down else key.asc_nulls_first(), F.col(tie))
-    return ordered if query_all else ordered.offset((number - 1) * size).limit(size)
+    if query_all:
+        return df.orderBy(F.col(key).desc_nulls_last() if down else F.col(key).asc_nulls_first(), F.col(tie))
+    return page_of(df, [(key, down), (tie, False)], (number - 1) * size, size, near)
 
 
 def project_export(df: DataFrame, taxonomy: DataFrame, labels: dict[str, str]) -> DataFrame:
