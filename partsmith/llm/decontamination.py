@@ -1,11 +1,18 @@
 """Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 Words are lower-cased runs of letters and digits, so marks and line breaks do
-not hide a copy.  All n-grams of the documents pass a bitmap of the
-benchmark's n-grams (of fixed size, so it can be sent to every task); what
-passes is joined exactly.  An item is aligned with a place of a document where
-two of its n-grams lie on neighbouring diagonals, or one that is rare, that is
-among the rarer half of the item's n-grams in the corpus.
+not hide a copy.  Seeds are pairs of words, next to each other or with one word
+between, in the item as in the document.  An alignment of m matches and e
+errors scores 2m - e; if that is at least 2tL (L words, t the least score), at
+most m - tL of the m - 1 gaps between its matches hold two errors or more, and
+each of the others, tL - 1 at least, is a seed in common, whatever was put in,
+left out or replaced.  So of any set of an item's seeds that leaves out k of
+them, tL - 1 - k at least are in common: the seeds that would cost the most
+rows are left out, two thirds of what the law allows, and a place is aligned if
+it has as many of the others as the law demands.
+
+All pairs of the documents pass a bitmap of the benchmark's seeds (of fixed
+size, so it can be sent to every task); what passes is joined exactly.
 """
 
 from __future__ import annotations
@@ -18,7 +25,8 @@ from partsmith.llm.keys import doc_key
 from partsmith.llm.words import MARKS, Words, pair, shingles, slices
 from partsmith.session import stage
 
-GRAM = 3
+#: items below are found only as whole texts
+LEAST_WORDS = 3
 #: part of the best possible alignment score from which a document counts as contaminated
 LEAST_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -32,20 +40,20 @@ def _item_words(batches):
         yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(words, pa.list_(pa.int64()))], names=["item_id", "words"])
 
 
-def _item_grams(width: int):
-    def run(batches):
-        for batch in batches:
-            keys, at, grams = [], [], []
-            for key, words in zip(batch.column("item_key").to_pylist(), batch.column("words").to_pylist()):
-                found = shingles(np.array(words, np.int64).view(np.uint64), width).view(np.int64)
-                keys += [key] * len(found)
-                at += range(len(found))
-                grams.append(found)
-            flat = np.concatenate(grams) if grams else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(at, pa.int64()), pa.array(flat)],
-                                             names=["item_key", "item_at", "gram"])
-
-    return run
+def _item_seeds(batches):
+    """Pairs of words at distance 1 and 2; of items below LEAST_WORDS the whole."""
+    for batch in batches:
+        keys, at, grams = [], [], []
+        for key, words in zip(batch.column("item_key").to_pylist(), batch.column("words").to_pylist()):
+            h = np.array(words, np.int64).view(np.uint64)
+            found = [~shingles(h, LEAST_WORDS)] if len(h) < LEAST_WORDS else [pair(h[:-1], h[1:]), pair(h[:-2], h[2:])]
+            for gram in found:
+                keys += [key] * len(gram)
+                at += range(len(gram))
+                grams.append(gram.view(np.int64))
+        flat = np.concatenate(grams) if grams else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(at, pa.int64()), pa.array(flat)],
+                                         names=["item_key", "item_at", "gram"])
 
 
 def _bitmap(grams: DataFrame) -> np.ndarray:
@@ -58,7 +66,7 @@ def _bitmap(grams: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
-def _hits(width: int, bitmap):
+def _hits(bitmap):
     mask = np.uint64((1 << BITMAP_BITS) - 1)
 
     def run(batches):
@@ -67,19 +75,17 @@ def _hits(width: int, bitmap):
             for batch in slices(whole):
                 w = Words(batch.column("text"), MARKS)
                 h, row = w.hash, w.row_of_word()
-                n = max(0, len(h) - width + 1)
-                gram = h[:n]
-                for k in range(1, width):
-                    gram = pair(gram, h[k:n + k])
-                place = np.flatnonzero(row[:n] == row[width - 1:width - 1 + n])
-                gram = gram[place]
-                # texts with fewer words: the whole sequence
                 counts = np.diff(w.row_at)
-                for i in np.flatnonzero((counts > 0) & (counts < width)):
-                    gram = np.append(gram, shingles(h[w.row_at[i]:w.row_at[i + 1]], width))
-                    place = np.append(place, w.row_at[i])
-                hit = np.flatnonzero(known[(gram & mask).astype(np.int64)])
-                place, gram = place[hit], gram[hit]
+                short = np.flatnonzero((counts > 0) & (counts < LEAST_WORDS))
+                # texts of fewer words also as a whole, turned over so that no pair equals it
+                streams = [(w.row_at[i:i + 1], ~shingles(h[w.row_at[i]:w.row_at[i + 1]], LEAST_WORDS)) for i in short]
+                for step in (1, 2):
+                    place = np.flatnonzero(row[:-step] == row[step:])
+                    streams.append((place, pair(h[place], h[place + step])))
+                hit = [known[(gram & mask).astype(np.int64)] for _, gram in streams]
+                places = [place[found] for (place, _), found in zip(streams, hit)]
+                grams = [gram[found] for (_, gram), found in zip(streams, hit)]
+                place, gram = np.concatenate(places), np.concatenate(grams)
                 keys = batch.column("doc_key").to_numpy()[row[place]] if len(place) else np.zeros(0, np.int64)
                 at = place - w.row_at[row[place]] if len(place) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(gram.view(np.int64)), pa.array(at, pa.int64())],
@@ -103,6 +109,11 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def _drift(length: int, least: float) -> int:
+    """Most errors of an alignment, so the most its diagonals can differ."""
+    return max(1, int(2 * length * (1 - least) + 1e-9))
+
+
 def _score(least: float):
     def run(batches):
         for whole in batches:
@@ -113,7 +124,7 @@ def _score(least: float):
                     words = w.hash[a:b].view(np.int64)
                     for place in places:
                         item = np.array(place["words"], np.int64)
-                        slack = len(item) // 2 + 5
+                        slack = _drift(len(item), least) + 1
                         begin = max(0, place["low"] - slack)
                         part = words[begin:place["high"] + len(item) + slack]
                         best, end = align(item, part)
@@ -128,32 +139,41 @@ def _score(least: float):
     return run
 
 
-def _leaks(docs: DataFrame, benchmark: DataFrame, width: int, least: float) -> DataFrame:
+def _places(hits: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Places with enough seeds, on two grids of diagonals: those of one alignment share a cell of one grid."""
+    cell = F.col("cell")
+    near = hits.join(seeds, "gram").withColumn("diagonal", F.col("at") - F.col("item_at"))
+    near = near.withColumn("place", F.explode(F.array(
+        F.floor(F.col("diagonal") / cell) * 2, F.floor((F.col("diagonal") + cell / 2) / cell) * 2 + 1)))
+    places = near.groupBy("doc_key", "item_key", "place").agg(
+        F.count("*").alias("n"), F.first("needed").alias("needed"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
+    return places.filter("n >= needed").select("doc_key", "item_key", "low", "high").distinct()
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, least: float) -> DataFrame:
     spark = docs.sparkSession
     keyed = docs.select(doc_key().alias("doc_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         _item_words, "item_id long, words array<long>").filter(F.size("words") > 0).distinct()
     items = stage(items.withColumn("item_key", F.monotonically_increasing_id()), "items")
-    grams = stage(items.select("item_key", "words").mapInArrow(_item_grams(width), "item_key long, item_at long, gram long"), "grams")
+    grams = stage(items.select("item_key", "words").mapInArrow(_item_seeds, "item_key long, item_at long, gram long"), "grams")
     bitmap = spark.sparkContext.broadcast(_bitmap(grams))  # 2**BITMAP_BITS flags, whatever the benchmark's size
 
-    hits = keyed.select("doc_key", "text").filter("text is not null").mapInArrow(_hits(width, bitmap), "doc_key long, gram long, at long")
-    hits = stage(hits.join(grams.select("gram").distinct(), "gram"), "seeds")
-    counts = hits.groupBy("gram").agg(F.count("*").alias("n"))
-    of_item = Window.partitionBy("item_key")
-    ranked = grams.join(counts, "gram").withColumn("place", F.row_number().over(of_item.orderBy("n", "item_at"))).withColumn(
-        "all", F.count("*").over(of_item))
-    seeds = ranked.select("gram", "item_key", "item_at", (F.col("place") * 2 <= F.col("all") + 1).alias("rare"))
-    lengths = items.select("item_key", F.size("words").alias("length"))
-
-    # two grids of diagonals, so that near ones share a cell of one grid at least
-    cell = F.greatest(F.lit(8), F.col("length"))
-    near = hits.join(seeds, "gram").join(lengths, "item_key").withColumn("diagonal", F.col("at") - F.col("item_at"))
-    near = near.withColumn("cell", F.explode(F.array(
-        F.floor(F.col("diagonal") / cell) * 2, F.floor((F.col("diagonal") + cell / 2) / cell) * 2 + 1)))
-    places = near.groupBy("doc_key", "item_key", "cell").agg(
-        F.count("*").alias("n"), F.max("rare").alias("rare"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
-    places = places.filter("n > 1 or rare").select("doc_key", "item_key", "low", "high").distinct()
+    held = grams.groupBy("gram").agg(F.count("*").alias("held"))
+    hits = keyed.select("doc_key", "text").filter("text is not null").mapInArrow(_hits(bitmap), "doc_key long, gram long, at long")
+    hits = stage(hits.join(held.select("gram"), "gram"), "seeds")
+    rows = hits.groupBy("gram").agg(F.count("*").alias("n")).join(held, "gram").select("gram", (F.col("n") * F.col("held")).alias("rows"))
+
+    # in common at least: ceil(tL) - 1; left out: two thirds of these; left to find: the others
+    length, drift = F.col("length"), F.floor(2 * F.col("length") * (1 - least) + 1e-9)
+    common = F.when(length < LEAST_WORDS, 1).otherwise(F.greatest(F.lit(1), F.ceil(length * least - 1e-9) - 1))
+    lengths = items.select("item_key", F.size("words").alias("length")).select(
+        "item_key", common.alias("common"), F.floor((common + 2) / 3).alias("needed"), (2 * F.greatest(F.lit(1), drift)).alias("cell"))
+    costly_first = Window.partitionBy("item_key").orderBy(F.col("rows").desc_nulls_last(), "item_at", "gram")
+    seeds = grams.join(rows, "gram", "left").withColumn("place", F.row_number().over(costly_first)).join(lengths, "item_key").where(
+        "rows is not null and place > common - needed").select("gram", "item_key", "item_at", "needed", "cell")
+
+    places = _places(hits, seeds)
     of_doc = places.join(items, "item_key").groupBy("doc_key").agg(
         F.collect_list(F.struct("item_id", "words", "low", "high")).alias("places"))
     scored = keyed.select("doc_key", "text").join(of_doc, "doc_key").mapInArrow(
@@ -163,23 +183,24 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, width: int, least: float) -> D
                        F.col("b.last_word").alias("last_word"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, width: int = GRAM, least: float = LEAST_SCORE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """doc_id, item_id, score, first_word and last_word of every benchmark item found in a document.
 
     score is the alignment score over that of a full copy, at least ``least``;
     the words are those of the best place, counted from 0.  Texts without
     words, null texts and items without words match nothing; an item of fewer
-    than ``width`` words matches only a text of just these words, unless it
-    stands beside other hits.  Rows that share a doc_id are one document; rows
+    than LEAST_WORDS words matches only a text of just these words.  No other
+    pair is lost if ``least`` times the item's words is more than 1; note that
+    half of a very short item is only two or three words.  Rows that share a doc_id are one document; rows
     without one give a null doc_id.
     """
-    found = _leaks(docs, benchmark, width, least)
+    found = _leaks(docs, benchmark, least)
     doc_id = F.when(F.col("doc_key") < F.lit(2**62), F.col("doc_key"))
     return found.select(doc_id.alias("doc_id"), "item_id", "score", "first_word", "last_word")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = GRAM, least: float = LEAST_SCORE) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """``docs`` without the documents that contain a benchmark item; all columns as given."""
-    found = stage(_leaks(docs, benchmark, width, least).select(F.col("doc_key").alias("_leak")).distinct(), "leaks")
+    found = stage(_leaks(docs, benchmark, least).select(F.col("doc_key").alias("_leak")).distinct(), "leaks")
     keyed = docs.withColumn("_doc_key", doc_key())
     return keyed.join(found, F.col("_doc_key") == F.col("_leak"), "left_anti").select(*docs.columns)

@@ -71,6 +71,58 @@ def test_planted_passages_and_scores(spark):
     assert {r.doc_id for r in left.collect()} == {d for d, _ in docs} - {d for d, _ in got}
 
 
+def edited(rng, item, words):
+    """``item`` with some words replaced, left out or put in, anywhere or between all words."""
+    out = list(item)
+    if rng.random() < 0.15:
+        return [x for w in out for x in (w, rng.choice(words))][:-1]
+    for _ in range(rng.randint(0, max(1, len(item) // 3))):
+        at = rng.randrange(len(out))
+        rng.choice([lambda: out.__setitem__(at, rng.choice(words)), lambda: out.pop(at) if len(out) > 1 else None,
+                    lambda: out.insert(at, rng.choice(words))])()
+    return out
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8])
+def test_no_link_is_lost_on_short_items(spark, least):
+    rng = random.Random(31)
+    words = [f"w{i}" for i in range(3000)] + ["the", "of", "a"] * 60
+    items = [(i, [rng.choice(words) for _ in range(3 + i % 28)]) for i in range(140)]
+    texts = []
+    for d in range(420):
+        text = [rng.choice(words) for _ in range(rng.randint(0, 60))]
+        at = rng.randint(0, len(text))
+        text[at:at] = edited(rng, items[d % len(items)][1], words)
+        texts.append(text)
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    number = {w: n for n, w in enumerate(sorted(set(words)))}
+    coded = [np.array([number[w] for w in t]) for t in texts]
+    want = {}
+    for i, item in items:
+        code = np.array([number[w] for w in item])
+        for d, text in enumerate(coded):
+            score = D.align(code, text)[0] / (2 * len(item))
+            if score >= least:
+                want[d, i] = score
+    got = {(r.doc_id, r.item_id): r.score for r in D.leaks(docs, bench, least=least).collect()}
+    assert len(want) > 150 and got == pytest.approx(want)
+
+
+def test_a_pair_that_many_items_hold_is_no_seed(spark, monkeypatch):
+    items = [(i, f"the end {' '.join(f'i{i}x{k}' for k in range(10))}") for i in range(1000)]
+    docs = spark.createDataFrame([(d, "the end " * 20 + f"n{d}") for d in range(200)] + [(1000, items[7][1])], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    staged, keep = {}, D.stage
+    monkeypatch.setattr(D, "stage", lambda df, label: staged.setdefault(label, keep(df, label)))
+    near = []
+    whole = D._places
+    monkeypatch.setattr(D, "_places", lambda hits, seeds: near.append(seeds) or whole(hits, seeds))
+    assert [(r.doc_id, r.item_id) for r in D.leaks(docs, bench).collect()] == [(1000, 7)]
+    assert staged["seeds"].count() > 200 * 20
+    assert staged["seeds"].join(near[0], "gram").count() < 100
+
+
 def test_odd_rows_and_empty_tables(spark):
     docs = odd_docs(spark)
     bench = spark.createDataFrame([(1, "No id, but WORDS!"), (1, "one"), (None, "quick brown fox jumps over the lazy dog"), (5, None)],
