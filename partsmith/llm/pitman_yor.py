@@ -2,7 +2,7 @@
 
 Restaurants stand in a hierarchy in which those of one level share a parent:
 
-    word after a context      one restaurant per context: the last byte of the word before (or the beginning)
+    word after a word         one restaurant per class of the word before: 20 bits of its hash, or the beginning
     -> word                   one restaurant
     -> byte after two bytes   the spelling of a word, one restaurant per pair of bytes
     -> byte after one byte
@@ -15,17 +15,21 @@ the other, given the tables of all other dishes as they were after the sweep
 before; that keeps words independent within a sweep, so sweeps are parallel
 over words.  Predictive probabilities are averaged over the samples.
 
-Everything about a word is one row (it has at most 257 contexts), counted per
-chunk of documents before the shuffle.  Its numbers are kept as bytes: Spark
-moves them as one value, where it would copy arrays element by element.  To score, each chunk sends, per
-distinct word, the places where it stands; what comes back per document are
-sums.  Only totals per context and the counts of byte triples, bounded by
-2**16 * 257, reach the driver.
+Words are dealt to buckets by their hash; the number of buckets follows the
+bytes of the texts, so that a bucket holds about BUCKET_BYTES of them.  A chunk
+of documents counts its pairs and sends one row per bucket; a bucket's state is
+one row, whose numbers are packed as bytes.  A word that has a share of 1/1024
+of the tokens or more (at most 1024 such words) is cut by its contexts into as
+many slices as there are buckets, up to 4096; its total lives with the totals
+that words share.  To score, each chunk sends the places of its words to the
+buckets, where the bucket's state stands first; what comes back per document
+are sums.  Only totals per class of context (2**20) and the counts of byte
+triples (2**16 * 257 at most) reach the driver and are broadcast.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +37,76 @@ import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from partsmith.llm.words import LOWER, Words, slices
+from partsmith.llm.words import LOWER, MULT, Words, mix, slices
 from partsmith.session import new_path, remove
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES, CHUNK_DOCS, STEP_DOCS = 16 << 20, 50_000, 10_000  # documents of a chunk are numbered in 16 bits
+BUCKET_BYTES = 4 << 20
+CONTEXT_BITS = 20
+BEGIN = 1 << CONTEXT_BITS  # context of the first token
+CONTEXTS = BEGIN + 1
+HOT_WORDS, HOT_SAMPLE_BYTES, SLICE_BITS = 1024, 16 << 20, 12
 BURN_IN, SAMPLES = 1, 2
 SEED = 11
 STRENGTH = 1.0
 BYTE_DISCOUNT = 0.5
-BEGIN = 256  # context of the first token
 END_WORD, END_HASH = b"\xff", np.uint64(0x9D5C1A7F3B2E4811)  # no UTF-8 text holds this byte
 STOP = 256  # after the last byte of a word
 SYMBOLS = 257
 FLUSH_ROWS = 2_000_000
+MERGE_PAIRS = 1_000_000
+
+
+# ---------------------------------------------------------------- numbers as bytes
+
+def _bytes(values: np.ndarray, kind: str) -> np.ndarray:
+    """Numbers as bytes; kind ``u3`` keeps 24 bits."""
+    if kind == "u3":
+        return np.ascontiguousarray(np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4)[:, :3]).ravel()
+    return np.ascontiguousarray(values, kind).view(np.uint8).ravel()
+
+
+def _numbers(scalar: pa.Scalar, kind: str) -> np.ndarray:
+    raw = np.frombuffer(scalar.as_buffer(), np.uint8)
+    if kind == "u3":
+        wide = np.zeros((len(raw) // 3, 4), np.uint8)
+        wide[:, :3] = raw.reshape(-1, 3)
+        return wide.view("<u4").ravel().astype(np.int64)
+    return raw.view(kind)
+
+
+def _packs(at: np.ndarray, values: np.ndarray, kind: str) -> pa.Array:
+    """Runs of numbers as a binary column; ``at``: where each begins, the total at the end."""
+    size = 3 if kind == "u3" else np.dtype(kind).itemsize
+    return pa.Array.from_buffers(
+        pa.binary(), len(at) - 1, [None, pa.py_buffer((np.asarray(at) * size).astype(np.int32)), pa.py_buffer(_bytes(values, kind).tobytes())])
+
+
+def _empty(n: int) -> pa.Array:
+    """Bytes of nothing, not null: Spark asks for the size of a batch at every row, and that takes long for columns of nulls."""
+    return _packs(np.zeros(n + 1, np.int64), np.zeros(0), "<f8")
+
+
+def _one(values: np.ndarray, kind: str) -> pa.Array:
+    return _packs(np.array([0, values.size]), values, kind)
+
+
+def _starts(n: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+
+
+def _words(lengths: np.ndarray, raw: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(_starts(lengths)), pa.py_buffer(raw.tobytes())])
+
+
+def _lengths(words: pa.Array) -> np.ndarray:
+    return pa.compute.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _raw(words: pa.Array) -> np.ndarray:
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int64, len(words) + 1, words.offset * 8)
+    return np.frombuffer(data, np.uint8)[at[0]:at[-1]] if data is not None else np.zeros(0, np.uint8)
 
 
 # ---------------------------------------------------------------- texts to words
@@ -66,16 +127,14 @@ class Chunk:
         word[ends] = False
         token_hash = np.empty(total, np.uint64)
         token_hash[word], token_hash[~word] = w.hash, END_HASH
-        last = np.zeros(total, np.int32)
-        last[word] = LOWER[w.raw[w.end - 1]]
         context = np.empty(total, np.int32)
-        context[1:] = last[:-1]
+        context[1:] = (token_hash[:-1] >> np.uint64(64 - CONTEXT_BITS)).astype(np.int32)
         context[ends - per_row] = BEGIN
-        start, length = np.zeros(total, np.int64), np.zeros(total, np.int64)
+        start, length = np.zeros(total, np.int64), np.zeros(total, np.int32)
         start[word], length[word] = w.start + self.bytes, w.end - w.start
         doc = np.empty(total, np.int32)
         doc[word], doc[~word] = rows + base, np.arange(n) + base
-        for to, x in ((self.hash, token_hash), (self.context, context.astype(np.int16)), (self.doc, doc), (self.first, start), (self.length, length)):
+        for to, x in ((self.hash, token_hash), (self.context, context), (self.doc, doc), (self.first, start), (self.length, length)):
             to.append(x)
         self.raw.append(LOWER[w.raw])
         self.bytes += len(w.raw)
@@ -89,120 +148,201 @@ class Chunk:
 def _chunks(batches):
     chunk = Chunk()
     for whole in batches:
-        for batch in slices(whole):
-            chunk.add(batch)
-            if chunk.bytes >= CHUNK_BYTES:
-                yield chunk
-                chunk = Chunk()
+        for cut in slices(whole):
+            for at in range(0, len(cut), STEP_DOCS):
+                chunk.add(cut.slice(at, STEP_DOCS))
+                if chunk.bytes >= CHUNK_BYTES or len(chunk.doc_ids) >= CHUNK_DOCS:
+                    yield chunk
+                    chunk = Chunk()
     if chunk.doc_ids:
         yield chunk
 
 
-def _spelling(raw: np.ndarray, first: np.ndarray, length: np.ndarray, end: np.ndarray) -> pa.Array:
-    """Bytes of words as a binary column; the end is a word of one byte."""
-    length = np.where(end, 1, length)
-    at = np.concatenate([[0], np.cumsum(length)])
+def _spelling(raw: np.ndarray, first: np.ndarray, length: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of words and their bytes one after the other; the end is a word of one byte."""
+    length = np.where(end, 1, length).astype(np.int64)
+    at = _starts(length)
     place = np.arange(at[-1]) - np.repeat(at[:-1] - np.where(end, 0, first), length)
     data = raw[np.minimum(place, max(len(raw) - 1, 0))] if len(raw) else np.zeros(at[-1], np.uint8)
     data[np.repeat(end, length)] = END_WORD[0]
-    return pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data.tobytes())]).cast(pa.binary())
+    return length, data
 
 
-def _packs(at: np.ndarray, values: np.ndarray, kind: str) -> pa.Array:
-    """Runs of numbers as a binary column; ``at``: where each begins, the total at the end."""
-    data = np.ascontiguousarray(values, kind)
-    offsets = (at * data.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
+@dataclass
+class Layout:
+    """Buckets (a power of two), and the words that are cut into slices."""
+
+    bits: int
+    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted hashes
+    words: pa.Array | None = None
+
+    def keys(self, h: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What is dealt to buckets: the hash of a word, or of a slice of a hot one; and which hot word it is (-1: none)."""
+        index = np.full(len(h), -1, np.int16)
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, h), len(self.hot) - 1)
+            hot = np.flatnonzero(self.hot[at] == h)
+            index[hot] = at[hot]
+            part = context[hot] >> (CONTEXT_BITS - min(self.bits, SLICE_BITS))
+            h = h.copy()
+            h[hot] = mix(h[hot] + (part.astype(np.uint64) + np.uint64(1)) * MULT)
+        return h, index
+
+    def bucket(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
+
+
+def _heavy(batches):
+    """Words of a batch and how often they occur; the row without a word counts all."""
+    for chunk in _chunks(batches):
+        h, _, _, first, length = chunk.arrays()
+        found, at, n = np.unique(h, return_index=True, return_counts=True)
+        much = np.flatnonzero(n * (4 * HOT_WORDS) >= len(h))  # a frequent word is frequent in most chunks
+        lengths, raw = _spelling(np.concatenate(chunk.raw), first[at[much]], length[at[much]], found[much] == END_HASH)
+        words = _words(lengths, raw).cast(pa.binary()).to_pylist() + [None]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(found[much].view(np.int64), 0)), pa.array(words, pa.binary()), pa.array(np.append(n[much], len(h)))],
+            names=["hash", "word", "n"])
 
 
-def _empty(n: int) -> pa.Array:
-    """Bytes of nothing, not null: Spark asks for the size of a batch at every row, and that takes long for columns of nulls."""
-    return _packs(np.zeros(n + 1, np.int64), np.zeros(0), "<f8")
+def plan(docs: DataFrame) -> Layout:
+    """Buckets from the bytes of all texts; hot words from about HOT_SAMPLE_BYTES of texts chosen by hash.
 
+    The sample decides only which words are cut into slices, hence how evenly
+    tasks are filled; every count is over all texts.
+    """
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(0, (-(-total // BUCKET_BYTES) - 1).bit_length())
+    if not bits:
+        return Layout(0)
+    every = max(1, total // HOT_SAMPLE_BYTES)
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).mapInArrow(_heavy, "hash long, word binary, n long")
+    top = some.groupBy("hash", "word").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "hash").limit(HOT_WORDS + 1).collect()
+    tokens = sum(r["n"] for r in top if r["word"] is None)
+    hot = sorted((r["hash"] % 2**64, bytes(r["word"])) for r in top if r["word"] is not None and r["n"] * HOT_WORDS >= tokens)
+    return Layout(bits, np.array([h for h, _ in hot], np.uint64), pa.array([w for _, w in hot], pa.large_binary()))
 
-def _unpack(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of a binary column one after the other, and how many each row has (nulls: none)."""
-    _, offsets, data = column.buffers()
-    if not len(column):
-        return np.zeros(0, kind), np.zeros(0, np.int64)
-    at = np.frombuffer(offsets, np.int32, len(column) + 1, column.offset * 4)
-    raw = np.frombuffer(data, np.uint8)[at[0]:at[-1]] if data is not None else np.zeros(0, np.uint8)
-    return np.frombuffer(raw.tobytes(), kind), np.diff(at).astype(np.int64) // np.dtype(kind).itemsize
 
+def _bounds(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the total at the end."""
+    return np.append(np.flatnonzero(np.append(True, values[1:] != values[:-1])), len(values))
 
-def _count_words(batches):
-    """Per chunk and distinct word: its spelling, its contexts and how often it follows each."""
-    for chunk in _chunks(batches):
-        h, context, _, first, length = chunk.arrays()
-        order = np.lexsort((context, h))
-        h, context, first, length = h[order], context[order].astype(np.int64), first[order], length[order]
-        new_word = np.append(True, h[1:] != h[:-1])
-        new_pair = new_word | np.append(True, context[1:] != context[:-1])
-        pair = np.flatnonzero(new_pair)
-        word = np.flatnonzero(new_word)
-        counts = np.diff(np.append(pair, len(h)))
-        at = np.append(np.searchsorted(pair, word), len(pair))
-        raw = np.concatenate(chunk.raw)
-        for a in range(0, len(word), 20_000):
-            b = min(len(word), a + 20_000)
-            some = word[a:b]
+
+COUNTED = "bucket long, keys binary, hot binary, lengths binary, raw binary, n binary, contexts binary, counts binary"
+
+
+def _count_words(layout: Layout):
+    """Per chunk and bucket: its words, the contexts of each, and how often it follows them."""
+
+    def run(batches):
+        for chunk in _chunks(batches):
+            h, context, _, first, length = chunk.arrays()
+            keys, hot = layout.keys(h, context)
+            order = np.lexsort((context, keys))
+            keys, context = keys[order], context[order]
+            pair = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (context[1:] != context[:-1])))
+            counts = np.diff(np.append(pair, len(keys)))
+            at = _bounds(keys[pair])  # first pair of each word
+            word = pair[at[:-1]]
+            token = order[word]
+            lengths, raw = _spelling(np.concatenate(chunk.raw), first[token], length[token], h[token] == END_HASH)
+            bucket = layout.bucket(keys[word])
+            row = _bounds(bucket)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[some].view(np.int64)), _spelling(raw, first[some], length[some], h[some] == END_HASH),
-                 _packs(at[a:b + 1] - at[a], context[pair[at[a]:at[b]]], "<i2"), _packs(at[a:b + 1] - at[a], counts[at[a]:at[b]], "<i8")],
-                names=["hash", "word", "contexts", "counts"])
+                [pa.array(bucket[row[:-1]]), _packs(row, keys[word], "<u8"), _packs(row, hot[token], "<i2"), _packs(row, lengths, "<u4"),
+                 _packs(_starts(lengths)[row], raw, "u1"), _packs(row, np.diff(at), "<u4"), _packs(at[row], context[pair], "u3"),
+                 _packs(at[row], counts, "<i8")], names=[f.split()[0] for f in COUNTED.split(", ")])
 
+    return run
+
+
+# ---------------------------------------------------------------- the state of a bucket
+
+STATE = ("bucket long, keys binary, hot binary, lengths binary, raw binary, n binary, contexts binary, counts binary, tables binary, "
+         "customers binary, word_tables binary, seen binary, roots binary")
+
+
+@dataclass
+class Bucket:
+    """Words (sorted by key) and their pairs: ``n`` pairs each, sorted by context.
+
+    ``tables`` are those of the pairs, ``customers`` their sums by word, ``word_tables`` the tables of words in the
+    restaurant of words; ``seen`` keeps the tables and ``roots`` the words' probabilities of each sample.
+    """
+
+    keys: np.ndarray
+    hot: np.ndarray
+    words: pa.Array
+    n: np.ndarray
+    contexts: np.ndarray
+    counts: np.ndarray
+    tables: np.ndarray
+    customers: np.ndarray
+    word_tables: np.ndarray
+    seen: np.ndarray  # pair x sample
+    roots: np.ndarray  # word x sample
+
+    def row(self, bucket: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([bucket], pa.int64()), _one(self.keys, "<u8"), _one(self.hot, "<i2"), _one(_lengths(self.words), "<u4"), _one(_raw(self.words), "u1"),
+             _one(self.n, "<u4"), _one(self.contexts, "u3"), _one(self.counts, "<i8"), _one(self.tables, "<i8"), _one(self.customers, "<i8"),
+             _one(self.word_tables, "<i8"), _one(self.seen, "<i8"), _one(self.roots, "<f8")], names=[f.split()[0] for f in STATE.split(", ")])
 
-STATE = ("hash long, word binary, total long, contexts binary, counts binary, tables binary, customers long, word_tables long, "
-         "seen binary, roots binary")
+    def word(self) -> np.ndarray:
+        """The word of each pair."""
+        return np.repeat(np.arange(len(self.n)), self.n)
 
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sums over the pairs of each word; every word has some."""
+        return np.add.reduceat(values, _starts(self.n)[:-1])
 
-def _state(h, words, at, contexts, counts, tables, customers, word_tables, seen, roots) -> pa.RecordBatch:
-    n = len(h)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(h), words, pa.array(np.add.reduceat(counts, at[:-1]) if n else np.zeros(0, np.int64)), _packs(at, contexts, "<i2"),
-         _packs(at, counts, "<i8"), _packs(at, tables, "<i8"), pa.array(customers, pa.int64()), pa.array(word_tables, pa.int64()),
-         _packs(at, seen, "<f8"), _packs(np.arange(n + 1) * roots.shape[1], roots.ravel(), "<f8")],
-        names=["hash", "word", "total", "contexts", "counts", "tables", "customers", "word_tables", "seen", "roots"])
+
+def read_buckets(batch: pa.RecordBatch):
+    """(bucket, its state) of each row."""
+    for i, bucket in enumerate(batch.column("bucket").to_pylist()):
+        get = lambda name, kind: _numbers(batch.column(name)[i], kind)
+        n, contexts = get("n", "<u4").astype(np.int64), get("contexts", "u3")
+        yield bucket, Bucket(
+            get("keys", "<u8"), get("hot", "<i2"), _words(get("lengths", "<u4"), get("raw", "u1")), n, contexts, get("counts", "<i8"), get("tables", "<i8"),
+            get("customers", "<i8"), get("word_tables", "<i8"), get("seen", "<i8").reshape(len(contexts), -1), get("roots", "<f8").reshape(len(n), -1))
+
+
+def _add(parts: list[tuple]) -> tuple:
+    """Counts of several chunks as one."""
+    keys, hot, lengths, raw, n, contexts, counts = (np.concatenate(x) for x in zip(*parts))
+    keys, first, back = np.unique(keys, return_index=True, return_inverse=True)
+    words = _words(lengths, raw).take(pa.array(first))
+    code, pair = np.unique(np.repeat(back, n) * CONTEXTS + contexts, return_inverse=True)
+    total = np.zeros(len(code), np.int64)
+    np.add.at(total, pair, counts)
+    n = np.diff(np.searchsorted(code, np.arange(len(keys) + 1) * CONTEXTS))
+    return keys, hot[first], _lengths(words), _raw(words), n, code % CONTEXTS, total
 
 
 def _merge_words(batches):
-    """Rows come sorted by hash; the rows of a word (one per chunk) are added up, a word may reach across batches."""
+    """Rows come sorted by bucket; those of a bucket are added up, a million pairs at a time."""
 
-    def finish(h, words, index, contexts, counts):
-        code, back = np.unique(index * SYMBOLS + contexts, return_inverse=True)
-        total = np.bincount(back, counts, len(code)).astype(np.int64)
-        at = np.searchsorted(code, np.arange(len(h) + 1) * SYMBOLS)
-        ones = np.ones(len(code), np.int64)
-        return _state(h, words, at, (code % SYMBOLS).astype(np.int16), total, ones, np.diff(at), np.ones(len(h), np.int64),
-                      np.zeros(len(code)), np.zeros((len(h), 0)))
+    def finish(bucket, parts):
+        keys, hot, lengths, raw, n, contexts, counts = _add(parts)
+        return Bucket(keys, hot, _words(lengths, raw), n, contexts, counts, np.ones(len(counts), np.int64), n, (hot < 0).astype(np.int64),
+                      np.zeros((len(counts), 0), np.int64), np.zeros((len(keys), 0))).row(bucket)
 
-    held = None  # (hash, word, counts by context) of the last word
+    bucket, parts, pending = None, [], 0
     for batch in batches:
-        if not len(batch):
-            continue
-        h = batch.column("hash").to_numpy()
-        new = np.append(True, h[1:] != h[:-1])
-        starts, group = np.flatnonzero(new), np.cumsum(new) - 1
-        contexts, lengths = _unpack(batch.column("contexts"), "<i2")
-        index, contexts = np.repeat(group, lengths), contexts.astype(np.int64)
-        counts, _ = _unpack(batch.column("counts"), "<i8")
-        names, words = h[starts], batch.column("word").take(pa.array(starts))
-        if held is not None:
-            if held[0] == names[0]:
-                at = np.flatnonzero(held[2])
-                index, contexts, counts = (np.concatenate(x) for x in (
-                    (np.zeros(len(at), np.int64), index), (at, contexts), (held[2][at], counts)))
-            else:
-                at = np.flatnonzero(held[2])
-                yield finish(np.array([held[0]]), pa.array([held[1]], pa.binary()), np.zeros(len(at), np.int64), at, held[2][at])
-        last = len(names) - 1
-        mine = index == last
-        held = (names[last], words[last].as_py(), np.bincount(contexts[mine], counts[mine], SYMBOLS).astype(np.int64))
-        if last:
-            yield finish(names[:-1], words[:-1], index[~mine], contexts[~mine], counts[~mine])
-    if held is not None:
-        at = np.flatnonzero(held[2])
-        yield finish(np.array([held[0]]), pa.array([held[1]], pa.binary()), np.zeros(len(at), np.int64), at, held[2][at])
+        for i, b in enumerate(batch.column("bucket").to_pylist()):
+            if b != bucket and parts:
+                yield finish(bucket, parts)
+                parts, pending = [], 0
+            bucket = b
+            # bytes of a batch are copied, since a batch does not outlive its turn
+            parts.append(tuple(_numbers(batch.column(c)[i], kind).astype(to) for c, kind, to in (
+                ("keys", "<u8", np.uint64), ("hot", "<i2", np.int16), ("lengths", "<u4", np.int64), ("raw", "u1", np.uint8), ("n", "<u4", np.int64),
+                ("contexts", "u3", np.int64), ("counts", "<i8", np.int64))))
+            pending += len(parts[-1][-1])
+            if pending > MERGE_PAIRS + 2 * len(parts[0][-1]):
+                parts, pending = [_add(parts)], 0
+    if parts:
+        yield finish(bucket, parts)
 
 
 # ---------------------------------------------------------------- the model
@@ -285,12 +425,22 @@ class Totals:
     discount: float
     word_discount: float
     spelling: Spelling
+    hot_tokens: np.ndarray
+    hot_customers: np.ndarray
+    hot_tables: np.ndarray
 
     def root(self, customers, word_tables, spelled):
         """Probability of a word without its context."""
         d, n = self.word_discount, STRENGTH + self.customers
         return np.maximum(0, customers - d * word_tables) / n + (STRENGTH + d * self.tables) / n * spelled
 
+    def roots(self, b: Bucket, spelled: np.ndarray) -> np.ndarray:
+        """Probability of each word of a bucket without its context; slices of a hot word have that of the whole word."""
+        customers, tables = b.customers.copy(), b.word_tables.copy()
+        hot = b.hot >= 0
+        customers[hot], tables[hot] = self.hot_customers[b.hot[hot]], self.hot_tables[b.hot[hot]]
+        return self.root(customers, tables, spelled)
+
     def log_strange(self, words: pa.Array) -> np.ndarray:
         """Natural logarithm of the probability of words that do not occur, without their context."""
         return np.log((STRENGTH + self.word_discount * self.tables) / (STRENGTH + self.customers)) + self.spelling.log_words(words)
@@ -299,6 +449,10 @@ class Totals:
         """What each context leaves to its parent."""
         return (STRENGTH + self.discount * self.context_tables) / (STRENGTH + self.context_tokens)
 
+    def own(self, contexts: np.ndarray, counts: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """What pairs have of their own in their restaurants."""
+        return np.maximum(0, counts - self.discount * tables) / (STRENGTH + self.context_tokens[contexts])
+
 
 def sample_spelling(keys: np.ndarray, counts: np.ndarray, before: Spelling | None, rng) -> Spelling:
     """Seat the byte levels for given customers of the triples; bounded by 2**16 * SYMBOLS rows."""
@@ -324,91 +478,90 @@ def sample_spelling(keys: np.ndarray, counts: np.ndarray, before: Spelling | Non
     return Spelling(keys, np.maximum(0, counts - d * t2) / (STRENGTH + total2)[pair], (STRENGTH + d * tables2) / (STRENGTH + total2), double)
 
 
-def _flat(batch: pa.RecordBatch):
-    contexts, lengths = _unpack(batch.column("contexts"), "<i2")
-    at = np.concatenate([[0], np.cumsum(lengths)])
-    word = np.repeat(np.arange(len(batch)), lengths)
-    value = lambda c, kind: _unpack(batch.column(c), kind)[0]
-    return at, word, contexts.astype(np.int64), value("counts", "<i8"), value("tables", "<i8"), value("seen", "<f8")
-
-
 def _sweep(totals, number: int, evaluate: bool, resample: bool):
-    """Add the present sample's predictive probabilities, then seat the customers of every word anew."""
+    """Keep the present sample, then seat the customers of every word anew."""
 
     def run(batches):
         g: Totals = totals.value
-        left = g.left()
         for batch in batches:
-            if not len(batch):
-                continue
-            at, word, contexts, counts, tables, seen = _flat(batch)
-            h = batch.column("hash").to_numpy()
-            customers, word_tables = batch.column("customers").to_numpy(), batch.column("word_tables").to_numpy()
-            spelled = g.spelling.words(batch.column("word"))
-            root = g.root(customers, word_tables, spelled)
-            roots = _unpack(batch.column("roots"), "<f8")[0].reshape(len(batch), -1)
-            if evaluate:
-                own = np.maximum(0, counts - g.discount * tables) / (STRENGTH + g.context_tokens[contexts])
-                seen = seen + own + left[contexts] * root[word]
-                roots = np.column_stack([roots, root])
-            if resample:
-                rng = np.random.default_rng([SEED, number, int(h[0] & 0x7FFFFFFF)])
-                tables = seat(counts, (STRENGTH + g.discount * g.context_tables)[contexts] * root[word], g.discount, rng)
-                customers = np.add.reduceat(tables, at[:-1])
-                word_tables = seat(customers, (STRENGTH + g.word_discount * g.tables) * spelled, g.word_discount, rng)
-            yield _state(h, batch.column("word"), at, contexts.astype(np.int16), counts, tables, customers, word_tables, seen, roots)
+            for bucket, b in read_buckets(batch):
+                spelled = g.spelling.words(b.words)
+                root = g.roots(b, spelled)
+                if evaluate:
+                    b.seen, b.roots = np.column_stack([b.seen, b.tables]), np.column_stack([b.roots, root])
+                if resample:
+                    rng = np.random.default_rng([SEED, number, bucket])
+                    b.tables = seat(b.counts, (STRENGTH + g.discount * g.context_tables)[b.contexts] * root[b.word()], g.discount, rng)
+                    b.customers = b.sums(b.tables)
+                    b.word_tables = seat(np.where(b.hot < 0, b.customers, 0), (STRENGTH + g.word_discount * g.tables) * spelled, g.word_discount, rng)
+                yield b.row(bucket)
 
     return run
 
 
-def _sums(batches):
-    """Per task: tokens and tables of each context, customers and tables of words, customers of byte triples."""
-    tokens, tables = np.zeros(SYMBOLS, np.int64), np.zeros(SYMBOLS, np.int64)
-    singles = np.zeros(6, np.int64)  # words, customers, word tables, once, twice, pairs
-    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    once = np.zeros(4, np.int64)
-    for batch in batches:
-        if not len(batch):
-            continue
-        _, _, contexts, count, table, _ = _flat(batch)
-        tokens += np.bincount(contexts, count, SYMBOLS).astype(np.int64)
-        tables += np.bincount(contexts, table, SYMBOLS).astype(np.int64)
-        customers, word_tables = batch.column("customers").to_numpy(), batch.column("word_tables").to_numpy()
-        singles[:3] += (len(batch), customers.sum(), word_tables.sum())
-        once += ((count == 1).sum(), (count == 2).sum(), (customers == 1).sum(), (customers == 2).sum())
-        words = batch.column("word").cast(pa.large_binary())
-        lengths = pa.compute.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-        key = triples(words, lengths)
-        keys, back = np.unique(np.concatenate([keys, key]), return_inverse=True)
-        counts = np.bincount(back, np.concatenate([counts, np.repeat(word_tables, lengths + 1)]), len(keys)).astype(np.int64)
-    place = [np.arange(SYMBOLS), np.arange(SYMBOLS), np.arange(3), np.arange(4), keys]
-    value = [tokens, tables, singles[:3], once, counts]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.repeat(np.arange(5, dtype=np.int32), [len(x) for x in place])), pa.array(np.concatenate(place).astype(np.int64)),
-         pa.array(np.concatenate(value).astype(np.int64))], names=["kind", "place", "value"])
-
-
-def _totals(state: DataFrame, before: Totals | None, number: int) -> tuple[Totals, int]:
-    """Totals of a state, and the number of words; at most 2**16 * SYMBOLS rows come to the driver."""
-    found = state.mapInArrow(_sums, "kind int, place long, value long").groupBy("kind", "place").agg(F.sum("value").alias("value")).toPandas()
+def _sums(n_hot: int):
+    """Per task: tokens and tables of contexts, customers and tables of words, customers of byte triples, and hot words."""
+
+    def run(batches):
+        tokens, tables = np.zeros(CONTEXTS, np.int64), np.zeros(CONTEXTS, np.int64)
+        singles = np.zeros(7, np.int64)  # words, customers, word tables, pairs once, twice, words with one customer, two
+        hot = np.zeros((2, n_hot), np.int64)
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            for _, b in read_buckets(batch):
+                np.add.at(tokens, b.contexts, b.counts)
+                np.add.at(tables, b.contexts, b.tables)
+                plain = b.hot < 0
+                mine = b.customers[plain]
+                singles += (len(mine), mine.sum(), b.word_tables[plain].sum(), (b.counts == 1).sum(), (b.counts == 2).sum(), (mine == 1).sum(), (mine == 2).sum())
+                np.add.at(hot[0], b.hot[~plain], b.sums(b.counts)[~plain])
+                np.add.at(hot[1], b.hot[~plain], b.customers[~plain])
+                lengths = _lengths(b.words)
+                keys, back = np.unique(np.concatenate([keys, triples(b.words, lengths)]), return_inverse=True)
+                counts = np.bincount(back, np.concatenate([counts, np.repeat(b.word_tables, lengths + 1)]), len(keys)).astype(np.int64)
+        used = np.flatnonzero(tokens)
+        place = [used, np.arange(7), keys, np.arange(n_hot)]
+        value = [tokens[used], singles, counts, hot[0]]
+        other = [tables[used], np.zeros(7, np.int64), np.zeros(len(keys), np.int64), hot[1]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.arange(4, dtype=np.int32), [len(x) for x in place])), *[pa.array(np.concatenate(x).astype(np.int64)) for x in (place, value, other)]],
+            names=["kind", "place", "value", "other"])
+
+    return run
+
+
+def _totals(state: DataFrame, layout: Layout, before: Totals | None, number: int) -> tuple[Totals, int]:
+    """Totals of a state, and the number of words; at most CONTEXTS + 2**16 * SYMBOLS rows come to the driver."""
+    n_hot = len(layout.hot)
+    found = state.mapInArrow(_sums(n_hot), "kind int, place long, value long, other long").groupBy("kind", "place").agg(
+        F.sum("value").alias("value"), F.sum("other").alias("other")).toPandas()
     part = {k: p.sort_values("place") for k, p in found.groupby("kind")}
 
-    def dense(kind: int, size: int) -> np.ndarray:
+    def dense(kind: int, size: int, name: str = "value") -> np.ndarray:
         out = np.zeros(size, np.int64)
         if kind in part:
-            out[part[kind]["place"].to_numpy()] = part[kind]["value"].to_numpy()
+            out[part[kind]["place"].to_numpy()] = part[kind][name].to_numpy()
         return out
 
-    n_words, customers, tables = dense(2, 3).tolist()
-    n1, n2, m1, m2 = dense(3, 4).tolist()
-    keys = part[4]["place"].to_numpy(np.int64) if 4 in part else np.zeros(0, np.int64)
-    counts = part[4]["value"].to_numpy(np.int64) if 4 in part else np.zeros(0, np.int64)
-    keys, counts = keys[counts > 0], counts[counts > 0]
+    n_words, customers, tables, n1, n2, m1, m2 = dense(1, 7).tolist()
+    keys = part[2]["place"].to_numpy(np.int64) if 2 in part else np.zeros(0, np.int64)
+    counts = part[2]["value"].to_numpy(np.int64) if 2 in part else np.zeros(0, np.int64)
+    hot_tokens, hot_customers = dense(3, n_hot), dense(3, n_hot, "other")
     rng = np.random.default_rng([SEED, 1000 + number])
+    hot_tables = np.minimum(hot_customers, 1)
+    if n_hot:
+        if before:
+            hot_tables = seat(hot_customers, (STRENGTH + before.word_discount * before.tables) * before.spelling.words(layout.words), before.word_discount, rng)
+        lengths = _lengths(layout.words)
+        keys, back = np.unique(np.concatenate([keys, triples(layout.words, lengths)]), return_inverse=True)
+        counts = np.bincount(back, np.concatenate([counts, np.repeat(hot_tables, lengths + 1)]), len(keys)).astype(np.int64)
+    keys, counts = keys[counts > 0], counts[counts > 0]
     spelling = sample_spelling(keys, counts, before.spelling if before else None, rng)
     estimate = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5  # noqa: E731  from dishes that occur once and twice
-    return Totals(dense(0, SYMBOLS), dense(1, SYMBOLS), customers, tables, before.discount if before else estimate(n1, n2),
-                  estimate(m1, m2), spelling), n_words
+    m1, m2 = m1 + int((hot_customers == 1).sum()), m2 + int((hot_customers == 2).sum())
+    return Totals(dense(0, CONTEXTS), dense(0, CONTEXTS, "other"), customers + int(hot_customers.sum()), tables + int(hot_tables.sum()),
+                  before.discount if before else estimate(n1, n2), estimate(m1, m2), spelling, hot_tokens, hot_customers, hot_tables), \
+        n_words + int((hot_tokens > 0).sum())
 
 
 @dataclass
@@ -417,6 +570,7 @@ class Fitted:
     train_tokens: int
     n_words: int
     samples: list[Totals]
+    layout: Layout
 
 
 def held_out():
@@ -437,12 +591,13 @@ def _written(df: DataFrame, label: str) -> str:
 def fit(docs: DataFrame) -> Fitted:
     """Count the words of all training documents and sample the seatings."""
     spark = docs.sparkSession
-    counted = _prepared(docs).filter("not held_out").mapInArrow(
-        _count_words, "hash long, word binary, contexts binary, counts binary")
-    words = counted.repartition("hash").sortWithinPartitions("hash").mapInArrow(_merge_words, STATE)
+    prepared = _prepared(docs)
+    layout = plan(prepared)
+    counted = prepared.filter("not held_out").mapInArrow(_count_words(layout), COUNTED)
+    words = counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge_words, STATE)
     path = _written(words, "seating")
     read = lambda: spark.read.schema(STATE).parquet(path)
-    totals, n_words = _totals(read(), None, 0)
+    totals, n_words = _totals(read(), layout, None, 0)
     samples = []
     for number in range(BURN_IN + SAMPLES):
         evaluate, resample = number >= BURN_IN, number < BURN_IN + SAMPLES - 1
@@ -452,122 +607,162 @@ def fit(docs: DataFrame) -> Fitted:
         older, path = path, _written(read().mapInArrow(_sweep(shared, number, evaluate, resample), STATE), "seating")
         remove(spark, older)
         if resample:
-            totals, n_words = _totals(read(), totals, number + 1)
-    return Fitted(path, int(totals.context_tokens.sum()), n_words, samples)
+            totals, n_words = _totals(read(), layout, totals, number + 1)
+    return Fitted(path, int(totals.context_tokens.sum()), n_words, samples, layout)
 
 
 # ---------------------------------------------------------------- scores
 
-def _places(batches):
-    """Per chunk and distinct word: where it stands (document of the chunk, context); and one row that names the documents."""
-    part = TaskContext.get().partitionId()
-    names = ["hash", "chunk", "word", "docs", "contexts", "doc_ids", "held", "n_tokens"]
-    for number, chunk in enumerate(_chunks(batches)):
-        h, context, doc, first, length = chunk.arrays()
-        name = part << 32 | number
-        held = np.array(chunk.held)
-        order = np.lexsort((doc, h))
-        h, context, doc, first, length = h[order], context[order], doc[order], first[order], length[order]
-        word = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        at = np.append(word, len(h))
-        outside = np.logical_or.reduceat(held[doc], word)  # only these can be unknown
-        raw = np.concatenate(chunk.raw)
-        for a in range(0, len(word), 20_000):
-            b = min(len(word), a + 20_000)
-            some = word[a:b]
-            spelled = _spelling(raw, first[some], np.where(outside[a:b], length[some], 0), (h[some] == END_HASH) & outside[a:b])
-            n = b - a
+PLACES = ("bucket long, kind int, chunk long, keys binary, hot binary, lengths binary, raw binary, n binary, docs binary, contexts binary, counts binary, "
+          "seen binary, roots binary, doc_ids binary, held binary, n_tokens binary")
+MODEL, PLACE, DIRECTORY = 0, 1, 2  # in this order within a bucket
+
+
+def _places(layout: Layout):
+    """Per chunk and bucket: where its words stand (document of the chunk, context); and one row that names the documents."""
+    names = [f.split()[0] for f in PLACES.split(", ")]
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        for number, chunk in enumerate(_chunks(batches)):
+            h, context, doc, first, length = chunk.arrays()
+            name = part << 32 | number
+            held = np.array(chunk.held)
+            keys, hot = layout.keys(h, context)
+            order = np.argsort(keys, kind="stable")  # documents stay in order
+            keys = keys[order]
+            at = _bounds(keys)
+            token = order[at[:-1]]
+            outside = np.logical_or.reduceat(held[doc[order]], at[:-1])  # only these can be unknown
+            lengths, raw = _spelling(np.concatenate(chunk.raw), first[token], np.where(outside, length[token], 0), (h[token] == END_HASH) & outside)
+            bucket = layout.bucket(keys[at[:-1]])
+            row = _bounds(bucket)
+            n = len(row) - 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[some].view(np.int64)), pa.array(np.full(n, name)), spelled,
-                 _packs(at[a:b + 1] - at[a], doc[at[a]:at[b]], "<i4"), _packs(at[a:b + 1] - at[a], context[at[a]:at[b]], "<i2"),
-                 _empty(n), _empty(n), _empty(n)], names=names)
-        sizes = np.bincount(doc, minlength=len(held))
-        known = np.array([d is not None for d in chunk.doc_ids])
-        ids = np.array([0 if d is None else d for d in chunk.doc_ids], "<i8")
-        marks = held.astype(np.uint8) | known.astype(np.uint8) << 1
-        yield pa.RecordBatch.from_arrays(  # dealt out like a word that does not occur
-            [pa.array([(name * 0x9E3779B97F4A7C15 + 1) % 2**63]), pa.array([name]), _empty(1), _empty(1), _empty(1),
-             pa.array([ids.tobytes()], pa.binary()), pa.array([marks.tobytes()], pa.binary()), pa.array([sizes.astype("<i8").tobytes()], pa.binary())], names=names)
+                [pa.array(bucket[row[:-1]]), pa.array(np.full(n, PLACE, np.int32)), pa.array(np.full(n, name)), _packs(row, keys[at[:-1]], "<u8"),
+                 _packs(row, hot[token], "<i2"), _packs(row, lengths, "<u4"), _packs(_starts(lengths)[row], raw, "u1"), _packs(row, np.diff(at), "<u4"),
+                 _packs(at[row], doc[order], "<u2"), _packs(at[row], context[order], "u3"), *[_empty(n)] * 6], names=names)
+            sizes = np.bincount(doc, minlength=len(held))
+            known = np.array([d is not None for d in chunk.doc_ids])
+            ids = np.array([0 if d is None else d for d in chunk.doc_ids], "<i8")
+            marks = held.astype(np.uint8) | known.astype(np.uint8) << 1
+            yield pa.RecordBatch.from_arrays(  # dealt out like any bucket
+                [pa.array([(name * 0x9E3779B97F4A7C15 + 1) % 2**63]), pa.array([DIRECTORY], pa.int32()), pa.array([name]), *[_empty(1)] * 10,
+                 _one(ids, "<i8"), _one(marks, "u1"), _one(sizes, "<i8")], names=names)
+
+    return run
 
 
 PARTS = "chunk long, docs binary, base binary, score binary, known binary, doc_ids binary, held binary, n_tokens binary"
 _PART_KINDS = {"docs": "<i4", "base": "<f8", "score": "<f8", "known": "<i8"}
 
 
-def _add_up(samples, tokens: int, n_words: int):
-    """Sums per chunk and document over the words of this task."""
+@dataclass
+class Known:
+    """What a bucket knows: its words by key, and its pairs."""
+
+    keys: np.ndarray
+    total: np.ndarray
+    roots: np.ndarray
+    code: np.ndarray  # word * CONTEXTS + context, sorted
+    own: np.ndarray  # pair x sample
+
+    @staticmethod
+    def of(b: Bucket, model: list[Totals]) -> Known:
+        own = np.column_stack([g.own(b.contexts, b.counts, b.seen[:, i]) for i, g in enumerate(model)])
+        return Known(b.keys.copy(), b.sums(b.counts), b.roots.copy(), b.word() * CONTEXTS + b.contexts, own)
+
+    @staticmethod
+    def nothing(samples: int) -> Known:
+        return Known(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, samples)), np.zeros(0, np.int64), np.zeros((0, samples)))
+
+
+def _find(sorted_values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted value, and whether it is there."""
+    if not len(sorted_values):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(sorted_values, wanted), len(sorted_values) - 1)
+    return at, sorted_values[at] == wanted
+
+
+def _score_row(know: Known, model: list[Totals], hot_roots: np.ndarray, left: np.ndarray, get, tokens: int, n_words: int):
+    """Document, base score, score and whether known, of each place of a row."""
+    keys, hot, n = get("keys", "<u8"), get("hot", "<i2"), get("n", "<u4").astype(np.int64)
+    doc, context = get("docs", "<u2").astype(np.int64), get("contexts", "u3")
+    at, here = _find(know.keys, keys)
+    total, root = np.zeros(len(keys), np.int64), np.zeros((len(keys), len(model)))
+    total[here], root[here] = know.total[at[here]], know.roots[at[here]]
+    is_hot = hot >= 0
+    total[is_hot], root[is_hot] = model[-1].hot_tokens[hot[is_hot]], hot_roots[hot[is_hot]]
+    scale = np.zeros(len(keys))  # logarithm of what all roots of a word are divided by, since long spellings are below any double
+    strange = np.flatnonzero(total == 0)
+    if len(strange):
+        words = _words(get("lengths", "<u4"), get("raw", "u1")).take(pa.array(strange))
+        logs = np.stack([g.log_strange(words) for g in model], axis=1)
+        scale[strange] = logs.max(axis=1)
+        root[strange] = np.exp(logs - scale[strange, None])
+    word = np.repeat(np.arange(len(keys)), n)
+    p = (left[context] * root[word]).mean(axis=1)
+    pair, there = _find(know.code, at[word] * CONTEXTS + context)
+    there &= here[word]
+    p[there] += know.own[pair[there]].mean(axis=1)
+    base = np.log10((total + 0.1) / (tokens + 0.1 * (n_words + 1)))
+    return doc, base[word], np.log10(p) + scale[word] / np.log(10), total[word] > 0
+
+
+def _add_up(samples, layout: Layout, tokens: int, n_words: int):
+    """Sums per chunk and document over the buckets of this task."""
 
     def run(batches):
         model: list[Totals] = samples.value
         left = np.stack([s.left() for s in model], axis=1)  # context x sample
+        hot_roots = np.zeros((len(layout.hot), len(model)))
+        for i, g in enumerate(model if len(layout.hot) else ()):
+            hot_roots[:, i] = g.root(g.hot_customers, g.hot_tables, g.spelling.words(layout.words))
         names = [f.split()[0] for f in PARTS.split(", ")]
         sums: dict[int, list[np.ndarray]] = {}
-        held_rows = 0
+        held_rows, bucket, know = 0, None, Known.nothing(len(model))
 
         def flush():
             for chunk, (base, score, known, seen) in sums.items():
                 docs = np.flatnonzero(seen)
-                packed = [pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in zip(
-                    (docs, base[docs], score[docs], known[docs]), _PART_KINDS.values())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk]), *packed, _empty(1), _empty(1), _empty(1)], names=names)
+                packed = [_one(x, kind) for x, kind in zip((docs, base[docs], score[docs], known[docs]), _PART_KINDS.values())]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), *packed, _empty(1), _empty(1), _empty(1)], names=names)
             sums.clear()
 
         for batch in batches:
-            directory = pa.compute.binary_length(batch.column("doc_ids")).to_numpy(zero_copy_only=False) > 0
-            if directory.any():
-                d = batch.filter(pa.array(directory))
-                n = len(d)
-                yield pa.RecordBatch.from_arrays(
-                    [d.column("chunk"), *[_empty(n)] * 4,
-                     d.column("doc_ids"), d.column("held"), d.column("n_tokens")], names=names)
-                batch = batch.filter(pa.array(~directory))
-            if not len(batch):
-                continue
-            doc, lengths = _unpack(batch.column("docs"), "<i4")
-            row = np.repeat(np.arange(len(batch)), lengths)
-            context = _unpack(batch.column("contexts"), "<i2")[0].astype(np.int64)
-            total = batch.column("total").to_numpy()
-            root = np.zeros((len(batch), len(model)))
-            known = batch.column("known").to_numpy(zero_copy_only=False)
-            root[known] = _unpack(batch.column("roots"), "<f8")[0].reshape(-1, len(model))
-            strange = np.flatnonzero(~known)
-            scale = np.zeros(len(batch))  # logarithm of what all roots of a row are divided by, since long spellings are below any double
-            if len(strange):
-                words = batch.column("word").take(pa.array(strange))
-                logs = np.stack([g.log_strange(words) for g in model], axis=1)
-                scale[strange] = logs.max(axis=1)
-                root[strange] = np.exp(logs - scale[strange, None])
-            p = (left[context] * root[row]).mean(axis=1)
-            own, lengths = _unpack(batch.column("model_contexts"), "<i2")
-            code = np.repeat(np.arange(len(batch)), lengths) * SYMBOLS + own.astype(np.int64)
-            if len(code):
-                want = row * SYMBOLS + context
-                at = np.minimum(np.searchsorted(code, want), len(code) - 1)
-                p = np.where(code[at] == want, _unpack(batch.column("seen"), "<f8")[0][at] / len(model), p)
-            log_p = np.log10(p) + scale[row] / np.log(10)
-            log_base = np.log10((total + 0.1) / (tokens + 0.1 * (n_words + 1)))[row]
-            chunks = batch.column("chunk").to_numpy()
-            order = np.argsort(chunks[row], kind="stable")
-            of = chunks[row][order]
-            for part in np.split(order, np.flatnonzero(np.diff(of)) + 1):
-                size, chunk = int(doc[part].max()) + 1, int(chunks[row[part[0]]])
+            for i, (b, kind, chunk) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "chunk")))):
+                get = lambda c, k: _numbers(batch.column(c)[i], k)
+                if kind == DIRECTORY:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([chunk]), *[_empty(1)] * 4, *[_one(get(c, "u1"), "u1") for c in ("doc_ids", "held", "n_tokens")]], names=names)
+                    continue
+                if b != bucket:
+                    bucket, know = b, Known.nothing(len(model))
+                if kind == MODEL:
+                    n, contexts = get("n", "<u4").astype(np.int64), get("contexts", "u3")
+                    none = np.zeros(0, np.int64)
+                    know = Known.of(Bucket(get("keys", "<u8"), get("hot", "<i2"), None, n, contexts, get("counts", "<i8"), none, none, none,
+                                           get("seen", "<i8").reshape(len(contexts), -1), get("roots", "<f8").reshape(len(n), -1)), model)
+                    continue
+                doc, base, score, known = _score_row(know, model, hot_roots, left, get, tokens, n_words)
+                size = int(doc.max()) + 1
                 have = sums.get(chunk)
                 if have is None or len(have[0]) < size:
                     grown = [np.zeros(size), np.zeros(size), np.zeros(size, np.int64), np.zeros(size, bool)]
                     if have is not None:
-                        for g, x in zip(grown, have):
-                            g[:len(x)] = x
+                        for to, x in zip(grown, have):
+                            to[:len(x)] = x
+                    held_rows += size - (0 if have is None else len(have[0]))
                     have = sums[chunk] = grown
-                    held_rows = sum(len(x[0]) for x in sums.values()) if len(sums) % 64 == 0 else held_rows + size
                 n = len(have[0])
-                have[0] += np.bincount(doc[part], log_base[part], n)
-                have[1] += np.bincount(doc[part], log_p[part], n)
-                have[2] += np.bincount(doc[part], total[row[part]] > 0, n).astype(np.int64)
-                have[3][doc[part]] = True
-            if held_rows > FLUSH_ROWS:
-                yield from flush()
-                held_rows = 0
+                have[0] += np.bincount(doc, base, n)
+                have[1] += np.bincount(doc, score, n)
+                have[2] += np.bincount(doc, known, n).astype(np.int64)
+                have[3][doc] = True
+                if held_rows > FLUSH_ROWS:
+                    yield from flush()
+                    held_rows = 0
         yield from flush()
 
     return run
@@ -611,16 +806,14 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
     columns are left out.  Without training documents every word is unknown.
     """
     spark = docs.sparkSession
-    places = _prepared(docs).mapInArrow(
-        _places, "hash long, chunk long, word binary, docs binary, contexts binary, doc_ids binary, held binary, n_tokens binary")
-    model = spark.read.schema(STATE).parquet(fitted.path).select(
-        "hash", "total", F.col("contexts").alias("model_contexts"), "seen", "roots")
-    samples = spark.sparkContext.broadcast(fitted.samples)
     nothing = F.lit(b"").cast("binary")
-    joined = places.join(model, "hash", "left").withColumns(
-        {"known": F.col("total").isNotNull(), "total": F.coalesce("total", F.lit(0).cast("long")),
-         **{c: F.coalesce(c, nothing) for c in ("model_contexts", "seen", "roots")}})
-    sums = joined.mapInArrow(_add_up(samples, fitted.train_tokens, fitted.n_words), PARTS)
+    names = [f.split()[0] for f in PLACES.split(", ")]
+    model = spark.read.schema(STATE).parquet(fitted.path).withColumns(
+        {"kind": F.lit(MODEL), "chunk": F.lit(0).cast("long"), **{c: nothing for c in ("lengths", "raw", "docs", "doc_ids", "held", "n_tokens")}}).select(*names)
+    places = _prepared(docs).mapInArrow(_places(fitted.layout), PLACES)
+    samples = spark.sparkContext.broadcast(fitted.samples)
+    together = places.unionByName(model).repartition("bucket").sortWithinPartitions("bucket", "kind")
+    sums = together.mapInArrow(_add_up(samples, fitted.layout, fitted.train_tokens, fitted.n_words), PARTS)
     ordered = sums.withColumn("later", F.octet_length("doc_ids") == 0).repartition("chunk").sortWithinPartitions("chunk", "later").drop("later")
     return ordered.mapInArrow(_per_document, SCORES).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(fitted.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

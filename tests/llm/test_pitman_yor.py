@@ -74,7 +74,22 @@ def test_small_chunks_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(H, "CHUNK_BYTES", 3000)
     monkeypatch.setattr(H, "FLUSH_ROWS", 5)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    same(H.score(docs, H.fit(docs)).collect(), base([(r.doc_id, r.text) for r in docs.collect()]))
+    whole = {r.doc_id: r.score for r in H.score(docs, H.fit(docs)).collect()}
+    monkeypatch.setattr(H, "BUCKET_BYTES", 5000)
+    monkeypatch.setattr(H, "MERGE_PAIRS", 50)
+    fitted = H.fit(docs)
+    assert len(fitted.layout.hot) > 10 and fitted.layout.bits > 4
+    got = H.score(docs, fitted).collect()
+    same(got, base([(r.doc_id, r.text) for r in docs.collect()]))
+    # seats are drawn anew, so scores differ by chance only
+    assert sum(r.score for r in got) == pytest.approx(sum(whole.values()), rel=0.01)
+
+
+def test_better_than_single_words_on_given_documents(spark):
+    """Held-out documents of the given tables: the words before must be worth a factor of two in perplexity."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = H.score(docs, H.fit(docs)).filter("held_out").groupBy().sum("score", "base_score", "n_tokens").first()
+    assert 10 ** ((out[1] - out[0]) / out[2]) < 0.5
 
 
 def test_odd_rows(spark):
@@ -124,17 +139,16 @@ def test_seating_has_the_right_number_of_tables():
 def test_predictive_of_a_context_sums_to_one(spark):
     docs = odd_docs(spark, [(1, "aa bb aa bb cc aa", "en", "a", 1), (2, "aa aa dd", "en", "a", 1), (3, "bb cc", "en", "a", 1)])
     fitted = H.fit(docs)
-    rows = spark.read.parquet(fitted.path).collect()
-    number = lambda raw, kind: np.frombuffer(raw, kind).tolist()
-    rows = [type("R", (), {"contexts": number(r.contexts, "<i2"), "seen": number(r.seen, "<f8"), "roots": number(r.roots, "<f8"), "word": r.word}) for r in rows]
+    rows = spark.read.parquet(fitted.path).toArrow().combine_chunks().to_batches()
+    (_, b), = [x for batch in rows for x in H.read_buckets(batch)]
     left = np.stack([s.left() for s in fitted.samples], axis=1)
-    for context in {c for r in rows for c in r.contexts}:
-        seen = sum(dict(zip(r.contexts, r.seen)).get(context, 0) / len(fitted.samples) if context in r.contexts
-                   else float((left[context] * np.array(r.roots)).mean()) for r in rows)
-        # the rest is the mass of spellings that do not occur
-        spelled = [1 - sum(s.spelling.words(pa.array([bytes(r.word) for r in rows], pa.binary()))) for s in fitted.samples]
-        unseen = np.mean([left[context, i] * s.root(0, 0, spelled[i]) for i, s in enumerate(fitted.samples)])
-        assert seen + unseen == pytest.approx(1, abs=1e-6)
+    own = np.column_stack([s.own(b.contexts, b.counts, b.seen[:, i]) for i, s in enumerate(fitted.samples)])
+    spelled = [1 - sum(s.spelling.words(b.words)) for s in fitted.samples]  # the rest is the mass of spellings that do not occur
+    assert len(set(b.contexts)) == 5 and len(b.keys) == 5
+    for context in set(b.contexts):
+        seen = own[b.contexts == context].sum(axis=0) + left[context] * b.roots.sum(axis=0)
+        unseen = [left[context, i] * s.root(0, 0, spelled[i]) for i, s in enumerate(fitted.samples)]
+        assert (seen + unseen).mean() == pytest.approx(1, abs=1e-6)
 
 
 def test_long_unseen_words_have_finite_scores(spark):
