@@ -534,19 +534,19 @@ def _totals(state: DataFrame, layout: Layout, before: Totals | None, number: int
     """Totals of a state, and the number of words; at most CONTEXTS + 2**16 * SYMBOLS rows come to the driver."""
     n_hot = len(layout.hot)
     found = state.mapInArrow(_sums(n_hot), "kind int, place long, value long, other long").groupBy("kind", "place").agg(
-        F.sum("value").alias("value"), F.sum("other").alias("other")).toPandas()
-    part = {k: p.sort_values("place") for k, p in found.groupby("kind")}
+        F.sum("value").alias("value"), F.sum("other").alias("other")).toArrow()
+    kinds, place, value, other = (found.column(c).to_numpy() for c in ("kind", "place", "value", "other"))
 
-    def dense(kind: int, size: int, name: str = "value") -> np.ndarray:
+    def dense(kind: int, size: int, values: np.ndarray = value) -> np.ndarray:
         out = np.zeros(size, np.int64)
-        if kind in part:
-            out[part[kind]["place"].to_numpy()] = part[kind][name].to_numpy()
+        mine = kinds == kind
+        out[place[mine]] = values[mine]
         return out
 
     n_words, customers, tables, n1, n2, m1, m2 = dense(1, 7).tolist()
-    keys = part[2]["place"].to_numpy(np.int64) if 2 in part else np.zeros(0, np.int64)
-    counts = part[2]["value"].to_numpy(np.int64) if 2 in part else np.zeros(0, np.int64)
-    hot_tokens, hot_customers = dense(3, n_hot), dense(3, n_hot, "other")
+    order = np.argsort(place[kinds == 2])
+    keys, counts = place[kinds == 2][order], value[kinds == 2][order]
+    hot_tokens, hot_customers = dense(3, n_hot), dense(3, n_hot, other)
     rng = np.random.default_rng([SEED, 1000 + number])
     hot_tables = np.minimum(hot_customers, 1)
     if n_hot:
@@ -559,7 +559,7 @@ def _totals(state: DataFrame, layout: Layout, before: Totals | None, number: int
     spelling = sample_spelling(keys, counts, before.spelling if before else None, rng)
     estimate = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5  # noqa: E731  from dishes that occur once and twice
     m1, m2 = m1 + int((hot_customers == 1).sum()), m2 + int((hot_customers == 2).sum())
-    return Totals(dense(0, CONTEXTS), dense(0, CONTEXTS, "other"), customers + int(hot_customers.sum()), tables + int(hot_tables.sum()),
+    return Totals(dense(0, CONTEXTS), dense(0, CONTEXTS, other), customers + int(hot_customers.sum()), tables + int(hot_tables.sum()),
                   before.discount if before else estimate(n1, n2), estimate(m1, m2), spelling, hot_tokens, hot_customers, hot_tables), \
         n_words + int((hot_tokens > 0).sum())
 
