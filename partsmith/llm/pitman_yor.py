@@ -34,6 +34,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -55,6 +56,7 @@ STOP = 256  # after the last byte of a word
 SYMBOLS = 257
 FLUSH_ROWS = 2_000_000
 MERGE_PAIRS = 1_000_000
+ZIP_BYTES = 4096  # rows of more bytes than this on average are compressed before they travel
 
 
 # ---------------------------------------------------------------- numbers as bytes
@@ -66,8 +68,35 @@ def _bytes(values: np.ndarray, kind: str) -> np.ndarray:
     return np.ascontiguousarray(values, kind).view(np.uint8).ravel()
 
 
-def _numbers(scalar: pa.Scalar, kind: str) -> np.ndarray:
-    raw = np.frombuffer(scalar.as_buffer(), np.uint8)
+def _reader(batch: pa.RecordBatch, i: int):
+    """A function that gives a binary column's numbers in row ``i``."""
+    zipped = batch.column("zipped")[i].as_py()
+
+    def get(name: str, kind: str) -> np.ndarray:
+        raw = batch.column(name)[i].as_buffer()
+        return _numbers(zstandard.ZstdDecompressor().decompress(raw) if zipped and len(raw) else raw, kind)
+
+    return get
+
+
+def _row_batch(columns: list[pa.Array], schema: str) -> pa.RecordBatch:
+    """Columns in the order of ``schema``, whose last one says whether binary columns are compressed."""
+    n = len(columns[0])
+    binary = [c for c in columns if pa.types.is_binary(c.type)]
+    zipped = sum(c.nbytes for c in binary) > n * ZIP_BYTES
+    if zipped:
+        press = zstandard.ZstdCompressor(level=1)
+        columns = [pa.array([press.compress(x) if len(x) else b"" for x in (v.as_buffer() for v in c)], pa.binary())
+                   if pa.types.is_binary(c.type) else c for c in columns]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(n, zipped))], names=_names(schema))
+
+
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
+def _numbers(raw, kind: str) -> np.ndarray:
+    raw = np.frombuffer(raw, np.uint8)
     if kind == "u3":
         wide = np.zeros((len(raw) // 3, 4), np.uint8)
         wide[:, :3] = raw.reshape(-1, 3)
@@ -228,7 +257,7 @@ def _bounds(values: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(np.append(True, values[1:] != values[:-1])), len(values))
 
 
-COUNTED = "bucket long, keys binary, hot binary, lengths binary, raw binary, n binary, contexts binary, counts binary"
+COUNTED = "bucket long, keys binary, hot binary, lengths binary, raw binary, n binary, contexts binary, counts binary, zipped boolean"
 
 
 def _count_words(layout: Layout):
@@ -248,10 +277,10 @@ def _count_words(layout: Layout):
             lengths, raw = _spelling(np.concatenate(chunk.raw), first[token], length[token], h[token] == END_HASH)
             bucket = layout.bucket(keys[word])
             row = _bounds(bucket)
-            yield pa.RecordBatch.from_arrays(
+            yield _row_batch(
                 [pa.array(bucket[row[:-1]]), _packs(row, keys[word], "<u8"), _packs(row, hot[token], "<i2"), _packs(row, lengths, "<u4"),
                  _packs(_starts(lengths)[row], raw, "u1"), _packs(row, np.diff(at), "<u4"), _packs(at[row], context[pair], "u3"),
-                 _packs(at[row], counts, "<i8")], names=[f.split()[0] for f in COUNTED.split(", ")])
+                 _packs(at[row], counts, "<i8")], COUNTED)
 
     return run
 
@@ -259,7 +288,7 @@ def _count_words(layout: Layout):
 # ---------------------------------------------------------------- the state of a bucket
 
 STATE = ("bucket long, keys binary, hot binary, lengths binary, raw binary, n binary, contexts binary, counts binary, tables binary, "
-         "customers binary, word_tables binary, seen binary, roots binary")
+         "customers binary, word_tables binary, seen binary, roots binary, zipped boolean")
 
 
 @dataclass
@@ -283,10 +312,10 @@ class Bucket:
     roots: np.ndarray  # word x sample
 
     def row(self, bucket: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
+        return _row_batch(
             [pa.array([bucket], pa.int64()), _one(self.keys, "<u8"), _one(self.hot, "<i2"), _one(_lengths(self.words), "<u4"), _one(_raw(self.words), "u1"),
              _one(self.n, "<u4"), _one(self.contexts, "u3"), _one(self.counts, "<i8"), _one(self.tables, "<i8"), _one(self.customers, "<i8"),
-             _one(self.word_tables, "<i8"), _one(self.seen, "<i8"), _one(self.roots, "<f8")], names=[f.split()[0] for f in STATE.split(", ")])
+             _one(self.word_tables, "<i8"), _one(self.seen, "<i8"), _one(self.roots, "<f8")], STATE)
 
     def word(self) -> np.ndarray:
         """The word of each pair."""
@@ -300,7 +329,7 @@ class Bucket:
 def read_buckets(batch: pa.RecordBatch):
     """(bucket, its state) of each row."""
     for i, bucket in enumerate(batch.column("bucket").to_pylist()):
-        get = lambda name, kind: _numbers(batch.column(name)[i], kind)
+        get = _reader(batch, i)
         n, contexts = get("n", "<u4").astype(np.int64), get("contexts", "u3")
         yield bucket, Bucket(
             get("keys", "<u8"), get("hot", "<i2"), _words(get("lengths", "<u4"), get("raw", "u1")), n, contexts, get("counts", "<i8"), get("tables", "<i8"),
@@ -335,7 +364,7 @@ def _merge_words(batches):
                 parts, pending = [], 0
             bucket = b
             # bytes of a batch are copied, since a batch does not outlive its turn
-            parts.append(tuple(_numbers(batch.column(c)[i], kind).astype(to) for c, kind, to in (
+            parts.append(tuple(_reader(batch, i)(c, kind).astype(to) for c, kind, to in (
                 ("keys", "<u8", np.uint64), ("hot", "<i2", np.int16), ("lengths", "<u4", np.int64), ("raw", "u1", np.uint8), ("n", "<u4", np.int64),
                 ("contexts", "u3", np.int64), ("counts", "<i8", np.int64))))
             pending += len(parts[-1][-1])
@@ -429,6 +458,14 @@ class Totals:
     hot_customers: np.ndarray
     hot_tables: np.ndarray
 
+    def __getstate__(self):
+        """Broadcasts are kept on the disk of every executor, so numbers of contexts, mostly small, are compressed."""
+        press = zstandard.ZstdCompressor(level=1)
+        return self.__dict__ | {c: press.compress(self.__dict__[c].tobytes()) for c in ("context_tokens", "context_tables")}
+
+    def __setstate__(self, state):
+        self.__dict__ = state | {c: np.frombuffer(zstandard.ZstdDecompressor().decompress(state[c]), np.int64) for c in ("context_tokens", "context_tables")}
+
     def root(self, customers, word_tables, spelled):
         """Probability of a word without its context."""
         d, n = self.word_discount, STRENGTH + self.customers
@@ -499,54 +536,83 @@ def _sweep(totals, number: int, evaluate: bool, resample: bool):
     return run
 
 
-def _sums(n_hot: int):
-    """Per task: tokens and tables of contexts, customers and tables of words, customers of byte triples, and hot words."""
+#: numbers of what is summed: contexts (tokens, tables), byte triples (customers), single totals, hot words (tokens, customers)
+TRIPLES = CONTEXTS
+SINGLES = TRIPLES + 65536 * SYMBOLS
+HOT = SINGLES + 7
+SUMS = "part long, place binary, value binary, other binary, zipped boolean"
+PART_BITS = 14
 
-    def run(batches):
-        tokens, tables = np.zeros(CONTEXTS, np.int64), np.zeros(CONTEXTS, np.int64)
-        singles = np.zeros(7, np.int64)  # words, customers, word tables, pairs once, twice, words with one customer, two
-        hot = np.zeros((2, n_hot), np.int64)
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            for _, b in read_buckets(batch):
-                np.add.at(tokens, b.contexts, b.counts)
-                np.add.at(tables, b.contexts, b.tables)
-                plain = b.hot < 0
-                mine = b.customers[plain]
-                singles += (len(mine), mine.sum(), b.word_tables[plain].sum(), (b.counts == 1).sum(), (b.counts == 2).sum(), (mine == 1).sum(), (mine == 2).sum())
-                np.add.at(hot[0], b.hot[~plain], b.sums(b.counts)[~plain])
-                np.add.at(hot[1], b.hot[~plain], b.customers[~plain])
-                lengths = _lengths(b.words)
-                keys, back = np.unique(np.concatenate([keys, triples(b.words, lengths)]), return_inverse=True)
-                counts = np.bincount(back, np.concatenate([counts, np.repeat(b.word_tables, lengths + 1)]), len(keys)).astype(np.int64)
-        used = np.flatnonzero(tokens)
-        place = [used, np.arange(7), keys, np.arange(n_hot)]
-        value = [tokens[used], singles, counts, hot[0]]
-        other = [tables[used], np.zeros(7, np.int64), np.zeros(len(keys), np.int64), hot[1]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(np.arange(4, dtype=np.int32), [len(x) for x in place])), *[pa.array(np.concatenate(x).astype(np.int64)) for x in (place, value, other)]],
-            names=["kind", "place", "value", "other"])
 
-    return run
+def _sum_rows(place: np.ndarray, value: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
+    """Sums of sorted places as one row per part of 2**PART_BITS places."""
+    part = place >> PART_BITS
+    at = _bounds(part)
+    return _row_batch([pa.array(part[at[:-1]]), *[_packs(at, x, "<i8") for x in (place, value, other)]], SUMS)
+
+
+def _sums(batches):
+    """Per task: tokens and tables of contexts, customers of byte triples, customers and tables of words, and hot words."""
+    tokens, tables = np.zeros(CONTEXTS, np.int64), np.zeros(CONTEXTS, np.int64)
+    singles = np.zeros(7, np.int64)  # words, customers, word tables, pairs once, twice, words with one customer, two
+    hot = np.zeros((2, HOT_WORDS), np.int64)
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        for _, b in read_buckets(batch):
+            np.add.at(tokens, b.contexts, b.counts)
+            np.add.at(tables, b.contexts, b.tables)
+            plain = b.hot < 0
+            mine = b.customers[plain]
+            singles += (len(mine), mine.sum(), b.word_tables[plain].sum(), (b.counts == 1).sum(), (b.counts == 2).sum(), (mine == 1).sum(), (mine == 2).sum())
+            np.add.at(hot[0], b.hot[~plain], b.sums(b.counts)[~plain])
+            np.add.at(hot[1], b.hot[~plain], b.customers[~plain])
+            lengths = _lengths(b.words)
+            keys, back = np.unique(np.concatenate([keys, triples(b.words, lengths)]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([counts, np.repeat(b.word_tables, lengths + 1)]), len(keys)).astype(np.int64)
+    used = np.flatnonzero(tokens)
+    yield _sum_rows(np.concatenate([used, keys + TRIPLES, np.arange(7) + SINGLES, np.arange(HOT_WORDS) + HOT]),
+                    np.concatenate([tokens[used], counts, singles, hot[0]]),
+                    np.concatenate([tables[used], np.zeros(len(keys) + 7, np.int64), hot[1]]))
+
+
+def _sum_parts(batches):
+    """Rows come sorted by part: the sums of all tasks."""
+    part, place, values = None, None, None
+    for batch in batches:
+        for i, p in enumerate(batch.column("part").to_pylist()):
+            get = _reader(batch, i)
+            new, more = get("place", "<i8"), np.stack([get("value", "<i8"), get("other", "<i8")], axis=1)
+            if p != part:
+                if part is not None:
+                    yield _sum_rows(place, values[:, 0], values[:, 1])
+                part, place, values = p, new.copy(), more
+                continue
+            place, back = np.unique(np.concatenate([place, new]), return_inverse=True)
+            more = np.concatenate([values, more])
+            values = np.zeros((len(place), 2), np.int64)
+            np.add.at(values, back, more)
+    if part is not None:
+        yield _sum_rows(place, values[:, 0], values[:, 1])
 
 
 def _totals(state: DataFrame, layout: Layout, before: Totals | None, number: int) -> tuple[Totals, int]:
-    """Totals of a state, and the number of words; at most CONTEXTS + 2**16 * SYMBOLS rows come to the driver."""
+    """Totals of a state, and the number of words; at most CONTEXTS + 2**16 * SYMBOLS sums come to the driver, packed."""
     n_hot = len(layout.hot)
-    found = state.mapInArrow(_sums(n_hot), "kind int, place long, value long, other long").groupBy("kind", "place").agg(
-        F.sum("value").alias("value"), F.sum("other").alias("other")).toArrow()
-    kinds, place, value, other = (found.column(c).to_numpy() for c in ("kind", "place", "value", "other"))
+    found = state.mapInArrow(_sums, SUMS).repartition("part").sortWithinPartitions("part").mapInArrow(_sum_parts, SUMS).toArrow()
+    rows = [tuple(get(c, "<i8") for c in ("place", "value", "other")) for batch in found.to_batches() for get in (_reader(batch, i) for i in range(len(batch)))]
+    place, value, other = (np.concatenate(x) for x in zip(*rows)) if rows else [np.zeros(0, np.int64)] * 3
 
-    def dense(kind: int, size: int, values: np.ndarray = value) -> np.ndarray:
+    def dense(first: int, size: int, values: np.ndarray = value) -> np.ndarray:
         out = np.zeros(size, np.int64)
-        mine = kinds == kind
-        out[place[mine]] = values[mine]
+        mine = (place >= first) & (place < first + size)
+        out[place[mine] - first] = values[mine]
         return out
 
-    n_words, customers, tables, n1, n2, m1, m2 = dense(1, 7).tolist()
-    order = np.argsort(place[kinds == 2])
-    keys, counts = place[kinds == 2][order], value[kinds == 2][order]
-    hot_tokens, hot_customers = dense(3, n_hot), dense(3, n_hot, other)
+    n_words, customers, tables, n1, n2, m1, m2 = dense(SINGLES, 7).tolist()
+    mine = np.flatnonzero((place >= TRIPLES) & (place < SINGLES))
+    mine = mine[np.argsort(place[mine])]
+    keys, counts = place[mine] - TRIPLES, value[mine]
+    hot_tokens, hot_customers = dense(HOT, n_hot), dense(HOT, n_hot, other)
     rng = np.random.default_rng([SEED, 1000 + number])
     hot_tables = np.minimum(hot_customers, 1)
     if n_hot:
@@ -614,14 +680,12 @@ def fit(docs: DataFrame) -> Fitted:
 # ---------------------------------------------------------------- scores
 
 PLACES = ("bucket long, kind int, chunk long, keys binary, hot binary, lengths binary, raw binary, n binary, docs binary, contexts binary, counts binary, "
-          "seen binary, roots binary, doc_ids binary, held binary, n_tokens binary")
+          "seen binary, roots binary, doc_ids binary, held binary, n_tokens binary, zipped boolean")
 MODEL, PLACE, DIRECTORY = 0, 1, 2  # in this order within a bucket
 
 
 def _places(layout: Layout):
     """Per chunk and bucket: where its words stand (document of the chunk, context); and one row that names the documents."""
-    names = [f.split()[0] for f in PLACES.split(", ")]
-
     def run(batches):
         part = TaskContext.get().partitionId()
         for number, chunk in enumerate(_chunks(batches)):
@@ -638,17 +702,17 @@ def _places(layout: Layout):
             bucket = layout.bucket(keys[at[:-1]])
             row = _bounds(bucket)
             n = len(row) - 1
-            yield pa.RecordBatch.from_arrays(
+            yield _row_batch(
                 [pa.array(bucket[row[:-1]]), pa.array(np.full(n, PLACE, np.int32)), pa.array(np.full(n, name)), _packs(row, keys[at[:-1]], "<u8"),
                  _packs(row, hot[token], "<i2"), _packs(row, lengths, "<u4"), _packs(_starts(lengths)[row], raw, "u1"), _packs(row, np.diff(at), "<u4"),
-                 _packs(at[row], doc[order], "<u2"), _packs(at[row], context[order], "u3"), *[_empty(n)] * 6], names=names)
+                 _packs(at[row], doc[order], "<u2"), _packs(at[row], context[order], "u3"), *[_empty(n)] * 6], PLACES)
             sizes = np.bincount(doc, minlength=len(held))
             known = np.array([d is not None for d in chunk.doc_ids])
             ids = np.array([0 if d is None else d for d in chunk.doc_ids], "<i8")
             marks = held.astype(np.uint8) | known.astype(np.uint8) << 1
-            yield pa.RecordBatch.from_arrays(  # dealt out like any bucket
+            yield _row_batch(  # dealt out like any bucket
                 [pa.array([(name * 0x9E3779B97F4A7C15 + 1) % 2**63]), pa.array([DIRECTORY], pa.int32()), pa.array([name]), *[_empty(1)] * 10,
-                 _one(ids, "<i8"), _one(marks, "u1"), _one(sizes, "<i8")], names=names)
+                 _one(ids, "<i8"), _one(marks, "u1"), _one(sizes, "<i8")], PLACES)
 
     return run
 
@@ -719,7 +783,7 @@ def _add_up(samples, layout: Layout, tokens: int, n_words: int):
         hot_roots = np.zeros((len(layout.hot), len(model)))
         for i, g in enumerate(model if len(layout.hot) else ()):
             hot_roots[:, i] = g.root(g.hot_customers, g.hot_tables, g.spelling.words(layout.words))
-        names = [f.split()[0] for f in PARTS.split(", ")]
+        names = _names(PARTS)
         sums: dict[int, list[np.ndarray]] = {}
         held_rows, bucket, know = 0, None, Known.nothing(len(model))
 
@@ -732,7 +796,7 @@ def _add_up(samples, layout: Layout, tokens: int, n_words: int):
 
         for batch in batches:
             for i, (b, kind, chunk) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "chunk")))):
-                get = lambda c, k: _numbers(batch.column(c)[i], k)
+                get = _reader(batch, i)
                 if kind == DIRECTORY:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([chunk]), *[_empty(1)] * 4, *[_one(get(c, "u1"), "u1") for c in ("doc_ids", "held", "n_tokens")]], names=names)
@@ -773,7 +837,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score
 
 def _per_document(batches):
     """Rows come sorted by chunk, the row that names its documents first."""
-    names = [f.split()[0] for f in SCORES.split(", ")]
+    names = _names(SCORES)
 
     def finish(d):
         ids, held, tokens, base, score, known = d
@@ -807,9 +871,8 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
     """
     spark = docs.sparkSession
     nothing = F.lit(b"").cast("binary")
-    names = [f.split()[0] for f in PLACES.split(", ")]
     model = spark.read.schema(STATE).parquet(fitted.path).withColumns(
-        {"kind": F.lit(MODEL), "chunk": F.lit(0).cast("long"), **{c: nothing for c in ("lengths", "raw", "docs", "doc_ids", "held", "n_tokens")}}).select(*names)
+        {"kind": F.lit(MODEL), "chunk": F.lit(0).cast("long"), **{c: nothing for c in ("lengths", "raw", "docs", "doc_ids", "held", "n_tokens")}}).select(*_names(PLACES))
     places = _prepared(docs).mapInArrow(_places(fitted.layout), PLACES)
     samples = spark.sparkContext.broadcast(fitted.samples)
     together = places.unionByName(model).repartition("bucket").sortWithinPartitions("bucket", "kind")
