@@ -39,16 +39,25 @@ def test_same_as_all_pairs(spark, monkeypatch):
         assert run(spark, vectors, 5, 4) == brute(vectors, 5, 4)
 
 
-def test_rows_beyond_the_bounds_are_not_sent():
-    """Rows of equal norm in tight clusters: a group needs few cells."""
+def test_rows_and_queries_beyond_the_bounds_are_not_sent(spark, monkeypatch):
+    """Rows of like norm in tight clusters: far fewer pairs meet than there are, and the result is whole."""
+    monkeypatch.setattr(V, "QUERY_BLOCK", 12)
+    monkeypatch.setattr(V, "ROW_BLOCK", 60)
     rng = np.random.default_rng(0)
     centers = np.eye(8) * 100
-    z = np.concatenate([c + rng.normal(0, 1, (40, 8)) for c in centers])
-    plan = V.Plan(np.zeros((0, 0)), float((z * z).sum(axis=1).max()), 8)
-    plan.pivots = plan.widen(z[::40], False)
-    cell, far = plan.nearest(plan.widen(z, False))
-    between = np.sqrt(((plan.pivots[:, None] - plan.pivots[None]) ** 2).sum(axis=2))
-    assert (np.bincount(cell) == 40).all() and between[between > 0].min() > 2 * far.max()
+    vectors = {i: np.floor(centers[i % 8] + rng.normal(0, 1, 8)) for i in range(800)}
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors.items()], "vec_id long, z array<double>")
+    queries = df.filter("vec_id % 9 = 0")
+    _, asked, sent = V.deal(queries, df, 5)
+    rows = sent.groupBy("part", "block").count().withColumnRenamed("count", "n")
+    met = asked.join(rows, ["part", "block"]).agg({"n": "sum"}).first()[0]
+    blocks = sent.select("block").distinct().count()
+    parts = asked.select("part").distinct().count()
+    assert blocks > 8 and parts > 4
+    assert met < 0.3 * 800 * queries.count()
+    assert asked.count() < 0.5 * blocks * queries.count()
+    assert sent.count() < 0.6 * parts * 800
+    assert run(spark, vectors, 9, 5) == brute(vectors, 9, 5)
 
 
 def test_few_rows_short_vectors_and_large_numbers(spark):
