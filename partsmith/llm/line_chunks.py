@@ -34,6 +34,7 @@ MOST_WORDS, STEP_WORDS = 32, 16
 #: bytes from which a word is cut, and bytes of it that count as a word
 LONG, PER_WORD = 32, 6
 PER_PLACE = 500
+MOST_OFTEN = 1024  # a chunk with this part of all repeated places is salted, one salt for each such part
 _RNG = np.random.default_rng(4242)
 _BYTE = _RNG.integers(1, 2**64, 256, dtype=np.uint64)
 _MARK = np.zeros(256, bool)
@@ -255,7 +256,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     chunks = keyed.select("doc_key", "text").filter("text is not null").mapInArrow(_emit, "doc_key long, hash long")
     first = chunks.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_key").alias("first")).filter("n > 1")
     first = stage(first.select("hash", "first", "n"), "chunks")
-    places = chunks.join(first.select("hash", "first"), "hash").distinct()
+    # frequent chunks are salted on both sides of the join with their first places
+    total = first.agg(F.sum("n")).first()[0] or 0
+    often = first.filter(F.col("n") * MOST_OFTEN >= total).select("hash", F.ceil(F.col("n") * MOST_OFTEN / max(total, 1)).cast("long").alias("salts"))
+    often = F.broadcast(often)  # at most MOST_OFTEN rows, since each has that share of all places
+    dealt = chunks.join(often, "hash", "left").select(
+        "doc_key", "hash", F.pmod(F.xxhash64("doc_key"), F.coalesce("salts", F.lit(1).cast("long"))).alias("salt"))
+    firsts = first.select("hash", "first").join(often, "hash", "left").select(
+        "hash", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1).cast("long")) - 1)).alias("salt"))
+    places = dealt.join(firsts, ["hash", "salt"]).select("hash", "doc_key", "first").distinct()
     of_doc = places.groupBy("doc_key").agg(F.collect_list("hash").alias("hashes"), F.collect_list("first").alias("firsts"))
 
     schema = T.StructType([*keyed.select(*plain).schema.fields, T.StructField("doc_key", T.LongType()), T.StructField("pieces", _PIECES)])
