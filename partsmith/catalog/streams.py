@@ -100,6 +100,5 @@ def _(t):
         part = part if high is None else part.where(F.unix_micros("ts") < high)
         part.coalesce(1).write.mode("append").parquet(path)
     stream = t.spark.readStream.schema("task_id string, ts timestamp, kind string").option("maxFilesPerTrigger", 1).parquet(path)
-    run_available(C.watch_timeouts(stream).writeStream.outputMode("append").format("parquet").option("path", out).option(
-        "checkpointLocation", fresh(t, "ckpt")))
-    return t.spark.read.schema(C.TIMEOUT_OUT).parquet(out)
+    run_available(C.watch_timeouts(stream, out, fresh(t, "watch-state"), fresh(t, "ckpt")))
+    return t.spark.read.schema(C.TIMEOUT_OUT).parquet(out).select("task_id", "status")

@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from partsmith.operators import external as X
@@ -90,45 +85,53 @@ def last_status(stream: DataFrame, table: KeyedTable, checkpoint: str) -> DataSt
 
 
 TIMEOUT_OUT = "task_id string, status string"
+# What a batch leaves behind of a task whose time is not up: times in milliseconds.
+_WAITING = "task_id string, submitted long, heard boolean, until long"
 
 
-HEARD = -1
-
-
-def watch_timeouts(stream: DataFrame, minutes: int = 30, late: str = "10 minutes") -> DataFrame:
-    """``(task_id, status)``: a submitted task that hears nothing for ``minutes`` times out.
+def watch_timeouts(stream: DataFrame, out: str, state: str, checkpoint: str, minutes: int = 30, late: str = "10 minutes") -> DataStreamWriter:
+    """``(task_id, status)`` into ``out``: a submitted task that hears nothing for ``minutes`` times out.
 
     ``stream(task_id, ts, kind)`` mixes ``submit`` and ``callback`` events; the
-    timer runs on event time and is cancelled by a callback.  The first
-    callback of a task is reported once; that it came is remembered for
-    ``minutes`` after it, so a submit that arrives in a later batch starts no
-    timer.  State goes with the timer.
+    timer runs on event time (the newest so far, less ``late``) and is cancelled
+    by a callback.  The first callback of a task is reported once; that it came
+    is remembered for ``minutes`` after it, so a submit that arrives in a later
+    batch starts no timer.  Rows older than the mark a batch starts with are
+    dropped.
+
+    A batch is one aggregate over its rows and the tasks still waiting, which
+    are all that ``state`` holds, in a folder per batch; a batch that failed
+    writes the same folders again.
     """
     wait_ms = minutes * 60 * 1000
 
-    def watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        task: Any = key[0]
-        held = state.get[0] if state.exists else None
-        if state.hasTimedOut:
-            state.remove()
-            if held != HEARD:
-                yield pd.DataFrame({"task_id": [task], "status": ["callback_timeout"]})
-            return
-        submits, calls = [], []
-        for frame in frames:
-            ms = (frame["ts"].astype("int64") // 10 ** (6 if frame["ts"].dt.unit == "ns" else 3)).tolist()
-            for at, kind in zip(ms, frame["kind"]):
-                (calls if kind == "callback" else submits).append(at)
-        soonest = state.getCurrentWatermarkMs() + 1
-        if calls or held == HEARD:
-            state.update((HEARD,))
-            state.setTimeoutTimestamp(max(max(calls + submits, default=soonest) + wait_ms, soonest))
-            if held != HEARD:
-                yield pd.DataFrame({"task_id": [task], "status": ["callback_received"]})
-        elif submits or held is not None:
-            submitted = min(submits + ([held] if held is not None else []))
-            state.update((submitted,))
-            state.setTimeoutTimestamp(max(submitted + wait_ms, soonest))
-
-    return stream.withWatermark("ts", late).groupBy("task_id").applyInPandasWithState(
-        watch, TIMEOUT_OUT, "submitted_ms long", "append", GroupStateTimeout.EventTimeTimeout)
+    def watch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        begun = staged_so_far(spark)
+        ms, called = F.unix_millis(F.col("ts").cast("timestamp")), F.coalesce(F.col("kind") == "callback", F.lit(False))
+        rows, mark = batch.select("task_id", ms.alias("ms"), called.alias("called")), None
+        waiting = spark.createDataFrame([], _WAITING)
+        if batch_id > 0:
+            mark = spark.read.schema("mark long").parquet(f"{state}/{batch_id - 1}/mark").first()["mark"]
+            waiting = spark.read.schema(_WAITING).parquet(f"{state}/{batch_id - 1}/tasks")
+        if mark is not None:
+            rows = rows.where(F.col("ms") > mark)
+        told = rows.select("task_id", F.when(~F.col("called"), F.col("ms")).alias("submitted"), F.col("called").alias("heard"),
+                           F.lit(False).alias("known"), (F.col("ms") + wait_ms).alias("until"))
+        held = waiting.select("task_id", "submitted", "heard", F.col("heard").alias("known"), "until")
+        tasks = stage(told.unionByName(held).groupBy("task_id").agg(
+            F.min("submitted").alias("submitted"), F.bool_or("heard").alias("heard"), F.bool_or("known").alias("known"), F.max("until").alias("last")
+        ).withColumn("until", F.when(F.col("heard"), F.col("last")).otherwise(F.col("submitted") + wait_ms)), "watched")
+        newest = F.unix_millis(F.timestamp_millis(F.max("last") - wait_ms) - F.expr(f"INTERVAL {late}"))
+        mark = tasks.agg(F.greatest(F.lit(mark).cast("long"), newest).alias("mark")).first()["mark"]
+
+        due = F.col("until") < F.lit(mark).cast("long")
+        status = F.when(F.col("heard") & ~F.col("known"), "callback_received").when(~F.col("heard") & due, "callback_timeout")
+        tasks.select("task_id", status.alias("status")).where("status is not null").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        tasks.where(~due).select("task_id", "submitted", "heard", "until").write.mode("overwrite").parquet(f"{state}/{batch_id}/tasks")
+        spark.createDataFrame([(mark,)], "mark long").coalesce(1).write.mode("overwrite").parquet(f"{state}/{batch_id}/mark")
+        past = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/{batch_id - 2}")  # the last batch's is read again if this one has to be
+        past.getFileSystem(spark._jsc.hadoopConfiguration()).delete(past, True)
+        release(spark, begun)
+
+    return each_batch(stream, watch, checkpoint)

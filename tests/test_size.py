@@ -1,7 +1,12 @@
 """Work that has to grow with the rows: how tables are dealt out, what is never broadcast, timers without a call per task."""
 
+from datetime import datetime, timedelta
+
 from partsmith.catalog import base, matching, registry
 from partsmith.catalog.tables import Tables
+from partsmith.session import new_path
+from partsmith.streaming import callbacks as C
+from partsmith.streaming.tables import run_available
 from conftest import SF
 
 
@@ -16,3 +21,26 @@ def test_codes_need_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(matching, "parts", lambda t: 1 / 0)
     monkeypatch.setattr(base, "tables", lambda spark, sf_dir: t)
     assert registry.queries()["join_prefix"](spark, SF).count() > 0
+
+
+def watch(spark, batches, late="10 minutes"):
+    start = datetime(2024, 1, 1)
+    path, out = new_path(spark, "watch-in"), new_path(spark, "watch-out")
+    schema = "task_id string, ts timestamp, kind string"
+    for rows in batches:
+        spark.createDataFrame([(k, start + timedelta(minutes=m), kind) for k, m, kind in rows], schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    run_available(C.watch_timeouts(stream, out, new_path(spark, "watch-state"), new_path(spark, "ckpt"), late=late))
+    found = spark.read.schema(C.TIMEOUT_OUT).parquet(out)
+    return sorted((r.task_id, r.status, r.batch) for r in found.collect())
+
+
+def test_timers(spark):
+    found = watch(spark, [
+        [("silent", 0, "submit"), ("heard", 0, "submit"), ("heard", 5, "callback"), ("early", 3, "callback"), ("soon", 30, "submit")],
+        [("early", 8, "submit"), ("heard", 20, "callback"), ("twice", 20, "submit"), ("soon", 41, "callback"), ("tick", 40.0, "callback")],
+        [("tock", 41.0, "callback"), ("twice", 39, "submit")],
+        [("end", 200, "submit")],
+    ])
+    assert found == [("early", "callback_received", 0), ("heard", "callback_received", 0), ("silent", "callback_timeout", 1), ("soon", "callback_received", 1),
+                     ("tick", "callback_received", 1), ("tock", "callback_received", 2), ("twice", "callback_timeout", 3)]
