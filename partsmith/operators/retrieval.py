@@ -76,7 +76,8 @@ def similar(questions: DataFrame, cleaned: DataFrame, cfg: Settings = DEFAULTS)
     hay = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("material_name", "specification", "full_description", "grade")])
     rows = cleaned.select("row_id", T.tokens(hay).alias("have"))
     hit = F.array_intersect(F.array_distinct("words"), F.col("have"))
-    scored = recalled.select("query_id", "row_id").join(rows, "row_id").join(asked, "query_id").withColumn("hit", hit).where(F.size("hit") > 0)
+    # a row's words are wider than the size of a file foretells: sorted, never broadcast
+    scored = recalled.select("query_id", "row_id").join(rows.hint("merge"), "row_id").join(asked, "query_id").withColumn("hit", hit).where(F.size("hit") > 0)
     ratio = F.size("hit") / F.size(F.array_distinct("words"))
     ranked = scored.withColumn("score", F.floor(ratio * 100 + 0.5) / 100)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("row_id").desc())

@@ -4,12 +4,17 @@ from datetime import datetime, timedelta
 
 from partsmith.catalog import base, matching, registry
 from partsmith.catalog.tables import Tables
-from partsmith.session import new_path
+from partsmith.operators import retrieval
+from partsmith.session import new_path, stage
 from partsmith.streaming import callbacks as C
 from partsmith.streaming.tables import run_available
 from conftest import SF
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_row_views_are_dealt_out(spark):
     t = Tables(spark, SF)
     for name in ("raw_rows", "review_tasks", "review_events", "callbacks"):
@@ -23,6 +28,15 @@ def test_codes_need_no_pairs(spark, monkeypatch):
     assert registry.queries()["join_prefix"](spark, SF).count() > 0
 
 
+def test_words_of_rows_are_not_broadcast(spark):
+    rows = stage(spark.range(500).selectExpr("id AS row_id", "'steel bolt' AS material_name", "string(id) AS specification", "'' AS full_description", "'' AS grade"), "rows")
+    asked = spark.createDataFrame([(1, "和 bolt 相似的物料"), (2, "442 bolt")], "conv_id long, question string")
+    out = retrieval.similar(asked, rows)
+    assert plan(out).count("SortMergeJoin [row_id") == 2 and "ShuffledHashJoin [gram" in plan(out)
+    best = {r.conv_id: (r.row_id, r.score) for r in out.where("place = 1").collect()}
+    assert best == {1: (499, 1.0), 2: (442, 1.0)}
+
+
 def watch(spark, batches, late="10 minutes"):
     start = datetime(2024, 1, 1)
     path, out = new_path(spark, "watch-in"), new_path(spark, "watch-out")
