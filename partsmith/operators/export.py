@@ -134,7 +134,8 @@ def results_by_header(results: DataFrame, raw: DataFrame, header: DataFrame, std
     cols = F.array(*[c for c in results.columns if c.startswith("col") and c[3:].isdigit()])
     filled = results.join(targets, "std_id").select("std_id", "row_id", F.transform("targets", lambda h: F.struct(
         F.lit(1).alias("part"), h["pos"].alias("place"), h["target"].alias("name"), F.get(cols, h["pos"] - 1).alias("value"))).alias("done"))
-    return filled.join(original, "row_id").select("std_id", "row_id", F.inline(F.concat("orig", "done")))
+    # both sides have a row per row, whose lists no size of a file foretells: sorted, never broadcast
+    return filled.join(original.hint("merge"), "row_id").select("std_id", "row_id", F.inline(F.concat("orig", "done")))
 
 
 def write_by_header(cells: DataFrame, path: str) -> None:

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 from partsmith.catalog import base, matching, registry
 from partsmith.catalog.tables import Tables
-from partsmith.operators import retrieval
+from partsmith.operators import export, retrieval
 from partsmith.session import new_path, stage
 from partsmith.streaming import callbacks as C
 from partsmith.streaming.tables import run_available
@@ -28,6 +28,15 @@ def test_codes_need_no_pairs(spark, monkeypatch):
     assert registry.queries()["join_prefix"](spark, SF).count() > 0
 
 
+def test_cells_of_a_header_are_not_broadcast(spark):
+    raw = stage(spark.range(3000).selectExpr("id AS row_id", "0L AS title_id", "'x' AS col1", "'y' AS col2"), "raw")
+    header = spark.createDataFrame([(0, 1, "a"), (0, 2, "b")], "title_id long, pos int, name string")
+    std = spark.createDataFrame([(7, 1, "t")], "std_id long, pos int, target string")
+    results = stage(spark.range(3000).selectExpr("7L AS std_id", "id AS row_id", "'v' AS col1"), "results")
+    out = export.results_by_header(results, raw, header, std)
+    assert "SortMergeJoin [row_id" in plan(out) and out.count() == 9000
+
+
 def test_words_of_rows_are_not_broadcast(spark):
     rows = stage(spark.range(500).selectExpr("id AS row_id", "'steel bolt' AS material_name", "string(id) AS specification", "'' AS full_description", "'' AS grade"), "rows")
     asked = spark.createDataFrame([(1, "和 bolt 相似的物料"), (2, "442 bolt")], "conv_id long, question string")
