@@ -35,7 +35,7 @@ PAGE_ROWS = 2000
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
 
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 #: Latin letters that are in normal form and have one lower-case letter each
 _LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF"
 _WORD = re.compile(f"[{_LETTERS}]+")

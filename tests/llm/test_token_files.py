@@ -55,3 +55,17 @@ def test_pieces_between_white_space(text):
     ids, at = ENCODER.encode(pa.array([None, text, "", text]))
     assert at.tolist() == [0, 0, len(ids) // 2, len(ids) // 2, len(ids)]
     assert ids[:len(ids) // 2].tolist() == ids[len(ids) // 2:].tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+
+
+def test_memory_of_a_batch():
+    import tracemalloc
+
+    from partsmith.llm.words import slices
+
+    batch = pa.RecordBatch.from_pydict({"text": ["a few plain words of text, again and again. " * 400] * 900})
+    tracemalloc.start()  # sees arrays and objects of Python; 16 MB of text
+    for part in slices(batch, most=token_files.BATCH_BYTES):
+        ENCODER.encode(part.column("text"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6  # 91 MB at 8 MB a batch, 23 MB at 2
