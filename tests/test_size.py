@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 from partsmith.catalog import base, matching, registry
 from partsmith.catalog.tables import Tables
-from partsmith.operators import export, retrieval
+from partsmith.operators import export, library, retrieval
 from partsmith.session import new_path, stage
 from partsmith.streaming import callbacks as C
 from partsmith.streaming.tables import run_available
@@ -46,6 +46,21 @@ def test_words_of_rows_are_not_broadcast(spark):
     assert best == {1: (499, 1.0), 2: (442, 1.0)}
 
 
+def test_texts_of_rows_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(library, "TEXTS_A_TASK", 100)
+    tree = spark.createDataFrame([(i, f"C{i}", f"steel,bolt{i}", 3) for i in range(12)], "id long, category_code string, category_name string, level int")
+    idx = library.build_indexes(tree, spark.createDataFrame([], "category_id long, synonym_name string"))
+    rows = stage(spark.range(1000).selectExpr("id AS row_id", "if(id < 900, 'steel', 'bolt7') AS material_name", "if(id = 3, 'C9', null) AS category_code"), "rows")
+    out = library.recall(rows, tree, idx, k=4)
+    assert "SortMergeJoin [text_key" in plan(out) and "hashpartitioning(row_id" in plan(out) and ", 11)" in plan(out)
+    found = {}
+    for r in out.collect():
+        found.setdefault(r.row_id, []).append((r.rank, r.category_code, r.relevance))
+    steel = [(1, "C0", 0.51), (2, "C1", 0.51), (3, "C10", 0.51), (4, "C11", 0.51)]
+    assert sorted(found[3]) == [(1, "C9", 1.0), (2, "C0", 0.51), (3, "C1", 0.51), (4, "C10", 0.51)]
+    assert all(sorted(found[i]) == steel for i in range(900) if i != 3) and all(found[i] == [(1, "C7", 0.51)] for i in range(900, 1000))
+
+
 def watch(spark, batches, late="10 minutes"):
     start = datetime(2024, 1, 1)
     path, out = new_path(spark, "watch-in"), new_path(spark, "watch-out")
