@@ -46,7 +46,8 @@ def check_file(details: DataFrame, cfg: Settings = DEFAULTS, adaptive: bool | No
 
 def classify_text(texts: DataFrame, taxonomy: DataFrame, idx: L.Indexes, k: int = DEFAULTS.recall_k) -> DataFrame:
     """``texts(text_id, text)`` to the top recalled category, its relevance and a message."""
-    fields = {"full_description": 0.95, "material_name": 0.85, "specification": 0.6}
+    # the text stands for description, name and specification alike, so only the largest of their weights can count
+    fields = {"full_description": max(L.TEXT_WEIGHTS[f] for f in ("full_description", "material_name", "specification"))}
     rows = texts.where(~T.is_blank(F.col("text"))).select(
         F.col("text_id").alias("row_id"), *[F.col("text").alias(f) for f in fields])
     hits = L.recall(rows, taxonomy, idx, k, {}, fields)

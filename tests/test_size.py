@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 from partsmith.catalog import base, matching, registry
 from partsmith.catalog.tables import Tables
-from partsmith.operators import export, library, retrieval
+from partsmith.operators import checks, export, library, retrieval
 from partsmith.session import new_path, stage
 from partsmith.streaming import callbacks as C
 from partsmith.streaming.tables import run_available
@@ -61,6 +61,16 @@ def test_texts_of_rows_are_dealt_out(spark, monkeypatch):
     assert all(sorted(found[i]) == steel for i in range(900) if i != 3) and all(found[i] == [(1, "C7", 0.51)] for i in range(900, 1000))
 
 
+def test_free_text_is_read_once(spark, monkeypatch):
+    given, recall = [], library.recall
+    monkeypatch.setattr(library, "recall", lambda rows, *a: given.append(rows.columns) or recall(rows, *a))
+    tree = spark.createDataFrame([(1, "C1", "steel,bolt", 3)], "id long, category_code string, category_name string, level int")
+    idx = library.build_indexes(tree, spark.createDataFrame([], "category_id long, synonym_name string"))
+    texts = spark.createDataFrame([(1, "Steel, Bolt"), (2, "..ſ🙂"), (3, "一bolt.x")], "text_id long, text string")
+    out = {r.text_id: (r.code, r.relevance, r.n_candidates) for r in checks.classify_text(texts, tree, idx).collect()}
+    assert out == {1: ("C1", 0.95, 1), 2: (None, None, 0), 3: (None, None, 0)} and given == [["row_id", "full_description"]]
+
+
 def watch(spark, batches, late="10 minutes"):
     start = datetime(2024, 1, 1)
     path, out = new_path(spark, "watch-in"), new_path(spark, "watch-out")
