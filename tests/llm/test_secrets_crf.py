@@ -85,6 +85,25 @@ def test_report_and_odd_rows(spark):
     assert S.report(S.find(no_docs(spark), S.train(no_docs(spark)))).count() == 0
 
 
+def test_text_of_very_many_spans(spark):
+    text = "token: Ab1Ab1Ab1Ab1Ab1 é and 0123456789abcdef0 so it goes " * 20_000
+    batch = pa.RecordBatch.from_pydict({"text": [text, "é password = abcdefghijkl " + "a house of words " * 9]})
+    assert sum(b.num_rows for b in S._windows([batch])) <= 2 * (1 + S.TRAIN_SPANS) + 2 * 2
+    docs = odd_docs(spark, [(1, text, "en", "a", len(text)), *made(40, 3)])
+    row = S.report(S.find(docs.drop("spans"), S.train(docs))).where("doc_id = 1 and n_hex > 0").first()
+    w = want(text)
+    assert (row.n_assign, row.n_hex, row.base_sha256) == (20_000, 20_000, hashlib.sha256(",".join(w).encode()).hexdigest())
+    assert [s for s in row.spans.split(",") if not s.startswith("crf")] == w
+
+
+def test_found_spans_apart():
+    rng = random.Random(3)
+    for _ in range(500):
+        cut = lambda: sorted((a, "hex", a + rng.randint(1, 9)) for a in (rng.randrange(40) for _ in range(rng.randint(0, 4))))
+        found, spans = cut(), cut()
+        assert S._apart(found, spans) == [f for f in found if not any(f[0] < e and s < f[2] for s, _, e in spans)]
+
+
 def test_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = {r.doc_id: r for r in S.report(S.find(docs, S.train(docs))).collect()}
