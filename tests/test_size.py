@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 from partsmith.catalog import base, matching, registry
 from partsmith.catalog.tables import Tables
-from partsmith.operators import checks, export, library, retrieval
+from partsmith.operators import checks, export, ingest, library, retrieval
 from partsmith.session import new_path, stage
 from partsmith.streaming import callbacks as C
 from partsmith.streaming.tables import run_available
@@ -71,6 +71,14 @@ def test_free_text_is_read_once(spark, monkeypatch):
     assert out == {1: ("C1", 0.95, 1), 2: (None, None, 0), 3: (None, None, 0)} and given == [["row_id", "full_description"]]
 
 
+def test_keys_of_files_are_counted_from_staged_rows(spark, monkeypatch):
+    given, count = [], ingest.first_seen_keys
+    monkeypatch.setattr(base, "tables", Tables)
+    monkeypatch.setattr(ingest, "first_seen_keys", lambda items: given.append(plan(items)) or count(items))
+    assert registry.queries()["win_first_seen_keys"](spark, SF).count() > 0
+    assert "Join" not in given[0]  # behind a join by file, all rows of a file would be parsed in one task
+
+
 def watch(spark, batches, late="10 minutes"):
     start = datetime(2024, 1, 1)
     path, out = new_path(spark, "watch-in"), new_path(spark, "watch-out")
