@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 from partsmith.catalog import base, matching, registry
 from partsmith.catalog.tables import Tables
-from partsmith.operators import checks, export, ingest, library, retrieval
+from partsmith.operators import checks, export, ingest, library, matcher, retrieval
 from partsmith.session import new_path, stage
 from partsmith.streaming import callbacks as C
 from partsmith.streaming.tables import run_available
@@ -28,6 +28,21 @@ def test_codes_need_no_pairs(spark, monkeypatch):
     assert registry.queries()["join_prefix"](spark, SF).count() > 0
 
 
+def test_matcher_makes_only_what_is_asked_for(spark, monkeypatch):
+    t = Tables(spark, SF)
+    monkeypatch.setattr(base, "tables", lambda spark, sf_dir: t)
+    with monkeypatch.context() as m:
+        m.setattr(matcher, "name_pairs", lambda *a: 1 / 0)
+        assert registry.queries()["mt_synonym"](spark, SF).count() > 0
+    with monkeypatch.context() as m:
+        m.setattr(matcher, "name_scores", lambda *a: 1 / 0)
+        assert all(registry.queries()[q](spark, SF).count() > 0 for q in ("cl_name_pairs", "mt_ancestors", "mt_boost"))
+    given = []
+    monkeypatch.setattr(matcher, "top_candidates", lambda *a: 1 / 0)
+    monkeypatch.setattr(matcher, "name_scores", lambda *a, made=matcher.name_scores: given.append(a) or made(*a))
+    assert all(registry.queries()[q](spark, SF).count() > 0 for q in ("join_match", "mt_rank")) and len(given) == 1
+
+
 def test_cells_of_a_header_are_not_broadcast(spark):
     raw = stage(spark.range(3000).selectExpr("id AS row_id", "0L AS title_id", "'x' AS col1", "'y' AS col2"), "raw")
     header = spark.createDataFrame([(0, 1, "a"), (0, 2, "b")], "title_id long, pos int, name string")
