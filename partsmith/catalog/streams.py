@@ -19,18 +19,24 @@ def fresh(t, label: str) -> str:
     return f"{shared_dir(t.spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def arriving(t, name: str, by: str, parts: int = 4, per_trigger: int = 1) -> DataFrame:
-    """A view as files that a stream picks up one after the other, in the order of ``by``."""
-    path = fresh(t, f"{name}-in")
+def arrive(t, name: str, by: str, work, parts: int = 4) -> None:
+    """A view that arrives in ``parts``, in the order of ``by``; the writer ``work(stream)`` takes in each part before the next one comes.
+
+    A part is as many files as its rows came in, all of one micro-batch.  The
+    cuts decide where parts end, not what comes out, so they need not be exact.
+    """
+    path, writer = fresh(t, f"{name}-in"), None
     timed = dict(t[name].dtypes)[by].startswith("timestamp")
     at = F.col(by).cast("timestamp").cast("double") if timed else F.col(by).cast("double")
-    cuts = t[name].agg(F.percentile(at, F.array(*[F.lit(i / parts) for i in range(1, parts)])).alias("q")).first()["q"]
+    cuts = t[name].agg(F.percentile_approx(at, [i / parts for i in range(1, parts)]).alias("q")).first()["q"] or []
     bounds = [None, *cuts, None]
     for low, high in zip(bounds[:-1], bounds[1:]):
         part = t[name] if low is None else t[name].where(at >= low)
         part = part if high is None else part.where(at < high)
-        part.coalesce(1).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(t[name].schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+        part.write.mode("append").parquet(path)
+        if writer is None:
+            writer = work(t.spark.readStream.schema(t[name].schema).parquet(path))
+        run_available(writer)
 
 
 @query("st_callback_ingest", "SELECT task_id, row_index, category_code, category_name, needs_review, row_status FROM ext_row")
@@ -40,23 +46,22 @@ def _(t):
     states = KeyedTable(t.spark, f"{root}/tasks", tasks(t), ["task_id"])
     log_schema = "task_id string, digest string, ts timestamp_ntz, result string"
     log = KeyedTable(t.spark, f"{root}/log", t.spark.createDataFrame([], log_schema), ["digest"], append=True)
-    run_available(C.ingest(arriving(t, "callbacks", "ts"), rows, states, log, f"{root}/ckpt"))
+    arrive(t, "callbacks", "ts", lambda stream: C.ingest(stream, rows, states, log, f"{root}/ckpt"))
     return rows.latest().select("task_id", "row_index", "category_code", "category_name", "needs_review", "row_status")
 
 
 @query("st_task_progress", """WITH d AS (SELECT DISTINCT payload FROM callbacks) SELECT json_extract_string(payload, '$.taskId') AS task_id, count(*) AS callbacks, CAST(sum(coalesce(json_array_length(payload, '$.results'), 0)) AS BIGINT) AS result_rows,
  count(*) FILTER (json_extract_string(payload, '$.status') = 'failed') AS errors, max(CAST(json_extract_string(payload, '$.stats.total') AS BIGINT)) AS total FROM d GROUP BY 1""")
 def _(t):
-    out = fresh(t, "arrived")
-    stream = C.arrivals(arriving(t, "callbacks", "ts", per_trigger=1), "60 days")
-    run_available(stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", fresh(t, "ckpt")))
-    return C.progress(t.spark.read.schema(stream.schema).parquet(out))
+    out, ckpt = fresh(t, "arrived"), fresh(t, "ckpt")
+    arrive(t, "callbacks", "ts", lambda stream: C.arrivals(stream, "60 days").writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", ckpt))
+    return C.progress(t.spark.read.parquet(out))
 
 
 @query("st_late", """SELECT json_extract_string(payload, '$.taskId') AS task_id, arg_max(json_extract_string(payload, '$.status'), ts) AS status, max(ts) AS last_at FROM callbacks GROUP BY 1""")
 def _(t):
     table = KeyedTable(t.spark, fresh(t, "statuses"), t.spark.createDataFrame([], C.STATUS), ["task_id"])
-    run_available(C.last_status(arriving(t, "callbacks", "ts"), table, fresh(t, "ckpt")))
+    arrive(t, "callbacks", "ts", lambda stream: C.last_status(stream, table, fresh(t, "ckpt")))
     return table.latest().select("task_id", "status", F.col("last_at").cast("timestamp_ntz").alias("last_at"))
 
 
@@ -65,8 +70,7 @@ def _(t):
     out = fresh(t, "cleaned-stream")
     none = t.spark.createDataFrame([], "title_id bigint, source_row_hash string")
     seen = KeyedTable(t.spark, fresh(t, "seen"), none, ["title_id", "source_row_hash"], append=True)
-    stream = arriving(t, "raw_rows", "row_id", parts=3)
-    run_available(W.clean(stream, t["raw_header"], t["taxonomy"], t["synonyms"], out, seen, fresh(t, "ckpt")))
+    arrive(t, "raw_rows", "row_id", lambda stream: W.clean(stream, t["raw_header"], t["taxonomy"], t["synonyms"], out, seen, fresh(t, "ckpt")), parts=3)
     return t.spark.read.parquet(out).select(*cleaning.CLEANED_COLUMNS)
 
 
@@ -74,7 +78,7 @@ def _(t):
  FROM review_tasks t LEFT JOIN (SELECT * FROM event_fold QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY n DESC) = 1) l USING (task_id)""")
 def _(t):
     table = KeyedTable(t.spark, fresh(t, "tasks"), t["review_tasks"], ["task_id"])
-    run_available(W.fold_reviews(arriving(t, "review_events", "ts"), table, fresh(t, "ckpt")))
+    arrive(t, "review_events", "ts", lambda stream: W.fold_reviews(stream, table, fresh(t, "ckpt")))
     return table.latest().select("task_id", "status", "assignee", "resolution")
 
 

@@ -33,8 +33,9 @@ def _step(state: Column, e: Column) -> Column:
         F.when(action.isin("assign", "reassign"), "assigned").when(action == "start", "in_progress")
         .when(action == "complete", "completed").when(action == "cancel", "cancelled").otherwise("pending"))
     holder_after = F.when(action.isin("assign", "reassign"), user).when(action == "reopen", F.lit(None)).otherwise(holder)
-    return F.struct(
-        F.when(ok, to).otherwise(status).alias("status"), F.when(ok, holder_after).otherwise(holder).alias("assignee"), ok.alias("ok"))
+    # one branch for all three fields, so that the guards are worked out once per event
+    return F.when(ok, F.struct(to.alias("status"), holder_after.alias("assignee"), F.lit(True).alias("ok"))).otherwise(
+        F.struct(status.alias("status"), holder.alias("assignee"), F.lit(False).alias("ok")))
 
 
 def _state(status: Column, assignee: Column) -> Column:
@@ -51,16 +52,8 @@ def _fold(events: Column, status: Column, assignee: Column) -> Column:
 
 def _trace(events: Column, status: Column, assignee: Column) -> Column:
     """The state after every event of a segment, in order."""
-    blank = F.struct(F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("assignee"), F.lit(True).alias("ok"))
-    start = F.struct(
-        _state(status, assignee).alias("now"),
-        F.slice(F.array(blank), 1, 0).alias("seen"))
-
-    def add(acc: Column, e: Column) -> Column:
-        after = _step(acc["now"], e)
-        return F.struct(after.alias("now"), F.concat(acc["seen"], F.array(after)).alias("seen"))
-
-    return F.aggregate(events, start, add)["seen"]
+    seen = F.aggregate(events, F.array(_state(status, assignee)), lambda acc, e: F.concat(acc, F.array(_step(F.element_at(acc, -1), e))))
+    return F.slice(seen, 2, F.size(events))
 
 
 #: events of a segment, and segments or groups of them that are joined at once

@@ -2,12 +2,14 @@
 
 from datetime import datetime, timedelta
 
-from partsmith.catalog import base, matching, registry
+from pyspark.sql import functions as F
+
+from partsmith.catalog import base, matching, registry, streams
 from partsmith.catalog.tables import Tables
 from partsmith.operators import checks, export, ingest, library, matcher, retrieval
 from partsmith.session import new_path, stage
 from partsmith.streaming import callbacks as C
-from partsmith.streaming.tables import run_available
+from partsmith.streaming.tables import each_batch, run_available
 from conftest import SF
 
 
@@ -94,6 +96,14 @@ def test_keys_of_files_are_counted_from_staged_rows(spark, monkeypatch):
     assert "Join" not in given[0]  # behind a join by file, all rows of a file would be parsed in one task
 
 
+def test_parts_arrive_in_order_as_many_files(spark):
+    t, found = Tables(spark, SF), []
+    look = [F.min("ts"), F.max("ts"), F.count("*"), F.count_distinct("file")]
+    streams.arrive(t, "review_events", "ts", lambda stream: each_batch(stream, lambda batch, i: found.append((i, *batch.withColumn("file", F.input_file_name()).agg(*look).first())), new_path(spark, "ckpt")))
+    assert [f[0] for f in found] == [0, 1, 2, 3] and all(f[4] > 1 for f in found)
+    assert all(a[2] < b[1] for a, b in zip(found, found[1:])) and sum(f[3] for f in found) == t["review_events"].count()
+
+
 def watch(spark, batches, late="10 minutes"):
     start = datetime(2024, 1, 1)
     path, out = new_path(spark, "watch-in"), new_path(spark, "watch-out")
